@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -221,6 +222,23 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, exact boolean")
 
 
+def with_ids(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """docs with every column, ``ids`` and ``n_ids`` added (columns of these names are replaced)."""
+    proto = docs.sparkSession.sparkContext.broadcast(load(path))
+
+    @F.pandas_udf("array<int>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = ready(proto.value)
+        for texts in batches:
+            out: list = []
+            for at in range(0, len(texts), BLOCK):
+                block = [None if t is None or t != t else t for t in texts.iloc[at : at + BLOCK]]
+                out += [None if t is None else i for t, i in zip(block, pieces.encode(block), strict=True)]
+            yield pd.Series(out, dtype=object)
+
+    return docs.withColumn("ids", encode("text")).withColumn("n_ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir)).select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.col("exact").alias("round_trip")

@@ -135,6 +135,19 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, k: int = 3) -> DataFrame:
+    """docs with one row of each near-duplicate group (the least doc_id; of rows that share it, the least text).
+
+    Every row has a key of doc_id and text; rows alike in both are one row.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    groups = near_duplicates(docs.select(key.alias("doc_id"), "text"), k)
+    rows = docs.select(key.alias("_key"), F.col("doc_id").alias("_id")).join(groups.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "_key")
+    chosen = rows.groupBy("component_id").agg(F.min_by("_key", F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_key")).select("_key")
+    kept = docs.withColumn("_key", key).join(chosen, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
