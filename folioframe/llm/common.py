@@ -19,7 +19,6 @@ PLAIN = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 
-#: ASCII letters and digits of ids, used to name stage folders.
 DEFAULT_SHARED = "/tmp/checkpoints"
 
 
@@ -33,11 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or DEFAULT_SHARED).rstrip("/")
 
 
-def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to shared storage and read it back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what the write shuffled is garbage now; the context cleaner deletes it as soon as the driver's heap is collected
+    spark.sparkContext._jvm.System.gc()
     back = spark.read.schema(df.schema).parquet(path)
     back._stage_path = path
     return back

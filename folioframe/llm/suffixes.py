@@ -24,7 +24,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import stage, table, text_bytes
+from folioframe.llm.common import drop_stage, stage, table, text_bytes
 
 LENGTH = 50
 Q = 24
@@ -127,7 +126,7 @@ def _unplanes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """rows(rid, text) -> (rid, bucket): initial buckets that at least two rows have a suffix in."""
+    """rows(tid, text) -> (tid, bucket): initial buckets that at least two distinct texts have a suffix in."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
@@ -149,7 +148,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
 
         found, size = [], 0
         for batch in batches:
-            rid = batch.column("rid").to_numpy()
+            rid = batch.column("tid").to_numpy()
             for lo in range(0, batch.num_rows, 256):
                 texts = [text_bytes(t.as_py()) for t in batch.column("text").slice(lo, 256)]
                 for data, starts, owner, _ in pieces(texts):
@@ -182,7 +181,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
             several = np.minimum.reduceat(r, at) != np.maximum.reduceat(r, at)
             keep = np.repeat(several, np.diff(np.append(at, len(h))))
             bucket = (h[keep] | np.uint64(open_part << 40)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(r[keep]), pa.array(bucket)], ["rid", "bucket"])
+            return pa.RecordBatch.from_arrays([pa.array(r[keep]), pa.array(bucket)], ["tid", "bucket"])
 
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
@@ -194,13 +193,13 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
         if blobs:
             yield shared()
 
-    packed = rows.select("rid", "text").mapInArrow(gather, "part int, blob binary")
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(owned, "rid long, bucket long")
+    packed = rows.select("tid", "text").mapInArrow(gather, "part int, blob binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(owned, "tid long, bucket long")
 
 
-def contents(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(rid, doc_id, start, bucket, content): the bytes around every q-gram of a shared bucket."""
-    wanted = buckets.groupBy("rid").agg(F.collect_list("bucket").alias("buckets"))
+def contents(rows: DataFrame, buckets: DataFrame, first: DataFrame) -> DataFrame:
+    """(rid, doc_id, start, lead, bucket, content): the bytes around every q-gram of a shared bucket, once for each distinct text."""
+    wanted = buckets.groupBy("tid").agg(F.collect_list("bucket").alias("buckets")).join(first, "tid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +229,7 @@ def contents(rows: DataFrame, buckets: DataFrame) -> DataFrame:
                         ["rid", "doc_id", "start", "lead", "bucket", "content"],
                     )
 
-    return rows.join(wanted, "rid").select("rid", "doc_id", "text", "buckets").mapInArrow(cut, "rid long, doc_id long, start long, lead int, bucket long, content binary")
+    return rows.join(wanted, ["tid", "doc_id"]).select("rid", "doc_id", "text", "buckets").mapInArrow(cut, "rid long, doc_id long, start long, lead int, bucket long, content binary")
 
 
 def refine(bucket: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -306,10 +305,19 @@ def least_documents(found: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (rid, lo, hi): byte ranges to remove, overlapping ones not yet joined."""
-    rows = docs.where("doc_id is not null").where(F.octet_length("text") >= LENGTH).select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stage(contents(rows, shared_buckets(rows)), "contents")
+    rows = docs.where("doc_id is not null").where(F.octet_length("text") >= LENGTH).select(
+        F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64("text").alias("tid"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+    )
+    # copies of a whole text: all of their strings start in the least document that has it
+    narrow = rows.select("rid", F.xxhash64(F.lit(1), "text").alias("tid2"), "tid", "doc_id", F.octet_length("text").cast("long").alias("hi"))
+    first = narrow.groupBy("tid", "tid2").agg(F.min("doc_id").alias("doc_id"))
+    copies = narrow.join(first.withColumnRenamed("doc_id", "least"), ["tid", "tid2"]).where("doc_id > least").select("rid", F.lit(0).cast("long").alias("lo"), "hi")
+
+    buckets = stage(shared_buckets(rows), "buckets")
+    found = stage(contents(rows, buckets, first.select("tid", "doc_id").distinct()), "contents")
+    drop_stage(buckets)
     key = lambda d, *c: d.select(F.xxhash64("bucket", "lead", "content").alias("k1"), F.xxhash64(F.lit(1), "content", "bucket").alias("k2"), *c)
-    least = key(least_documents(found), "least")
+    least = stage(key(least_documents(found), "least"), "least")
     # windows with a smaller document, as ranges of neighbouring starts
     marked = key(found, "rid", "doc_id", "start").join(least, ["k1", "k2"]).select(
         "rid", "start", F.expr("filter(transform(least, (x, i) -> if(x < doc_id, i, -1)), i -> i >= 0)").alias("w")
@@ -317,12 +325,12 @@ def removals(docs: DataFrame) -> DataFrame:
     first = F.expr("filter(w, (x, i) -> i = 0 or w[i - 1] <> x - 1)")
     last = F.expr("filter(w, (x, i) -> i = size(w) - 1 or w[i + 1] <> x + 1)")
     ranges = marked.select("rid", "start", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("r"))
-    return ranges.select("rid", (F.col("start") + F.col("r.a")).alias("lo"), (F.col("start") + F.col("r.b") + LENGTH).alias("hi"))
+    return ranges.select("rid", (F.col("start") + F.col("r.a")).alias("lo"), (F.col("start") + F.col("r.b") + LENGTH).alias("hi")).union(copies)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept binary)."""
-    spans = removals(docs).groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    spans = stage(removals(docs).groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "removals")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
