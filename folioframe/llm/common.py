@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to shared storage and read it back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
+    free_shuffles(spark)
     path = f"{shared_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # what the write shuffled is garbage now; the context cleaner deletes it as soon as the driver's heap is collected
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     back = spark.read.schema(df.schema).parquet(path)
     back._stage_path = path
     return back
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of a past shuffle once its plan is collected as garbage, which may take long; so collect now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a stage that nothing reads any more."""
     spark, path = df.sparkSession, df._stage_path

@@ -304,7 +304,7 @@ def least_documents(found: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (rid, lo, hi): byte ranges to remove, overlapping ones not yet joined."""
+    """docs(doc_id, text) -> (rid, lo array, hi array): byte ranges to remove, overlapping ones not yet joined."""
     rows = docs.where("doc_id is not null").where(F.octet_length("text") >= LENGTH).select(
         F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64("text").alias("tid"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
@@ -325,12 +325,16 @@ def removals(docs: DataFrame) -> DataFrame:
     first = F.expr("filter(w, (x, i) -> i = 0 or w[i - 1] <> x - 1)")
     last = F.expr("filter(w, (x, i) -> i = size(w) - 1 or w[i + 1] <> x + 1)")
     ranges = marked.select("rid", "start", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("r"))
-    return ranges.select("rid", (F.col("start") + F.col("r.a")).alias("lo"), (F.col("start") + F.col("r.b") + LENGTH).alias("hi")).union(copies)
+    ranges = ranges.select("rid", (F.col("start") + F.col("r.a")).alias("lo"), (F.col("start") + F.col("r.b") + LENGTH).alias("hi")).union(copies)
+    spans = stage(ranges.groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "removals")
+    drop_stage(found)
+    drop_stage(least)
+    return spans
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept binary)."""
-    spans = stage(removals(docs).groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "removals")
+    spans = removals(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
