@@ -35,7 +35,7 @@ from folioframe.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bounds of a task's caches: they are emptied when full, which changes no result.
-WORDS_KEPT, PAIRS_KEPT = 300_000, 1_000_000
+WORDS_KEPT, PAIRS_KEPT = 150_000, 500_000
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NEVER = float("-inf")
 #: Stands for a literal mark of the text while words are cut; not a valid character of one.
