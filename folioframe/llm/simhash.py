@@ -35,6 +35,11 @@ RADIUS = 2
 BANDS = 6
 SEGMENT_BITS = 2
 CELL_PAIRS = 32
+#: For texts linked by similarity: bands of least shingle hashes, and the similarity as a fraction.
+BANDS_OF_MINIMA, ROWS, SIMILAR = 16, 4, (4, 5)
+_RANDOM = np.random.default_rng(42)
+FLIPS = _RANDOM.integers(0, 1 << 64, BANDS_OF_MINIMA * ROWS, np.uint64)
+FACTORS = _RANDOM.integers(0, 1 << 64, BANDS_OF_MINIMA * ROWS, np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(words: list[bytes], k: int, seed: int = 42) -> np.ndarray:
@@ -135,15 +140,87 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, k: int = 3) -> DataFrame:
-    """docs with one row of each near-duplicate group (the least doc_id; of rows that share it, the least text).
+def band_hashes(hashes: np.ndarray) -> list[int]:
+    """One hash for each of BANDS_OF_MINIMA bands of ROWS least values; a text without words has one band of its own."""
+    if len(hashes) == 0:
+        return [0]
+    least = np.full(BANDS_OF_MINIMA * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        mixed = (hashes[at : at + 2048, None] ^ FLIPS) * FACTORS
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(b.tobytes(), i + 1) - (1 << 63) for i, b in enumerate(least.reshape(-1, ROWS))]
 
-    Every row has a key of doc_id and text; rows alike in both are one row.
+
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """docs(node, text) -> (node, fp, bands) by k-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, bands = np.zeros(batch.num_rows, np.uint64), []
+            for i, text in enumerate(batch.column("text")):
+                hashes = shingle_hashes(text_bytes(text.as_py()).translate(LOWER).split(), k)
+                fps[i] = majority(hashes)
+                bands.append(band_hashes(np.unique(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["node", "fp", "bands"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, fp long, bands array<long>")
+
+
+def alike(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs(u, v, x, y) whose texts x and y have k-word shingle sets of Jaccard similarity SIMILAR or more -> (u, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: tuple = (None, None)
+        of = lambda text: np.unique(shingle_hashes(text_bytes(text).translate(LOWER).split(), k))
+        for batch in batches:
+            keep = []
+            for v, x, y in zip(batch.column("v"), batch.column("x"), batch.column("y"), strict=True):
+                if told[0] != v.as_py():
+                    told = (v.as_py(), of(y.as_py()))
+                a, b = of(x.as_py()), told[1]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0])
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def similar_texts(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs(node, text), node naming the text -> (node, root): texts linked by a similarity of 0.8 or more.
+
+    Candidates are fingerprints within RADIUS bits, found as above, and texts with a band of least
+    shingle hashes in common: at a similarity of 0.8 fingerprints lie some ten bits apart, too far
+    for any grid. Members of a bucket are compared with its least member only, so a large group makes
+    no pairs; of two texts at 0.8 all bands differ once in 5,000 times. Every candidate is then verified on
+    the exact shingle sets. Texts without words are alike.
+    """
+    marked = stage(sketches(docs, k), "sketch")
+    banded = marked.select("node", F.explode("bands").alias("band"))
+    least = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("band", "v")
+    by_band = banded.join(least, "band").where("node <> v").select(F.col("node").alias("u"), "v")
+    named = marked.groupBy("fp").agg(F.min("node").alias("v"), F.max("node").alias("w"))
+    by_print = marked.join(named.where("v < w").select("fp", "v"), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
+    links = hamming_edges(marked.select("fp").distinct())
+    ends = lambda e: named.select(F.col("fp").alias(e), F.col("v").alias(f"n{e}"))
+    near = links.join(ends("u"), "u").join(ends("v"), "v").select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))
+    pairs = stage(by_band.union(by_print).union(near).distinct(), "pairs")
+    texts = docs.groupBy("node").agg(F.first("text").alias("text"))
+    first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+    return components(alike(first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v"), k))
+
+
+def representatives(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs with one row of each near-duplicate group (the least doc_id; of rows that share it, the least key).
+
+    Groups are those of ``similar_texts``. Every row has a key of doc_id and text; rows alike in both are one row.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    groups = near_duplicates(docs.select(key.alias("doc_id"), "text"), k)
-    rows = docs.select(key.alias("_key"), F.col("doc_id").alias("_id")).join(groups.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "_key")
-    chosen = rows.groupBy("component_id").agg(F.min_by("_key", F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_key")).select("_key")
+    node, key = F.xxhash64("text"), F.xxhash64("doc_id", "text")
+    roots = similar_texts(docs.select(node.alias("node"), "text"), k)
+    rows = docs.select(key.alias("_key"), F.col("doc_id").alias("_id"), node.alias("node"))
+    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("best")
+    texts = rows.groupBy("node").agg(best)
+    grouped = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    chosen = grouped.select(F.col("best.key").alias("_key"))
     kept = docs.withColumn("_key", key).join(chosen, "_key", "left_semi")
     return kept.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -139,6 +139,36 @@ def test_simhash(docs, none, odd):
     assert simhash.representatives(docs).columns == COLUMNS
 
 
+def test_similar_texts_leave_one_of_a_group(spark, docs):
+    """Against brute force: edits of one base are one group at a Jaccard similarity of 0.8 on five-word shingles."""
+    r, rows = random.Random(9), []
+    for base in range(25):
+        text = [f"w{r.randrange(4000)}" for _ in range(r.randint(60, 400))]
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(base % 4):
+            edited = list(text)
+            for at in r.sample(range(len(text)), r.randint(1, 3 + len(text) // 40)):
+                edited[at] = f"x{r.randrange(9999)}"
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(100 + i, t) for i, t in enumerate((None, "", " ", "one two", "one  two", "one three"))]
+    sets = {i: set(map(int, simhash.shingle_hashes((t or "").encode().split(), 5))) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    kept = {x.doc_id for x in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {find(i) for i in root}
+    assert simhash.representatives(docs).columns == COLUMNS and simhash.representatives(docs.limit(0)).count() == 0
+
+
 def test_dense_cells_keep_every_link(spark):
     """A cell too full to pair up is solved by bridges, with the same components."""
     r = random.Random(5)
