@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from folioframe.llm import decontaminate, hmm, langid, pieces, rules, sharding, simhash, spans, suffixes, toxicity
 from folioframe.llm.graph import components
@@ -82,20 +83,38 @@ def test_em_learns_accuracies():
 
 
 def test_spans(docs, none, odd):
-    first, keep = {}, {}
-    split = re.compile(spans.SENTENCE)
+    first, keep, long_cut = {}, {}, "word " * 30 + "and more of it here again" * 9
     for i, t in enumerate(corpus()):
-        s = split.findall(t or "")
-        key = [re.sub(r"\s+", " ", x).strip().lower() for x in s]
+        s = spans.parts(t or "")
+        assert "".join(s) == (t or "")
+        key = [" ".join(x.lower().split()) for x in s]
         gone = set()
-        for a in range(len(s) - 2):
-            k = tuple(key[a : a + 3])
-            if sum(x.count(" ") + 1 for x in k) >= spans.MIN_WORDS and first.setdefault(k, (i, a)) != (i, a):
-                gone |= {a, a + 1, a + 2}
+        for a in range(len(s)):
+            ends = (b for b in range(a + spans.SPAN, len(s) + 1) if sum(len(x.split()) for x in key[a:b]) >= spans.MIN_WORDS)
+            if (b := next(ends, None)) and first.setdefault(tuple(key[a:b]), (i, a)) != (i, a):
+                gone |= set(range(a, b))
         keep[i] = None if t is None else "".join(x for a, x in enumerate(s) if a not in gone)
+    assert spans.parts("One, two; three: four.\nFive") == ["One, ", "two; ", "three: ", "four.\n", "Five"] and "".join(spans.parts(long_cut)) == long_cut
     out = spans.substring_dedup(docs)
-    assert {r.doc_id: r.text for r in out.collect()} == keep and out.columns[:8] == COLUMNS
-    assert spans.substring_dedup(none).count() == 0 and spans.substring_dedup(odd).count() == 5
+    got = {r.doc_id: r for r in out.collect()}
+    assert {i: r.text for i, r in got.items()} == keep and out.columns[:8] == COLUMNS and keep[3] == keep[4] == ""
+    assert all(r._bytes == len((corpus()[i] or "").encode()) and (r._removed == 0) == (keep[i] == corpus()[i]) for i, r in got.items())
+    assert spans.substring_dedup(none).count() == 0
+    assert sorted(str(r.text) for r in spans.substring_dedup(odd).collect()) == sorted(str(r.text) for r in odd.collect())
+
+
+def test_spans_inside_sentences(spark):
+    """A passage quoted from the middle of a sentence, one without marks, and repeats within rows that share an id."""
+    r = random.Random(9)
+    w = lambda n: " ".join("".join(r.choices("abcdefghijklm", k=r.randint(2, 8))) for _ in range(n))
+    quoted, bare = ", ".join(w(7) for _ in range(12)), w(90)
+    rows = [(1, f"{w(40)} {quoted} {w(30)}."), (2, f"{w(9)} {quoted} {w(50)}"), (3, f"{w(60)} {bare} {w(60)}"), (4, f"{w(70)} {bare} {w(50)}"), (5, w(400)), (6, quoted + ".\n" + quoted + "."), (6, w(80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit("x")).withColumn("_span", F.lit(1))
+    got = spans.substring_dedup(docs).collect()
+    left = {(x.doc_id, x._bytes): len(x.text.encode()) for x in got}
+    size = lambda i: len(rows[i][1].encode())
+    assert left[1, size(0)] == size(0) and left[3, size(2)] == size(2) and left[5, size(4)] == size(4) and left[6, size(6)] == size(6)
+    assert size(1) - left[2, size(1)] > 0.8 * len(quoted) and size(3) - left[4, size(3)] > 0.6 * len(bare) and left[6, size(5)] < 0.2 * size(5)
 
 
 def test_sharding(docs, none, odd):
