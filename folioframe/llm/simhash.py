@@ -204,7 +204,7 @@ def similar_texts(docs: DataFrame, k: int = 5) -> DataFrame:
     ends = lambda e: named.select(F.col("fp").alias(e), F.col("v").alias(f"n{e}"))
     near = links.join(ends("u"), "u").join(ends("v"), "v").select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))
     pairs = stage(by_band.union(by_print).union(near).distinct(), "pairs")
-    # written, so that the joins have shuffles of their own, which adaptive execution can split where one node has many pairs
+    # written, so that only candidates' texts are shuffled; a node with many pairs still makes a large task
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = stage(docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
