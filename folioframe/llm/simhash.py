@@ -37,6 +37,15 @@ SEGMENT_BITS = 2
 CELL_PAIRS = 32
 #: For texts linked by similarity: bands of least shingle hashes, and the similarity as a fraction.
 BANDS_OF_MINIMA, ROWS, SIMILAR = 16, 4, (4, 5)
+#: Rounds of one pivot a bucket before all pairs that are not connected, and the members of a bucket dealt as one slice.
+PIVOT_ROUNDS, SLICE = 2, 256
+#: A similarity of 4/5 needs a symmetric difference of at most 1/9 of both sizes; every slot that only one
+#: of two sets fills holds a member of that difference, so no pair at 4/5 is ruled out.
+SLOTS = 256
+_SHAPES_ALLOW = (
+    f"({' + '.join(f'bit_count(shape.b{i} ^ other.b{i})' for i in range(SLOTS // 64))}) * {SIMILAR[1] + SIMILAR[0]} <= (shape.n + other.n) * {SIMILAR[1] - SIMILAR[0]}"
+    f" and least(shape.n, other.n) * {SIMILAR[1]} >= greatest(shape.n, other.n) * {SIMILAR[0]}"
+)
 _RANDOM = np.random.default_rng(42)
 FLIPS = _RANDOM.integers(0, 1 << 64, BANDS_OF_MINIMA * ROWS, np.uint64)
 FACTORS = _RANDOM.integers(0, 1 << 64, BANDS_OF_MINIMA * ROWS, np.uint64) | np.uint64(1)
@@ -152,18 +161,24 @@ def band_hashes(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """docs(node, text) -> (node, fp, bands) by k-word shingles."""
+    """docs(node, text) -> (node, fp, bands, shape: count of distinct shingles and the slots they fill) by k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, bands = np.zeros(batch.num_rows, np.uint64), []
+            fps, bands, sizes, slots = np.zeros(batch.num_rows, np.uint64), [], [], np.zeros((batch.num_rows, SLOTS), bool)
             for i, text in enumerate(batch.column("text")):
                 hashes = shingle_hashes(text_bytes(text.as_py()).translate(LOWER).split(), k)
                 fps[i] = majority(hashes)
-                bands.append(band_hashes(np.unique(hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["node", "fp", "bands"])
+                once = np.unique(hashes)
+                bands.append(band_hashes(once))
+                sizes.append(len(once))
+                slots[i, once % SLOTS] = True
+            words = np.packbits(slots, axis=1, bitorder="little").view("<i8")
+            shape = pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), *(pa.array(w.copy()) for w in words.T)], ["n", *(f"b{w}" for w in range(words.shape[1]))])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), shape], ["node", "fp", "bands", "shape"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, fp long, bands array<long>")
+    slots_of = ", ".join(f"b{w}: long" for w in range(SLOTS // 64))
+    return docs.select("node", "text").mapInArrow(run, f"node long, fp long, bands array<long>, shape struct<n: long, {slots_of}>")
 
 
 def alike(pairs: DataFrame, k: int) -> DataFrame:
@@ -185,30 +200,79 @@ def alike(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def candidate_buckets(marked: DataFrame) -> DataFrame:
+    """marked(node, fp, bands, shape) -> (band, node, shape) such that candidates are the pairs that share a band.
+
+    Bands are those of least shingle hashes, a fingerprint, and, for fingerprints with another within RADIUS
+    bits, every value within 1 bit of it: two fingerprints are within 2 bits if and only if they share such a value.
+    """
+    by_minima = marked.select(F.explode("bands").alias("band"), "node", "shape")
+    by_print = marked.select(F.xxhash64(F.lit("fp"), "fp").alias("band"), "node", "shape")
+    links = hamming_edges(marked.select("fp").distinct())
+    near = marked.join(links.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi")
+    flips = [m - (1 << 64) if m >> 63 else m for m in (1 << i for i in range(64))]
+    values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(m)) for m in flips])
+    by_bridge = near.select(F.explode(values).alias("value"), "node", "shape").select(F.xxhash64(F.lit("bridge"), "value").alias("band"), "node", "shape")
+    every = by_minima.union(by_print).union(by_bridge)
+    shared = every.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    return stage(every.join(shared, "band"), "buckets")
+
+
+def pairs_with_pivots(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """left(band, node, shape, degree, root) -> pairs (u, v) of every member with its bucket's pivot, and (band, pivot)."""
+    first = F.min(F.struct((-F.col("degree")).alias("less"), "node", "shape", "root")).alias("first")
+    pivots = left.groupBy("band").agg(first).select("band", F.col("first.node").alias("pivot"), F.col("first.shape").alias("other"), F.col("first.root").alias("r"))
+    pairs = left.join(pivots, "band").where("node <> pivot and root <> r").where(_SHAPES_ALLOW)
+    return pairs.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), pivots.select("band", F.col("pivot").alias("node"))
+
+
+def pairs_of_all(left: DataFrame) -> DataFrame:
+    """left(band, node, shape, root) -> every pair (u, v) that shares a bucket and is not connected yet; large buckets are salted."""
+    slices = left.groupBy("band").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    sliced = left.join(slices, "band")
+    one = sliced.select("band", "node", "shape", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int").alias("slice"))
+    other = sliced.select("band", F.col("node").alias("v"), F.col("shape").alias("other"), F.col("root").alias("r"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    pairs = one.join(other, ["band", "slice"]).where("node > v and root <> r").where(_SHAPES_ALLOW)
+    return pairs.select(F.col("node").alias("u"), "v").distinct()
+
+
 def similar_texts(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs(node, text), node naming the text -> (node, root): texts linked by a similarity of 0.8 or more.
 
-    Candidates are fingerprints within RADIUS bits, found as above, and texts with a band of least
-    shingle hashes in common: at a similarity of 0.8 fingerprints lie some ten bits apart, too far
-    for any grid. Members of a bucket are compared with its least member only, so a large group makes
-    no pairs; of two texts at 0.8 all bands differ once in 5,000 times. Every candidate is then verified on
-    the exact shingle sets. Texts without words are alike.
+    Candidates are fingerprints within RADIUS bits and texts with a band of least shingle hashes in
+    common: at a similarity of 0.8 fingerprints lie some ten bits apart, too far for any grid; of two
+    texts at 0.8 all bands differ once in 5,000 times. Every candidate pair is verified on the exact
+    shingle sets unless verified links connect it already or the shapes of their sets rule 0.8 out, so the
+    components are those of all candidate pairs at 0.8. Texts without words are alike.
+
+    To connect a large group in few pairs, each bucket's members are first tested against one pivot,
+    the member that meets most others over all its buckets. Only pivots leave their bucket: a member
+    linked to one may still be the only link of others. Pairs that are not connected after
+    PIVOT_ROUNDS are all tested.
     """
-    marked = stage(sketches(docs, k), "sketch")
-    banded = marked.select("node", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("band", "v")
-    by_band = banded.join(least, "band").where("node <> v").select(F.col("node").alias("u"), "v")
-    named = marked.groupBy("fp").agg(F.min("node").alias("v"), F.max("node").alias("w"))
-    by_print = marked.join(named.where("v < w").select("fp", "v"), "fp").where("node <> v").select(F.col("node").alias("u"), "v")
-    links = hamming_edges(marked.select("fp").distinct())
-    ends = lambda e: named.select(F.col("fp").alias(e), F.col("v").alias(f"n{e}"))
-    near = links.join(ends("u"), "u").join(ends("v"), "v").select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))
-    pairs = stage(by_band.union(by_print).union(near).distinct(), "pairs")
+    marked = stage(sketches(docs, k).dropDuplicates(["node"]), "sketch")
+    met = candidate_buckets(marked)
+    degrees = met.groupBy("node").agg(F.sum("members").alias("degree"))
+    left = met.join(degrees, "node").select("band", "node", "shape", "degree", F.col("node").alias("root"))
     # written, so that only candidates' texts are shuffled; a node with many pairs still makes a large task
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = stage(docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
-    return components(alike(first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v"), k))
+    texts = stage(docs.join(degrees, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        first = stage(pairs, "pairs").join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+        return stage(alike(first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v"), k), "alike")
+
+    links = None
+    for _ in range(PIVOT_ROUNDS):
+        left = stage(left, "left")
+        pairs, pivots = pairs_with_pivots(left)
+        found = verified(pairs)
+        links = found if links is None else links.union(found)
+        roots = stage(components(links), "roots").withColumnRenamed("root", "now")
+        rest = left.join(pivots, ["band", "node"], "left_anti").join(roots, "node", "left")
+        rest = rest.select("band", "node", "shape", "degree", F.coalesce("now", "node").alias("root"))
+        apart = rest.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
+        left = rest.join(apart, "band", "left_semi")
+    return components(links.union(verified(pairs_of_all(stage(left, "left")))))
 
 
 def representatives(docs: DataFrame, k: int = 5) -> DataFrame:

@@ -188,6 +188,28 @@ def test_similar_texts_leave_one_of_a_group(spark, docs):
     assert simhash.representatives(docs).columns == COLUMNS and simhash.representatives(docs.limit(0)).count() == 0
 
 
+def test_similar_texts_link_through_any_member(spark):
+    """A template whose 1,000 edits are strangers to each other, and a chain of edits, are one group each."""
+    r = random.Random(11)
+
+    def edit(text):
+        new = list(text)
+        for at in range(r.randrange(5, 45), 200, 50):
+            new[at] = f"x{r.randrange(10**9)}"
+        return new
+
+    template, chain = ([f"w{r.randrange(10**6)}" for _ in range(200)] for _ in range(2))
+    texts = [template, *(edit(template) for _ in range(1000)), chain]
+    for _ in range(40):
+        texts.append(edit(texts[-1]))
+    sets = [set(zip(t, t[1:], t[2:], t[3:], t[4:], strict=False)) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(0, i) >= 0.8 for i in range(1, 1001)) and all(like(i, i + 1) >= 0.8 for i in range(1001, 1041))
+    assert sum(like(i, i + 1) < 0.8 for i in range(1, 1000)) > 800
+    kept = simhash.representatives(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == [0, 1001]
+
+
 def test_dense_cells_keep_every_link(spark):
     """A cell too full to pair up is solved by bridges, with the same components."""
     r = random.Random(5)
