@@ -145,6 +145,13 @@ def win_occurrence(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").withColumn("occurrence", F.row_number().over(w).cast("long")).where("occurrence <= 2").select("l_orderkey", "l_linenumber", "occurrence")
 
 
+@query("""select l_orderkey, l_linenumber, row_number() over (partition by l_returnflag, l_suppkey order by l_orderkey, l_linenumber, l_partkey) as occurrence from lineitem""")
+def win_occurrence_all(spark, sf_dir):
+    """The ordinal of every match."""
+    w = W.partitionBy("l_returnflag", "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("occurrence"))
+
+
 @query("""with r as (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) as k from part)
  select p_partkey, case when k = 1 then p_brand else p_brand || '_' || k end as unique_key from r""")
 def win_key_uniquify(spark, sf_dir):

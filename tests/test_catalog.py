@@ -28,3 +28,9 @@ def test_query(spark, name):
     ours = sorted(plain([r[c] for c in order]) for r in df.collect())
     theirs = sorted(plain([r[columns.index(c)] for c in order]) for r in got.fetchall())
     assert ours == theirs
+
+
+def test_every_occurrence(spark, tmp_path):
+    spark.createDataFrame([(k, 1, 7, 5, "N") for k in range(5)], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalog.QUERIES["win_occurrence_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.l_orderkey, r.occurrence) for r in rows) == [(k, k + 1) for k in range(5)]
