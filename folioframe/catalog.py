@@ -91,6 +91,12 @@ def sca_truncate_bytes(spark, sf_dir):
     return d.select("doc_id", T.truncate_bytes(F.col("text"), 120).alias("preview"))
 
 
+@query()
+def sca_truncate_bytes_all(spark, sf_dir):
+    """Every document, cut characters included; SQL has no counterpart for those."""
+    return t(spark, sf_dir, "documents").select("doc_id", T.truncate_bytes(F.col("text"), 120).alias("preview"))
+
+
 @query("select doc_id, length(text) as code_points, strlen(text) as bytes, len(string_split(text, chr(10))) as line_count, sha256(text) as digest from documents")
 def agg_text_stats(spark, sf_dir):
     c = F.col("text")

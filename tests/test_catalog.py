@@ -34,3 +34,12 @@ def test_every_occurrence(spark, tmp_path):
     spark.createDataFrame([(k, 1, 7, 5, "N") for k in range(5)], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     rows = catalog.QUERIES["win_occurrence_all"](spark, str(tmp_path)).collect()
     assert sorted((r.l_orderkey, r.occurrence) for r in rows) == [(k, k + 1) for k in range(5)]
+
+
+def test_truncation_of_every_text(spark, tmp_path):
+    """A character of two, three or four bytes cut at any of its bytes, in any language."""
+    texts = ["a" * n + c * 40 for c in ("é", "한", "\U0001f600") for n in range(115, 121)] + ["short é", "", None, "x" * 120, "é" * 60, " " * 121]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.preview for r in catalog.QUERIES["sca_truncate_bytes_all"](spark, str(tmp_path)).collect()}
+    cut = lambda x: x if x is None or len(x.encode()) <= 120 else x.encode()[:120].decode("utf-8", "replace").strip() + "..."
+    assert got == {i: cut(x) for i, x in enumerate(texts)}
