@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ PLAIN = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 
-DEFAULT_SHARED = "/tmp/checkpoints"
+_LOCAL: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -28,9 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or DEFAULT_SHARED).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _LOCAL[0] if _LOCAL else _LOCAL.append(tempfile.mkdtemp(prefix="shared-")) or _LOCAL[0]
+    return found.rstrip("/")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
