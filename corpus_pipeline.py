@@ -24,8 +24,7 @@ SHINGLE = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), toxicity.SAMPLE_PER_CLASS))
-    return toxicity.score(docs, model).where("_score < 0.5").drop("_score")
+    return toxicity.ordinary(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
