@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import LOWER, stage, table, text_bytes
+from folioframe.llm.common import LOWER, drop_stage, stage, table, text_bytes
 from folioframe.llm.graph import components
 
 RADIUS = 2
@@ -41,7 +41,7 @@ BANDS_OF_MINIMA, ROWS, SIMILAR = 16, 4, (4, 5)
 PIVOT_ROUNDS, SLICE = 2, 256
 #: A similarity of 4/5 needs a symmetric difference of at most 1/9 of both sizes; every slot that only one
 #: of two sets fills holds a member of that difference, so no pair at 4/5 is ruled out.
-SLOTS = 256
+SLOTS = 1024
 _SHAPES_ALLOW = (
     f"({' + '.join(f'bit_count(shape.b{i} ^ other.b{i})' for i in range(SLOTS // 64))}) * {SIMILAR[1] + SIMILAR[0]} <= (shape.n + other.n) * {SIMILAR[1] - SIMILAR[0]}"
     f" and least(shape.n, other.n) * {SIMILAR[1]} >= greatest(shape.n, other.n) * {SIMILAR[0]}"
@@ -95,7 +95,10 @@ def _popcount_vector(fp):
 
 
 def hamming_edges(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints ``fps(fp)`` -> edges (u, v) whose components are those of all pairs within RADIUS."""
+    """Distinct fingerprints ``fps(fp)`` -> edges (u, v) whose components are those of all pairs within RADIUS.
+
+    The edges read a stage; ``drop_stage`` of them deletes it once they have been used.
+    """
     per_band = -(-64 // BANDS // SEGMENT_BITS) * SEGMENT_BITS  # whole segments in each band
     masks = [sum(1 << b for b in range(i * per_band, min(64, (i + 1) * per_band))) for i in range(BANDS)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -133,14 +136,18 @@ def hamming_edges(fps: DataFrame) -> DataFrame:
     )
     least = bridges.groupBy("bridge").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
     star = bridges.join(least, "bridge").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-    return close.union(star)
+    edges = close.union(star)
+    edges._stage_path = met._stage_path
+    return edges
 
 
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """docs -> (doc_id, fp, component_id): component_id is the least doc_id reachable over links of RADIUS bits."""
     marked = stage(fingerprints(docs, k), "fp")
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(hamming_edges(marked.select("fp").distinct()))
+    edges = hamming_edges(marked.select("fp").distinct())
+    roots = components(edges)
+    drop_stage(edges)
     grouped = first.join(roots, first.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -161,7 +168,7 @@ def band_hashes(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """docs(node, text) -> (node, fp, bands, shape: count of distinct shingles and the slots they fill) by k-word shingles."""
+    """docs(node, row, text) -> the same without text, and (fp, bands, shape: count of distinct shingles and the slots they fill) by k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,10 +182,10 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 slots[i, once % SLOTS] = True
             words = np.packbits(slots, axis=1, bitorder="little").view("<i8")
             shape = pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), *(pa.array(w.copy()) for w in words.T)], ["n", *(f"b{w}" for w in range(words.shape[1]))])
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), shape], ["node", "fp", "bands", "shape"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("row"), pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), shape], ["node", "row", "fp", "bands", "shape"])
 
     slots_of = ", ".join(f"b{w}: long" for w in range(SLOTS // 64))
-    return docs.select("node", "text").mapInArrow(run, f"node long, fp long, bands array<long>, shape struct<n: long, {slots_of}>")
+    return docs.select("node", "row", "text").mapInArrow(run, f"node long, row long, fp long, bands array<long>, shape struct<n: long, {slots_of}>")
 
 
 def alike(pairs: DataFrame, k: int) -> DataFrame:
@@ -201,21 +208,23 @@ def alike(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def candidate_buckets(marked: DataFrame) -> DataFrame:
-    """marked(node, fp, bands, shape) -> (band, node, shape) such that candidates are the pairs that share a band.
+    """marked(node, fp, bands) -> (band, node, members) such that candidates are the pairs that share a band.
 
     Bands are those of least shingle hashes, a fingerprint, and, for fingerprints with another within RADIUS
     bits, every value within 1 bit of it: two fingerprints are within 2 bits if and only if they share such a value.
     """
-    by_minima = marked.select(F.explode("bands").alias("band"), "node", "shape")
-    by_print = marked.select(F.xxhash64(F.lit("fp"), "fp").alias("band"), "node", "shape")
+    by_minima = marked.select(F.explode("bands").alias("band"), "node")
+    by_print = marked.select(F.xxhash64(F.lit("fp"), "fp").alias("band"), "node")
     links = hamming_edges(marked.select("fp").distinct())
     near = marked.join(links.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi")
     flips = [m - (1 << 64) if m >> 63 else m for m in (1 << i for i in range(64))]
     values = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(m)) for m in flips])
-    by_bridge = near.select(F.explode(values).alias("value"), "node", "shape").select(F.xxhash64(F.lit("bridge"), "value").alias("band"), "node", "shape")
+    by_bridge = near.select(F.explode(values).alias("value"), "node").select(F.xxhash64(F.lit("bridge"), "value").alias("band"), "node")
     every = by_minima.union(by_print).union(by_bridge)
     shared = every.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    return stage(every.join(shared, "band"), "buckets")
+    met = stage(every.join(shared, "band"), "buckets")
+    drop_stage(links)
+    return met
 
 
 def pairs_with_pivots(left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -237,7 +246,7 @@ def pairs_of_all(left: DataFrame) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs(node, text), node naming the text -> (node, root): texts linked by a similarity of 0.8 or more.
+    """docs(node, row, text), node naming the text and row the row -> (node, root): texts linked by a similarity of 0.8 or more.
 
     Candidates are fingerprints within RADIUS bits and texts with a band of least shingle hashes in
     common: at a similarity of 0.8 fingerprints lie some ten bits apart, too far for any grid; of two
@@ -250,45 +259,60 @@ def similar_texts(docs: DataFrame, k: int = 5) -> DataFrame:
     linked to one may still be the only link of others. Pairs that are not connected after
     PIVOT_ROUNDS are all tested.
     """
-    marked = stage(sketches(docs, k).dropDuplicates(["node"]), "sketch")
-    met = candidate_buckets(marked)
+    # of copies the least row stands for the text; copies meet before they are shuffled
+    sketched = stage(sketches(docs, k).groupBy("node").agg(F.min("row").alias("row"), *[F.any_value(c).alias(c) for c in ("fp", "bands", "shape")]), "sketch")
+    met = candidate_buckets(sketched.select("node", "fp", "bands"))
     degrees = met.groupBy("node").agg(F.sum("members").alias("degree"))
-    left = met.join(degrees, "node").select("band", "node", "shape", "degree", F.col("node").alias("root"))
-    # written, so that only candidates' texts are shuffled; a node with many pairs still makes a large task
-    texts = stage(docs.join(degrees, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    nodes = stage(sketched.select("node", "row", "shape").join(degrees, "node"), "nodes")
+    left = met.join(nodes.drop("row"), "node").select("band", "node", "shape", "degree", F.col("node").alias("root"))
+    # written, so that only candidates' texts are shuffled, one row a text
+    wanted = docs.join(nodes.select("node", "row"), ["node", "row"], "left_semi").select("node", "text")
+    texts = stage(wanted.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    made = [sketched, met, nodes, texts]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        first = stage(pairs, "pairs").join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
-        return stage(alike(first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v"), k), "alike")
+        pairs = stage(pairs, "pairs")
+        first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+        found = stage(alike(first.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v"), k), "alike")
+        drop_stage(pairs)
+        made.append(found)
+        return found
 
     links = None
     for _ in range(PIVOT_ROUNDS):
         left = stage(left, "left")
+        made.append(left)
         pairs, pivots = pairs_with_pivots(left)
         found = verified(pairs)
         links = found if links is None else links.union(found)
-        roots = stage(components(links), "roots").withColumnRenamed("root", "now")
-        rest = left.join(pivots, ["band", "node"], "left_anti").join(roots, "node", "left")
+        roots = stage(components(links), "roots")
+        made.append(roots)
+        rest = left.join(pivots, ["band", "node"], "left_anti").join(roots.withColumnRenamed("root", "now"), "node", "left")
         rest = rest.select("band", "node", "shape", "degree", F.coalesce("now", "node").alias("root"))
         apart = rest.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
         left = rest.join(apart, "band", "left_semi")
-    return components(links.union(verified(pairs_of_all(stage(left, "left")))))
+    left = stage(left, "left")
+    made.append(left)
+    out = stage(components(links.union(verified(pairs_of_all(left)))), "roots")
+    for df in made:
+        drop_stage(df)
+    return out
 
 
 def representatives(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs with one row of each near-duplicate group (the least doc_id; of rows that share it, the least key).
 
-    Groups are those of ``similar_texts``. Every row has a key of doc_id and text; rows alike in both are one row.
+    Groups are those of ``similar_texts``. Every row has a key of doc_id and text; rows alike in both are
+    one row. Other columns pass through, whatever their names. Texts of equal 64-bit hashes count as equal.
     """
-    node, key = F.xxhash64("text"), F.xxhash64("doc_id", "text")
-    roots = similar_texts(docs.select(node.alias("node"), "text"), k)
-    rows = docs.select(key.alias("_key"), F.col("doc_id").alias("_id"), node.alias("node"))
-    best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("best")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("node"), F.xxhash64("doc_id", "text").alias("row"))
+    roots = similar_texts(rows.select("node", "row", F.col("doc.text").alias("text")), k)
+    doc_id = F.col("doc.doc_id")
+    best = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("row").alias("key"))).alias("best")
     texts = rows.groupBy("node").agg(best)
     grouped = texts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    chosen = grouped.select(F.col("best.key").alias("_key"))
-    kept = docs.withColumn("_key", key).join(chosen, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows.join(grouped.select(F.col("best.key").alias("row")), "row", "left_semi")
+    return kept.dropDuplicates(["row"]).select("doc.*")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
