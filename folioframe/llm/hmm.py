@@ -1,12 +1,19 @@
 """Op 6. A hidden Markov language model.
 
-The alphabet is the VOCABULARY most frequent tokens and a few classes of all other words (by length
-and final punctuation). Baum-Welch counts are gathered from every training document in parallel and
-summed across partitions; they start from a model fitted to START documents on the driver. The
-scaled forward recursion then gives the exact log10 probability of a whole text's symbols. A rare
-word's own probability given its class, (c + 1) / (N_class + V_class + 1), does not depend on the
-state, so it is a sum beside the recursion and comes from a join with the corpus counts: nothing
-that grows with the vocabulary is broadcast.
+Every token of the training corpus has emission probabilities of its own in each state. Those of the
+VOCABULARY most frequent are held by every task; all others stay in a table, one row a token, that is
+joined to the documents in each pass and replaced by the pass's expected counts: it grows with the
+corpus and is never broadcast or collected. A token of the table emits as its class (CLASSES, by
+length and final punctuation) does, times its share of the class in that state,
+(expected count + OWN * (c + 1) / (N_class + V_class + 1)) / (class's expected count + OWN), which
+leaves unseen tokens a share, too.
+
+Baum-Welch counts of whole texts are gathered from every training document in PASSES passes and
+summed across partitions. Long texts are cut into segments so that many advance side by side, and the
+segments' transfer matrices carry the forward and the backward state over the cuts: results are those
+of the whole sequence. The passes start from a model fitted on the driver to START documents, drawn
+by hash of doc_id and text. The scaled forward recursion then gives the exact log10 probability of
+every whole text.
 
 Null and empty texts are one end token; repeated rows are scored each and teach each; null doc_ids
 teach as the empty id; with no training document all counts are 0, base and score are those of
@@ -24,17 +31,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import LOWER, crc_mod, stage, table, text_bytes
+from folioframe.llm.common import LOWER, crc_mod, drop_stage, stage, table, text_bytes
 
 STATES = 8
 VOCABULARY = 50_000
 CLASSES = 12
+#: What a token's corpus count weighs beside its expected counts in a state.
+OWN = 2.0
 START, START_STEPS, START_TOKENS = 600, 12, 400_000
 PASSES = 2
-SEGMENT = 128
-#: The end of a text, which no word can be.
+#: Symbols that one segment holds, segments that advance together, and symbols that are held at a time.
+SEGMENT, TOGETHER, HELD = 128, 512, 250_000
+#: The end of a text, which no word can be, and its symbol.
 END = b" "
 STOPS = b".,!?;:"
+_K = [f"k{k}" for k in range(STATES)]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -64,16 +75,20 @@ def token_counts(training: DataFrame) -> DataFrame:
 
 
 class Model:
-    """start (K), move (K, K) and emit (K by symbol), rows summing to 1; symbols: vocabulary, then classes."""
+    """start (K), move (K, K) and emit (symbols, K), columns summing to 1; symbols: the end, frequent tokens, then classes."""
 
-    def __init__(self, symbols: int, frequency: np.ndarray, seed: int = 6):
+    def __init__(self, frequency: np.ndarray, seed: int = 6):
         rng = np.random.default_rng(seed)
         p = (frequency + 0.1) / (frequency + 0.1).sum()
         self.start = np.full(STATES, 1 / STATES)
         self.move = rng.dirichlet(np.full(STATES, 5.0), STATES)
-        self.emit = p[:, None] * rng.uniform(0.5, 1.5, (symbols, STATES))
+        self.emit = p[:, None] * rng.uniform(0.5, 1.5, (len(p), STATES))
         self.emit /= self.emit.sum(axis=0)
         self.base = p[:, None]
+        self.seen = np.zeros((CLASSES, STATES))  # expected counts of the classes' tokens that the table holds
+
+    def none(self) -> np.ndarray:
+        return np.zeros((len(self.base) + STATES + 1, STATES))
 
     def update(self, counts: np.ndarray) -> None:
         """counts: (symbols + STATES + 1, STATES): emissions, then moves by row, then starts.
@@ -87,79 +102,121 @@ class Model:
         start = counts[-1] + 0.1
         self.start = start / start.sum()
 
-    def settled(self) -> np.ndarray:
-        """The chain's stationary distribution: where a segment that is not a text's first begins."""
-        p = np.full(STATES, 1 / STATES)
-        for _ in range(200):
-            p = p @ self.move
-        return p / p.sum()
-
-    def expected(self, texts: list[np.ndarray], into: np.ndarray) -> float:
-        """Add the Baum-Welch counts of the texts' symbols to into; returns their log likelihood.
-
-        Texts are cut into segments of SEGMENT symbols, so that many advance side by side.
-        """
-        pieces, first = [], []
-        for t in texts:
-            for at in range(0, len(t), SEGMENT):
-                pieces.append(t[at : at + SEGMENT])
-                first.append(at == 0)
-        total, rest = 0.0, self.settled()
-        order = np.argsort([-len(p) for p in pieces], kind="stable")
-        for lo in range(0, len(order), 512):
-            group = [pieces[i] for i in order[lo : lo + 512]]
-            begin = np.array([first[i] for i in order[lo : lo + 512]])
-            size, n = len(group[0]), len(group)
-            ids = np.full((size, n), -1, np.int64)
-            for j, p in enumerate(group):
-                ids[: len(p), j] = p
-            there = ids >= 0
-            e = np.ones((size, n, STATES))
-            e[there] = self.emit[ids[there]]
-            alpha, scale = np.empty_like(e), np.empty((size, n, 1))
-            a = np.where(begin[:, None], self.start, rest) * e[0]
+    def expected(self, sizes: np.ndarray, e: np.ndarray, ids: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Add the Baum-Welch counts of texts laid end to end to into; returns each symbol's state probabilities."""
+        cut = Segments(self, sizes, e)
+        begin, finish = cut.carried()
+        out, moves = np.empty_like(e), np.zeros((STATES, STATES))
+        for group in cut.groups():
+            place, live = cut.laid(group)
+            first, n, size = cut.first[group], len(group), len(live)
+            ge = e[np.minimum(place, len(e) - 1)]
+            alpha, scale = np.empty_like(ge), np.empty((size, n, 1))
+            a = np.where(first[:, None], self.start, begin[group] @ self.move) * ge[0]
             for t in range(size):
                 if t:
-                    a = (a @ self.move) * e[t]
-                scale[t] = a.sum(axis=1, keepdims=True)
-                a = a / scale[t]
-                alpha[t] = a
-            total += float(np.log(scale)[there].sum())
-            beta, moves = np.ones((n, STATES)), np.zeros((STATES, STATES))
-            for t in range(size - 1, 0, -1):
-                gamma = alpha[t] * beta
-                back = e[t] * beta / scale[t]
-                moves += alpha[t - 1].T @ (back * there[t][:, None])
-                beta = back @ self.move.T
-                alpha[t] = gamma
-            alpha[0] *= beta
-            flat, gamma = ids[there], alpha[there]
-            for k in range(STATES):
-                into[: -STATES - 1, k] += np.bincount(flat, weights=gamma[:, k], minlength=len(into) - STATES - 1)
-            into[-STATES - 1 : -1] += moves * self.move
-            into[-1] += alpha[0][begin].sum(axis=0)
-        return total
-
-    def log10(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Exact log10 probability of each text's symbols by the scaled forward recursion."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        out = np.zeros(len(texts))
-        sizes = np.array([len(texts[i]) for i in order])
-        ids = np.concatenate([texts[i] for i in order]) if order else np.empty(0, np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if order else np.empty(0, np.int64)
-        live, a, t = len(order), None, 0
-        while live:
-            e = self.emit[ids[starts[:live] + t]]
-            a = (self.start if a is None else a[:live] @ self.move) * e
-            s = a.sum(axis=1)
-            out[:live] += np.log10(s)
-            a /= s[:, None]
-            t += 1
-            while live and sizes[live - 1] <= t:
-                live -= 1
-        back = np.empty(len(texts))
-        back[order] = out
-        return back
+                    a = (a[: live[t]] @ self.move) * ge[t, : live[t]]
+                scale[t, : live[t]] = s = a.sum(axis=1, keepdims=True)
+                a = a / s
+                alpha[t, : live[t]] = a
+            beta, known = np.empty((n, STATES)), 0
+            for t in range(size - 1, -1, -1):
+                now = live[t]
+                if now > known:
+                    last = finish[group[known:now]]
+                    beta[known:now] = last / (alpha[t, known:now] * last).sum(axis=1, keepdims=True)
+                    known = now
+                back = ge[t, :now] * beta[:now] / scale[t, :now]
+                out[place[t, :now]] = alpha[t, :now] * beta[:now]
+                before = alpha[t - 1, :now] if t else np.where(first[:, None], 0, begin[group])
+                moves += before.T @ back
+                beta[:now] = back @ self.move.T
+        for k in range(STATES):
+            into[: -STATES - 1, k] += np.bincount(ids, weights=out[:, k], minlength=len(into) - STATES - 1)
+        into[-STATES - 1 : -1] += moves * self.move
+        into[-1] += out[np.cumsum(sizes) - sizes].sum(axis=0)
+        return out
+
+    def log10(self, sizes: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Exact log10 probability of each of the texts laid end to end, by the scaled forward recursion."""
+        cut = Segments(self, sizes, e)
+        cut.carried(backward=False)
+        return cut.logs / np.log(10)
+
+
+class Segments:
+    """Texts laid end to end, cut into segments, and what passes over the cuts."""
+
+    def __init__(self, model: Model, sizes: np.ndarray, e: np.ndarray):
+        self.model, self.e = model, e
+        starts, parts = np.cumsum(sizes) - sizes, -(-sizes // SEGMENT)
+        self.text = np.repeat(np.arange(len(sizes)), parts)
+        nth = np.arange(len(self.text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.first = nth == 0
+        self.lo = starts[self.text] + nth * SEGMENT
+        self.size = np.minimum(SEGMENT, sizes[self.text] - nth * SEGMENT)
+        self.logs = np.zeros(len(sizes))
+
+    def groups(self, of: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """Segments of about the same size, longest first."""
+        some = np.arange(len(self.text)) if of is None else of
+        order = some[np.argsort(-self.size[some], kind="stable")]
+        for at in range(0, len(order), TOGETHER):
+            yield order[at : at + TOGETHER]
+
+    def laid(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(step, segment) -> place in the texts, and how many segments each step has."""
+        steps = np.arange(self.size[group[0]])
+        return self.lo[group] + steps[:, None], (self.size[group] > steps[:, None]).sum(axis=1)
+
+    def transfer(self, group: np.ndarray, rows: np.ndarray, moved: bool) -> tuple[np.ndarray, np.ndarray]:
+        """rows (segment, row, state) carried through their segments, and the logarithms taken out of them."""
+        place, live = self.laid(group)
+        logs = np.zeros(len(group))
+        for t, now in enumerate(live.tolist()):
+            x = rows[:now]
+            if t or moved:
+                x = (x.reshape(-1, STATES) @ self.model.move).reshape(x.shape)
+            x = x * self.e[place[t, :now], None, :]
+            if t % 8 == 7 or t + 1 == len(live) or live[t + 1] < now:
+                s = x.max(axis=(1, 2))
+                logs[:now] += np.log(s)
+                x /= s[:, None, None]
+            rows[:now] = x
+        return rows, logs
+
+    def carried(self, backward: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The forward state before each segment (any for first ones), and the backward state after it."""
+        n = len(self.text)
+        begin, finish = np.full((n, STATES), 1 / STATES), np.ones((n, STATES))
+        alone = np.bincount(self.text, minlength=len(self.logs))[self.text] == 1
+        firsts = np.flatnonzero(self.first & ~alone if backward else self.first)
+        end, end_logs = np.empty((n, STATES)), np.zeros(n)
+        for group in self.groups(firsts):
+            rows, logs = self.transfer(group, np.tile(self.model.start, (len(group), 1, 1)), False)
+            end[group], end_logs[group] = rows[:, 0], logs
+        later = np.flatnonzero(~self.first)
+        through, logs_of, at = np.empty((len(later), STATES, STATES)), np.zeros(len(later)), np.full(n, -1)
+        at[later] = np.arange(len(later))
+        for group in self.groups(later):
+            rows, logs = self.transfer(group, np.tile(np.eye(STATES), (len(group), 1, 1)), True)
+            through[at[group]], logs_of[at[group]] = rows, logs
+        a = None
+        for i in range(n):
+            if self.first[i]:
+                if backward and alone[i]:
+                    continue
+                a, log = end[i], end_logs[i]
+            else:
+                begin[i] = a
+                a, log = a @ through[at[i]], logs_of[at[i]]
+            s = a.sum()
+            a = a / s
+            self.logs[self.text[i]] += np.log(s) + log
+        for i in later[::-1] if backward else ():
+            b = through[at[i]] @ finish[i]
+            finish[i - 1] = b / b.sum()
+        return begin, finish
 
 
 def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -168,7 +225,7 @@ def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, size = shared.value.get, len(shared.value)
-        end = get(END, size)
+        end = shared.value[END]
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
@@ -189,30 +246,82 @@ def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, rare array<long>")
 
 
-def symbols(batch: pa.RecordBatch) -> list[np.ndarray]:
-    column = batch.column("ids")
-    flat, at = column.flatten().to_numpy(), column.offsets.to_numpy()
-    return [flat[a - at[0] : b - at[0]] for a, b in zip(at[:-1], at[1:], strict=True)]
+def with_counts(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """rows with ``found``: (place in rare, c, expected counts) of each of its words that the table holds."""
+    wanted = rows.select("row", F.posexplode("rare").alias("at", "h"))
+    found = wanted.join(rare, "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", *_K)).alias("found"))
+    return rows.join(found, "row", "left")
+
+
+def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about HELD symbols together."""
+    ends = batch.column("ids").offsets.to_numpy()
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + HELD, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
-def baum_welch(rows: DataFrame, model: Model, size: int) -> np.ndarray:
-    """The expected counts of all rows, summed across partitions: one row a symbol, whatever the corpus."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The items of all lists, and how many each has (null: none)."""
+    return column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def emissions(batch: pa.RecordBatch, model: Model, known: int, share: np.ndarray) -> tuple:
+    """(sizes, e, ids, places of rare words, their corpus counts) of the texts of a batch; share: N + V + 1 of each class."""
+    flat, sizes = lists(batch.column("ids"))
+    ids = flat.to_numpy().astype(np.int64)
+    e = model.emit[ids]
+    at = np.flatnonzero(ids >= known)
+    c, g = np.zeros(len(at)), np.zeros((len(at), STATES))
+    items, held = lists(batch.column("found"))
+    if len(items):
+        _, rare = lists(batch.column("rare"))
+        to = np.repeat(np.cumsum(rare) - rare, held) + items.field("at").to_numpy()
+        c[to] = items.field("c").to_numpy()
+        g[to] = np.column_stack([items.field(k).to_numpy() for k in _K])
+    kind = ids[at] - known
+    e[at] *= (g + OWN * ((c + 1) / share[kind])[:, None]) / (model.seen[kind] + OWN)
+    return sizes, e, ids, at, c
+
+
+def baum_welch(rows: DataFrame, model: Model, known: int, share: np.ndarray) -> DataFrame:
+    """The expected counts of all rows, summed across partitions: (symbol, at, k0..): one row a symbol, and one a hash of a rare word."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, known, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into = np.zeros((size + STATES + 1, STATES))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                shared.value.expected(symbols(batch.slice(lo, 512)), into)
+        model, known, share = shared.value
+        into = model.none()
+
+        def told(symbol: bool, at: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), symbol)), pa.array(at), *[pa.array(k[:, i]) for i in range(STATES)]], ["symbol", "at", *_K])
+
+        for whole in batches:
+            for batch in chunks(whole):
+                sizes, e, ids, at, _ = emissions(batch, model, known, share)
+                gamma = model.expected(sizes, e, ids, into)
+                hashes, which = np.unique(batch.column("rare").flatten().to_numpy(), return_inverse=True)
+                if len(hashes):
+                    yield told(False, hashes, np.column_stack([np.bincount(which, weights=gamma[at, k], minlength=len(hashes)) for k in range(STATES)]))
         at = np.flatnonzero(into.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(into[at, k]) for k in range(STATES)]], ["at", *[f"k{k}" for k in range(STATES)]])
+        yield told(True, at, into[at])
+
+    out = rows.select("ids", "rare", "found").mapInArrow(run, "symbol boolean, at long, " + ", ".join(f"{k} double" for k in _K))
+    return out.groupBy("symbol", "at").agg(*[F.sum(k).alias(k) for k in _K])
+
 
-    columns = [f"k{k}" for k in range(STATES)]
-    summed = rows.select("ids").mapInArrow(run, "at long, " + ", ".join(f"{c} double" for c in columns)).groupBy("at").agg(*[F.sum(c).alias(c) for c in columns])
-    counts = np.zeros((size + STATES + 1, STATES))
-    for r in summed.collect():
-        counts[r["at"]] = r[1:]
-    return counts
+def frequent(counts: DataFrame, most: int) -> list:
+    """The tokens above the least count that at most ``most`` tokens reach: found from a histogram, so no task sends more."""
+    level = F.floor(F.log2("c") * 64)
+    histogram = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()  # 64 levels a power of two
+    reached, least = 0, None
+    for r in sorted(histogram, reverse=True):
+        reached += r["n"]
+        if reached > most:
+            break
+        least = r["level"]
+    return [] if least is None else sorted(counts.where(level >= least).collect(), key=lambda r: (-r["c"], r["w"]))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -220,61 +329,76 @@ def score(docs: DataFrame) -> DataFrame:
     held = crc_mod(7) == 2
     counts = stage(token_counts(docs.where(~held)), "tokens")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "w").limit(VOCABULARY).collect()  # bounded by VOCABULARY
-    vocabulary = {bytes(r["w"]): i for i, r in enumerate(top)}
-    frequency = np.array([r["c"] for r in top], float)
+    ends = counts.where(F.col("w") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    top = frequent(counts.where(F.col("w") != F.lit(END)), VOCABULARY)
+    vocabulary = {END: 0} | {bytes(r["w"]): i + 1 for i, r in enumerate(top)}
+    frequency = np.array([ends, *[r["c"] for r in top]], float)
+    known = len(vocabulary)
     # training tokens and types of each class of rare words
+    least = min((r["c"] for r in top), default=None)
     last = F.hex(F.expr("substring(w, -1, 1)"))
     kind = F.least(F.floor(F.octet_length("w") / 4), F.lit(CLASSES // 2 - 1)) * 2 + last.isin([f"{b:02X}" for b in STOPS]).cast("int")
-    of_all = {int(r["k"]): (r["n"], r["v"]) for r in counts.where(F.col("w") != F.lit(END)).groupBy(kind.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    # every token of the count of the least frequent one in the vocabulary is in it, too
+    others = counts.where((F.col("w") != F.lit(END)) & (F.lit(True) if least is None else F.col("c") < F.lit(least)))
+    of_all = {int(r["k"]): (r["n"], r["v"]) for r in others.groupBy(kind.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     rare_n, rare_v = (np.array([of_all.get(k, (0, 0))[i] for k in range(CLASSES)], float) for i in (0, 1))
-    for w, i in vocabulary.items():
-        if w != END:
-            rare_n[rare_class(w)] -= frequency[i]
-            rare_v[rare_class(w)] -= 1
-    size = len(vocabulary) + CLASSES
+    share = rare_n + rare_v + 1
 
     rows = stage(coded(docs, vocabulary).withColumns({"held_out": held, "row": F.monotonically_increasing_id()}), "coded")
     training = rows.where(~F.col("held_out"))
-    model = Model(size, np.concatenate([frequency, rare_n]))
+    model = Model(np.concatenate([frequency, rare_n]))
     few, seen = [], 0
-    for r in training.select("ids").orderBy(F.xxhash64("doc_id", "row")).limit(START).toLocalIterator():
+    drawn = F.xxhash64("doc_id", "ids", "rare")
+    for r in training.select("ids", drawn.alias("h")).orderBy("h").limit(START).toLocalIterator():
         few.append(np.array(r["ids"], np.int64))
         seen += len(few[-1])
         if seen > START_TOKENS:
             break
-    for _ in range(START_STEPS if few else 0):
-        into = np.zeros((size + STATES + 1, STATES))
-        model.expected(few, into)
-        model.update(into)
+    if few:
+        sizes, ids = np.array([len(t) for t in few]), np.concatenate(few)
+        for _ in range(START_STEPS):
+            into = model.none()
+            model.expected(sizes, model.emit[ids], ids, into)
+            model.update(into)
+    nothing = [F.lit(0.0).alias(k) for k in _K]
+    rare = others.select(F.xxhash64("w").alias("h"), "c")
+    table_now, stages = rare.select("h", "c", *nothing), []
     for _ in range(PASSES if few else 0):
-        model.update(baum_welch(training, model, size))
+        summed = stage(baum_welch(with_counts(training, table_now), model, known, share), "expected")
+        into = model.none()
+        for r in summed.where("symbol").collect():  # one row a symbol, whatever the corpus
+            into[r["at"]] = r[2:]
+        model.update(into)
+        model.seen = into[known : known + CLASSES]
+        old, stages = stages, [summed]
+        words = summed.where("not symbol").withColumnRenamed("at", "h").select("h", *_K)
+        table_now = rare.join(words, "h", "left").fillna(0.0, _K)
+        for s in old:
+            drop_stage(s)
 
-    base_of = np.concatenate([np.log10(frequency + 1), np.zeros(CLASSES)])
-    own = np.concatenate([np.zeros(len(vocabulary)), -np.log10(rare_n + rare_v + 1)])
-    shared = docs.sparkSession.sparkContext.broadcast((model, base_of, own, len(vocabulary), END in vocabulary))
+    base_of, there = np.log10(frequency + 1), frequency > 0
+    shared = docs.sparkSession.sparkContext.broadcast((model, base_of, there, known, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base_of, own, known, ends = shared.value
-        for batch in batches:
-            texts = symbols(batch)
-            forward = model.log10(texts) + np.array([own[t].sum() for t in texts])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), batch.column("row"), pa.array([len(t) for t in texts], pa.int64()), pa.array([int((t < known).sum()) for t in texts], pa.int64()),
-                 pa.array([float(base_of[t].sum()) for t in texts], pa.float64()), pa.array(forward, pa.float64())],
-                ["doc_id", "held_out", "row", "n_tokens", "known", "counts", "forward"],
-            )
+        model, base_of, there, known, share = shared.value
+        of_symbol, is_known = np.append(base_of, np.zeros(CLASSES)), np.append(there, np.zeros(CLASSES, bool))
+        for whole in batches:
+            for batch in chunks(whole):
+                sizes, e, ids, at, c = emissions(batch, model, known, share)
+                base, knows = of_symbol[ids], is_known[ids]
+                base[at], knows[at] = np.log10(c + 1), c > 0
+                starts = np.cumsum(sizes) - sizes
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(np.add.reduceat(knows.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(model.log10(sizes, e))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "counts", "score"],
+                )
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    forward = rows.select("doc_id", "held_out", "row", "ids").mapInArrow(run, f"doc_id {id_kind}, held_out boolean, row long, n_tokens long, known long, counts double, forward double")
-    wanted = rows.select("row", F.explode("rare").alias("h"))
-    found = wanted.join(counts.select(F.xxhash64("w").alias("h"), "c"), "h").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_counts"), F.count("*").alias("rare_known"))
+    scored = with_counts(rows, table_now).select("doc_id", "held_out", "ids", "rare", "found").mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, counts double, score double")
     all_types = float(np.log10(n + 1 * (v + 1)))
-    rare = F.coalesce("rare_counts", F.lit(0.0))
-    return forward.join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("counts") + rare - F.col("n_tokens") * all_types).alias("base_score"), (F.col("forward") + rare).alias("score"),
-    )
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("counts") - F.col("n_tokens") * all_types).alias("base_score"), "score",
+    )
 
 
 def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,24 +258,67 @@ def test_hidden_markov(docs, none, odd):
     assert hmm.score(none).count() == 0 and hmm.score(odd).count() == 5
 
 
-def test_forward_is_exact_and_training_helps():
+def test_forward_and_expected_counts_are_exact_over_cuts(monkeypatch):
+    """Against sums over all paths, and, for texts of many segments, against the plain recursions on the whole text."""
     r = np.random.default_rng(0)
-    m = hmm.Model(6, np.ones(6))
-    text = r.integers(0, 6, 7)
+    m = hmm.Model(np.ones(6))
+    m.start = r.dirichlet(np.ones(hmm.STATES))
+    text = r.integers(0, 6, 3)
     total = 0.0
     for path in np.ndindex(*[hmm.STATES] * 3):
         p = m.start[path[0]] * m.emit[text[0], path[0]]
-        for a, b, s in zip(path, path[1:], text[1:3], strict=False):
+        for a, b, s in zip(path, path[1:], text[1:], strict=False):
             p *= m.move[a, b] * m.emit[s, b]
         total += p
-    assert math.isclose(m.log10([text[:3]])[0], math.log10(total), rel_tol=1e-9)
+    assert math.isclose(m.log10(np.array([3]), m.emit[text])[0], math.log10(total), rel_tol=1e-9)
+
+    monkeypatch.setattr(hmm, "SEGMENT", 5)
+    monkeypatch.setattr(hmm, "TOGETHER", 4)
+    texts = [r.integers(0, 6, n) for n in (1, 5, 6, 23, 11, 40, 4)]
+    sizes, ids = np.array([len(t) for t in texts]), np.concatenate(texts)
+    into, want, logs, states = m.none(), m.none(), [], []
+    for t in texts:
+        e = m.emit[t]
+        alpha, beta, log = np.empty((len(t), hmm.STATES)), np.ones((len(t), hmm.STATES)), 0.0
+        for i in range(len(t)):
+            alpha[i] = (alpha[i - 1] @ m.move if i else m.start) * e[i]
+        for i in range(len(t) - 2, -1, -1):
+            beta[i] = m.move @ (e[i + 1] * beta[i + 1])
+        log = alpha[-1].sum()
+        gamma = alpha * beta / log
+        logs.append(math.log10(log))
+        states.append(gamma)
+        want[-1] += gamma[0]
+        for i, s in enumerate(t):
+            want[s] += gamma[i]
+            if i:
+                want[-hmm.STATES - 1 : -1] += alpha[i - 1][:, None] * m.move * (e[i] * beta[i]) / log
+    got = m.expected(sizes, m.emit[ids], ids, into)
+    assert np.allclose(into, want) and np.allclose(got, np.concatenate(states)) and np.allclose(m.log10(sizes, m.emit[ids]), logs)
+    long = r.integers(0, 6, 3000)
+    assert np.isfinite(m.log10(np.array([3000]), 1e-12 * m.emit[long])).all()
+
+
+def test_training_helps():
+    m = hmm.Model(np.ones(6))
     texts = [np.tile([0, 1, 2, 3], 40), np.tile([4, 5], 30)]
-    was = m.log10(texts).sum()
+    sizes, ids = np.array([len(t) for t in texts]), np.concatenate(texts)
+    was = m.log10(sizes, m.emit[ids]).sum()
     for _ in range(20):
-        into = np.zeros((6 + hmm.STATES + 1, hmm.STATES))
-        m.expected(texts, into)
+        into = m.none()
+        m.expected(sizes, m.emit[ids], ids, into)
         m.update(into)
-    assert m.log10(texts).sum() > was + 10 and np.allclose(m.emit.sum(axis=0), 1) and np.allclose(m.move.sum(axis=1), 1)
+    assert m.log10(sizes, m.emit[ids]).sum() > was + 10 and np.allclose(m.emit.sum(axis=0), 1) and np.allclose(m.move.sum(axis=1), 1)
+
+
+def test_rare_tokens_have_emissions_of_their_own(docs, monkeypatch):
+    """With a vocabulary of 20 tokens nearly all are in the table: base columns stay exact, and so do the table's counts."""
+    plain = {r.doc_id: r for r in hmm.score(docs).collect()}
+    monkeypatch.setattr(hmm, "VOCABULARY", 20)
+    got = {r.doc_id: r for r in hmm.score(docs).collect()}
+    assert all((r.n_known, r.n_tokens) == (plain[i].n_known, plain[i].n_tokens) and math.isclose(r.base_score, plain[i].base_score, rel_tol=1e-9) for i, r in got.items())
+    again = {r.doc_id: r.score for r in hmm.score(docs.repartition(7)).collect()}
+    assert all(math.isclose(again[i], r.score, rel_tol=1e-6) for i, r in got.items())
 
 
 def test_decontamination(spark, docs, none, odd):
