@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from folioframe.llm.common import LOWER, crc_mod, drop_stage, stage, table, text_bytes
 
 STATES = 8
-VOCABULARY = 50_000
+VOCABULARY = 100_000
 CLASSES = 12
-#: What a token's corpus count weighs beside its expected counts in a state.
-OWN = 2.0
+#: What a token's corpus count weighs beside its expected count in a state.
+OWN = 0.5
+#: Hashes of rare tokens that a task holds before it sends their counts.
+SENT = 300_000
 START, START_STEPS, START_TOKENS = 600, 12, 400_000
 PASSES = 2
 #: Symbols that one segment holds, segments that advance together, and symbols that are held at a time.
@@ -79,13 +81,16 @@ class Model:
 
     def __init__(self, frequency: np.ndarray, seed: int = 6):
         rng = np.random.default_rng(seed)
+        # each class counts one more in the corpus, for tokens that it has not seen
+        self.new = np.zeros((len(frequency), 1))
+        self.new[-CLASSES:, 0] = 1 / max(frequency.sum(), 1) / STATES
         p = (frequency + 0.1) / (frequency + 0.1).sum()
         self.start = np.full(STATES, 1 / STATES)
         self.move = rng.dirichlet(np.full(STATES, 5.0), STATES)
         self.emit = p[:, None] * rng.uniform(0.5, 1.5, (len(p), STATES))
         self.emit /= self.emit.sum(axis=0)
         self.base = p[:, None]
-        self.seen = np.zeros((CLASSES, STATES))  # expected counts of the classes' tokens that the table holds
+        self.seen: np.ndarray | None = None  # expected counts of the classes' tokens that the table holds
 
     def none(self) -> np.ndarray:
         return np.zeros((len(self.base) + STATES + 1, STATES))
@@ -95,7 +100,7 @@ class Model:
 
         A pseudo-count in proportion to corpus frequency keeps every symbol possible in every state.
         """
-        emit = counts[: -STATES - 1] + 5.0 * self.base
+        emit = counts[: -STATES - 1] + 5.0 * self.base + self.new * counts[: -STATES - 1].sum()
         self.emit = emit / emit.sum(axis=0)
         move = counts[-STATES - 1 : -1] + 0.1
         self.move = move / move.sum(axis=1, keepdims=True)
@@ -220,7 +225,10 @@ class Segments:
 
 
 def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """(doc_id, ids array<int>: the text's symbols and its end, rare array<long>: hashes of words outside the vocabulary)."""
+    """(doc_id, ids array<int>: the text's symbols and its end, rare array<long>: distinct hashes of words outside the vocabulary).
+
+    The symbol of such a word is the vocabulary's size, plus its class, plus CLASSES times its place in rare.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,24 +241,26 @@ def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
                 for text in batch.column("text"):
                     words = tokens(text.as_py())
                     at = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-                    hashes = []
+                    seen: dict[bytes, int] = {}
                     for i in np.flatnonzero(at < 0).tolist():
                         w = words[i]
-                        at[i] = size + rare_class(w)
-                        hashes.append(xxhash.xxh64_intdigest(w, 42))
+                        at[i] = size + rare_class(w) + CLASSES * seen.setdefault(w, len(seen))
                     ids.append(np.append(at, np.int32(end)))
-                    rare.append(np.array(hashes, np.uint64).view(np.int64))
+                    rare.append(np.array([xxhash.xxh64_intdigest(w, 42) for w in seen], np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "ids", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, rare array<long>")
 
 
-def with_counts(rows: DataFrame, rare: DataFrame) -> DataFrame:
-    """rows with ``found``: (place in rare, c, expected counts) of each of its words that the table holds."""
+FOUND = "array<struct<at: int, c: long, states: long>>"
+
+
+def with_counts(rows: DataFrame, rare: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with ``found``: (place in rare, c, states) of each of its words that the table holds; and a stage to drop after use."""
     wanted = rows.select("row", F.posexplode("rare").alias("at", "h"))
-    found = wanted.join(rare, "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", *_K)).alias("found"))
-    return rows.join(found, "row", "left")
+    found = stage(wanted.join(rare, "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", "states")).alias("found")), "found")
+    return rows.join(found, "row", "left"), found
 
 
 def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -268,22 +278,37 @@ def lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def states_of(packed: np.ndarray) -> np.ndarray:
+    """A token's distribution over the states, from one byte each."""
+    b = packed.astype("<i8").view(np.uint8).reshape(-1, STATES).astype(float)
+    return b / b.sum(axis=1, keepdims=True)
+
+
 def emissions(batch: pa.RecordBatch, model: Model, known: int, share: np.ndarray) -> tuple:
-    """(sizes, e, ids, places of rare words, their corpus counts) of the texts of a batch; share: N + V + 1 of each class."""
+    """(sizes, e, symbols, places of rare words, their entries in the batch's rare lists, their corpus counts) of a batch's texts.
+
+    share: N + V + 1 of each class.
+    """
     flat, sizes = lists(batch.column("ids"))
-    ids = flat.to_numpy().astype(np.int64)
+    raw = flat.to_numpy().astype(np.int64)
+    at = np.flatnonzero(raw >= known)
+    kind, nth = (raw[at] - known) % CLASSES, (raw[at] - known) // CLASSES
+    ids = raw.copy()
+    ids[at] = known + kind
     e = model.emit[ids]
-    at = np.flatnonzero(ids >= known)
-    c, g = np.zeros(len(at)), np.zeros((len(at), STATES))
+    hashes, rare = lists(batch.column("rare"))
+    entry = np.repeat(np.cumsum(rare) - rare, np.add.reduceat(raw >= known, np.cumsum(sizes) - sizes, dtype=np.int64)) + nth
+    c, states = np.zeros(len(hashes)), np.zeros((len(hashes), STATES))
     items, held = lists(batch.column("found"))
     if len(items):
-        _, rare = lists(batch.column("rare"))
         to = np.repeat(np.cumsum(rare) - rare, held) + items.field("at").to_numpy()
         c[to] = items.field("c").to_numpy()
-        g[to] = np.column_stack([items.field(k).to_numpy() for k in _K])
-    kind = ids[at] - known
-    e[at] *= (g + OWN * ((c + 1) / share[kind])[:, None]) / (model.seen[kind] + OWN)
-    return sizes, e, ids, at, c
+        states[to] = states_of(items.field("states").to_numpy())
+    own = ((c[entry] + 1) / share[kind])[:, None]
+    if model.seen is not None:
+        own = (1 - OWN) * c[entry, None] * states[entry] / np.maximum(model.seen[kind], 1e-9) + OWN * own
+    e[at] *= own
+    return sizes, e, ids, at, entry, c[entry]
 
 
 def baum_welch(rows: DataFrame, model: Model, known: int, share: np.ndarray) -> DataFrame:
@@ -292,18 +317,27 @@ def baum_welch(rows: DataFrame, model: Model, known: int, share: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, share = shared.value
-        into = model.none()
+        into, held, size = model.none(), [], 0
 
         def told(symbol: bool, at: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            k = np.round(k * 1024) / 1024  # few digits are sent in few bytes
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), symbol)), pa.array(at), *[pa.array(k[:, i]) for i in range(STATES)]], ["symbol", "at", *_K])
 
+        def summed(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            once, which = np.unique(h, return_inverse=True)
+            return once, np.column_stack([np.bincount(which, weights=k[:, i], minlength=len(once)) for i in range(STATES)])
+
         for whole in batches:
             for batch in chunks(whole):
-                sizes, e, ids, at, _ = emissions(batch, model, known, share)
+                sizes, e, ids, at, entry, _ = emissions(batch, model, known, share)
                 gamma = model.expected(sizes, e, ids, into)
-                hashes, which = np.unique(batch.column("rare").flatten().to_numpy(), return_inverse=True)
-                if len(hashes):
-                    yield told(False, hashes, np.column_stack([np.bincount(which, weights=gamma[at, k], minlength=len(hashes)) for k in range(STATES)]))
+                held.append(summed(batch.column("rare").flatten().to_numpy()[entry], gamma[at]))
+                size += len(held[-1][0])
+                if size > SENT:
+                    yield told(False, *summed(*map(np.concatenate, zip(*held, strict=True))))
+                    held, size = [], 0
+        if size:
+            yield told(False, *summed(*map(np.concatenate, zip(*held, strict=True))))
         at = np.flatnonzero(into.any(axis=1))
         yield told(True, at, into[at])
 
@@ -350,7 +384,8 @@ def score(docs: DataFrame) -> DataFrame:
     few, seen = [], 0
     drawn = F.xxhash64("doc_id", "ids", "rare")
     for r in training.select("ids", drawn.alias("h")).orderBy("h").limit(START).toLocalIterator():
-        few.append(np.array(r["ids"], np.int64))
+        ids = np.array(r["ids"], np.int64)
+        few.append(np.where(ids < known, ids, known + (ids - known) % CLASSES))
         seen += len(few[-1])
         if seen > START_TOKENS:
             break
@@ -360,21 +395,33 @@ def score(docs: DataFrame) -> DataFrame:
             into = model.none()
             model.expected(sizes, model.emit[ids], ids, into)
             model.update(into)
-    nothing = [F.lit(0.0).alias(k) for k in _K]
-    rare = others.select(F.xxhash64("w").alias("h"), "c")
-    table_now, stages = rare.select("h", "c", *nothing), []
-    for _ in range(PASSES if few else 0):
-        summed = stage(baum_welch(with_counts(training, table_now), model, known, share), "expected")
+    rare = others.select(F.xxhash64("w").alias("h"), kind.alias("kind"), "c")
+    uniform = int.from_bytes(b"\1" * STATES, "little")
+    table_now, old = rare.select("h", "c", F.lit(uniform).alias("states")), None
+    for turn in range(PASSES if few else 0):
+        # in the first pass a rare token's factor is the same in all states
+        taught, found = with_counts(training, table_now) if turn else (training.withColumn("found", F.lit(None).cast(FOUND)), None)
+        summed = stage(baum_welch(taught, model, known, share), "expected")
         into = model.none()
         for r in summed.where("symbol").collect():  # one row a symbol, whatever the corpus
             into[r["at"]] = r[2:]
         model.update(into)
-        model.seen = into[known : known + CLASSES]
-        old, stages = stages, [summed]
-        words = summed.where("not symbol").withColumnRenamed("at", "h").select("h", *_K)
-        table_now = rare.join(words, "h", "left").fillna(0.0, _K)
-        for s in old:
-            drop_stage(s)
+        whole = sum((F.col(k) for k in _K[1:]), F.col(_K[0]))
+        packed = F.lit(0).cast("long")
+        for i, k in enumerate(_K):
+            packed = packed.bitwiseOR(F.shiftleft(F.round(F.col(k) / whole * 255).cast("long"), 8 * i))
+        words = summed.where("not symbol").where(whole > 0).select(F.col("at").alias("h"), packed.alias("states"))
+        spread = F.coalesce(F.nullif("states", F.lit(0)), F.lit(uniform)).alias("states")
+        new = stage(rare.join(words, "h", "left").select("h", "kind", "c", spread), "emissions")
+        bytes_of = [F.shiftright("states", 8 * i).bitwiseAND(F.lit(255)) for i in range(STATES)]
+        of = [F.sum(F.col("c") * b / sum(bytes_of[1:], bytes_of[0])) for b in bytes_of]
+        model.seen = np.zeros((CLASSES, STATES))
+        for r in new.groupBy("kind").agg(*[x.alias(k) for x, k in zip(of, _K, strict=True)]).collect():
+            model.seen[int(r["kind"])] = r[1:]
+        for s in (summed, found, old):
+            if s is not None:
+                drop_stage(s)
+        table_now, old = new.drop("kind"), new
 
     base_of, there = np.log10(frequency + 1), frequency > 0
     shared = docs.sparkSession.sparkContext.broadcast((model, base_of, there, known, share))
@@ -384,7 +431,7 @@ def score(docs: DataFrame) -> DataFrame:
         of_symbol, is_known = np.append(base_of, np.zeros(CLASSES)), np.append(there, np.zeros(CLASSES, bool))
         for whole in batches:
             for batch in chunks(whole):
-                sizes, e, ids, at, c = emissions(batch, model, known, share)
+                sizes, e, ids, at, _, c = emissions(batch, model, known, share)
                 base, knows = of_symbol[ids], is_known[ids]
                 base[at], knows[at] = np.log10(c + 1), c > 0
                 starts = np.cumsum(sizes) - sizes
@@ -394,7 +441,7 @@ def score(docs: DataFrame) -> DataFrame:
                 )
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = with_counts(rows, table_now).select("doc_id", "held_out", "ids", "rare", "found").mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, counts double, score double")
+    scored = with_counts(rows, table_now)[0].select("doc_id", "held_out", "ids", "rare", "found").mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, counts double, score double")
     all_types = float(np.log10(n + 1 * (v + 1)))
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("counts") - F.col("n_tokens") * all_types).alias("base_score"), "score",

@@ -261,7 +261,7 @@ def test_hidden_markov(docs, none, odd):
 def test_forward_and_expected_counts_are_exact_over_cuts(monkeypatch):
     """Against sums over all paths, and, for texts of many segments, against the plain recursions on the whole text."""
     r = np.random.default_rng(0)
-    m = hmm.Model(np.ones(6))
+    m = hmm.Model(np.ones(6 + hmm.CLASSES))
     m.start = r.dirichlet(np.ones(hmm.STATES))
     text = r.integers(0, 6, 3)
     total = 0.0
@@ -300,7 +300,7 @@ def test_forward_and_expected_counts_are_exact_over_cuts(monkeypatch):
 
 
 def test_training_helps():
-    m = hmm.Model(np.ones(6))
+    m = hmm.Model(np.ones(6 + hmm.CLASSES))
     texts = [np.tile([0, 1, 2, 3], 40), np.tile([4, 5], 30)]
     sizes, ids = np.array([len(t) for t in texts]), np.concatenate(texts)
     was = m.log10(sizes, m.emit[ids]).sum()
@@ -318,7 +318,7 @@ def test_rare_tokens_have_emissions_of_their_own(docs, monkeypatch):
     got = {r.doc_id: r for r in hmm.score(docs).collect()}
     assert all((r.n_known, r.n_tokens) == (plain[i].n_known, plain[i].n_tokens) and math.isclose(r.base_score, plain[i].base_score, rel_tol=1e-9) for i, r in got.items())
     again = {r.doc_id: r.score for r in hmm.score(docs.repartition(7)).collect()}
-    assert all(math.isclose(again[i], r.score, rel_tol=1e-6) for i, r in got.items())
+    assert all(math.isclose(again[i], r.score, rel_tol=1e-3) for i, r in got.items())  # states are kept in a byte each
 
 
 def test_decontamination(spark, docs, none, odd):
