@@ -43,7 +43,7 @@ SENT = 300_000
 START, START_STEPS, START_TOKENS = 600, 12, 400_000
 PASSES = 2
 #: Symbols that one segment holds, segments that advance together, and symbols that are held at a time.
-SEGMENT, TOGETHER, HELD = 128, 512, 250_000
+SEGMENT, TOGETHER, HELD = 512, 512, 400_000
 #: The end of a text, which no word can be, and its symbol.
 END = b" "
 STOPS = b".,!?;:"
@@ -108,23 +108,27 @@ class Model:
         self.start = start / start.sum()
 
     def expected(self, sizes: np.ndarray, e: np.ndarray, ids: np.ndarray, into: np.ndarray) -> np.ndarray:
-        """Add the Baum-Welch counts of texts laid end to end to into; returns each symbol's state probabilities."""
+        """Add the Baum-Welch counts of texts laid end to end to into; returns each symbol's state probabilities.
+
+        A factor of a symbol that all states share changes nothing, so e may be scaled to fit its type.
+        """
         cut = Segments(self, sizes, e)
-        begin, finish = cut.carried()
-        out, moves = np.empty_like(e), np.zeros((STATES, STATES))
+        begin, finish = (x.astype(e.dtype) for x in cut.carried())
+        out, moves, move, start = np.empty_like(e), np.zeros((STATES, STATES)), cut.move, cut.start
+        back_move = np.ascontiguousarray(move.T)
         for group in cut.groups():
             place, live = cut.laid(group)
             first, n, size = cut.first[group], len(group), len(live)
             ge = e[np.minimum(place, len(e) - 1)]
-            alpha, scale = np.empty_like(ge), np.empty((size, n, 1))
-            a = np.where(first[:, None], self.start, begin[group] @ self.move) * ge[0]
+            alpha, scale = np.empty_like(ge), np.empty((size, n, 1), e.dtype)
+            a = np.where(first[:, None], start, begin[group] @ move) * ge[0]
             for t in range(size):
                 if t:
-                    a = (a[: live[t]] @ self.move) * ge[t, : live[t]]
+                    a = (a[: live[t]] @ move) * ge[t, : live[t]]
                 scale[t, : live[t]] = s = a.sum(axis=1, keepdims=True)
                 a = a / s
                 alpha[t, : live[t]] = a
-            beta, known = np.empty((n, STATES)), 0
+            beta, known = np.empty((n, STATES), e.dtype), 0
             for t in range(size - 1, -1, -1):
                 now = live[t]
                 if now > known:
@@ -133,9 +137,9 @@ class Model:
                     known = now
                 back = ge[t, :now] * beta[:now] / scale[t, :now]
                 out[place[t, :now]] = alpha[t, :now] * beta[:now]
-                before = alpha[t - 1, :now] if t else np.where(first[:, None], 0, begin[group])
+                before = alpha[t - 1, :now] if t else np.where(first[:, None], e.dtype.type(0), begin[group])
                 moves += before.T @ back
-                beta[:now] = back @ self.move.T
+                beta[:now] = back @ back_move
         for k in range(STATES):
             into[: -STATES - 1, k] += np.bincount(ids, weights=out[:, k], minlength=len(into) - STATES - 1)
         into[-STATES - 1 : -1] += moves * self.move
@@ -153,7 +157,7 @@ class Segments:
     """Texts laid end to end, cut into segments, and what passes over the cuts."""
 
     def __init__(self, model: Model, sizes: np.ndarray, e: np.ndarray):
-        self.model, self.e = model, e
+        self.move, self.start, self.e = model.move.astype(e.dtype), model.start.astype(e.dtype), e
         starts, parts = np.cumsum(sizes) - sizes, -(-sizes // SEGMENT)
         self.text = np.repeat(np.arange(len(sizes)), parts)
         nth = np.arange(len(self.text)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -181,7 +185,7 @@ class Segments:
         for t, now in enumerate(live.tolist()):
             x = rows[:now]
             if t or moved:
-                x = (x.reshape(-1, STATES) @ self.model.move).reshape(x.shape)
+                x = (x.reshape(-1, STATES) @ self.move).reshape(x.shape)
             x = x * self.e[place[t, :now], None, :]
             if t % 8 == 7 or t + 1 == len(live) or live[t + 1] < now:
                 s = x.max(axis=(1, 2))
@@ -198,13 +202,13 @@ class Segments:
         firsts = np.flatnonzero(self.first & ~alone if backward else self.first)
         end, end_logs = np.empty((n, STATES)), np.zeros(n)
         for group in self.groups(firsts):
-            rows, logs = self.transfer(group, np.tile(self.model.start, (len(group), 1, 1)), False)
+            rows, logs = self.transfer(group, np.tile(self.start, (len(group), 1, 1)), False)
             end[group], end_logs[group] = rows[:, 0], logs
         later = np.flatnonzero(~self.first)
         through, logs_of, at = np.empty((len(later), STATES, STATES)), np.zeros(len(later)), np.full(n, -1)
         at[later] = np.arange(len(later))
         for group in self.groups(later):
-            rows, logs = self.transfer(group, np.tile(np.eye(STATES), (len(group), 1, 1)), True)
+            rows, logs = self.transfer(group, np.tile(np.eye(STATES, dtype=self.e.dtype), (len(group), 1, 1)), True)
             through[at[group]], logs_of[at[group]] = rows, logs
         a = None
         for i in range(n):
@@ -256,11 +260,11 @@ def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 FOUND = "array<struct<at: int, c: long, states: long>>"
 
 
-def with_counts(rows: DataFrame, rare: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows with ``found``: (place in rare, c, states) of each of its words that the table holds; and a stage to drop after use."""
+def with_counts(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """rows with ``found``: (place in rare, c, states) of each of its words that the table holds."""
     wanted = rows.select("row", F.posexplode("rare").alias("at", "h"))
     found = stage(wanted.join(rare, "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", "states")).alias("found")), "found")
-    return rows.join(found, "row", "left"), found
+    return rows.join(found, "row", "left")
 
 
 def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -311,8 +315,8 @@ def emissions(batch: pa.RecordBatch, model: Model, known: int, share: np.ndarray
     return sizes, e, ids, at, entry, c[entry]
 
 
-def baum_welch(rows: DataFrame, model: Model, known: int, share: np.ndarray) -> DataFrame:
-    """The expected counts of all rows, summed across partitions: (symbol, at, k0..): one row a symbol, and one a hash of a rare word."""
+def baum_welch(rows: DataFrame, model: Model, known: int, share: np.ndarray, words: bool) -> DataFrame:
+    """The expected counts of all rows, summed across partitions: (symbol, at, k0..): one row a symbol, and, if asked, one a hash of a rare word."""
     shared = rows.sparkSession.sparkContext.broadcast((model, known, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +334,9 @@ def baum_welch(rows: DataFrame, model: Model, known: int, share: np.ndarray) ->
         for whole in batches:
             for batch in chunks(whole):
                 sizes, e, ids, at, entry, _ = emissions(batch, model, known, share)
-                gamma = model.expected(sizes, e, ids, into)
+                gamma = model.expected(sizes, (e / e.max(axis=1, keepdims=True)).astype(np.float32), ids, into)
+                if not words:
+                    continue
                 held.append(summed(batch.column("rare").flatten().to_numpy()[entry], gamma[at]))
                 size += len(held[-1][0])
                 if size > SENT:
@@ -395,33 +401,34 @@ def score(docs: DataFrame) -> DataFrame:
             into = model.none()
             model.expected(sizes, model.emit[ids], ids, into)
             model.update(into)
-    rare = others.select(F.xxhash64("w").alias("h"), kind.alias("kind"), "c")
-    uniform = int.from_bytes(b"\1" * STATES, "little")
-    table_now, old = rare.select("h", "c", F.lit(uniform).alias("states")), None
     for turn in range(PASSES if few else 0):
-        # in the first pass a rare token's factor is the same in all states
-        taught, found = with_counts(training, table_now) if turn else (training.withColumn("found", F.lit(None).cast(FOUND)), None)
-        summed = stage(baum_welch(taught, model, known, share), "expected")
+        # until the table is there, a rare token's factor is the same in all states
+        summed = stage(baum_welch(training.withColumn("found", F.lit(None).cast(FOUND)), model, known, share, turn == PASSES - 1), "expected")
         into = model.none()
         for r in summed.where("symbol").collect():  # one row a symbol, whatever the corpus
             into[r["at"]] = r[2:]
         model.update(into)
+        if turn < PASSES - 1:
+            drop_stage(summed)
+    uniform = int.from_bytes(b"\1" * STATES, "little")
+    rare = others.select(F.xxhash64("w").alias("h"), kind.alias("kind"), "c")
+    if few:
         whole = sum((F.col(k) for k in _K[1:]), F.col(_K[0]))
         packed = F.lit(0).cast("long")
         for i, k in enumerate(_K):
             packed = packed.bitwiseOR(F.shiftleft(F.round(F.col(k) / whole * 255).cast("long"), 8 * i))
         words = summed.where("not symbol").where(whole > 0).select(F.col("at").alias("h"), packed.alias("states"))
         spread = F.coalesce(F.nullif("states", F.lit(0)), F.lit(uniform)).alias("states")
-        new = stage(rare.join(words, "h", "left").select("h", "kind", "c", spread), "emissions")
+        rare = stage(rare.join(words, "h", "left").select("h", "kind", "c", spread), "emissions")
+        drop_stage(summed)
         bytes_of = [F.shiftright("states", 8 * i).bitwiseAND(F.lit(255)) for i in range(STATES)]
         of = [F.sum(F.col("c") * b / sum(bytes_of[1:], bytes_of[0])) for b in bytes_of]
         model.seen = np.zeros((CLASSES, STATES))
-        for r in new.groupBy("kind").agg(*[x.alias(k) for x, k in zip(of, _K, strict=True)]).collect():
+        for r in rare.groupBy("kind").agg(*[x.alias(k) for x, k in zip(of, _K, strict=True)]).collect():
             model.seen[int(r["kind"])] = r[1:]
-        for s in (summed, found, old):
-            if s is not None:
-                drop_stage(s)
-        table_now, old = new.drop("kind"), new
+        rare = rare.drop("kind")
+    else:
+        rare = rare.select("h", "c", F.lit(uniform).alias("states"))
 
     base_of, there = np.log10(frequency + 1), frequency > 0
     shared = docs.sparkSession.sparkContext.broadcast((model, base_of, there, known, share))
@@ -441,7 +448,7 @@ def score(docs: DataFrame) -> DataFrame:
                 )
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = with_counts(rows, table_now)[0].select("doc_id", "held_out", "ids", "rare", "found").mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, counts double, score double")
+    scored = with_counts(rows, rare).select("doc_id", "held_out", "ids", "rare", "found").mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, counts double, score double")
     all_types = float(np.log10(n + 1 * (v + 1)))
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("counts") - F.col("n_tokens") * all_types).alias("base_score"), "score",
