@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ SENT = 300_000
 START, START_STEPS, START_TOKENS = 600, 12, 400_000
 PASSES = 2
 #: Symbols that one segment holds, segments that advance together, and symbols that are held at a time.
-SEGMENT, TOGETHER, HELD = 512, 512, 400_000
+SEGMENT, TOGETHER, HELD = 1024, 512, 400_000
 #: The end of a text, which no word can be, and its symbol.
 END = b" "
 STOPS = b".,!?;:"
@@ -229,7 +230,7 @@ class Segments:
 
 
 def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """(doc_id, ids array<int>: the text's symbols and its end, rare array<long>: distinct hashes of words outside the vocabulary).
+    """(doc_id, ids: the text's symbols and its end, packed; rare array<long>: distinct hashes of words outside the vocabulary).
 
     The symbol of such a word is the vocabulary's size, plus its class, plus CLASSES times its place in rare.
     """
@@ -237,7 +238,7 @@ def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, size = shared.value.get, len(shared.value)
-        end = shared.value[END]
+        end, press = shared.value[END], zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
@@ -249,32 +250,24 @@ def coded(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
                     for i in np.flatnonzero(at < 0).tolist():
                         w = words[i]
                         at[i] = size + rare_class(w) + CLASSES * seen.setdefault(w, len(seen))
-                    ids.append(np.append(at, np.int32(end)))
+                    ids.append(press.compress(np.ascontiguousarray(np.append(at, np.int32(end)).astype("<i4").view(np.uint8).reshape(-1, 4).T)))  # by bytes of one place
                     rare.append(np.array([xxhash.xxh64_intdigest(w, 42) for w in seen], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "ids", "rare"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "ids", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, rare array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, rare array<long>")
 
 
-FOUND = "array<struct<at: int, c: long, states: long>>"
+def unpacked(ids: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(-1).astype(np.int64)
 
 
 def with_counts(rows: DataFrame, rare: DataFrame) -> DataFrame:
     """rows with ``found``: (place in rare, c, states) of each of its words that the table holds."""
     wanted = rows.select("row", F.posexplode("rare").alias("at", "h"))
     found = stage(wanted.join(rare, "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", "states")).alias("found")), "found")
-    return rows.join(found, "row", "left")
-
-
-def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of about HELD symbols together."""
-    ends = batch.column("ids").offsets.to_numpy()
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + HELD, "right")) - 1)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
+    return rows.select("doc_id", "held_out", "row", "ids", F.size("rare").alias("n_rare")).join(found, "row", "left").drop("row")
 
 
 def lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
@@ -282,45 +275,66 @@ def lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+class Texts:
+    """Rows of about HELD symbols: texts laid end to end, and the places of rare words in them."""
+
+    def __init__(self, batch: pa.RecordBatch, texts: list[np.ndarray], known: int):
+        self.batch, self.sizes = batch, np.array([len(t) for t in texts])
+        self.ids = np.concatenate(texts)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.at = np.flatnonzero(self.ids >= known)
+        rest = self.ids[self.at] - known
+        self.kind, nth = rest % CLASSES, rest // CLASSES
+        self.ids[self.at] = known + self.kind
+        self.rare = batch.column("n_rare").to_numpy().astype(np.int64)
+        self.entry = np.repeat(np.cumsum(self.rare) - self.rare, np.bincount(np.searchsorted(self.starts, self.at, "right") - 1, minlength=len(texts))) + nth
+
+
+def chunks(batches: Iterator[pa.RecordBatch], known: int) -> Iterator[Texts]:
+    for batch in batches:
+        held, size, lo = [], 0, 0
+        for i, ids in enumerate(batch.column("ids")):
+            held.append(unpacked(ids.as_py()))
+            size += len(held[-1])
+            if size > HELD:
+                yield Texts(batch.slice(lo, i + 1 - lo), held, known)
+                held, size, lo = [], 0, i + 1
+        if held:
+            yield Texts(batch.slice(lo), held, known)
+
+
 def states_of(packed: np.ndarray) -> np.ndarray:
     """A token's distribution over the states, from one byte each."""
     b = packed.astype("<i8").view(np.uint8).reshape(-1, STATES).astype(float)
     return b / b.sum(axis=1, keepdims=True)
 
 
-def emissions(batch: pa.RecordBatch, model: Model, known: int, share: np.ndarray) -> tuple:
-    """(sizes, e, symbols, places of rare words, their entries in the batch's rare lists, their corpus counts) of a batch's texts.
-
-    share: N + V + 1 of each class.
-    """
-    flat, sizes = lists(batch.column("ids"))
-    raw = flat.to_numpy().astype(np.int64)
-    at = np.flatnonzero(raw >= known)
-    kind, nth = (raw[at] - known) % CLASSES, (raw[at] - known) // CLASSES
-    ids = raw.copy()
-    ids[at] = known + kind
-    e = model.emit[ids]
-    hashes, rare = lists(batch.column("rare"))
-    entry = np.repeat(np.cumsum(rare) - rare, np.add.reduceat(raw >= known, np.cumsum(sizes) - sizes, dtype=np.int64)) + nth
-    c, states = np.zeros(len(hashes)), np.zeros((len(hashes), STATES))
-    items, held = lists(batch.column("found"))
+def emissions(texts: Texts, model: Model, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The emission probabilities of each symbol, and the rare words' corpus counts; share: N + V + 1 of each class."""
+    e = model.emit[texts.ids]
+    c, states = np.zeros(texts.rare.sum()), np.zeros((texts.rare.sum(), STATES))
+    items, held = lists(texts.batch.column("found"))
     if len(items):
-        to = np.repeat(np.cumsum(rare) - rare, held) + items.field("at").to_numpy()
+        to = np.repeat(np.cumsum(texts.rare) - texts.rare, held) + items.field("at").to_numpy()
         c[to] = items.field("c").to_numpy()
         states[to] = states_of(items.field("states").to_numpy())
-    own = ((c[entry] + 1) / share[kind])[:, None]
+    own = OWN * ((c[texts.entry] + 1) / share[texts.kind])[:, None]
     if model.seen is not None:
-        own = (1 - OWN) * c[entry, None] * states[entry] / np.maximum(model.seen[kind], 1e-9) + OWN * own
-    e[at] *= own
-    return sizes, e, ids, at, entry, c[entry]
+        own = (1 - OWN) * c[texts.entry, None] * states[texts.entry] / np.maximum(model.seen[texts.kind], 1e-9) + own
+    e[texts.at] *= own
+    return e, c[texts.entry]
 
 
-def baum_welch(rows: DataFrame, model: Model, known: int, share: np.ndarray, words: bool) -> DataFrame:
-    """The expected counts of all rows, summed across partitions: (symbol, at, k0..): one row a symbol, and, if asked, one a hash of a rare word."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, known, share))
+def baum_welch(rows: DataFrame, model: Model, known: int, words: bool) -> DataFrame:
+    """The expected counts of all rows, summed across partitions: (symbol, at, k0..): one row a symbol, and, if asked, one a hash of a rare word.
+
+    Here a rare word emits as its class does: its share of the class is taken as equal in all states.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((model, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, share = shared.value
+        model, known = shared.value
+        emit = (model.emit / model.emit.max(axis=1, keepdims=True)).astype(np.float32)
         into, held, size = model.none(), [], 0
 
         def told(symbol: bool, at: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
@@ -331,13 +345,10 @@ def baum_welch(rows: DataFrame, model: Model, known: int, share: np.ndarray, wor
             once, which = np.unique(h, return_inverse=True)
             return once, np.column_stack([np.bincount(which, weights=k[:, i], minlength=len(once)) for i in range(STATES)])
 
-        for whole in batches:
-            for batch in chunks(whole):
-                sizes, e, ids, at, entry, _ = emissions(batch, model, known, share)
-                gamma = model.expected(sizes, (e / e.max(axis=1, keepdims=True)).astype(np.float32), ids, into)
-                if not words:
-                    continue
-                held.append(summed(batch.column("rare").flatten().to_numpy()[entry], gamma[at]))
+        for texts in chunks(batches, known):
+            gamma = model.expected(texts.sizes, emit[texts.ids], texts.ids, into)
+            if words:
+                held.append(summed(texts.batch.column("rare").flatten().to_numpy()[texts.entry], gamma[texts.at]))
                 size += len(held[-1][0])
                 if size > SENT:
                     yield told(False, *summed(*map(np.concatenate, zip(*held, strict=True))))
@@ -347,7 +358,8 @@ def baum_welch(rows: DataFrame, model: Model, known: int, share: np.ndarray, wor
         at = np.flatnonzero(into.any(axis=1))
         yield told(True, at, into[at])
 
-    out = rows.select("ids", "rare", "found").mapInArrow(run, "symbol boolean, at long, " + ", ".join(f"{k} double" for k in _K))
+    columns = ["ids", F.size("rare").alias("n_rare"), *(["rare"] if words else [])]
+    out = rows.select(*columns).mapInArrow(run, "symbol boolean, at long, " + ", ".join(f"{k} double" for k in _K))
     return out.groupBy("symbol", "at").agg(*[F.sum(k).alias(k) for k in _K])
 
 
@@ -390,7 +402,7 @@ def score(docs: DataFrame) -> DataFrame:
     few, seen = [], 0
     drawn = F.xxhash64("doc_id", "ids", "rare")
     for r in training.select("ids", drawn.alias("h")).orderBy("h").limit(START).toLocalIterator():
-        ids = np.array(r["ids"], np.int64)
+        ids = unpacked(r["ids"])
         few.append(np.where(ids < known, ids, known + (ids - known) % CLASSES))
         seen += len(few[-1])
         if seen > START_TOKENS:
@@ -402,8 +414,7 @@ def score(docs: DataFrame) -> DataFrame:
             model.expected(sizes, model.emit[ids], ids, into)
             model.update(into)
     for turn in range(PASSES if few else 0):
-        # until the table is there, a rare token's factor is the same in all states
-        summed = stage(baum_welch(training.withColumn("found", F.lit(None).cast(FOUND)), model, known, share, turn == PASSES - 1), "expected")
+        summed = stage(baum_welch(training, model, known, turn == PASSES - 1), "expected")
         into = model.none()
         for r in summed.where("symbol").collect():  # one row a symbol, whatever the corpus
             into[r["at"]] = r[2:]
@@ -421,6 +432,7 @@ def score(docs: DataFrame) -> DataFrame:
         spread = F.coalesce(F.nullif("states", F.lit(0)), F.lit(uniform)).alias("states")
         rare = stage(rare.join(words, "h", "left").select("h", "kind", "c", spread), "emissions")
         drop_stage(summed)
+        drop_stage(counts)
         bytes_of = [F.shiftright("states", 8 * i).bitwiseAND(F.lit(255)) for i in range(STATES)]
         of = [F.sum(F.col("c") * b / sum(bytes_of[1:], bytes_of[0])) for b in bytes_of]
         model.seen = np.zeros((CLASSES, STATES))
@@ -436,19 +448,17 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, base_of, there, known, share = shared.value
         of_symbol, is_known = np.append(base_of, np.zeros(CLASSES)), np.append(there, np.zeros(CLASSES, bool))
-        for whole in batches:
-            for batch in chunks(whole):
-                sizes, e, ids, at, _, c = emissions(batch, model, known, share)
-                base, knows = of_symbol[ids], is_known[ids]
-                base[at], knows[at] = np.log10(c + 1), c > 0
-                starts = np.cumsum(sizes) - sizes
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(np.add.reduceat(knows.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(model.log10(sizes, e))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "counts", "score"],
-                )
+        for texts in chunks(batches, known):
+            e, c = emissions(texts, model, share)
+            base, knows = of_symbol[texts.ids], is_known[texts.ids]
+            base[texts.at], knows[texts.at] = np.log10(c + 1), c > 0
+            yield pa.RecordBatch.from_arrays(
+                [texts.batch.column("doc_id"), texts.batch.column("held_out"), pa.array(texts.sizes), pa.array(np.add.reduceat(knows.astype(np.int64), texts.starts)), pa.array(np.add.reduceat(base, texts.starts)), pa.array(model.log10(texts.sizes, e))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "counts", "score"],
+            )
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = with_counts(rows, rare).select("doc_id", "held_out", "ids", "rare", "found").mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, counts double, score double")
+    scored = with_counts(rows, rare).mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, counts double, score double")
     all_types = float(np.log10(n + 1 * (v + 1)))
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("counts") - F.col("n_tokens") * all_types).alias("base_score"), "score",
