@@ -4,15 +4,18 @@ Words are lower-cased and stripped of ASCII punctuation; shingles are five words
 one shingle). A window of an item's size can only reach the similarity if it shares a shingle with
 the item, so windows are laid where a shared shingle puts the item's start. Each window is
 fingerprinted, a multi-index over Hamming blocks (radius RADIUS, so some of the BLOCKS blocks differs in at
-most RADIUS // BLOCKS bits) finds all items within the radius, and the exact weighted Jaccard similarity
-of shingle counts verifies them.
+most RADIUS // BLOCKS bits) finds all items within the radius among those that share a shingle with the
+document (others can't be similar: at this radius the blocks alone would let most items pass), and the
+exact weighted Jaccard similarity of shingle counts verifies them.
 
-The benchmark is the stated query side and goes to the executors in blocks of ITEMS items, so what
-is sent has a bound whatever the benchmark's size; documents are never shuffled.
+The benchmark is the stated query side: its distinct texts go to the executors in blocks of at most
+about ITEMS texts and BYTES bytes, so what is sent has a bound whatever the benchmark's size; item_ids are joined
+to the matches afterwards; documents are never shuffled.
 
 Null, empty and wordless texts and items match nothing; repeated items are matched each; a document
 is one row per matched item, with its best window (the first of equals); repeated rows match alike;
-empty tables give no rows; very long texts are scanned whole; other columns are ignored.
+empty tables give no rows; very long texts are scanned whole; other columns are ignored, or pass through
+``decontaminate`` whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import PLAIN, stage, table, text_bytes
+from folioframe.llm.common import PLAIN, stage, table, text_bytes, unused
 from folioframe.llm.simhash import majority
 
 K, SIMILARITY = 5, 0.8
 #: Similarity 0.8 puts a window about 10 bits from its item; 22 bits leave four standard deviations.
 RADIUS, BLOCKS = 22, 8
-ITEMS = 20_000
+ITEMS, BYTES = 20_000, 32 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -62,24 +65,27 @@ class Index:
         self.items = [(i, w, Counter(shingles(w))) for i, w in items if w]
         self.vocabulary: dict[bytes, int] = {}
         self.starts: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)  # shingle -> (words before it, item's words)
+        self.holders: dict[tuple[int, ...], set[int]] = defaultdict(set)
         seen: dict[tuple[int, ...], set] = defaultdict(set)
-        for _, w, _ in self.items:
+        for n, (_, w, _) in enumerate(self.items):
             ids = tuple(self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w)
             k = min(K, len(w))
             for at in range(len(w) - k + 1):
                 seen[ids[at : at + k]].add((at, len(w)))
+                self.holders[ids[at : at + k]].add(n)
         self.starts = {s: sorted(v) for s, v in seen.items()}
         self.lengths = sorted({len(s) for s in self.starts})
         self.keys = {k: np.array(sorted(self._key(np.array([s], np.uint64), k)[0] for s in self.starts if len(s) == k), np.uint64) for k in self.lengths}
-        width = 64 // BLOCKS
-        flips = [sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), r)]
+        self.width = 64 // BLOCKS
+        self.flips = [sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(self.width), r)]
         self.fps = [fingerprint(c) for _, _, c in self.items]
         self.blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
         for n, fp in enumerate(self.fps):
             for b in range(BLOCKS):
-                part = fp >> (b * width) & ((1 << width) - 1)
-                for f in flips:
-                    self.blocks[b][part ^ f].append(n)
+                self.blocks[b][self._block(fp, b)].append(n)
+
+    def _block(self, fp: int, b: int) -> int:
+        return fp >> (b * self.width) & ((1 << self.width) - 1)
 
     @staticmethod
     def _key(windows: np.ndarray, k: int) -> np.ndarray:
@@ -90,10 +96,14 @@ class Index:
             key ^= key >> np.uint64(29)
         return key
 
-    def near(self, fp: int) -> list[tuple[int, int]]:
-        """(item, distance) of every item within RADIUS bits."""
-        width = 64 // BLOCKS
-        found = {n for b in range(BLOCKS) for n in self.blocks[b].get(fp >> (b * width) & ((1 << width) - 1), ())}
+    def near(self, fp: int, among: set[int]) -> list[tuple[int, int]]:
+        """(item, distance) of every item of among within RADIUS bits.
+
+        Few items are compared as they are; of many, those that the index finds.
+        """
+        found = among
+        if len(among) > BLOCKS * len(self.flips):
+            found = {n for b in range(BLOCKS) for f in self.flips for n in self.blocks[b].get(self._block(fp, b) ^ f, ()) if n in among}
         return [(n, d) for n in sorted(found) if (d := (fp ^ self.fps[n]).bit_count()) <= RADIUS]
 
     def matches(self, text: str | None) -> list[tuple[int, int, float, int]]:
@@ -104,6 +114,7 @@ class Index:
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
         windows: set[tuple[int, int]] = set()
+        met: set[int] = set()
         for k in self.lengths:
             if len(ids) < k:
                 continue
@@ -113,13 +124,15 @@ class Index:
             keys = self.keys[k]
             hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
             for i in at[hit].tolist():
-                for before, size in self.starts.get(tuple(ids[i : i + k].tolist()), ()):
+                shingle = tuple(ids[i : i + k].tolist())
+                met |= self.holders.get(shingle, set())
+                for before, size in self.starts.get(shingle, ()):
                     # a window that runs over an end of the text is cut there
                     windows.add((max(0, i - before), min(len(words), i - before + size)))
         best: dict[int, tuple[float, int, int]] = {}
         for start, end in sorted(windows):
             bag = Counter(shingles(words[start:end]))
-            for n, bits in self.near(fingerprint(bag)):
+            for n, bits in self.near(fingerprint(bag), met):
                 s = similarity(bag, self.items[n][2])
                 if s >= SIMILARITY and (n not in best or s > best[n][0]):
                     best[n] = (s, start, bits)
@@ -129,12 +142,13 @@ class Index:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words, bits) for each document and item it holds a passage of."""
     spark, out = docs.sparkSession, None
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    parts = max(1, -(-items.count() // ITEMS))
-    spread = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * parts if parts > 1 else 1))
-    for part in range(2 * parts if parts > 1 else 1):
-        rows = (items.where(spread == part) if parts > 1 else items).collect()  # about ITEMS rows at most
-        shared = spark.sparkContext.broadcast([(r["item_id"], words_of(r["text"])) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))])
+    items = benchmark.where("text is not null").select(F.xxhash64("text").alias("key"), F.col("item_id").cast("long").alias("item_id"), "text")
+    texts = items.select("key", "text").distinct()
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // ITEMS), -(-size // BYTES))
+    for part in range(parts):
+        rows = texts.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(parts)) == part).collect()  # about ITEMS distinct texts at most
+        shared = spark.sparkContext.broadcast([(r["key"], words_of(r["text"])) for r in sorted(rows)])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
@@ -148,20 +162,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([index.items[i][0] for i in n], pa.int64()), pa.array([m[2] for m in found], pa.float64()),
                      pa.array([m[1] for m in found], pa.int64()), pa.array([len(index.items[i][1]) for i in n], pa.int64()), pa.array([m[3] for m in found], pa.int32())],
-                    ["doc_id", "item_id", "similarity", "first_word", "n_words", "bits"],
+                    ["doc_id", "key", "similarity", "first_word", "n_words", "bits"],
                 )
 
         kind = docs.schema["doc_id"].dataType.simpleString()
-        got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, similarity double, first_word long, n_words long, bits int")
+        got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, similarity double, first_word long, n_words long, bits int")
         out = got if out is None else out.union(got)
-    return out
+    return out.join(items.select("key", "item_id"), "key").select("doc_id", "item_id", "similarity", "first_word", "n_words", "bits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a passage of the benchmark; rows with a null doc_id are judged by their text."""
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("text")))
-    hits = stage(contaminated(marked.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct(), "hits")
-    return marked.join(hits, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
+    hits = stage(contaminated(docs.select(row.alias("doc_id"), "text"), benchmark).select("doc_id").distinct(), "hits")
+    name = unused(docs, "_row")
+    return docs.withColumn(name, row).join(hits.withColumnRenamed("doc_id", name), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
