@@ -16,7 +16,7 @@ as equal runs.
 Null and empty texts have no part and stay as they are; rows with a null doc_id take no part and
 are kept whole; rows that share a doc_id count as one document (runs equal between them are not
 repeats, those within one row are); very long texts are read whole; an empty table gives no rows;
-other columns pass through.
+other columns pass through, whatever their names (without the counts, which have fixed names).
 """
 
 from __future__ import annotations
@@ -97,8 +97,8 @@ def repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> Da
     return found.join(first, "h").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
 
 
-def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with ``text`` less its repeated parts, and ``_sentences``, ``_removed`` and ``_bytes`` (before) beside it."""
+def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """docs with ``text`` less its repeated parts, and, if asked, ``_sentences``, ``_removed`` and ``_bytes`` (before) beside it."""
 
     @F.pandas_udf("text string, sentences long, removed long")
     def cut(text: pd.Series, known: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -118,15 +118,12 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
             out.append(("".join(kept), len(bits), len(bits) - len(kept)))
         return pd.DataFrame(out, columns=["text", "sentences", "removed"])
 
-    gone = repeats(docs, span, min_words).select(F.col("doc_id").alias("_span_doc"), F.col("gone").alias("_span_gone"))
-    out = docs.join(gone, F.col("doc_id") == F.col("_span_doc"), "left")
-    out = out.withColumn("_span_cut", cut("text", F.col("doc_id").isNotNull(), "_span_gone"))
-    return out.select(
-        *[F.col("_span_cut.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.col("_span_cut.sentences").alias("_sentences"),
-        F.col("_span_cut.removed").alias("_removed"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"),
-    )
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
+    out = packed.join(repeats(docs, span, min_words), "doc_id", "left").withColumn("cut", cut("text", F.col("doc_id").isNotNull(), "gone"))
+    added = [
+        F.col("cut.sentences").alias("_sentences"), F.col("cut.removed").alias("_removed"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"),
+    ]
+    return out.select(*[F.col("cut.text").alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns], *(added if counts else []))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
