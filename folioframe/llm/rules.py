@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.common import BLANKS, stage, table
 
-#: Positions of a text that the packed sort key can hold, as bits: longer texts use the struct sort.
-INDEX_BITS = 24
-
-
 def features(docs: DataFrame) -> DataFrame:
     """Counts per document; a word-window repeat is found by sorting window hashes inside the row: no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -35,17 +31,21 @@ def features(docs: DataFrame) -> DataFrame:
         "text",
         "w",
         F.expr(r"filter(lines, x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
+        # as many low bits as the text's positions need
+        F.expr("shiftleft(1L, length(bin(size(w)))) - 1").alias("low"),
+    )
+    base = base.select(
+        "*",
         # hash and position in one long: sorting primitives is fast, and equal windows become neighbours
-        F.expr(f"""sort_array(case when size(w) > 2 then transform(sequence(0, size(w) - 3),
-            i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & {-(1 << INDEX_BITS)}) | i) else array() end)""").alias("keys"),
+        F.expr("""sort_array(case when size(w) > 2 then transform(sequence(0, size(w) - 3),
+            i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & ~low) | i) else array() end)""").alias("keys"),
     )
-    near = f"""filter(sequence(0, size(keys) - 1), i ->
-        (i > 0 and (keys[i] >> {INDEX_BITS}) = (keys[i - 1] >> {INDEX_BITS}))
-        or (i < size(keys) - 1 and (keys[i] >> {INDEX_BITS}) = (keys[i + 1] >> {INDEX_BITS})))"""
+    near = """filter(sequence(0, size(keys) - 1), i ->
+        (i > 0 and (keys[i] | low) = (keys[i - 1] | low)) or (i < size(keys) - 1 and (keys[i] | low) = (keys[i + 1] | low)))"""
     base = base.withColumn(
         # full windows, for the few positions whose short hashes agree
         "likely",
-        F.expr(f"""case when size(keys) > 1 then array_sort(transform(transform({near}, j -> cast(keys[j] & {(1 << INDEX_BITS) - 1} as int)),
+        F.expr(f"""case when size(keys) > 1 then array_sort(transform(transform({near}, j -> cast(keys[j] & low as int)),
             i -> struct(w[i] as a, w[i + 1] as b, w[i + 2] as c, i as i))) else array() end"""),
     )
     same = lambda d: f"likely[k].a = likely[k {d}].a and likely[k].b = likely[k {d}].b and likely[k].c = likely[k {d}].c"
