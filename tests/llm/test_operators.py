@@ -334,13 +334,95 @@ def test_decontamination(spark, docs, none, odd):
     assert decontaminate.decontaminate(odd, bench.where("false")).count() == 5
 
 
-def test_near_windows_within_radius():
+def test_near_windows_are_all_found():
+    """Items of 40 to 200 words with words replaced, put into other words: all that stay at 0.8 by brute force are found."""
     r = random.Random(3)
-    item = [f"w{r.randint(0, 999)}".encode() for _ in range(120)]
-    changed = item[:60] + [b"other"] + item[61:]
-    index = decontaminate.Index([(9, item)])
-    found = index.matches(" ".join(x.decode() for x in [b"x", b"y", *changed, b"z"]))
-    assert len(found) == 1 and found[0][1] == 2 and found[0][2] >= 0.8
+    items = [[f"w{r.randint(0, 999)}".encode() for _ in range(r.randint(40, 200))] for _ in range(200)]
+    index = decontaminate.Index(list(enumerate(items)))
+    bag, wanted = lambda w: Counter(zip(*(w[i:] for i in range(5)), strict=False)), 0
+    for n, item in enumerate(items):
+        changed = list(item)
+        for at in r.sample(range(len(item)), r.randint(0, len(item) // 40)):
+            changed[at] = b"other"
+        a, b = bag(item), bag(changed)
+        same = (a & b).total() / (a | b).total()
+        found = index.matches(" ".join(x.decode() for x in [b"x", b"y", *changed, b"z"]))
+        assert [f[0] for f in found] == ([n] if same >= 0.8 else [])
+        wanted += same >= 0.8
+        if found:
+            assert found[0][1] == 2 and math.isclose(found[0][2], same)
+    assert wanted > 100
+    many = set(range(len(items)))
+    index.flips, few = index.flips, [index.near(fp, {n}) for n, fp in enumerate(index.fps)]
+    assert all((n, 0) in index.near(fp, many) and few[n] == [(n, 0)] for n, fp in enumerate(index.fps))
+
+
+def test_index_and_comparison_agree(monkeypatch):
+    r = random.Random(4)
+    index = decontaminate.Index([(i, [f"w{r.randint(0, 60)}".encode() for _ in range(30)]) for i in range(400)])
+    every = set(range(400))
+    for fp in index.fps[:20]:
+        by_index = index.near(fp, every)
+        assert by_index == [(n, (fp ^ f).bit_count()) for n, f in enumerate(index.fps) if (fp ^ f).bit_count() <= decontaminate.RADIUS]
+
+
+def test_extra_columns_of_any_name_pass_through(spark):
+    """Columns that are called as an operator's own ones might be come back as they were."""
+    names = ["_row", "_key", "_score", "_span_cut", "_span_gone", "key", "doc", "cut", "gone", "node", "root", "h"]
+    text = "One sentence is here for a start. " * 2 + "Another of them follows, it has more words. And a third one ends it at last."
+    rows = [(i, f"{text} {i * 7919} {'abc ' * i}", *[f"{n}{i}" for n in names]) for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, "nothing of this is anywhere")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    for out in (decontaminate.decontaminate(d, bench), simhash.representatives(d), spans.substring_dedup(d, counts=False), toxicity.ordinary(d, labels)):
+        assert out.columns == d.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+
+
+def brute_kneser_ney(rows):
+    """The models of toxicity in plain Python: per class {(u, v): p} for all u and v seen, and the shared unigrams."""
+    tri = [{x for t, y in rows if y == c for w in [toxicity.tokens(t)] for x in zip([b"", b"", *w], [b"", *w], w, strict=False)} for c in (0, 1)]
+    sizes = Counter(y for _, y in rows)
+    scale = [min(sizes.values()) / sizes[c] for c in (0, 1)]
+    pair = [{k: n * scale[c] for k, n in Counter((u, v) for _, u, v in tri[c]).items()} for c in (0, 1)]
+    uni = [{k: n * scale[c] for k, n in Counter(v for _, v in {(u, v) for _, u, v in tri[c]}).items()} for c in (0, 1)]
+    take = lambda n, m, d: min(n, d + toxicity.COMMON * min(n, m))
+    words = set(uni[0]) | set(uni[1])
+    taken = [{v: take(uni[c].get(v, 0), uni[1 - c].get(v, 0), toxicity.WORD_DISCOUNT) for v in words} for c in (0, 1)]
+    both = sum(sum(x.values()) for x in taken)
+    total = [sum(x.values()) for x in uni]
+    shared = {v: (taken[0][v] + taken[1][v]) / both for v in words}
+    low = [{v: (uni[c].get(v, 0) - taken[c][v]) / total[c] + sum(taken[c].values()) / total[c] * shared[v] for v in words} for c in (0, 1)]
+    out = []
+    for c in (0, 1):
+        left = {k: n - take(n, pair[1 - c].get(k, 0), toxicity.PAIR_DISCOUNT) for k, n in pair[c].items()}
+        of = Counter()
+        for (u, _), n in pair[c].items():
+            of[u] += n
+        back = {u: 1 - sum(n for (x, _), n in left.items() if x == u) / of[u] for u in of}
+        out.append(lambda u, v, c=c, left=left, of=of, back=back: (left.get((u, v), 0) / of[u] if u in of else 0) + back.get(u, 1) * low[c][v])
+    return out, words, {u for u, _ in set(pair[0]) | set(pair[1])}
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Every conditional sums to one, and the evidence of every text is that of the models written out in full."""
+    monkeypatch.setattr(toxicity, "WORD_DISCOUNT", 1.0)
+    monkeypatch.setattr(toxicity, "PAIR_DISCOUNT", 1.0)
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choices("abcdefgh", k=12) + (["vile", "scum"] * 2 if i % 4 == 0 else [])), int(i % 4 == 0), 1 if i % 3 else 0) for i in range(80)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int, part int")
+    kn, _ = toxicity.fit(sample.drop("doc_id"), -1.0)
+    p, words, contexts = brute_kneser_ney([(t, y) for _, t, y, part in rows if part == 1])
+    for c in (0, 1):
+        assert all(math.isclose(sum(p[c](u, v) for v in words), 1, rel_tol=1e-9) for u in contexts)
+        seen = kn.low[2 : 2 + sum(w in kn.ids for w in words), c].sum()
+        assert math.isclose(seen + kn.gamma[c] * kn.rest, 1, rel_tol=1e-9)
+    assert len(kn.pairs) and kn.back.min() < 1
+    for _, t, _, _ in rows:
+        w = toxicity.tokens(t)
+        if set(w) <= words:
+            want = sum(math.log(p[1](u, v) / p[0](u, v)) for u, v in zip([b"", *w], w, strict=False))
+            assert math.isclose(kn.evidence(w)[0], want / len(w), rel_tol=1e-9, abs_tol=1e-12)
 
 
 def test_language(docs, none, odd):
