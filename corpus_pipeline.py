@@ -14,7 +14,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioframe.llm import decontaminate, pieces, simhash, spans, toxicity
 from folioframe.llm.common import shared_dir, table
@@ -32,7 +31,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return spans.substring_dedup(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return spans.substring_dedup(docs, counts=False)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
