@@ -42,7 +42,7 @@ def split_paragraphs(c: Column) -> Column:
 def field_key(c: Column, ordinal: Column) -> Column:
     """Letters and digits between anything else: none field_N, one a, two a.b, more a.b_c."""
     parts = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    first, rest = F.element_at(parts, 1), F.array_join(F.slice(parts, 2, 1000), "_")
+    first, rest = F.element_at(parts, 1), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), "_")
     return (
         F.when(F.size(parts) == 0, F.concat(F.lit("field_"), ordinal.cast("string")))
         .when(F.size(parts) == 1, first)
@@ -87,7 +87,7 @@ def paragraph_anchor_shape(c: Column) -> Column:
 
 
 def date_like(c: Column) -> Column:
-    return c.rlike(r"^[\d\s.\-/:]+$") & c.rlike(r"\d")
+    return c.rlike(r"(?U)^[\d\s.\-/:]+$") & c.rlike(r"(?U)\d")
 
 
 def mm_to_unit(mm: Column) -> Column:
@@ -151,3 +151,57 @@ def local_name(c: Column) -> Column:
 def signature(*parts: Column) -> Column:
     """Parts joined by ``|``; a null part is ``-``, so that different coordinates can't collide."""
     return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
+
+
+#: What is taken out of a selector before it becomes a key.
+KEY_DROPS = ("{", "}", "[", "]", "<", ">")
+KEY_BLANKS = ("□", "▢", "※")
+
+
+def key_source(c: Column) -> Column:
+    """A selector's words: cut at ``*``, without brackets, box marks, company marks and runs of zeros, in lower case."""
+    c = F.trim(F.regexp_replace(trim_unicode(F.replace(c, F.lit("\n"), F.lit(" "))), r"\*.*$", ""))
+    c = F.translate(c, "".join(KEY_DROPS), "")
+    c = F.translate(c, "".join(KEY_BLANKS), " " * len(KEY_BLANKS))
+    c = F.regexp_replace(F.regexp_replace(c, r"\(\s*주\s*\)|（\s*주\s*）", " "), r"0{2,}", " ")
+    return F.lower(trim_unicode(c))
+
+
+def template_id(path: Column) -> Column:
+    """A file's name as an identifier."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    key = F.replace(field_key(key_source(name), F.lit(0)), F.lit("."), F.lit("_"))
+    return F.when(key == "field_0", F.lit("template_contract")).when(key.rlike(r"^\p{Nd}"), F.concat(F.lit("template_"), key)).otherwise(key)
+
+
+def matrix(c: Column) -> Column:
+    """``a,b;c,d`` as an array of rows."""
+    return F.transform(F.split(c, ";"), lambda r: F.transform(F.split(r, ","), F.trim))
+
+
+def image_units(pixels_wide: Column, pixels_high: Column, most: int = 42520) -> Column:
+    """struct(width, height) in units at 96 dots an inch, at most as wide as a page's text."""
+    wide, high = (F.floor(p * 7200.0 / 96 + 0.5) for p in (pixels_wide, pixels_high))
+    width = F.least(wide, F.lit(most))
+    return F.struct(width.cast("int").alias("width"), F.floor(high * width / wide + 0.5).cast("int").alias("height"))
+
+
+def border_strength(kind: Column, width_mm: Column) -> Column:
+    """Of a visible line: a hundred times its width, and its kind's rank; 0 for none."""
+    kind = F.upper(F.trim(kind))
+    rank = F.when(kind == "DOUBLE_SLIM", 30).when(kind == "SOLID", 20).when(kind == "DASH", 10).otherwise(5)
+    return F.when(kind.isin("NONE", ""), F.lit(0.0)).otherwise(width_mm * 100 + rank)
+
+
+def within_units(a: Column, b: Column, parts: Column) -> Column:
+    """Equal but for the rounding of so many parts."""
+    return F.abs(a - b) <= parts
+
+
+def rfc3339(ts: Column) -> Column:
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), ts.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def role_hints(role: Column, **flags: Column) -> Column:
+    """The role, then the name of each condition that holds, in order."""
+    return F.array_compact(F.array(role, *[F.when(c, F.lit(n.replace("_", "-"))) for n, c in flags.items()]))

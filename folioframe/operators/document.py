@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,45 +15,26 @@ SECTION = ["doc_id", "section_path"]
 
 
 def paragraph_texts(elements: DataFrame) -> DataFrame:
-    """Every paragraph with its texts: text_t (``t`` only) and text_tbt (with line breaks and tabs), its own runs only in text_own."""
-    paragraphs = elements.where("tag = 'p'").select(*SECTION, "pre", "last", "depth", "all_p_idx", "body_p_idx", "table_idx", "cell_row", "cell_col", F.trim(F.coalesce(F.col("attrs")["styleIDRef"], F.lit(""))).alias("style_id"))
-    said = elements.where("tag in ('t', 'lineBreak', 'tab')").select(
-        *SECTION, F.col("pre").alias("at"), F.col("all_p_idx").alias("own"), "tag",
-        F.when(F.col("tag") == "t", F.col("text")).when(F.col("tag") == "tab", "\t").otherwise("\n").alias("piece"),
-    )
-    held = paragraphs.join(said, SECTION, "left").where((F.col("at").isNull()) | F.col("at").between(F.col("pre"), F.col("last")))
-    texts = held.groupBy(*SECTION, "pre").agg(
-        F.array_sort(F.collect_list(F.struct("at", "tag", "piece", (F.col("own") == F.col("all_p_idx")).alias("mine")))).alias("s")
-    )
-    join = lambda keep: F.array_join(F.transform(F.filter("s", keep), lambda x: x["piece"]), "")
-    texts = texts.select(*SECTION, "pre", join(lambda x: x["tag"] == "t").alias("text_t"), join(lambda x: x["tag"].isNotNull()).alias("text_tbt"), join(lambda x: x["mine"]).alias("text_own"))
-    empty = [F.coalesce(c, F.lit("")).alias(c) for c in ("text_t", "text_tbt", "text_own")]
-    return paragraphs.join(texts, [*SECTION, "pre"], "left").select(*[c for c in paragraphs.columns], *empty)
+    """Every paragraph with its coordinates and texts, as the walk gathered them."""
+    style = F.trim(F.coalesce(F.col("attrs")["styleIDRef"], F.lit(""))).alias("style_id")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("text_t", "text_tbt", "text_lines", "text_direct", "text_fill")]
+    return elements.where("tag = 'p'").select(*SECTION, "pre", "last", "depth", "all_p_idx", "body_p_idx", "table_idx", "in_tables", "cell_row", "cell_col", style, "has_secpr", *texts, F.col("text_direct").alias("text_own"))
 
 
-def table_labels(paragraphs: DataFrame) -> DataFrame:
-    """(section, all_p_idx, label): a paragraph's own text, else the last one before it in the section."""
+def table_labels(paragraphs: DataFrame, column: str = "text_own") -> DataFrame:
+    """(section, all_p_idx, label): a paragraph's own text, else the last one before it in the section; section properties say nothing."""
     w = W.partitionBy(*SECTION).orderBy("all_p_idx").rowsBetween(W.unboundedPreceding, 0)
-    own = F.when(T.trim_unicode(F.col("text_own")) != "", T.trim_unicode(F.col("text_own")))
+    said = T.trim_unicode(T.normalize_inline(F.col(column)) if column == "text_own" else F.col(column))
+    own = F.when((said != "") & ~F.coalesce("has_secpr", F.lit(False)), said)
     return paragraphs.select(*SECTION, "all_p_idx", F.last(own, ignorenulls=True).over(w).alias("label"))
 
 
-def cells(elements: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """One row a cell with address, spans, size, paragraph count and text."""
-    of = lambda tag: elements.where(F.col("tag") == tag).select(*SECTION, F.col("parent_pre").alias("pre"), "attrs")
-    number = lambda name, default: F.coalesce(F.expr(f"try_cast(attrs['{name}'] as int)"), F.lit(default))
-    tc = elements.where("tag = 'tc'").select(*SECTION, "pre", "last", "table_idx", F.col("cell_row").alias("row"), F.col("cell_col").alias("col"))
-    span = of("cellSpan").select(*SECTION, "pre", F.greatest(F.lit(1), number("rowSpan", 1)).alias("row_span"), F.greatest(F.lit(1), number("colSpan", 1)).alias("col_span"))
-    size = of("cellSz").select(*SECTION, "pre", number("width", 0).alias("width"), number("height", 0).alias("height"))
-    texts = (
-        tc.join(paragraphs.select(*SECTION, F.col("pre").alias("p_pre"), "all_p_idx", "table_idx", "cell_row", "cell_col", "text_t"), [*SECTION, "table_idx"])
-        .where("p_pre between pre and last and cell_row = row and cell_col = col")
-        .groupBy(*SECTION, "pre")
-        .agg(F.count("*").alias("paragraph_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("all_p_idx", "text_t"))), lambda x: x["text_t"]), "").alias("text"))
-    )
-    out = tc.join(span, [*SECTION, "pre"], "left").join(size, [*SECTION, "pre"], "left").join(texts, [*SECTION, "pre"], "left")
-    fill = [F.coalesce(c, F.lit(d)).alias(c) for c, d in (("row_span", 1), ("col_span", 1), ("width", 0), ("height", 0), ("paragraph_count", 0), ("text", ""))]
-    return out.select(*SECTION, "table_idx", "pre", "row", "col", *fill)
+def cells(elements: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
+    """One row a cell with address, spans, size, paragraph count and text (``text_all``: line breaks included)."""
+    return elements.where("tag = 'tc'").select(
+        *SECTION, "table_idx", "in_tables", "pre", F.col("cell_row").alias("row"), F.col("cell_col").alias("col"), "row_span", "col_span", "width", "height", "paragraph_count",
+        F.col("text_t").alias("text"), "text_all",
+    )
 
 
 def grid(cell_rows: DataFrame) -> DataFrame:
@@ -69,16 +52,36 @@ def grid(cell_rows: DataFrame) -> DataFrame:
 
 
 def tables(elements: DataFrame, paragraphs: DataFrame, cell_rows: DataFrame) -> DataFrame:
-    """One row a table with size, nesting, label, merged cells and role."""
+    """One row a table with size, nesting, label, preview, role and the counts of what is in it (nested tables included in merged_cells and paragraph_count)."""
     own = elements.where("tag = 'tbl'").select(
         *SECTION, "pre", "table_idx", "parent_table_idx", "all_p_idx", F.when(F.col("parent_table_idx").isNull(), 0).otherwise(1).alias("nested_depth"),
         F.expr("try_cast(attrs['rowCnt'] as int)").alias("declared_rows"), F.coalesce(F.expr("try_cast(attrs['colCnt'] as int)"), F.lit(0)).alias("cols"),
+        T.truncate_bytes(T.trim_unicode(F.col("text_t")), 120).alias("text_preview"),
     )
     rows = elements.where("tag = 'tr'").groupBy(*SECTION, F.col("parent_pre").alias("pre")).agg(F.count("*").cast("int").alias("tr"))
-    merged = cell_rows.groupBy(*SECTION, "table_idx").agg(F.count_if(F.expr("row_span > 1 or col_span > 1")).alias("merged_cells"))
-    out = own.join(rows, [*SECTION, "pre"], "left").join(merged, [*SECTION, "table_idx"], "left").join(table_labels(paragraphs), [*SECTION, "all_p_idx"], "left")
-    out = out.withColumn("rows", F.coalesce("declared_rows", "tr", F.lit(0)))
-    return out.select(*SECTION, "table_idx", "parent_table_idx", "nested_depth", "rows", "cols", F.coalesce("merged_cells", F.lit(0)).alias("merged_cells"), T.truncate_bytes(F.coalesce("label", F.lit("")), 120).alias("label"), T.table_role(F.col("nested_depth"), F.col("rows"), F.col("cols")).alias("role"))
+    inside = lambda df, count, name: df.select(*SECTION, F.explode("in_tables").alias("_t"), count.alias("x")).groupBy(*SECTION, F.col("_t").alias("table_idx")).agg(F.sum("x").alias(name))
+    merged = inside(cell_rows, F.expr("cast(row_span > 1 or col_span > 1 as long)"), "merged_cells")
+    within = inside(paragraphs, F.lit(1).cast("long"), "paragraph_count")
+    marks = lambda df, name: df.where("table_idx is not null").groupBy(*SECTION, "table_idx").agg(F.count("*").alias(name))
+    out = own.join(rows, [*SECTION, "pre"], "left").join(table_labels(paragraphs), [*SECTION, "all_p_idx"], "left")
+    for found in (merged, within, marks(placeholders(paragraphs), "placeholder_count"), marks(guides(paragraphs), "guide_count"), anchor_hints(cell_rows)):
+        out = out.join(found, [*SECTION, "table_idx"], "left")
+    out = out.withColumn("rows", F.coalesce("declared_rows", "tr", F.lit(0))).fillna(0, ["merged_cells", "paragraph_count", "placeholder_count", "guide_count"])
+    c = F.col
+    out = out.withColumns({"label": T.truncate_bytes(F.coalesce("label", F.lit("")), 120), "anchor_hints": F.coalesce("anchor_hints", F.array().cast("array<string>"))})
+    out = out.withColumn("role", T.table_role(c("nested_depth"), c("rows"), c("cols")))
+    hints = T.role_hints(c("role"), labeled_table=c("label") != "", contains_placeholders=c("placeholder_count") > 0, contains_guides=c("guide_count") > 0, nested_table=c("nested_depth") > 0, anchor_rich=F.size("anchor_hints") > 0)
+    return out.select(*SECTION, "table_idx", "parent_table_idx", "nested_depth", "rows", "cols", "merged_cells", "paragraph_count", "placeholder_count", "guide_count", "label", "text_preview", "anchor_hints", F.size("anchor_hints").alias("anchor_count"), "role", hints.alias("role_hints"))
+
+
+def anchor_hints(cell_rows: DataFrame) -> DataFrame:
+    """Of each table up to eight distinct cell texts that can be anchors: those of the first row or column first."""
+    text = T.collapse_blanks(F.col("text"))
+    kept = cell_rows.select(*SECTION, "table_idx", (~F.expr("row = 0 or col = 0")).alias("late"), "pre", text.alias("text")).where(T.keeps_anchor(F.col("text")))
+    once = kept.groupBy(*SECTION, "table_idx", "text").agg(F.min(F.struct("pre", "late")).alias("at"))
+    w = W.partitionBy(*SECTION, "table_idx").orderBy("at.late", "at.pre")
+    top = once.withColumn("k", F.row_number().over(w)).where("k <= 8")
+    return top.groupBy(*SECTION, "table_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("anchor_hints"))
 
 
 def candidates(paragraphs: DataFrame, reason: Column) -> DataFrame:
@@ -95,31 +98,101 @@ def guides(paragraphs: DataFrame) -> DataFrame:
 
 
 def sections(elements: DataFrame, paragraphs: DataFrame, table_rows: DataFrame) -> DataFrame:
-    """Counts, flags and role of every section."""
+    """Counts, flags, preview and role of every section."""
     hidden = elements.where("tag = 'secPr'").select(*SECTION, "all_p_idx").distinct().withColumn("hidden", F.lit(True))
-    body = paragraphs.where("depth = 1").join(hidden, [*SECTION, "all_p_idx"], "left").groupBy(*SECTION).agg(F.count_if(F.expr("hidden is null")).alias("paragraph_count"))
+    seen = paragraphs.where("depth = 1").join(hidden, [*SECTION, "all_p_idx"], "left").where("hidden is null")
+    said = T.truncate_bytes(T.trim_unicode(F.col("text_t")), 120)
+    body = seen.groupBy(*SECTION).agg(F.count("*").alias("paragraph_count"), F.min_by(said, F.when(T.trim_unicode(F.col("text_t")) != "", F.col("pre"))).alias("text_preview"))
     count = lambda df, name: df.groupBy(*SECTION).agg(F.count("*").alias(name))
-    flags = elements.groupBy(*SECTION).agg(*[F.max(F.col("tag") == tag).alias(name) for tag, name in (("header", "has_header"), ("footer", "has_footer"), ("pageNum", "has_page_number"))])
+    spans = F.expr("tag = 'cellSpan' and (coalesce(try_cast(attrs['rowSpan'] as int), 1) > 1 or coalesce(try_cast(attrs['colSpan'] as int), 1) > 1)")
+    flags = elements.groupBy(*SECTION).agg(*[F.max(F.col("tag") == tag).alias(name) for tag, name in (("header", "has_header"), ("footer", "has_footer"), ("pageNum", "has_page_number"))], F.count_if(spans).alias("merged_cell_count"))
     tabs = table_rows.groupBy(*SECTION).agg(F.count("*").alias("table_count"), F.count_if(F.expr("parent_table_idx is null")).alias("top_level_tables"))
     out = flags.join(body, SECTION, "left").join(tabs, SECTION, "left").join(count(placeholders(paragraphs), "placeholder_count"), SECTION, "left").join(count(guides(paragraphs), "guide_count"), SECTION, "left")
-    out = out.fillna(0)
+    out = out.fillna(0).fillna("", ["text_preview"]).withColumn("nested_table_count", F.col("table_count") - F.col("top_level_tables"))
     c = F.col
-    return out.withColumn("role", T.section_role(c("table_count"), c("top_level_tables"), c("paragraph_count"), c("placeholder_count"), c("guide_count")))
+    out = out.withColumn("role", T.section_role(c("table_count"), c("top_level_tables"), c("paragraph_count"), c("placeholder_count"), c("guide_count")))
+    return out.withColumn("role_hints", T.role_hints(c("role"), contains_placeholders=c("placeholder_count") > 0, contains_guides=c("guide_count") > 0, contains_tables=c("top_level_tables") > 0, contains_nested_tables=c("nested_table_count") > 0, page_decorated=c("has_header") | c("has_footer") | c("has_page_number")))
+
+
+def with_anchor_counts(rows: DataFrame, anchor_rows: DataFrame, key: list[str]) -> DataFrame:
+    """Sections (key SECTION) or tables (key SECTION and table_idx) with the number of their anchors; hints are left alone."""
+    found = anchor_rows.where("table_idx is not null") if "table_idx" in key else anchor_rows
+    counted = found.groupBy(*key).agg(F.count("*").alias("anchor_count"))
+    return rows.drop("anchor_count").join(counted, key, "left").fillna(0, ["anchor_count"])
 
 
 def anchors(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, style_rows: DataFrame) -> DataFrame:
-    """Anchor candidates of the three kinds, one of each (section, place, kind, text), best first."""
+    """Anchor candidates of the three kinds, the first one of each (section, place, kind, text), ranked within their section."""
     where = [*SECTION, "table_idx", "row", "col"]
     none = lambda name: F.lit(None).cast("int").alias(name)
-    labels = table_rows.select(*SECTION, "table_idx", none("row"), none("col"), F.lit("table-label").alias("kind"), F.lit("table-label").alias("role"), F.lit(100).alias("score"), T.collapse_blanks(F.col("label")).alias("text"))
+    labels = table_rows.select(*SECTION, "table_idx", none("row"), none("col"), F.col("table_idx").alias("seq"), F.lit("table-label").alias("kind"), F.lit("table-label").alias("role"), F.lit(100).alias("score"), T.collapse_blanks(F.col("label")).alias("text"))
     mark = T.cell_anchor(F.col("row"), F.col("col"))
-    in_cells = cell_rows.withColumn("a", mark).where("a is not null").select(*where, F.lit("table-cell").alias("kind"), "a.role", "a.score", T.collapse_blanks(F.col("text")).alias("text"))
+    in_cells = cell_rows.withColumn("a", mark).where("a is not null").select(*where, F.col("pre").alias("seq"), F.lit("table-cell").alias("kind"), "a.role", "a.score", T.collapse_blanks(F.col("text")).alias("text"))
     style = paragraphs.where("table_idx is null").join(style_rows.select("doc_id", F.col("id").alias("style_id"), "name"), ["doc_id", "style_id"], "left")
     heading = F.lower(F.coalesce("name", F.lit(""))).rlike("heading|title")
-    body = style.select(*SECTION, "table_idx", none("row"), none("col"), F.lit("paragraph").alias("kind"), F.when(heading, "section-heading").otherwise("paragraph-label").alias("role"), F.when(heading, 80).otherwise(60).alias("score"), T.collapse_blanks(F.col("text_t")).alias("text"))
+    body = style.select(*SECTION, "table_idx", none("row"), none("col"), F.col("pre").alias("seq"), F.lit("paragraph").alias("kind"), F.when(heading, "section-heading").otherwise("paragraph-label").alias("role"), F.when(heading, 80).otherwise(60).alias("score"), T.collapse_blanks(F.col("text_t")).alias("text"))
     body = body.where(T.paragraph_anchor_shape(F.col("text")))
     every = labels.unionByName(in_cells).unionByName(body).where(T.keeps_anchor(F.col("text")))
-    return every.dropDuplicates([*where, "kind", "text"]).orderBy(*SECTION, F.desc("score"), "kind", "text")
+    first = every.groupBy(*where, "kind", "text").agg(F.min(F.struct("seq", "role", "score")).alias("first")).select(*where, "kind", "text", "first.*")
+    return first.withColumn("rank", F.row_number().over(W.partitionBy(*SECTION).orderBy(F.desc("score"), "kind", "text", "seq")) - 1)
+
+
+def style_names(paragraphs: DataFrame, style_rows: DataFrame) -> DataFrame:
+    """paragraphs with style_name and style_summary: ``name (id)``, ``style#id`` of an unknown id, empty of none."""
+    known = style_rows.select("doc_id", F.col("id").alias("style_id"), F.col("name").alias("style_name"))
+    out = paragraphs.join(known, ["doc_id", "style_id"], "left")
+    named = F.concat("style_name", F.lit(" ("), "style_id", F.lit(")"))
+    return out.withColumn("style_summary", F.when(F.col("style_id") == "", "").otherwise(F.coalesce(named, F.concat(F.lit("style#"), "style_id")))).fillna("", ["style_name"])
+
+
+def headings(paragraphs: DataFrame, style_rows: DataFrame, most: int = 3) -> DataFrame:
+    """(section, all_p_idx, level, text, nth) of body paragraphs in a heading style up to a level, in order."""
+    level = T.heading_level(F.col("style_name"), cap=None, title=False)
+    rows = style_names(paragraphs.where("body_p_idx is not null"), style_rows).withColumn("level", level).where((F.col("level") <= most) & (T.trim_unicode(F.col("text_tbt")) != ""))
+    return rows.select(*SECTION, "all_p_idx", "level", T.trim_unicode(F.col("text_tbt")).alias("text"), (F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "all_p_idx")) - 1).alias("nth"))
+
+
+def find_guides(paragraphs: DataFrame, reason: str | None = None) -> DataFrame:
+    """Guide candidates, of one reason in any case if given."""
+    found = guides(paragraphs)
+    return found.where(F.col("reason") == reason.strip().lower()) if reason else found
+
+
+def find_by_path(elements: DataFrame, path: str) -> DataFrame:
+    """Elements by a path: steps of names or ``*`` after ``/`` or ``//``, each with ``[n]`` (from 1), ``[@a]``, ``[@a='v']`` or ``[tag]``.
+
+    A subset of XPath, over the flattened form: every step is a join of parents and children, or of
+    intervals of the same part. A path that starts with one ``/`` starts at the root.
+    """
+    steps = re.findall(r"(//?|^)\s*([\w.:*-]+)((?:\[[^\]]*\])*)", path.strip())
+    if not steps or "".join("".join(x) for x in steps).replace(" ", "") != path.strip().replace(" ", ""):
+        raise ValueError(f"unknown path: {path}")
+    now: DataFrame | None = None
+    for axis, name, tests in steps:
+        named = elements if name == "*" else elements.where(F.col("tag") == name.rsplit(":", 1)[-1])
+        if now is None:
+            found = named.where("depth = 0") if axis == "/" else named
+        elif axis == "//":
+            up = now.select(*SECTION, F.col("pre").alias("a0"), F.col("last").alias("a1"))
+            found = named.join(up, SECTION).where("pre > a0 and pre <= a1").drop("a0", "a1").dropDuplicates([*SECTION, "pre"])
+        else:
+            found = named.join(now.select(*SECTION, F.col("pre").alias("parent_pre")), [*SECTION, "parent_pre"], "left_semi")
+        for test in re.findall(r"\[([^\]]*)\]", tests):
+            attr = re.fullmatch(r"@([\w.:-]+)(?:\s*=\s*(?:'([^']*)'|\"([^\"]*)\"))?", test.strip())
+            if test.strip().isdigit():
+                w = W.partitionBy(*SECTION, "parent_pre", *([] if name == "*" else ["tag"])).orderBy("pre")
+                found = found.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == int(test)).drop("_nth")
+            elif attr:
+                value = F.col("attrs")[attr[1].rsplit(":", 1)[-1]]
+                wanted = attr[2] if attr[2] is not None else attr[3]
+                found = found.where(value.isNotNull() if wanted is None else value == wanted)
+            elif re.fullmatch(r"[\w.:-]+", test.strip()):
+                kids = elements.where(F.col("tag") == test.strip().rsplit(":", 1)[-1]).select(*SECTION, F.col("parent_pre").alias("pre"))
+                found = found.join(kids, [*SECTION, "pre"], "left_semi")
+            else:
+                raise ValueError(f"unknown test: [{test}]")
+        now = found
+    return now.withColumn("match_index", F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "pre")) - 1)
 
 
 def find_by_tag(elements: DataFrame, tag: str) -> DataFrame:
@@ -188,10 +261,13 @@ def risk_signals(entries: DataFrame, exact: bool = False) -> DataFrame:
     n = lambda *tags: sum((F.regexp_count("x", F.lit(f"<hp:{tag}" + (r"[\s/>]" if exact else ""))) for tag in tags), F.lit(0))
     spans = F.regexp_count("x", F.lit('(?:rowSpan|colSpan)="(?!1")[^"]+"'))
     rows = parts.select("doc_id", n("tbl").alias("t"), spans.alias("merged"), n("pic", "rect", "ellipse", "line", "equation", "container", "drawText").alias("objects"), n("header", "footer").alias("hf"), n("pageNum").alias("pages"), F.regexp_count("x", F.lit("목차")).alias("toc"))
+    low = F.lower(F.col("content").cast("string"))
+    marks = entries.where("path = 'Contents/header.xml'").select("doc_id", (F.regexp_count(low, F.lit("toc heading")) + F.regexp_count(low, F.lit("toc "))).alias("in_header"))
     out = rows.groupBy("doc_id").agg(
         F.count("*").alias("section_count"), F.sum("t").alias("table_count"), F.sum("merged").alias("merged_cell_count"), F.sum(F.greatest(F.col("t") - 1, F.lit(0))).alias("nested_table_count"),
         F.sum("objects").alias("object_count"), F.sum("hf").alias("header_footer_count"), F.sum("pages").alias("page_number_count"), F.sum("toc").alias("toc_marker_count"),
     )
+    out = out.join(marks, "doc_id", "left").withColumn("toc_marker_count", F.col("toc_marker_count") + F.coalesce("in_header", F.lit(0))).drop("in_header")
     hint = lambda cond, name: F.when(F.expr(cond), F.lit(name))
     return out.withColumn("hints", F.array_compact(F.array(
         hint("section_count > 1", "section-risk"), hint("toc_marker_count > 0", "toc-risk"), hint("merged_cell_count > 0 or nested_table_count > 0 or table_count >= 20", "table-risk"),
@@ -200,20 +276,36 @@ def risk_signals(entries: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def plain_text(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, text): non-empty body paragraphs in section and document order, one a line."""
-    rows = paragraphs.where("depth = 1").where(T.trim_unicode(F.col("text_tbt")) != "")
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_path", "pre", "text_tbt"))), lambda x: x["text_tbt"]), "\n").alias("text"))
+    """(doc_id, text): the own lines of every paragraph that has some, in section and document order; a nested one comes after the one it is in."""
+    rows = paragraphs.where("text_lines <> ''")
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_path", "pre", "text_lines"))), lambda x: x["text_lines"]), "\n").alias("text"))
 
 
 def blocks(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, style_rows: DataFrame, elements: DataFrame) -> DataFrame:
-    """Export blocks in order: headings and paragraphs of the body, then each one's tables as rows of cells."""
-    body = paragraphs.where("depth = 1 and table_idx is null").join(style_rows.select("doc_id", F.col("id").alias("style_id"), "name"), ["doc_id", "style_id"], "left")
+    """Export blocks in order: headings and paragraphs of the body, then each one's objects: tables as rows of cells, others as text."""
+    body = paragraphs.where("body_p_idx is not null").join(style_rows.select("doc_id", F.col("id").alias("style_id"), "name"), ["doc_id", "style_id"], "left")
     level = F.coalesce(T.heading_level(F.coalesce("name", F.lit(""))), F.lit(0))
-    texts = body.select(*SECTION, "pre", level.alias("level"), T.normalize_inline(F.col("text_own")).alias("text"), F.lit(None).cast("array<array<string>>").alias("rows")).where("text <> ''")
-    line = cell_rows.groupBy(*SECTION, "table_idx", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]).alias("line"))
-    whole = line.groupBy(*SECTION, "table_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]).alias("rows"))
-    place = elements.where("tag = 'tbl' and parent_table_idx is null").select(*SECTION, "table_idx", "pre")
-    return texts.unionByName(place.join(whole, [*SECTION, "table_idx"]).select(*SECTION, "pre", F.lit(0).alias("level"), F.lit("").alias("text"), "rows"))
+    none = F.lit(None).cast("array<array<string>>").alias("rows")
+    texts = body.select(*SECTION, "pre", level.alias("level"), T.normalize_inline(F.col("text_direct")).alias("text"), none).where("text <> ''")
+    # objects that are direct children of a run of a body paragraph
+    direct = elements.where("depth = 3 and run_idx is not null and body_p_idx is not null")
+    line = cell_rows.groupBy(*SECTION, "table_idx", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", T.normalize_inline(F.col("text_all")).alias("text")))), lambda x: x["text"]).alias("line"), F.min("pre").alias("at"))
+    whole = line.groupBy(*SECTION, "table_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("rows"))
+    of_tables = direct.where("tag = 'tbl'").select(*SECTION, "table_idx", "pre").join(whole, [*SECTION, "table_idx"]).select(*SECTION, "pre", F.lit(0).alias("level"), F.lit("").alias("text"), "rows")
+    boxes = elements.where("tag = 'drawText'").select(*SECTION, F.col("pre").alias("d0"), F.col("last").alias("d1"), F.col("parent_pre").alias("pre"))
+    lists = elements.where("tag = 'subList'").select(*SECTION, F.col("pre").alias("s0"), F.col("parent_pre").alias("d0"))
+    inner = elements.where("tag = 'p'").select(*SECTION, F.col("pre").alias("p0"), F.col("parent_pre").alias("s0"), T.normalize_inline(F.col("text_direct")).alias("said"))
+    boxed = boxes.join(lists, [*SECTION, "d0"]).join(inner.where("said <> ''"), [*SECTION, "s0"]).groupBy(*SECTION, "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p0", "said"))), lambda x: x["said"]), "\n").alias("boxed"))
+    blank = lambda k: F.nullif(F.trim(F.col("attrs")[k]), F.lit(""))
+    image = F.coalesce(blank("binItemIDRef"), blank("binaryItemIDRef"), blank("itemIDRef"))
+    formula = F.nullif(T.normalize_inline(F.col("text_all")), F.lit(""))
+    c = F.col("tag")
+    said = (
+        F.when(c == "pic", F.coalesce(F.concat(F.lit("[Image: "), image, F.lit("]")), F.lit("[Image]"))).when(c == "equation", F.coalesce(F.concat(F.lit("[Equation: "), formula, F.lit("]")), F.lit("[Equation]")))
+        .when(c == "rect", F.coalesce("boxed", F.lit("[Rectangle]"))).when(c == "line", "[Line]").when(c == "ellipse", "[Ellipse]")
+    )
+    others = direct.where("tag in ('pic', 'equation', 'rect', 'line', 'ellipse')").join(boxed, [*SECTION, "pre"], "left").select(*SECTION, "pre", F.lit(0).alias("level"), said.alias("text"), none)
+    return texts.unionByName(of_tables).unionByName(others)
 
 
 def export(block_rows: DataFrame, kind: str) -> DataFrame:
@@ -224,7 +316,7 @@ def export(block_rows: DataFrame, kind: str) -> DataFrame:
         pipe = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, T.markdown_cell), " | "), F.lit(" |"))
         rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), widest), " | "), F.lit(" |"))
         made = F.transform(padded, pipe)
-        table = F.array_join(F.concat(F.slice(made, 1, 1), F.array(rule), F.slice(made, 2, 1_000_000)), "\n")
+        table = F.array_join(F.concat(F.slice(made, 1, 1), F.array(rule), F.slice(made, 2, F.greatest(F.size(made), F.lit(1)))), "\n")
         text = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")).otherwise(F.col("text"))
         glue = "\n\n"
     else:

@@ -646,7 +646,7 @@ def set_table_cell_text_style(book: Book, table: int, row: int, col: int, style:
 
 SIDES = ("left", "right", "top", "bottom")
 #: How strong a line of a kind is beside its width.
-STRENGTH = {"DOUBLE": 30, "SOLID": 20, "DASH": 10, "DOT": 5}
+STRENGTH = {"DOUBLE_SLIM": 30, "SOLID": 20, "DASH": 10}
 
 
 def line_of(book: Book, cell: ET.Element, side: str) -> dict[str, str]:
@@ -659,7 +659,7 @@ def strength(line: dict[str, str]) -> tuple[bool, int]:
     """Visible lines before others, then a hundred times the width and the kind's rank."""
     kind = line.get("type", "NONE").upper()
     width = re.match(r"\s*([\d.]+)", line.get("width", "0"))
-    return kind != "NONE", round(float(width.group(1)) * 100 if width else 0) * 100 + STRENGTH.get(kind, 0)
+    return kind != "NONE", round(float(width.group(1)) * 100 if width else 0) + STRENGTH.get(kind, 5)
 
 
 def bordered(book: Book, base: str, lines: dict[str, dict], fill: str | None = None) -> str:

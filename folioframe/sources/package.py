@@ -7,13 +7,17 @@ namespace prefix.
 from __future__ import annotations
 
 import io
+import os
 import zipfile
+import zlib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed values of the format.
@@ -22,8 +26,15 @@ REQUIRED = ("mimetype", "version.xml", "Contents/content.hpf", "Contents/header.
 ENTRIES = "doc_id string, path string, content binary"
 ELEMENTS = (
     "doc_id string, section_path string, pre int, parent_pre int, last int, depth int, tag string, path string, attrs map<string,string>, text string, tail string, "
-    "all_p_idx int, body_p_idx int, run_idx int, table_idx int, parent_table_idx int, cell_row int, cell_col int"
+    "all_p_idx int, body_p_idx int, run_idx int, table_idx int, parent_table_idx int, cell_row int, cell_col int, in_tables array<int>, has_secpr boolean, "
+    "text_t string, text_tbt string, text_lines string, text_direct string, text_fill string, text_all string, "
+    "paragraph_count int, row_span int, col_span int, width int, height int"
 )
+#: Elements whose texts are gathered, and those that are objects of a run.
+TEXTED = {"p", "tc", "tbl", "pic", "equation", "rect", "line", "ellipse", "ctrl", "header", "footer", "drawText"}
+OBJECTS = {"tbl", "pic", "equation", "rect", "line", "ellipse"}
+#: The one entry of an archive that can't be read; its content is the reason.
+BROKEN = "#error"
 INTERNAL = r"(^|/)(\.[^/]*\.lock|\.[^/]*\.tmp)$"
 
 
@@ -33,8 +44,11 @@ def read_archives(spark: SparkSession, glob: str) -> DataFrame:
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows = [(path, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        rows = [(path, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
+                except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, zlib.error) as e:
+                    rows = [(path, BROKEN, str(e).encode())]
                 yield pd.DataFrame(rows, columns=["doc_id", "path", "content"])
 
     return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(unzip, ENTRIES)
@@ -47,6 +61,14 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.lit(root).alias("doc_id"), relative.alias("path"), "content").where(~F.col("path").rlike(INTERNAL))
 
 
+def read(spark: SparkSession, target: str) -> DataFrame:
+    """entries of a folder of parts, of one archive, or of all archives that a pattern names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if "*" not in target and path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return read_folder(spark, target)
+    return read_archives(spark, target)
+
+
 def safe_path(path: str) -> bool:
     parts = PurePosixPath(path).parts
     return bool(parts) and not path.startswith("/") and ".." not in parts
@@ -70,6 +92,38 @@ def pack(entries: DataFrame) -> DataFrame:
     return entries.groupBy("doc_id").applyInPandas(zipped, "doc_id string, archive binary")
 
 
+def unpack(entries: DataFrame, root: str) -> DataFrame:
+    """Write every entry to root/(name of the document)/path; (doc_id, path, written, reason) of what was and was not.
+
+    Names that leave the document's folder are refused. root must be a folder that all executors
+    share; a file appears under its name once it is whole, so a task that is run again does no harm.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, path, content in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
+                folder = os.path.splitext(os.path.basename(doc_id))[0] or "document"
+                if not safe_path(path) or not safe_path(folder):
+                    out.append((doc_id, path, False, "unsafe name"))
+                    continue
+                to = os.path.join(root, folder, path)
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                part = f"{to}.{os.getpid()}.tmp"
+                with open(part, "wb") as f:
+                    f.write(bytes(content))
+                os.replace(part, to)
+                out.append((doc_id, path, True, None))
+            yield pd.DataFrame(out, columns=["doc_id", "path", "written", "reason"])
+
+    return entries.select("doc_id", "path", "content").mapInPandas(write, "doc_id string, path string, written boolean, reason string")
+
+
+def packable(entries: DataFrame) -> DataFrame:
+    """entries without locks and temporary files."""
+    return entries.where(~F.col("path").rlike(INTERNAL))
+
+
 def blank(doc_id: str = "new", title: str = "") -> list[tuple[str, str, bytes]]:
     """The entries of an empty package of one section."""
     ns = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph" xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section"'
@@ -93,65 +147,169 @@ def _local(tag: str) -> str:
 
 
 def flatten(entries: DataFrame, only: str = r"(^|/)section[^/]*\.xml$") -> DataFrame:
-    """One row an element, in document order, with the coordinates that every later operator uses.
+    """One row an element, in document order, with the coordinates and texts that every later operator uses.
 
     all_p_idx counts paragraphs at any depth; body_p_idx counts direct children of the root without
     a section property in a direct run; table_idx counts tables at any depth; cells by address.
+    Texts of a paragraph, cell or object: of ``t`` only, with line breaks and tabs, of its own lines
+    (not of paragraphs in it, scripts included), of its own runs without objects (and without text
+    boxes), and all. A part that is no XML is one row of tag ``#error`` with the reason as text.
     """
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows: list[dict] = []
-            for doc_id, section, content in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
-                _walk_part(doc_id, section, content, rows)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ELEMENTS.split(", ")])
-
-    return entries.where(F.col("path").rlike(only)).mapInPandas(walk, ELEMENTS)
-
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([list(r[c].items()) if c == "attrs" else r.get(c) for r in rows], _ARROW[t]) for c, t in _COLUMNS], [c for c, _ in _COLUMNS])
 
-def _walk_part(doc_id: str, section: str, content: bytes, rows: list[dict]) -> None:
+        rows: list[dict] = []
+        for batch in batches:
+            for doc_id, section, content in zip(*(batch.column(c) for c in ("doc_id", "path", "content")), strict=True):
+                doc_id, section = doc_id.as_py(), section.as_py()
+                try:
+                    _walk_part(doc_id, section, ET.fromstring(content.as_py() or b""), rows)
+                except (ET.ParseError, ValueError, LookupError) as e:
+                    rows.append({"doc_id": doc_id, "section_path": section, "pre": 0, "parent_pre": -1, "last": 0, "depth": 0, "tag": "#error", "path": "", "attrs": {}, "text": str(e), "tail": ""})
+                if len(rows) > 20_000:
+                    yield told()
+                    rows.clear()
+        yield told()
+
+    return entries.where(F.col("path").rlike(only)).select("doc_id", "path", "content").mapInArrow(walk, ELEMENTS)
+
+
+_COLUMNS = [tuple(c.split()) for c in ELEMENTS.split(", ")]
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<int>": pa.list_(pa.int32())}
+
+
+def sections_only(elements: DataFrame, index: int | None = None, every: bool = False) -> DataFrame:
+    """Elements of one section by its place in path order, of all, or of the first one; one index or all, not both."""
+    if index is not None and every:
+        raise ValueError("one section or all sections, not both")
+    if every:
+        return elements
+    order = elements.select("doc_id", "section_path").distinct()
+    digits = F.expr("try_cast(regexp_extract(section_path, '([0-9]+)[.]xml$', 1) as int)")
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(digits, "section_path")) - 1
+    return elements.join(order.withColumn("nth", nth).where(F.col("nth") == (index or 0)).drop("nth"), ["doc_id", "section_path"], "left_semi")
+
+
+def _int(value: str | None, default: int) -> int:
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return default
+
+
+def _said(e: ET.Element, skip: set[str], inner: bool = False) -> str:
+    """All character data below e, breaks and tabs as characters, without the subtrees of skip."""
+    out, todo = [], [(e, inner)]
+    while todo:
+        x, closing = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        tag = _local(x.tag)
+        if tag == "lineBreak":
+            out.append("\n")
+        elif tag == "tab":
+            out.append("\t")
+        elif not (tag in skip and x is not e):
+            out.append(x.text or "")
+            for child in reversed(x):
+                todo.append((child.tail or "", False))
+                todo.append((child, False))
+    return "".join(out)
+
+
+def _own_lines(p: ET.Element) -> str:
+    """Text, scripts, breaks and tabs of a paragraph, not of the paragraphs in it."""
+    out, todo = [], [(p, False)]
+    while todo:
+        x, told = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        tag = _local(x.tag)
+        if tag == "p" and x is not p:
+            continue
+        if tag == "lineBreak":
+            out.append("\n")
+        elif tag == "tab":
+            out.append("\t")
+        told = told or tag in ("t", "script")
+        if told and x.text:
+            out.append(x.text)
+        for child in reversed(x):
+            if told and child.tail:
+                todo.append((child.tail, told))
+            todo.append((child, told))
+    return "".join(out)
+
+
+def _texts(e: ET.Element, tag: str) -> dict:
+    found = [x for x in e.iter() if _local(x.tag) in ("t", "lineBreak", "tab")]
+    out = {
+        "text_t": "".join(x.text or "" for x in found if _local(x.tag) == "t"),
+        "text_tbt": "".join({"lineBreak": "\n", "tab": "\t"}.get(_local(x.tag), x.text or "") for x in found),
+        "text_all": _said(e, set()),
+    }
+    if tag == "p":
+        runs = [r for r in e if _local(r.tag) == "run"]
+        out["text_lines"] = _own_lines(e)
+        out["text_direct"] = "".join(_said(r, OBJECTS) for r in runs)
+        out["text_fill"] = "".join(_said(r, OBJECTS | {"drawText"}) for r in runs)
+        out["has_secpr"] = any(_local(x.tag) == "secPr" for r in runs for x in r)
+    elif tag == "tc":
+        part = lambda name: next((x for x in e if _local(x.tag) == name), {})
+        out["paragraph_count"] = sum(_local(x.tag) == "p" for x in e.iter())
+        span, size = part("cellSpan"), part("cellSz")
+        out["row_span"], out["col_span"] = max(1, _int(span.get("rowSpan"), 1)), max(1, _int(span.get("colSpan"), 1))
+        out["width"], out["height"] = _int(size.get("width"), 0), _int(size.get("height"), 0)
+    return out
+
+
+def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[dict]) -> None:
     n = {"pre": 0, "p": 0, "body": 0, "tbl": 0}
-
-    def has_section_property(p: ET.Element) -> bool:
-        return any(_local(r.tag) == "run" and any(_local(x.tag) == "secPr" for x in r) for r in p)
-
-    def visit(e: ET.Element, parent: int, depth: int, path: str, at: dict) -> None:
-        tag, at = _local(e.tag), dict(at)
-        row = {"doc_id": doc_id, "section_path": section, "pre": n["pre"], "parent_pre": parent, "depth": depth, "tag": tag, "path": path}
+    # (element, parent's number, depth, path, coordinates), or the place of a row whose subtree has ended
+    todo: list = [(root, -1, 0, _local(root.tag), {"in_tables": []})]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, int):
+            rows[item]["last"] = n["pre"] - 1
+            continue
+        e, parent, depth, path, at = item
+        if not isinstance(e.tag, str):
+            continue
+        tag, pre = _local(e.tag), n["pre"]
         n["pre"] += 1
+        row = {"doc_id": doc_id, "section_path": section, "pre": pre, "parent_pre": parent, "depth": depth, "tag": tag, "path": path}
+        told = _texts(e, tag) if tag in TEXTED else {}
         if tag == "p":
-            at["all_p_idx"] = n["p"]
+            at = at | {"all_p_idx": n["p"]}
             n["p"] += 1
             if depth == 1:
-                hidden = has_section_property(e)
-                at["body_p_idx"] = None if hidden else n["body"]
-                n["body"] += not hidden
+                at["body_p_idx"] = None if told["has_secpr"] else n["body"]
+                n["body"] += not told["has_secpr"]
         elif tag == "tbl":
-            at["parent_table_idx"], at["table_idx"] = at.get("table_idx"), n["tbl"]
-            at["cell_row"] = at["cell_col"] = None
+            at = at | {"parent_table_idx": at.get("table_idx"), "table_idx": n["tbl"], "cell_row": None, "cell_col": None, "in_tables": [*at["in_tables"], n["tbl"]]}
             n["tbl"] += 1
         elif tag == "tc":
             address = next((x for x in e if _local(x.tag) == "cellAddr"), None)
-            at["cell_row"], at["cell_col"] = (int(address.get(k, 0)) if address is not None else 0 for k in ("rowAddr", "colAddr"))
-        row |= {"attrs": {_local(k): v for k, v in e.attrib.items()}, "text": e.text or "", "tail": e.tail or ""}
+            at = at | {f"cell_{k}": _int(address.get(f"{k}Addr"), 0) if address is not None else 0 for k in ("row", "col")}
         place = len(rows)
-        rows.append(row)
+        rows.append(row | {"attrs": {_local(k): v for k, v in e.attrib.items()}, "text": e.text or "", "tail": e.tail or ""} | at | told)
+        todo.append(place)
         seen: dict[str, int] = {}
-        runs = 0
+        below, runs = [], 0
         for child in e:
-            name = _local(child.tag)
+            name = _local(child.tag) if isinstance(child.tag, str) else ""
             k = seen.get(name, 0)
             seen[name] = k + 1
             inner = at
             if name == "run" and tag == "p" and depth == 1:
                 inner = at | {"run_idx": runs}
                 runs += 1
-            visit(child, row["pre"], depth + 1, f"{path}/{name}[{k}]", inner)
-        row["last"] = n["pre"] - 1
-        rows[place] = row | {k: at.get(k) for k in ("all_p_idx", "body_p_idx", "run_idx", "table_idx", "parent_table_idx", "cell_row", "cell_col")}
-
-    root = ET.fromstring(content)
-    visit(root, -1, 0, _local(root.tag), {})
+            below.append((child, pre, depth + 1, f"{path}/{name}[{k}]", inner))
+        todo.extend(reversed(below))
 
 
 def manifest(entries: DataFrame) -> DataFrame:
@@ -169,10 +327,18 @@ def resolved(items: DataFrame, entries: DataFrame) -> DataFrame:
     """items with ``path``: the href as it is, else under Contents/; the first that exists, else the href itself."""
     there = entries.select("doc_id", F.col("path"))
     bare = there.select("doc_id", F.col("path").alias("href"), F.col("path").alias("_bare"))
-    under = there.where("path like 'Contents/%'").select("doc_id", F.substring("path", 10, 10_000).alias("href"), F.col("path").alias("_under"))
+    under = there.where("path like 'Contents/%'").select("doc_id", F.expr("substring(path, 10)").alias("href"), F.col("path").alias("_under")).where("href not like 'Contents/%' and href not like 'BinData/%'")
     return items.join(bare, ["doc_id", "href"], "left").join(under, ["doc_id", "href"], "left").withColumn("path", F.coalesce("_bare", "_under", "href")).withColumn("exists", F.col("_bare").isNotNull() | F.col("_under").isNotNull()).drop("_bare", "_under")
 
 
+def metadata(entries: DataFrame) -> DataFrame:
+    """(doc_id, name, value) of the metadata, the title among it."""
+    parts = flatten(entries, r"^Contents/content\.hpf$")
+    block = parts.where("tag = 'metadata'").select("doc_id", F.col("pre").alias("m0"), F.col("last").alias("m1"))
+    rows = parts.join(block, "doc_id").where("pre > m0 and pre <= m1 and trim(text) <> ''")
+    return rows.select("doc_id", F.coalesce(F.col("attrs")["name"], F.col("tag")).alias("name"), F.trim("text").alias("value"))
+
+
 def versions(entries: DataFrame) -> DataFrame:
     root = flatten(entries, r"^version\.xml$").where("depth = 0")
     return root.select("doc_id", F.col("attrs")["appVersion"].alias("app_version"), F.col("attrs")["hwpxVersion"].alias("format_version"))
@@ -201,7 +367,8 @@ def char_props(entries: DataFrame) -> DataFrame:
         F.max((F.col("tag") == "underline") & (F.coalesce(F.upper(F.col("attrs")["type"]), F.lit("")) != "NONE")).alias("underline"),
         F.max(F.when(F.col("tag") == "fontRef", F.coalesce(F.nullif(F.col("attrs")["hangul"], F.lit("")), F.col("attrs")["latin"]))).alias("font_id"),
     )
-    fonts = e.where("tag = 'font'").select("doc_id", F.col("attrs")["id"].alias("font_id"), F.col("attrs")["face"].alias("font")).groupBy("doc_id", "font_id").agg(F.first("font").alias("font"))
+    hangul = e.where("tag = 'fontface' and upper(attrs['lang']) = 'HANGUL'").select("doc_id", F.col("pre").alias("parent_pre"))
+    fonts = e.where("tag = 'font'").join(hangul, ["doc_id", "parent_pre"]).groupBy("doc_id", F.col("attrs")["id"].alias("font_id")).agg(F.max_by(F.col("attrs")["face"], "pre").alias("font"))
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     found = pr.join(flags, ["doc_id", "pre"], "left").join(fonts, ["doc_id", "font_id"], "left").select("doc_id", "id", no("bold"), no("italic"), no("underline"), "color", F.coalesce("font", F.lit("")).alias("font"), "size_pt")
     rest = entries.select("doc_id").distinct().join(found.where("id = '0'").select("doc_id"), "doc_id", "left_anti")
