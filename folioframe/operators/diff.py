@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
+from folioframe.operators import document as D
+from folioframe.sources import package as P
 
+#: Tags of the signatures, in order, and the counts that are compared.
+OBJECTS = ("tbl", "pic", "equation", "rect", "line", "ellipse")
+CONTROLS, HEADER_FOOTER = ("ctrl",), ("header", "footer")
+COUNTS = ("section-count", "table-count", "paragraph-count", "placeholder-count", "guide-count", "object-count", "control-count", "header-count", "footer-count", "text-length", "line-count")
 ISSUE = ["doc_id", "code", "position", "before", "after"]
 
 
@@ -43,3 +51,73 @@ def compare(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
     rows = only(before, "before").join(only(after, "after"), ["doc_id", "position"], "full_outer").where("not (before <=> after)")
     code = F.when(F.col("before").isNull(), f"{kind}-added").when(F.col("after").isNull(), f"{kind}-removed").otherwise(f"{kind}-changed")
     return count.select(*ISSUE).unionByName(rows.withColumn("code", code).select(*ISSUE))
+
+
+def signatures(elements: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """(doc_id, position, said, kind): elements of the tags as kind, section and text; by section, then tag, then document order."""
+    rank = reduce(lambda c, x: c.when(F.col("tag") == x[1], x[0]), enumerate(tags), F)
+    text = T.truncate_bytes(T.trim_unicode(F.coalesce("text_t", F.lit(""))), 120)
+    rows = elements.where(F.col("tag").isin(*tags)).select("doc_id", "section_path", rank.alias("rank"), "pre", F.col("tag").alias("kind"), T.signature(F.col("tag"), F.col("section_path"), text).alias("said"))
+    return rows.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "rank", "pre")) - 1).alias("position"), "said", "kind")
+
+
+def snapshots(entries: DataFrame) -> DataFrame:
+    """One row a document: validity, render safety, section paths, risk hints, all counts and the digest of the text."""
+    elements = P.flatten(entries)
+    paragraphs = D.paragraph_texts(elements)
+    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    count = lambda name, *tags: F.count_if(F.col("tag").isin(*tags)).alias(name)
+    out = elements.groupBy("doc_id").agg(
+        F.array_sort(F.collect_set("section_path")).alias("section_paths"), count("table_count", "tbl"), count("object_count", *OBJECTS), count("control_count", *CONTROLS), count("header_count", "header"), count("footer_count", "footer")
+    )
+    texts = D.plain_text(paragraphs).select("doc_id", "text")
+    out = out.join(n(paragraphs.where(T.trim_unicode(F.col("text_t")) != ""), "paragraph_count"), "doc_id", "left").join(n(D.placeholders(paragraphs), "placeholder_count"), "doc_id", "left").join(n(D.guides(paragraphs), "guide_count"), "doc_id", "left").join(texts, "doc_id", "left")
+    out = out.join(D.report(entries).select("doc_id", "valid"), "doc_id", "left").join(D.risk_signals(entries).select("doc_id", F.col("hints").alias("risk_hints")), "doc_id", "left")
+    text = F.coalesce("text", F.lit(""))
+    return out.fillna(0).withColumns({
+        "section_count": F.size("section_paths").cast("long"), "text_length": F.octet_length(text).cast("long"), "line_count": F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long"),
+        "text_digest": F.sha2(text.cast("binary"), 256), "risk_hints": F.coalesce("risk_hints", F.array().cast("array<string>")), "render_safe": F.size(F.coalesce("risk_hints", F.array().cast("array<string>"))) == 0,
+    }).drop("text")
+
+
+def round_trip(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Coded issues (doc_id, code, position, before, after) between two states of the entries of a corpus."""
+    a, b = snapshots(before), snapshots(after)
+    name = lambda code: code.replace("-", "_")
+    told = [name(c) for c in COUNTS] + ["valid", "render_safe", "text_digest", "section_paths", "risk_hints"]
+    pair = a.select("doc_id", *[F.col(c).alias(f"a_{c}") for c in told]).join(b.select("doc_id", *[F.col(c).alias(f"b_{c}") for c in told]), "doc_id", "full_outer")
+    compared = [(f"{c}-changed", name(c)) for c in COUNTS] + [("validity-changed", "valid"), ("render-safe-changed", "render_safe"), ("text-digest-changed", "text_digest")]
+    none = F.lit(None).cast("int")
+    issue = lambda code, x, y, at=none: F.struct(F.lit(code).alias("code"), at.alias("position"), x.cast("string").alias("before"), y.cast("string").alias("after"))
+    plain = F.array_compact(F.array(*[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), issue(code, F.col(f"a_{c}"), F.col(f"b_{c}"))) for code, c in compared]))
+    nothing = F.lit(None).cast("string")
+    paths = F.filter(F.transform(F.col("a_section_paths"), lambda x, i: F.when(i >= F.size("b_section_paths"), issue("section-path-removed", x, nothing, i.cast("int"))).when(x != F.get("b_section_paths", i), issue("section-path-changed", x, F.get("b_section_paths", i), i.cast("int")))), lambda x: x.isNotNull())
+    added = F.transform(F.array_except("b_risk_hints", "a_risk_hints"), lambda x: issue("risk-added", nothing, x))
+    removed = F.transform(F.array_except("a_risk_hints", "b_risk_hints"), lambda x: issue("risk-removed", x, nothing))
+    parts = [F.coalesce(x, F.array().cast("array<struct<code:string,position:int,before:string,after:string>>")) for x in (plain, paths, added, removed)]
+    out = [pair.select("doc_id", F.explode(F.concat(*parts)).alias("x")).select("doc_id", "x.*").select(*ISSUE)]
+    ea, eb = P.flatten(before), P.flatten(after)
+    pa, pb = D.paragraph_texts(ea), D.paragraph_texts(eb)
+    ca, cb = D.cells(ea), D.cells(eb)
+    lists = [("paragraph", ordered_paragraphs(pa), ordered_paragraphs(pb)), ("table", ordered_tables(D.tables(ea, pa, ca)), ordered_tables(D.tables(eb, pb, cb))), ("cell", ordered_cells(ca), ordered_cells(cb))]
+    for kind, x, y in lists:
+        out.append(compare(x, y, kind).where(~F.col("code").endswith("-count-changed") | (F.lit(kind) == "cell")))
+    for code, tags in (("object-changed", OBJECTS), ("header-footer-changed", HEADER_FOOTER), ("control-changed", CONTROLS)):
+        items = compare(signatures(ea, tags), signatures(eb, tags), "item").where(~F.col("code").endswith("-count-changed"))
+        out.append(items.withColumn("code", F.lit(code)).select(*ISSUE))
+    return reduce(DataFrame.unionByName, out)
+
+
+def gate(entries: DataFrame, issues: DataFrame) -> DataFrame:
+    """(doc_id, blocked): why a document is not packed: invalid, not safe to render, or changed by a round trip (errors, not risks)."""
+    bad = issues.where(~F.col("code").isin("risk-added", "risk-removed")).select("doc_id").distinct().withColumn("bad", F.lit(True))
+    rows = snapshots(entries).select("doc_id", "valid", "render_safe").join(bad, "doc_id", "left")
+    why = F.array_compact(F.array(F.when(~F.coalesce("valid", F.lit(False)), F.lit("invalid")), F.when(~F.col("render_safe"), F.lit("render-safe=false")), F.when(F.col("bad"), F.lit("roundtrip-check-failed"))))
+    return rows.select("doc_id", why.alias("blocked"))
+
+
+def safe_pack(entries: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(archives of the documents that pass the gate, the gate's rows); force packs all."""
+    packed = P.pack(P.packable(entries))
+    stopped = gate(entries, round_trip(entries, P.unzipped(packed)))
+    return (packed if force else packed.join(stopped.where(F.size("blocked") > 0), "doc_id", "left_anti")), stopped

@@ -148,7 +148,7 @@ def style_names(paragraphs: DataFrame, style_rows: DataFrame) -> DataFrame:
 def headings(paragraphs: DataFrame, style_rows: DataFrame, most: int = 3) -> DataFrame:
     """(section, all_p_idx, level, text, nth) of body paragraphs in a heading style up to a level, in order."""
     level = T.heading_level(F.col("style_name"), cap=None, title=False)
-    rows = style_names(paragraphs.where("body_p_idx is not null"), style_rows).withColumn("level", level).where((F.col("level") <= most) & (T.trim_unicode(F.col("text_tbt")) != ""))
+    rows = style_names(paragraphs.where("depth = 1 and body_p_idx is not null"), style_rows).withColumn("level", level).where((F.col("level") <= most) & (T.trim_unicode(F.col("text_tbt")) != ""))
     return rows.select(*SECTION, "all_p_idx", "level", T.trim_unicode(F.col("text_tbt")).alias("text"), (F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "all_p_idx")) - 1).alias("nth"))
 
 
@@ -283,7 +283,7 @@ def plain_text(paragraphs: DataFrame) -> DataFrame:
 
 def blocks(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, style_rows: DataFrame, elements: DataFrame) -> DataFrame:
     """Export blocks in order: headings and paragraphs of the body, then each one's objects: tables as rows of cells, others as text."""
-    body = paragraphs.where("body_p_idx is not null").join(style_rows.select("doc_id", F.col("id").alias("style_id"), "name"), ["doc_id", "style_id"], "left")
+    body = paragraphs.where("depth = 1 and body_p_idx is not null").join(style_rows.select("doc_id", F.col("id").alias("style_id"), "name"), ["doc_id", "style_id"], "left")
     level = F.coalesce(T.heading_level(F.coalesce("name", F.lit(""))), F.lit(0))
     none = F.lit(None).cast("array<array<string>>").alias("rows")
     texts = body.select(*SECTION, "pre", level.alias("level"), T.normalize_inline(F.col("text_direct")).alias("text"), none).where("text <> ''")

@@ -1208,11 +1208,22 @@ def apply(entries: DataFrame, asked: DataFrame) -> DataFrame:
     return done.unionByName(rest.select("doc_id", "path", "content", F.lit(None).cast("string").alias("error")))
 
 
-def fill_statements(final: DataFrame, grown: DataFrame | None = None) -> DataFrame:
-    """Planned changes (one a place, as ``fill.last_wins`` gives them) as statements; rows to add first (section_path, table_idx, rows)."""
+@op("fail")
+def fail(book: Book, message: str) -> None:
+    raise EditError(message)
+
+
+def fill_statements(final: DataFrame, grown: DataFrame | None = None, refused: DataFrame | None = None) -> DataFrame:
+    """Planned changes (one a place, as ``fill.last_wins`` gives them) as statements; before them rows to add
+    (section_path, table_idx, rows), and documents to leave alone (doc_id, rid, matched).
+
+    Paragraphs come first: rows and cells that follow change how many paragraphs there are."""
     args = F.to_json(F.struct("section_path", "new_text", "all_p_idx", "table_idx", "row", "col"))
-    out = final.select("doc_id", (F.lit(1_000_000) + F.col("seq.rid")).cast("int").alias("seq"), F.lit("fill").alias("op"), args.alias("args"))
+    out = final.select("doc_id", (F.when(F.col("all_p_idx").isNotNull(), 1).otherwise(20_001) + F.col("seq.rid")).cast("int").alias("seq"), F.lit("fill").alias("op"), args.alias("args"))
     if grown is not None:
         more = F.to_json(F.struct(F.col("section_path").alias("section"), F.col("table_idx").alias("table"), "rows"))
-        out = grown.select("doc_id", F.lit(0).alias("seq"), F.lit("expand-table").alias("op"), more.alias("args")).unionByName(out)
+        out = grown.select("doc_id", F.lit(20_000).alias("seq"), F.lit("expand-table").alias("op"), more.alias("args")).unionByName(out)
+    if refused is not None:
+        why = F.to_json(F.struct(F.format_string("entry %d has %d targets", "rid", "matched").alias("message")))
+        out = refused.select("doc_id", F.lit(0).alias("seq"), F.lit("fail").alias("op"), why.alias("args")).unionByName(out)
     return out

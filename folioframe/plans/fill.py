@@ -18,10 +18,12 @@ MAX_STATEMENTS = 10_000
 #: The modes of each selector, with the step from the anchor.
 STEPS = {"right": (0, 1), "down": (1, 0), "left": (0, -1), "up": (-1, 0)}
 TABLE_MODES = {f"table-{d}{end}": d for end in ("", "-repeat") for d in STEPS} | {"table-right-grid": "right", "table-down-grid": "down", "table-down-records": "down"}
+#: Modes that may add rows, and modes with one target.
+EXPAND_MODES = ("table-down", "table-down-repeat", "table-down-grid", "table-down-records")
 PARAGRAPH_MODES = ("paragraph-next", "paragraph-replace", "paragraph-next-repeat", "paragraph-replace-repeat")
 STATEMENT = (
     "rid int, kind string, mode string, selector string, exact boolean, table_label string, table_idx_wanted int, occurrence int, required boolean, "
-    "direction string, many boolean, vals array<struct<k:int,i:int,j:int,value:string>>"
+    "direction string, many boolean, single boolean, expands boolean, vals array<struct<k:int,i:int,j:int,value:string>>"
 )
 
 
@@ -39,6 +41,16 @@ def statement(rid: int, s: dict) -> tuple:
     ends = {"value": lambda m: not m.endswith(("-repeat", "-grid", "-records")), "values": lambda m: m.endswith("-repeat"), "grid": lambda m: m.endswith("-grid"), "records": lambda m: m.endswith("-records")}
     if mode not in allowed or not ends[what](mode):
         raise ValueError(f"entry {rid}: mode {mode} does not take {what} with this selector")
+    if s.get("expand") and mode not in EXPAND_MODES:
+        raise ValueError(f"entry {rid}: mode {mode} adds no rows")
+    if what == "records" and "expand" in s and not s["expand"]:
+        raise ValueError(f"entry {rid}: records need expand")
+    if s.get("unique") and what != "value":
+        raise ValueError(f"entry {rid}: unique is for one value")
+    if s.get("occurrence") is not None and s["occurrence"] < 1:
+        raise ValueError(f"entry {rid}: occurrences count from 1")
+    if (s.get("matchMode") or "contains").strip().lower() not in ("exact", "contains"):
+        raise ValueError(f"entry {rid}: unknown match mode")
     if what == "records":
         blank = s.get("fallbackValue") or ""
         grid = [[(str(r.get(f) or "").strip() and str(r[f])) or blank for f in s["fields"]] for r in s["records"]]
@@ -46,7 +58,7 @@ def statement(rid: int, s: dict) -> tuple:
         grid = [[s["value"]]] if what == "value" else [[v] for v in s["values"]] if what == "values" else s["grid"]
     cells = [(i, j, v) for i, line in enumerate(grid) for j, v in enumerate(line)]
     vals = [(k, i, j, str(v)) for k, (i, j, v) in enumerate(cells)]
-    return (rid, kind, mode, selector, s.get("matchMode") == "exact", (s.get("tableLabel") or "").strip(), s.get("tableIndex"), s.get("occurrence"), bool(s.get("required")), TABLE_MODES.get(mode), what != "value", vals)
+    return (rid, kind, mode, selector, (s.get("matchMode") or "").strip().lower() == "exact", (s.get("tableLabel") or "").strip(), s.get("tableIndex"), s.get("occurrence"), bool(s.get("required")), TABLE_MODES.get(mode), what != "value", bool(s.get("unique")), bool(s.get("expand")) or what == "records", vals)
 
 
 def statements(spark: SparkSession, mapping: list[dict]) -> DataFrame:
@@ -55,6 +67,15 @@ def statements(spark: SparkSession, mapping: list[dict]) -> DataFrame:
     return spark.createDataFrame([statement(i, s) for i, s in enumerate(mapping)], STATEMENT)
 
 
+def selectors(asked: DataFrame) -> DataFrame:
+    """Statements without their values: as many short rows as the mapping has entries, so they may be sent to every task."""
+    return F.broadcast(asked.withColumn("n", F.size("vals")).drop("vals"))
+
+
+def values_of(asked: DataFrame) -> DataFrame:
+    return asked.select("rid", F.explode("vals").alias("x")).select("rid", "x.*")
+
+
 def says(text: Column, selector: Column, exact: Column) -> Column:
     """Case and outer blanks aside: equal, or contains; an empty side never matches."""
     a, b = F.lower(T.trim_unicode(text)), F.lower(T.trim_unicode(selector))
@@ -70,27 +91,28 @@ def _nth(matches: DataFrame, *order: str) -> DataFrame:
 def placeholder_changes(paragraphs: DataFrame, asked: DataFrame) -> DataFrame:
     """Every paragraph that says the placeholder; the text is replaced as it is written, so a match in another case changes nothing but counts."""
     rows = paragraphs.select(*SECTION, "all_p_idx", F.col("table_idx"), F.col("cell_row").alias("row"), F.col("cell_col").alias("col"), "text_tbt")
-    met = rows.join(F.broadcast(asked.where("kind = 'placeholder'")), says(F.col("text_tbt"), F.col("selector"), F.col("exact")))
-    new = F.replace(F.col("text_tbt"), F.col("selector"), F.col("vals")[0]["value"])
-    return _nth(met, "all_p_idx").withColumn("new_text", new).where("new_text <> text_tbt").select("rid", *PLACE, F.lit(0).alias("k"), F.col("text_tbt").alias("old_text"), "new_text")
+    met = rows.join(selectors(asked.where("kind = 'placeholder'")), says(F.col("text_tbt"), F.col("selector"), F.col("exact")))
+    met = _nth(met, "all_p_idx").join(values_of(asked).where("k = 0").select("rid", "value"), "rid")
+    new = F.replace(F.col("text_tbt"), F.col("selector"), F.col("value"))
+    return met.withColumn("new_text", new).where("new_text <> text_tbt").select("rid", *PLACE, F.lit(0).alias("k"), F.col("text_tbt").alias("old_text"), "new_text")
 
 
 def paragraph_changes(paragraphs: DataFrame, asked: DataFrame) -> DataFrame:
     """Body paragraphs near a text: the k-th value goes to the k-th fillable paragraph from the match, or from the one after it."""
     order = W.partitionBy(*SECTION).orderBy("all_p_idx")
     body = paragraphs.where("depth = 1 and body_p_idx is not null").select(*SECTION, "all_p_idx", "text_tbt").withColumn("f", F.row_number().over(order))
-    met = _nth(body.join(F.broadcast(asked.where("kind = 'near-text'")), says(F.col("text_tbt"), F.col("selector"), F.col("exact"))), "all_p_idx")
-    start = met.select("rid", *SECTION, (F.col("f") + F.when(F.col("mode").startswith("paragraph-next"), 1).otherwise(0)).alias("f0"), F.col("all_p_idx").alias("m"), F.explode("vals").alias("x"))
-    to = start.select("rid", *SECTION, (F.col("f0") + F.col("x.k")).alias("f"), F.col("x.k").alias("k"), F.col("x.value").alias("new_text"))
+    met = _nth(body.join(selectors(asked.where("kind = 'near-text'")), says(F.col("text_tbt"), F.col("selector"), F.col("exact"))), "all_p_idx")
+    start = met.select("rid", *SECTION, (F.col("f") + F.when(F.col("mode").startswith("paragraph-next"), 1).otherwise(0)).alias("f0"))
+    to = start.join(values_of(asked).select("rid", "k", F.col("value").alias("new_text")), "rid").select("rid", *SECTION, (F.col("f0") + F.col("k")).alias("f"), "k", "new_text")
     none = [F.lit(None).cast("int").alias(c) for c in ("table_idx", "row", "col")]
     return to.join(body, [*SECTION, "f"]).select("rid", *SECTION, "all_p_idx", *none, "k", F.col("text_tbt").alias("old_text"), "new_text")
 
 
-def table_changes(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """Cells beside an anchor: one, the k-th distinct cell along a direction, or a rectangle up to its first cell out of range."""
+def met_anchors(table_rows: DataFrame, cell_rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Cells that say an anchor, with the place (r0, c0) where writing starts; several values start at a table's first match only."""
     kin = table_rows.select(*SECTION, "table_idx", "parent_table_idx", "label")
     texts = cell_rows.select(*SECTION, "table_idx", "row", "col", "row_span", "col_span", "pre", "text")
-    met = texts.join(kin, [*SECTION, "table_idx"]).join(F.broadcast(asked.where("kind = 'anchor'")), says(F.col("text"), F.col("selector"), F.col("exact")))
+    met = texts.join(kin, [*SECTION, "table_idx"]).join(selectors(asked.where("kind = 'anchor'")), says(F.col("text"), F.col("selector"), F.col("exact")))
     met = met.where("table_idx = table_idx_wanted or (table_idx_wanted is null and parent_table_idx is null)")
     met = _nth(met.where((F.col("table_label") == "") | says(F.col("label"), F.col("table_label"), F.col("exact"))), "pre")
     first = F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx").orderBy("pre"))
@@ -98,11 +120,34 @@ def table_changes(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFr
     d = F.col("direction")
     met = met.withColumn("r0", F.when(d == "down", F.col("row") + F.col("row_span")).when(d == "up", F.col("row") - 1).otherwise(F.col("row")))
     met = met.withColumn("c0", F.when(d == "right", F.col("col") + F.col("col_span")).when(d == "left", F.col("col") - 1).otherwise(F.col("col")))
-    met = met.select("rid", *SECTION, "table_idx", "mode", "direction", "r0", "c0", "first", "vals")
+    return met.select("rid", *SECTION, "table_idx", "mode", "direction", "expands", "n", "r0", "c0", "first")
+
+
+def grown(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(section, table_idx, rows) of tables that statements with ``expand`` need more rows of, and grid_rows with these rows.
+
+    New rows are copies of the last one; that it has no merged cells and no table in it is checked when the rows are added.
+    """
+    met = met_anchors(table_rows, cell_rows, asked).where("expands")
+    have = grid_rows.groupBy(*SECTION, "table_idx").agg((F.max("row") + 1).alias("have"))
+    below = grid_rows.select(*SECTION, "table_idx", F.col("col").alias("c0"), F.col("row").alias("r"), F.struct("anchor_row", "anchor_col").alias("a"))
+    ahead = met.join(below, [*SECTION, "table_idx", "c0"]).where("r >= r0").groupBy("rid", *SECTION, "table_idx", "first").agg(F.countDistinct("a").alias("free"))
+    high = values_of(asked).groupBy("rid").agg((F.max("i") + 1).alias("high"))
+    need = met.join(have, [*SECTION, "table_idx"]).join(ahead, ["rid", *SECTION, "table_idx", "first"], "left").join(high, "rid")
+    rows = F.when(F.col("mode").endswith("-repeat"), F.col("have") + F.greatest(F.col("n") - F.coalesce("free", F.lit(0)), F.lit(0))).otherwise(F.greatest("have", F.col("r0") + F.col("high")))
+    more = need.groupBy(*SECTION, "table_idx", "have").agg(F.max(rows).cast("int").alias("rows")).where("rows > have")
+    last = grid_rows.join(more, [*SECTION, "table_idx"]).where("row = have - 1")
+    new = last.select(*SECTION, "table_idx", F.explode(F.expr("sequence(have, rows - 1)")).alias("row"), "col").select("*", F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"))
+    return more.drop("have"), grid_rows.select(*new.columns).unionByName(new)
+
+
+def table_changes(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Cells beside an anchor: one, the k-th distinct cell along a direction, or a rectangle up to its first cell out of range."""
+    met = met_anchors(table_rows, cell_rows, asked)
     at = grid_rows.select(*SECTION, "table_idx", F.col("row").alias("r"), F.col("col").alias("c"), F.col("anchor_row").alias("row"), F.col("anchor_col").alias("col"))
 
-    boxed = met.where("not mode like '%-repeat'").select("rid", *SECTION, "table_idx", "first", F.explode("vals").alias("x"), "r0", "c0")
-    boxed = boxed.select("rid", *SECTION, "table_idx", "first", (F.col("r0") + F.col("x.i")).alias("r"), (F.col("c0") + F.col("x.j")).alias("c"), F.col("x.k").alias("k"), F.col("x.value").alias("new_text"))
+    boxed = met.where("not mode like '%-repeat'").join(values_of(asked), "rid")
+    boxed = boxed.select("rid", *SECTION, "table_idx", "first", (F.col("r0") + F.col("i")).alias("r"), (F.col("c0") + F.col("j")).alias("c"), "k", F.col("value").alias("new_text"))
     boxed = boxed.join(at, [*SECTION, "table_idx", "r", "c"], "left")
     out = F.min(F.when(F.col("row").isNull(), F.col("k"))).over(W.partitionBy("rid", *SECTION, "table_idx", "first"))
     boxed = boxed.withColumn("out", out).where("row is not null and (out is null or k < out)")
@@ -110,13 +155,13 @@ def table_changes(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFr
     along = F.when(F.col("direction").isin("right", "left"), F.col("r") == F.col("r0")).otherwise(F.col("c") == F.col("c0"))
     ahead = F.when(F.col("direction") == "right", F.col("c") - F.col("c0")).when(F.col("direction") == "left", F.col("c0") - F.col("c")).when(F.col("direction") == "down", F.col("r") - F.col("r0")).otherwise(F.col("r0") - F.col("r"))
     line = met.where("mode like '%-repeat'").join(at, [*SECTION, "table_idx"]).where(along & (ahead >= 0)).withColumn("ahead", ahead)
-    line = line.groupBy("rid", *SECTION, "table_idx", "first", "row", "col").agg(F.min("ahead").alias("ahead"), F.first("vals").alias("vals"))
-    line = line.withColumn("k", F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx", "first").orderBy("ahead")) - 1).where("k < size(vals)")
-    line = line.select("rid", *SECTION, "table_idx", "first", "row", "col", "k", F.col("vals")[F.col("k")]["value"].alias("new_text"))
+    line = line.groupBy("rid", *SECTION, "table_idx", "first", "row", "col").agg(F.min("ahead").alias("ahead"))
+    line = line.withColumn("k", F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx", "first").orderBy("ahead")) - 1)
+    line = line.join(values_of(asked).select("rid", "k", F.col("value").alias("new_text")), ["rid", "k"]).select("rid", *SECTION, "table_idx", "first", "row", "col", "k", "new_text")
 
     once = F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx", "first", "row", "col").orderBy("k"))
     both = boxed.select(*line.columns).unionByName(line).withColumn("once", once).where("once = 1")
-    old = texts.select(*SECTION, "table_idx", "row", "col", F.col("text").alias("old_text"))
+    old = cell_rows.select(*SECTION, "table_idx", "row", "col", F.col("text").alias("old_text"))
     return both.join(old, [*SECTION, "table_idx", "row", "col"], "left").select("rid", *SECTION, F.lit(None).cast("int").alias("all_p_idx"), "table_idx", "row", "col", "k", "old_text", "new_text")
 
 
@@ -135,7 +180,8 @@ def misses(docs: DataFrame, table_rows: DataFrame, changes: DataFrame, asked: Da
     """(doc_id, rid, kind, mode, selector, reason, requested, matched) where a document has fewer targets than values."""
     done = changes.groupBy("doc_id", "rid").agg(F.count("*").alias("matched"))
     held = table_rows.groupBy("doc_id").agg(F.collect_set("table_idx").alias("indexes"), F.collect_set("label").alias("labels"))
-    rows = docs.select("doc_id").distinct().crossJoin(F.broadcast(asked)).join(done, ["doc_id", "rid"], "left").join(held, "doc_id", "left").fillna(0, ["matched"]).withColumn("requested", F.size("vals"))
+    # the statements are the stated query set, sent without their values
+    rows = docs.select("doc_id").distinct().crossJoin(selectors(asked)).join(done, ["doc_id", "rid"], "left").join(held, "doc_id", "left").fillna(0, ["matched"]).withColumn("requested", F.col("n"))
     named = F.exists(F.coalesce("labels", F.array().cast("array<string>")), lambda x: says(x, F.col("table_label"), F.col("exact")))
     has = F.coalesce(F.array_contains("indexes", F.col("table_idx_wanted")), F.lit(False))
     anchor = F.col("kind") == "anchor"
@@ -145,3 +191,36 @@ def misses(docs: DataFrame, table_rows: DataFrame, changes: DataFrame, asked: Da
         .otherwise(F.concat("kind", F.lit("-not-found")))
     )
     return rows.where("matched < requested").select("doc_id", "rid", "kind", "mode", "selector", reason.alias("reason"), "requested", "matched")
+
+
+def ambiguous(changes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, rid, matched) of ``unique`` statements with more than one target in a document."""
+    once = asked.where("single").select("rid")
+    return changes.join(F.broadcast(once), "rid").groupBy("doc_id", "rid").agg(F.count("*").alias("matched")).where("matched > 1")
+
+
+def summary(changes: DataFrame, table_rows: DataFrame, missed: DataFrame) -> DataFrame:
+    """(doc_id, what, name, table_idx, label, changes): by section, by kind of target, by table, and misses by reason."""
+    kind = F.when(F.col("table_idx").isNotNull() & F.col("all_p_idx").isNull(), "table-cell").otherwise("paragraph")
+    told = changes.withColumn("kind", kind).join(table_rows.select(*SECTION, "table_idx", "label"), [*SECTION, "table_idx"], "left")
+    sets = told.groupingSets([["doc_id", "section_path"], ["doc_id", "kind"], ["doc_id", "section_path", "table_idx", "label"]], "doc_id", "section_path", "kind", "table_idx", "label")
+    rows = sets.agg(F.count("*").alias("changes"), F.grouping("kind").alias("gk"), F.grouping("table_idx").alias("gt")).where("gt = 1 or table_idx is not null")
+    what = F.when(F.col("gk") == 0, "kind").when(F.col("gt") == 0, "table").otherwise("section")
+    out = rows.select("doc_id", what.alias("what"), F.coalesce("kind", "section_path").alias("name"), "table_idx", "label", "changes")
+    reasons = missed.groupBy("doc_id", "reason").agg(F.count("*").alias("changes"))
+    return out.unionByName(reasons.select("doc_id", F.lit("miss").alias("what"), F.col("reason").alias("name"), F.lit(None).cast("int").alias("table_idx"), F.lit(None).cast("string").alias("label"), "changes"))
+
+
+def fill(entries: DataFrame, mapping: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """Plan and apply a mapping to packages: (entries with ``error``, the changes). A ``unique`` statement with several targets leaves its document as it was."""
+    from folioframe.operators import document as D
+    from folioframe.operators import edit
+    from folioframe.sources import package as P
+
+    elements = P.flatten(entries)
+    paragraphs, cell_rows = D.paragraph_texts(elements), D.cells(elements)
+    table_rows = D.tables(elements, paragraphs, cell_rows)
+    asked = statements(entries.sparkSession, mapping)
+    more, grid_rows = grown(table_rows, cell_rows, D.grid(cell_rows), asked)
+    changes = planned(paragraphs, table_rows, cell_rows, grid_rows, asked)
+    return edit.apply(entries, edit.fill_statements(last_wins(changes), more, ambiguous(changes, asked))), changes

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import os
+import struct
 import zipfile
 import zlib
 import xml.etree.ElementTree as ET
@@ -54,6 +55,48 @@ def read_archives(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(unzip, ENTRIES)
 
 
+def unzipped(archives: DataFrame) -> DataFrame:
+    """(doc_id, archive) -> entries."""
+
+    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, content in zip(batch["doc_id"], batch["archive"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    rows = [(doc_id, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
+                yield pd.DataFrame(rows, columns=["doc_id", "path", "content"])
+
+    return archives.select("doc_id", "archive").mapInPandas(unzip, ENTRIES)
+
+
+def images(entries: DataFrame) -> DataFrame:
+    """(doc_id, path, format, width, height) of embedded pictures, in pixels; null where the format is unknown."""
+    from folioframe.operators.edit import EditError, image_size
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, path, content in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
+                try:
+                    rows.append((doc_id, path, *image_size(bytes(content))))
+                except (EditError, ValueError, IndexError, struct.error):
+                    rows.append((doc_id, path, None, None, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "path", "format", "width", "height"])
+            yield out.astype({"width": "Int32", "height": "Int32"})
+
+    return entries.where(F.col("path").startswith("BinData/")).mapInPandas(scan, "doc_id string, path string, format string, width int, height int")
+
+
+def entry_names(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("doc_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
+def next_ids(elements: DataFrame, tag: str | None = None, start: int = 1) -> DataFrame:
+    """(doc_id, next_id): one more than the greatest numeric id (of a tag), start if there is none."""
+    rows = elements if tag is None else elements.where(F.col("tag") == tag)
+    found = rows.groupBy("doc_id").agg((F.max(F.expr("try_cast(attrs['id'] as bigint)")) + 1).alias("next_id"))
+    return elements.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("next_id", F.lit(start)).alias("next_id"))
+
+
 def read_folder(spark: SparkSession, root: str) -> DataFrame:
     """entries of one unpacked package, with paths relative to root; lock and temporary files are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
