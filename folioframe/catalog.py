@@ -49,10 +49,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
  c as (select *, last_value(label ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as carried from m)
  select doc_id, count(*) as n_lines, count(distinct carried) as n_labels, sum(length(line))::bigint as n_chars from c group by doc_id""")
 def win_label_counts(spark, sf_dir):
-    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    m = lines(spark, sf_dir).withColumn("label", F.when((F.length("line") <= 24) & (F.length("line") > 0), F.col("line")))
-    c = m.withColumn("carried", F.last("label", ignorenulls=True).over(w))
-    return c.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.countDistinct("carried").alias("n_labels"), F.sum(F.length("line")).alias("n_chars"))
+    """Labels carried forward are the distinct labels themselves, so a document needs no other row: no shuffle."""
+    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    labels = F.array_distinct(F.filter("lines", lambda x: (F.length(x) <= 24) & (F.length(x) > 0)))
+    chars = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    return d.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(labels).cast("long").alias("n_labels"), chars.alias("n_chars"))
 
 
 @query(f"select doc_id, line_no from {LINES} where contains(lower(trim(line)), 'apache license')")
@@ -72,10 +73,15 @@ def flt_placeholder_detect(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "line_no", F.coalesce(T.is_placeholder(F.col("line")), F.lit("none")).alias("reason"))
 
 
-@query(f"""select doc_id, line_no from {LINES} where starts_with(line, '※') and (contains(line, '작성') or contains(line, '기재') or contains(line, '참고'))
- or contains(line, '작성요령') or contains(line, '유의사항') or contains(line, '작성 요령') or contains(line, '작성예시') or contains(line, '작성 예시') or contains(line, '기재요령') or contains(line, '기재 요령')""")
+_SAID = """(select p_partkey, case p_size % 5 when 0 then '※ 이 항목을 작성: ' || p_name when 1 then p_name || ' 유의사항' when 2 then '※ ' || p_name when 3 then '  ※ 참고 ' || p_name else p_name end as said from part)"""
+
+
+@query(f"""select p_partkey, case when starts_with(trim(said), '※') and (contains(said, '작성') or contains(said, '기재') or contains(said, '참고')) then 'guide-marker'
+ when contains(said, '작성요령') or contains(said, '유의사항') then 'guide-text' else 'none' end as reason from {_SAID}""")
 def flt_guide_detect(spark, sf_dir):
-    return lines(spark, sf_dir).where(T.is_guide(F.lower(T.trim_unicode(F.col("line")))).isNotNull()).select("doc_id", "line_no")
+    name, k = F.col("p_name"), F.col("p_size") % 5
+    said = F.when(k == 0, F.concat(F.lit("※ 이 항목을 작성: "), name)).when(k == 1, F.concat(name, F.lit(" 유의사항"))).when(k == 2, F.concat(F.lit("※ "), name)).when(k == 3, F.concat(F.lit("  ※ 참고 "), name)).otherwise(name)
+    return t(spark, sf_dir, "part").select("p_partkey", F.coalesce(T.is_guide(F.lower(T.trim_unicode(said))), F.lit("none")).alias("reason"))
 
 
 @query("select page_id, url, regexp_matches(url, '^[0-9 ./:-]+$') as date_like, length(url) <= 48 and left(url, 1) not in ('※','*','-','<','(','ㅇ') as keeps_label from pages")
@@ -84,16 +90,10 @@ def flt_label_keep(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", "url", T.date_like(u).alias("date_like"), T.keeps_label(u).alias("keeps_label"))
 
 
-@query("""select doc_id, case when strlen(text) <= 120 then text else trim(decode(array_slice(encode(text), 1, 120), 'ignore')) || '...' end as preview
- from documents where lang = 'en' and regexp_matches(text, '^[\\x00-\\x7F]*$')""".replace("trim(decode(array_slice(encode(text), 1, 120), 'ignore'))", "regexp_replace(substring(text, 1, 120), '^\\s+|\\s+$', '', 'g')"))
+@query("""with c as (select doc_id, text, list_max(list_filter(range(0, 121), lambda k: strlen(left(text, k)) <= 120)) as k from documents)
+ select doc_id, case when strlen(text) <= 120 then text else regexp_replace(left(text, k) || case when strlen(left(text, k)) < 120 then chr(65533) else '' end, '^\\s+|\\s+$', '', 'g') || '...' end as preview from c""")
 def sca_truncate_bytes(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where("lang = 'en'").where(F.octet_length("text") == F.length("text"))
-    return d.select("doc_id", T.truncate_bytes(F.col("text"), 120).alias("preview"))
-
-
-@query()
-def sca_truncate_bytes_all(spark, sf_dir):
-    """Every document, cut characters included; SQL has no counterpart for those."""
+    """Every document; a character that the cut at 120 bytes falls into becomes U+FFFD."""
     return t(spark, sf_dir, "documents").select("doc_id", T.truncate_bytes(F.col("text"), 120).alias("preview"))
 
 
@@ -134,25 +134,19 @@ def sca_mm_to_unit(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", T.mm_to_unit(F.col("p_retailprice")).alias("units"))
 
 
-@query("""select conv_id, turn, min(turn) over (partition by conv_id order by turn rows between 1 following and unbounded following) as next_turn,
- first_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between 1 following and unbounded following) as next_fillable from conversations
- where (conv_id, turn) in (select (conv_id, turn) from conversations group by conv_id, turn having count(*) = 1)""")
+@query("""with r as (select *, row_number() over (partition by conv_id order by turn, role, text) as place from conversations)
+ select conv_id, place, turn, lead(turn) over w as next_turn, first_value(case when role = 'user' then place end ignore nulls) over (partition by conv_id order by place rows between 1 following and unbounded following) as next_fillable
+ from r window w as (partition by conv_id order by place)""")
 def win_next_fillable(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations")
-    c = c.withColumn("n", F.count("*").over(W.partitionBy("conv_id", "turn"))).where("n = 1")
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(1, W.unboundedFollowing)
-    return c.select("conv_id", "turn", F.min("turn").over(w).alias("next_turn"), F.first(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("next_fillable"))
-
-
-@query("""select l_orderkey, l_linenumber, row_number() over (partition by l_returnflag, l_suppkey order by l_orderkey, l_linenumber, l_partkey) as occurrence from lineitem
- qualify row_number() over (partition by l_returnflag, l_suppkey order by l_orderkey, l_linenumber, l_partkey) <= 2""")
-def win_occurrence(spark, sf_dir):
-    w = W.partitionBy("l_returnflag", "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    return t(spark, sf_dir, "lineitem").withColumn("occurrence", F.row_number().over(w).cast("long")).where("occurrence <= 2").select("l_orderkey", "l_linenumber", "occurrence")
+    """Rows that share a turn are told apart by role and text."""
+    c = t(spark, sf_dir, "conversations").withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    w = W.partitionBy("conv_id").orderBy("place")
+    after = w.rowsBetween(1, W.unboundedFollowing)
+    return c.select("conv_id", "place", "turn", F.lead("turn").over(w).alias("next_turn"), F.first(F.when(F.col("role") == "user", F.col("place")), ignorenulls=True).over(after).alias("next_fillable"))
 
 
 @query("""select l_orderkey, l_linenumber, row_number() over (partition by l_returnflag, l_suppkey order by l_orderkey, l_linenumber, l_partkey) as occurrence from lineitem""")
-def win_occurrence_all(spark, sf_dir):
+def win_occurrence(spark, sf_dir):
     """The ordinal of every match."""
     w = W.partitionBy("l_returnflag", "l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
     return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("occurrence"))
@@ -181,20 +175,22 @@ def agg_risk_signals(spark, sf_dir):
 
 @query(f"""select doc_id, count(*) filter (where line = '') as blank, count(*) filter (where length(line) > 200) as long_lines, count(*) filter (where contains(line, '|')) as rows_like from {LINES} group by doc_id""")
 def agg_section_counts(spark, sf_dir):
-    n = lambda c, a: F.count_if(c).alias(a)
-    return lines(spark, sf_dir).groupBy("doc_id").agg(n(F.col("line") == "", "blank"), n(F.length("line") > 200, "long_lines"), n(F.col("line").contains("|"), "rows_like"))
+    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    n = lambda f, name: F.size(F.filter("lines", f)).cast("long").alias(name)
+    return d.select("doc_id", n(lambda x: x == "", "blank"), n(lambda x: F.length(x) > 200, "long_lines"), n(lambda x: x.contains("|"), "rows_like"))
 
 
 @query(f"select doc_id, sha256(array_to_string(list_sort(list_distinct(list(line))), chr(10))) as digest, count(distinct line) as n_labels from {LINES} where line <> '' group by doc_id")
 def agg_fingerprint(spark, sf_dir):
-    joined = F.array_join(F.array_sort(F.collect_set("line")), "\n")
-    return lines(spark, sf_dir).where("line <> ''").groupBy("doc_id").agg(F.sha2(joined.cast("binary"), 256).alias("digest"), F.size(F.collect_set("line")).cast("long").alias("n_labels"))
+    once = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x != ""))
+    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", once.alias("once")).where("size(once) > 0")
+    return d.select("doc_id", F.sha2(F.array_join(F.array_sort("once"), "\n").cast("binary"), 256).alias("digest"), F.size("once").cast("long").alias("n_labels"))
 
 
 @query(f"select doc_id, sha256(string_agg(trim(line, ' '), chr(10) order by line_no)) as text_digest, count(*) as paragraphs from {LINES} group by doc_id")
 def agg_snapshot_digest(spark, sf_dir):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("x")))), lambda e: e["x"])
-    return lines(spark, sf_dir).groupBy("doc_id").agg(F.sha2(F.array_join(ordered, "\n").cast("binary"), 256).alias("text_digest"), F.count("*").alias("paragraphs"))
+    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), F.trim).alias("lines"))
+    return d.select("doc_id", F.sha2(F.array_join("lines", "\n").cast("binary"), 256).alias("text_digest"), F.size("lines").cast("long").alias("paragraphs"))
 
 
 @query("""select l_returnflag as kind, l_linestatus as section, count(*) as changes, grouping(l_returnflag)::integer as g_kind, grouping(l_linestatus)::integer as g_section
@@ -299,10 +295,11 @@ def srt_keep_first(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(w)).where("k = 1").select("l_suppkey", "l_partkey", "l_orderkey")
 
 
-@query("select l_suppkey, l_partkey, min(l_orderkey * 10 + l_linenumber) as first_seq, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) as value from lineitem group by all")
+@query("""select l_suppkey, l_partkey, min(l_orderkey * 10 + l_linenumber) as first_seq, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity) as value from lineitem group by all""")
 def srt_last_wins(spark, sf_dir):
+    """The last in order of line, then of quantity: lines may have the same number."""
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(seq).alias("first_seq"), F.max_by("l_quantity", seq).alias("value"))
+    return t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(seq).alias("first_seq"), F.max_by("l_quantity", F.struct(seq, "l_quantity")).alias("value"))
 
 
 @query("""select o_custkey, list(o_orderkey order by o_totalprice desc, o_orderkey)[1:8] as hints from orders group by o_custkey""")

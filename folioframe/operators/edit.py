@@ -1202,6 +1202,7 @@ def apply(entries: DataFrame, asked: DataFrame) -> DataFrame:
         parts, error = edited(parts, list(zip(right["op"], right["args"], strict=True)))
         return pd.DataFrame([(left["doc_id"].iloc[0], p, c, error) for p, c in parts.items()], columns=["doc_id", "path", "content", "error"])
 
+    asked = asked.select("doc_id", "seq", "op", "args").toDF("doc_id", "seq", "op", "args")  # statements may come from the entries themselves
     touched = entries.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
     rest = entries.join(asked.select("doc_id").distinct(), "doc_id", "left_anti")
     done = touched.select("doc_id", "path", "content").groupBy("doc_id").cogroup(asked.groupBy("doc_id")).applyInPandas(run, RESULT)

@@ -217,9 +217,9 @@ def fill(entries: DataFrame, mapping: list[dict]) -> tuple[DataFrame, DataFrame]
     from folioframe.operators import edit
     from folioframe.sources import package as P
 
-    elements = P.flatten(entries)
+    elements = P.flatten(entries).persist()  # parsed once, not once for each list of rows
     paragraphs, cell_rows = D.paragraph_texts(elements), D.cells(elements)
-    table_rows = D.tables(elements, paragraphs, cell_rows)
+    table_rows = D.tables(elements, paragraphs, cell_rows).persist()
     asked = statements(entries.sparkSession, mapping)
     more, grid_rows = grown(table_rows, cell_rows, D.grid(cell_rows), asked)
     changes = planned(paragraphs, table_rows, cell_rows, grid_rows, asked)

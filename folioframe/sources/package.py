@@ -41,6 +41,11 @@ INTERNAL = r"(^|/)(\.[^/]*\.lock|\.[^/]*\.tmp)$"
 
 def read_archives(spark: SparkSession, glob: str) -> DataFrame:
     """entries of every archive; doc_id is the archive's path. Folder entries are skipped."""
+    return entries_of(spark.read.format("binaryFile").load(glob))
+
+
+def entries_of(files: DataFrame) -> DataFrame:
+    """files(path, content) -> the entries of the archives; of a file that is none, one entry BROKEN with the reason."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -52,7 +57,7 @@ def read_archives(spark: SparkSession, glob: str) -> DataFrame:
                     rows = [(path, BROKEN, str(e).encode())]
                 yield pd.DataFrame(rows, columns=["doc_id", "path", "content"])
 
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(unzip, ENTRIES)
+    return files.select("path", "content").mapInPandas(unzip, ENTRIES)
 
 
 def unzipped(archives: DataFrame) -> DataFrame:
