@@ -338,7 +338,7 @@ def baum_welch(rows: DataFrame, model: Model, known: int, words: bool) -> DataFr
         into, held, size = model.none(), [], 0
 
         def told(symbol: bool, at: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-            k = np.round(k * 1024) / 1024  # few digits are sent in few bytes
+            k = np.round(k * 256) / 256  # few digits are sent in few bytes
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), symbol)), pa.array(at), *[pa.array(k[:, i]) for i in range(STATES)]], ["symbol", "at", *_K])
 
         def summed(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
