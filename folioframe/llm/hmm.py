@@ -430,7 +430,7 @@ def score(docs: DataFrame) -> DataFrame:
             packed = packed.bitwiseOR(F.shiftleft(F.round(F.col(k) / whole * 255).cast("long"), 8 * i))
         words = summed.where("not symbol").where(whole > 0).select(F.col("at").alias("h"), packed.alias("states"))
         spread = F.coalesce(F.nullif("states", F.lit(0)), F.lit(uniform)).alias("states")
-        rare = stage(rare.join(words, "h", "left").select("h", "kind", "c", spread), "emissions")
+        rare = emitted = stage(rare.join(words, "h", "left").select("h", "kind", "c", spread), "emissions")
         drop_stage(summed)
         drop_stage(counts)
         bytes_of = [F.shiftright("states", 8 * i).bitwiseAND(F.lit(255)) for i in range(STATES)]
@@ -458,7 +458,10 @@ def score(docs: DataFrame) -> DataFrame:
             )
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = with_counts(rows, rare).mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, counts double, score double")
+    known_words = with_counts(rows, rare)
+    if few:
+        drop_stage(emitted)
+    scored = known_words.mapInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, counts double, score double")
     all_types = float(np.log10(n + 1 * (v + 1)))
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("counts") - F.col("n_tokens") * all_types).alias("base_score"), "score",
