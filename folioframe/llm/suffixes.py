@@ -19,7 +19,7 @@ A passage that a third of the documents share has few distinct contents, and tho
 before the shuffle. Null texts are empty; rows with a null doc_id take no part and are kept whole;
 rows that share a doc_id are one document (neither is smaller); texts under LENGTH bytes stay;
 very long texts are processed in overlapping pieces, with the same result; an empty table gives no
-rows; other columns are ignored.
+rows; doc_ids are whole numbers; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ from folioframe.llm.common import drop_stage, stage, table, text_bytes
 
 LENGTH = 50
 Q = 24
-#: Initial buckets are shuffled in 2^PART_BITS parts; 40 more bits of the hash travel with each.
-PART_BITS = 10
+#: Initial buckets are shuffled in parts of about PART_BYTES of text, at least 2^10 and at most 2^22 of them
+#: (a part's entries are held by a task); 40 more bits of the hash travel with each.
+PART_BYTES, LEAST_BITS, MOST_BITS = 32 << 20, 10, 22
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -109,9 +110,14 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held[:-1])]), np.array(rows), np.array(offsets)
 
 
-def bucket_numbers(hashes: np.ndarray) -> np.ndarray:
-    """50 bits of a hash: its part and 40 bits within it."""
-    return hashes >> np.uint64(64 - PART_BITS - 40)
+def part_bits(size: int) -> int:
+    """As many bits as the parts of so many bytes of text need."""
+    return min(MOST_BITS, max(LEAST_BITS, (-(-size // PART_BYTES)).bit_length()))
+
+
+def bucket_numbers(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The part of a hash (bits) and 40 bits within it."""
+    return hashes >> np.uint64(64 - bits - 40)
 
 
 def _planes(a: np.ndarray, width: int) -> bytes:
@@ -125,7 +131,7 @@ def _unplanes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
+def shared_buckets(rows: DataFrame, bits: int) -> DataFrame:
     """rows(tid, text) -> (tid, bucket): initial buckets that at least two distinct texts have a suffix in."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +160,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
                 for data, starts, owner, _ in pieces(texts):
                     hashes, at, _, _ = initial_buckets(data, starts)
                     if len(at):
-                        found.append((bucket_numbers(hashes), rid[lo + owner[np.searchsorted(starts, at, "right") - 1]]))
+                        found.append((bucket_numbers(hashes, bits), rid[lo + owner[np.searchsorted(starts, at, "right") - 1]]))
                         size += len(at)
                 if size > 600_000:
                     yield packed(found)
@@ -197,7 +203,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return packed.repartition("part").sortWithinPartitions("part").mapInArrow(owned, "tid long, bucket long")
 
 
-def contents(rows: DataFrame, buckets: DataFrame, first: DataFrame) -> DataFrame:
+def contents(rows: DataFrame, buckets: DataFrame, first: DataFrame, bits: int) -> DataFrame:
     """(rid, doc_id, start, lead, bucket, content): the bytes around every q-gram of a shared bucket, once for each distinct text."""
     wanted = buckets.groupBy("tid").agg(F.collect_list("bucket").alias("buckets")).join(first, "tid")
 
@@ -211,7 +217,7 @@ def contents(rows: DataFrame, buckets: DataFrame, first: DataFrame) -> DataFrame
                     hashes, at, first, last = initial_buckets(data, starts)
                     if not len(at):
                         continue
-                    number = bucket_numbers(hashes).astype(np.int64)
+                    number = bucket_numbers(hashes, bits).astype(np.int64)
                     which = np.searchsorted(starts, at, "right") - 1
                     text = lo + owner[which]
                     keep = np.zeros(len(at), bool)
@@ -313,8 +319,9 @@ def removals(docs: DataFrame) -> DataFrame:
     first = narrow.groupBy("tid", "tid2").agg(F.min("doc_id").alias("doc_id"))
     copies = narrow.join(first.withColumnRenamed("doc_id", "least"), ["tid", "tid2"]).where("doc_id > least").select("rid", F.lit(0).cast("long").alias("lo"), "hi")
 
-    buckets = stage(shared_buckets(rows), "buckets")
-    found = stage(contents(rows, buckets, first.select("tid", "doc_id").distinct()), "contents")
+    bits = part_bits(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
+    buckets = stage(shared_buckets(rows, bits), "buckets")
+    found = stage(contents(rows, buckets, first.select("tid", "doc_id").distinct(), bits), "contents")
     drop_stage(buckets)
     key = lambda d, *c: d.select(F.xxhash64("bucket", "lead", "content").alias("k1"), F.xxhash64(F.lit(1), "content", "bucket").alias("k2"), *c)
     least = stage(key(least_documents(found), "least"), "least")
