@@ -227,9 +227,9 @@ def join_style_default(spark, sf_dir):
     return t(spark, sf_dir, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("#000000")).alias("color"))
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 def join_manifest_anti(spark, sf_dir):
-    return t(spark, sf_dir, "customer").join(t(spark, sf_dir, "orders").where("o_totalprice > 200000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return t(spark, sf_dir, "customer").join(t(spark, sf_dir, "orders").where("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("select doc_id from documents where doc_id in (select doc_id from labels where toxic = 1)")
