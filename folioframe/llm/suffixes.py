@@ -40,6 +40,8 @@ Q = 24
 #: (a part's entries are held by a task); 40 more bits of the hash travel with each.
 PART_BYTES, LEAST_BITS, MOST_BITS = 32 << 20, 10, 22
 PIECE = 1 << 20
+#: Contents that a task solves together (whole buckets, so there may be more).
+SOLVED = 20_000
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = (1 << 28) - 1
@@ -298,7 +300,7 @@ def least_documents(found: DataFrame) -> DataFrame:
         held: list[list] = [[], [], [], [], []]
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lead", "content", "doc_id", "most")), strict=True):
-                if len(held[0]) >= 50_000 and row[0] != held[0][-1]:
+                if len(held[0]) >= SOLVED and row[0] != held[0][-1]:
                     yield solved(*held)
                     held = [[], [], [], [], []]
                 for column, value in zip(held, row, strict=True):
