@@ -118,10 +118,10 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
             out.append(("".join(kept), len(bits), len(bits) - len(kept)))
         return pd.DataFrame(out, columns=["text", "sentences", "removed"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text")
-    out = packed.join(repeats(docs, span, min_words), "doc_id", "left").withColumn("cut", cut("text", F.col("doc_id").isNotNull(), "gone"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id")
+    out = packed.join(repeats(docs, span, min_words), "doc_id", "left").withColumn("cut", cut("doc.text", F.col("doc_id").isNotNull(), "gone"))
     added = [
-        F.col("cut.sentences").alias("_sentences"), F.col("cut.removed").alias("_removed"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes"),
+        F.col("cut.sentences").alias("_sentences"), F.col("cut.removed").alias("_removed"), F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long").alias("_bytes"),
     ]
     return out.select(*[F.col("cut.text").alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns], *(added if counts else []))
 
