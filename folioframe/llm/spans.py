@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.common import stage, table
 
-SPAN = 3
+SPAN = 2
 MIN_WORDS = 20
-LONG, LONG_CUT = 24, 8
+LONG, LONG_CUT = 16, 6
 #: Every character is in exactly one match.
 PART = re.compile(r"[^.!?,;:\n]*[.!?,;:\n]+[ \t\r]*|[^.!?,;:\n]+")
 WORD = re.compile(r"\S+\s*")
