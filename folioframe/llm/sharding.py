@@ -88,7 +88,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 20_24) -> DataF
         "text_crc32",
         F.lit("rows").alias("law"),
         F.pmod("p", F.lit(shards)).cast("int").alias("shard"),
-        F.floor(F.col("p") / shards).cast("long").alias("slot") if shards == 1 else F.expr(f"p div {shards}").alias("slot"),
+        F.expr(f"p div {shards}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
