@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
-from folioframe.operators import diff, discovery, edit
+from folioframe.operators import borders, diff, discovery, edit
 from folioframe.operators import document as D
 from folioframe.plans import contract, fill
 from folioframe.sources import package as P
@@ -19,7 +19,17 @@ from folioframe.sources import package as P
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-HEADER = '<h:head xmlns:h="h" secCnt="1"><h:style id="0" name="Normal"/><h:style id="1" name="Heading 2"/></h:head>'
+#: Border fills of the cells, by (row + column) mod 3: id -> line left and right, line above and below, face.
+FILLS = {3: (("SOLID", "0.12 mm"), ("SOLID", "0.12 mm"), "none"), 4: (("NONE", "0.1 mm"), ("NONE", "0.1 mm"), "none"), 5: (("DOUBLE_SLIM", "0.5 mm"), ("DASH", "0.4 mm"), "#ffee00")}
+HEADER = (
+    '<h:head xmlns:h="h" secCnt="1"><h:style id="0" name="Normal"/><h:style id="1" name="Heading 2"/><h:refList><h:borderFills>'
+    + "".join(
+        f'<h:borderFill id="{i}">' + "".join(f'<h:{s}Border type="{line[0]}" width="{line[1]}" color="#000000"/>' for s, line in (("left", beside), ("right", beside), ("top", over), ("bottom", over)))
+        + f'<h:fillBrush><h:winBrush faceColor="{face}"/></h:fillBrush></h:borderFill>'
+        for i, (beside, over, face) in FILLS.items()
+    )
+    + "</h:borderFills></h:refList></h:head>"
+)
 
 
 def query(sql: str | None = None):
@@ -42,7 +52,7 @@ def packages(spark: SparkSession, sf_dir: str, change: bool = False) -> DataFram
 
     def cell(row, col: int, text, span: int = 1, size: int = 10):
         at = F.concat(F.lit(f'</hp:subList><hp:cellAddr colAddr="{col}" rowAddr="'), row.cast("string"), F.lit(f'"/><hp:cellSpan rowSpan="1" colSpan="{span}"/><hp:cellSz width="{size}" height="{size}"/></hp:tc>'))
-        return F.concat(F.lit("<hp:tc><hp:subList>"), para(text), at)
+        return F.concat(F.lit('<hp:tc borderFillIDRef="'), ((row + col) % 3 + 3).cast("string"), F.lit('"><hp:subList>'), para(text), at)
 
     top = F.concat(F.lit("<hp:tr>"), cell(F.lit(0), 0, F.lit("turn and role"), 2), cell(F.lit(0), 1, F.lit(""), 1, 0), F.lit("</hp:tr>"))
     line = lambda x, i: F.concat(F.lit("<hp:tr>"), cell(i + 1, 0, x["turn"].cast("string")), cell(i + 1, 1, T.html_escape(x["role"])), F.lit("</hp:tr>"))
@@ -183,13 +193,20 @@ def fil_27_applied(spark, sf_dir):
     return D.cells(P.flatten(done.where("error is null").drop("error"))).select("doc_id", "row", "col", "text")
 
 
-@query(f"""with {TURNS}, p as (select doc_id, turn, row_number() over (partition by doc_id order by k) as place, count(*) filter (where trim(text) = '') over (partition by doc_id) as e from t)
- select doc_id, 'paragraph-changed' as code, place::int as position from p where turn % 3 = 0 and e = 0""")
+#: The paragraph that holds the table says what its cells say; cells have addresses.
+_STATE = """select doc_id, style, cell, trim(said, ' ' || chr(9) || chr(10) || chr(13)) as said, row_number() over (partition by doc_id order by i) - 1 as position from
+ (select p.doc_id, i, case when i = 0 then '1' else '0' end as style, case when i >= p.n + 3 then i - p.n end as cell, {} as said
+  from (select * from p union all select doc_id, n + 2, string_agg(text, '' order by row, col), n from c group by doc_id, n) p left join t on t.doc_id = p.doc_id and t.k = p.i) where trim(said, ' ' || chr(9) || chr(10) || chr(13)) <> ''"""
+
+
+@query(f"""with {TURNS}, {CELLS}, {PARAGRAPHS}, a as ({_STATE.format("p.text")}), b as ({_STATE.format("case when turn % 3 = 0 then 'now ' || p.text else p.text end")}),
+ counts as (select doc_id, coalesce(a.n, 0) as x, coalesce(b.n, 0) as y from (select doc_id, count(*) as n from a group by doc_id) a full join (select doc_id, count(*) as n from b group by doc_id) b using (doc_id))
+ select doc_id, case when a.said is null then 'paragraph-added' when b.said is null then 'paragraph-removed' else 'paragraph-changed' end as code, position::int as position
+ from a full join b using (doc_id, position) where (a.said, a.style, a.cell) is distinct from (b.said, b.style, b.cell) union all select doc_id, 'paragraph-count-changed', null from counts where x <> y""")
 def jon_9_paragraph_diff(spark, sf_dir):
-    """Paragraphs of two states of the corpus by position; documents with an empty turn have other positions in both and are left to the tests."""
+    """Paragraphs of two states of the corpus by position."""
     a, b = read(spark, sf_dir)[2], read(spark, sf_dir, True)[2]
-    full = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("e")).where("e = 0")
-    return diff.compare(diff.ordered_paragraphs(a), diff.ordered_paragraphs(b), "paragraph").join(full, "doc_id", "left_semi").where("code = 'paragraph-changed' and position <= 100000").select("doc_id", "code", "position")
+    return diff.compare(diff.ordered_paragraphs(a), diff.ordered_paragraphs(b), "paragraph").select("doc_id", "code", "position")
 
 
 @query(f"""with {TURNS}, l as (select doc_id, ['turns of ' || doc_id] as table_labels, ['Contents/section0.xml'] as section_paths, 1 as section_count from t where k = 1) select * from l""")
@@ -226,6 +243,37 @@ def mut_20_merge(spark, sf_dir):
     return D.cells(P.flatten(done.where("error is null").drop("error"))).where("width > 0").select("doc_id", "row", "col", "row_span", "col_span")
 
 
+#: Places of the grid with the cell that covers them, and the lines of its border fill.
+_LINED = f"""{TURNS}, g as (select doc_id, 0 as row, unnest([0, 1]) as col, 0 as ar, 0 as ac, n from t where k = 1 union all select doc_id, k, unnest([0, 1]), k, unnest([0, 1]), n from t),
+ l as (select * from (values {", ".join(f"({i}, '{s}', '{line[0]}', {float(line[1][:-3]) * 100 + {'DOUBLE_SLIM': 30, 'SOLID': 20, 'DASH': 10}.get(line[0], 0):g})" for i, (a, b, _) in FILLS.items() for s, line in (("left", a), ("right", a), ("top", b), ("bottom", b)))})
+  as v(id, side, kind, strength) where kind <> 'NONE'), p as (select g.*, side, kind, strength from g join l on id = 3 + (ar + ac) % 3)"""
+
+
+@query(f"""with {_LINED}, pairs as (select a.doc_id, a.ar, a.ac, a.row, a.col, b.ar as br, b.ac as bc, b.row as brow, b.col as bcol, case when b.row = a.row then 'right' else 'bottom' end as mine, case when b.row = a.row then 'left' else 'top' end as theirs
+  from g a join g b on a.doc_id = b.doc_id and ((b.row = a.row and b.col = a.col + 1) or (b.row = a.row + 1 and b.col = a.col)) where (a.ar, a.ac) <> (b.ar, b.ac)),
+ best as (select x.doc_id, x.ar, x.ac, x.br, x.bc, x.row, x.col, mine, theirs, arg_max(p.kind, p.strength) as kind, max(p.strength) as strength from pairs x join p on p.doc_id = x.doc_id
+  and ((p.row = x.row and p.col = x.col and p.side = mine) or (p.row = x.brow and p.col = x.bcol and p.side = theirs)) group by all),
+ sides as (select *, case side when 'top' then row = 0 when 'bottom' then row = n when 'left' then col = 0 else col = 1 end as rim from p),
+ rim as (select doc_id, side, arg_max(kind, strength) as kind, max(strength) as strength from sides where rim group by all),
+ on_rim as (select distinct doc_id, ar, ac, s as side from (select *, unnest(['top', 'bottom', 'left', 'right']) as s from g) where case s when 'top' then row = 0 when 'bottom' then row = n when 'left' then col = 0 else col = 1 end),
+ given as (select doc_id, ar, ac, mine as side, kind, strength from best union all select doc_id, br, bc, theirs, kind, strength from best union all select o.doc_id, ar, ac, side, kind, strength from on_rim o join rim using (doc_id, side))
+ select doc_id, ar::int as row, ac::int as col, side, arg_max(kind, strength) as kind from given group by doc_id, ar, ac, side""")
+def jon_13_shared_lines(spark, sf_dir):
+    """The line that every side of every cell gets where neighbours and the table's rim are made equal."""
+    entries, elements, _, cells, _ = read(spark, sf_dir)
+    return borders.normalized(borders.lined(elements, entries, D.grid(cells))).select("doc_id", "row", "col", "side", "line.kind")
+
+
+@query(f"""with {_LINED} select doc_id, arg_max(kind, strength) filter (where side = 'top' and row = 0) as top, arg_max(kind, strength) filter (where side = 'bottom' and row = n) as bottom,
+ arg_max(kind, strength) filter (where side = 'left' and col = 0) as left, arg_max(kind, strength) filter (where side = 'right' and col = 1) as right, '#FFEE00' as face, 10 as width, (10 * (max(n) + 1))::int as height, true as whole
+ from p group by doc_id""")
+def agg_12_to_14_merged(spark, sf_dir):
+    """Outline, fill and size of the cell that a merge of each whole table makes."""
+    entries, elements, _, cells, tables = read(spark, sf_dir)
+    areas = tables.select("doc_id", "section_path", "table_idx", F.lit(0).alias("row_from"), F.lit(0).alias("col_from"), (F.col("rows") - 1).alias("row_to"), (F.col("cols") - 1).alias("col_to"))
+    return borders.merged(borders.lined(elements, entries, D.grid(cells)), areas).select("doc_id", *[F.col(f"{s}.kind").alias(s) for s in ("top", "bottom", "left", "right")], "face", "width", "height", "whole")
+
+
 @query(f"with {TURNS} select doc_id, 0 as errors from t where k = 1")
 def snk_2_pack_round_trip(spark, sf_dir):
     """Packed, read again and compared: the issues of every document."""

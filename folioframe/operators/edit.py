@@ -628,7 +628,7 @@ def set_table_cell(book: Book, table: int, row: int, col: int, text: str | None
     if align:
         put(cell, "subList", vertAlign=align.upper())
     if border:
-        cell.set("borderFillIDRef", bordered(book, cell.get("borderFillIDRef", "3"), border))
+        cell.set("borderFillIDRef", bordered(book, base_of(book, cell), border))
 
 
 @op("set-table-cell-layout")
@@ -649,8 +649,19 @@ SIDES = ("left", "right", "top", "bottom")
 STRENGTH = {"DOUBLE_SLIM": 30, "SOLID": 20, "DASH": 10}
 
 
+def border_fill(book: Book, cell: ET.Element) -> ET.Element | None:
+    """The cell's border fill, or the one of id 3 if it names none that is there."""
+    known = {b.get("id"): b for b in reversed(kids(book.list_of("borderFills"), "borderFill"))}
+    return known.get(cell.get("borderFillIDRef", "").strip() or "3", known.get("3"))
+
+
+def base_of(book: Book, cell: ET.Element) -> str:
+    fill = border_fill(book, cell)
+    return fill.get("id") if fill is not None else "3"
+
+
 def line_of(book: Book, cell: ET.Element, side: str) -> dict[str, str]:
-    fill = next((b for b in kids(book.list_of("borderFills"), "borderFill") if b.get("id") == cell.get("borderFillIDRef")), None)
+    fill = border_fill(book, cell)
     e = kid(fill, f"{side}Border") if fill is not None else None
     return dict(e.attrib) if e is not None else {"type": "NONE", "width": "0.1 mm", "color": "#000000"}
 
@@ -659,7 +670,7 @@ def strength(line: dict[str, str]) -> tuple[bool, int]:
     """Visible lines before others, then a hundred times the width and the kind's rank."""
     kind = line.get("type", "NONE").upper()
     width = re.match(r"\s*([\d.]+)", line.get("width", "0"))
-    return kind != "NONE", round(float(width.group(1)) * 100 if width else 0) + STRENGTH.get(kind, 5)
+    return kind not in ("", "NONE"), round(float(width.group(1)) * 100 if width else 0) + STRENGTH.get(kind, 5)
 
 
 def bordered(book: Book, base: str, lines: dict[str, dict], fill: str | None = None) -> str:
@@ -675,9 +686,9 @@ def bordered(book: Book, base: str, lines: dict[str, dict], fill: str | None = N
 
 
 def fill_of(book: Book, cell: ET.Element) -> str | None:
-    fill = next((b for b in kids(book.list_of("borderFills"), "borderFill") if b.get("id") == cell.get("borderFillIDRef")), None)
-    color = next((w.get("faceColor") for w in within(fill, "winBrush")), None) if fill is not None else None
-    return None if color in (None, "", "none") else color
+    fill = border_fill(book, cell)
+    color = next((w.get("faceColor", "").strip().upper() for w in within(fill, "winBrush")), None) if fill is not None else None
+    return None if color in (None, "", "NONE") else color
 
 
 @op("merge-table-cells")
@@ -698,10 +709,11 @@ def merge_table_cells(book: Book, table: int, row: int, col: int, row_to: int, c
     distinct = lambda edge: {id(grid[at]): grid[at] for at in edge}.values()
     top, left = [(row, c) for c in range(col, col_to + 1)], [(r, col) for r in range(row, row_to + 1)]
     bottom, right = [(row_to, c) for c in range(col, col_to + 1)], [(r, col_to) for r in range(row, row_to + 1)]
-    width, height = sum(extent(c)[0] for c in distinct(top)), sum(extent(c)[1] for c in distinct(left))
+    width, height = sum(extent(c)[0] for c in distinct(top)) or extent(anchor)[0], sum(extent(c)[1] for c in distinct(left)) or extent(anchor)[1]
     lines = {side: max((line_of(book, c, side) for c in distinct(edge)), key=strength) for side, edge in (("top", top), ("left", left), ("bottom", bottom), ("right", right))}
+    lines = {side: line for side, line in lines.items() if strength(line)[0]}
     fill = fill_of(book, anchor) or next((f for f in (fill_of(book, by_id[i]) for i in inside) if f), None)
-    anchor.set("borderFillIDRef", bordered(book, anchor.get("borderFillIDRef", "3"), lines, fill))
+    anchor.set("borderFillIDRef", bordered(book, base_of(book, anchor), lines, fill))
     put(anchor, "cellSpan", rowSpan=row_to - row + 1, colSpan=col_to - col + 1)
     put(anchor, "cellSz", width=width, height=height)
     covered = [c for c in by_id.values() if c is not anchor]
@@ -736,19 +748,30 @@ def split_table_cell(book: Book, table: int, row: int, col: int, section: int |
 
 @op("normalize-table-borders")
 def normalize_table_borders(book: Book, table: int, section: int | None = None) -> None:
-    """Lines that two cells share become the stronger one in both."""
+    """Lines that two cells share become the stronger one in both; a side of the table's rim gets its strongest line."""
     t = pick(tables(book.section(section)), table, "table")
     grid, change = grid_of(t), {}
+
+    def give(cell: ET.Element, side: str, line: dict[str, str]) -> None:
+        was = change.setdefault(id(cell), (cell, {}))[1]
+        was[side] = max(was.get(side, line), line, key=strength)
+
     for (r, c), cell in sorted(grid.items(), key=lambda x: x[0]):
         for other, mine, theirs in ((grid.get((r, c + 1)), "right", "left"), (grid.get((r + 1, c)), "bottom", "top")):
             if other is not None and other is not cell:
                 line = max(line_of(book, cell, mine), line_of(book, other, theirs), key=strength)
-                for x, side in ((cell, mine), (other, theirs)):
-                    was = change.setdefault(id(x), (x, {}))[1]
-                    was[side] = max(was.get(side, line), line, key=strength)
+                give(cell, mine, line)
+                give(other, theirs, line)
+    for side, along, last in (("top", 0, False), ("bottom", 0, True), ("left", 1, False), ("right", 1, True)):
+        edge = max((at[along] for at in grid), default=0) if last else 0
+        rim = list({id(cell): cell for at, cell in sorted(grid.items(), key=lambda x: x[0]) if at[along] == edge}.values())
+        line = max((line_of(book, cell, side) for cell in rim), key=strength, default=None)
+        for cell in rim if line else ():
+            give(cell, side, line)
     for cell, lines in change.values():
-        if any(line_of(book, cell, s) != v for s, v in lines.items()):
-            cell.set("borderFillIDRef", bordered(book, cell.get("borderFillIDRef", "3"), lines))
+        lines = {s: v for s, v in lines.items() if strength(v)[0] and line_of(book, cell, s) != v}
+        if lines:
+            cell.set("borderFillIDRef", bordered(book, base_of(book, cell), lines))
 
 
 @op("expand-table")

@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 
+from folioframe.operators import borders
 from folioframe.operators import document as D
 from folioframe.operators import edit as E
 from folioframe.sources import package as P
@@ -80,6 +81,39 @@ def test_tables_merge_split_borders():
         run(("add-table", {"rows": 1, "cols": 2, "widths_mm": [10, 20], "width_mm": 50}))
 
 
+def test_lines_of_tables(spark):
+    """The edits and the relations agree on shared lines, rims, outlines, fills and sizes, and invisible lines change nothing."""
+    line = lambda kind, mm: {s: f'<h:{s}Border type="{kind}" width="{mm} mm" color="#000000"/>' for s in borders.SIDES}
+    fill = lambda i, left, rest, face="": f'<h:borderFill id="{i}">{line(*left)["left"]}{"".join(line(*rest)[s] for s in borders.SIDES[1:])}{face}</h:borderFill>'
+    fills = fill(3, ("SOLID", 0.12), ("NONE", 0.1)) + fill(4, ("NONE", 0.5), ("DASH", 0.4)) + fill(5, ("DOUBLE_SLIM", 0.5), ("SOLID", 0.7), '<h:fillBrush><h:winBrush faceColor="#abcdef"/></h:fillBrush>')
+    files = parts() | {"Contents/header.xml": HEADER.replace("<h:refList>", f"<h:refList><h:borderFills>{fills}</h:borderFills>").encode()}
+    book = E.Book(files)
+    E.OPS["add-table"](book, rows=3, cols=3, cells="a,b,c;d,e,f;g,h,i", width_mm=90)
+    E.OPS["merge-table-cells"](book, table=0, row=0, col=0, row_to=1, col_to=1)
+    for at, ref in (((0, 0), "4"), ((0, 2), "3"), ((1, 2), "5"), ((2, 0), "3"), ((2, 1), "99"), ((2, 2), "4")):
+        E.grid_of(E.tables(book.section(0))[0])[at].set("borderFillIDRef", ref)
+    entries = spark.createDataFrame([("d", p, c) for p, c in book.saved().items()], "doc_id string, path string, content binary")
+    elements = P.flatten(entries)
+    places = borders.lined(elements, entries, D.grid(D.cells(elements))).cache()
+    asked = {(r.row, r.col, r.side): (r.line.kind, r.line.width) for r in borders.normalized(places).collect()}
+    areas = spark.createDataFrame([("d", "Contents/section0.xml", 0, *a) for a in ((0, 0, 2, 2), (1, 1, 2, 2), (2, 0, 2, 1), (2, 2, 3, 3))], "doc_id string, section_path string, table_idx int, row_from int, col_from int, row_to int, col_to int")
+    merged = {(r.row_from, r.col_from): r for r in borders.merged(places, areas).collect()}
+    assert merged[0, 0].whole and not merged[1, 1].whole and merged[2, 0].whole and not merged[2, 2].whole
+    for at, to in (((0, 0), (2, 2)), ((2, 0), (2, 1))):
+        b, m = E.Book(book.saved()), merged[at]
+        E.OPS["merge-table-cells"](b, table=0, row=at[0], col=at[1], row_to=to[0], col_to=to[1])
+        cell = E.grid_of(E.tables(b.section(0))[0])[at]
+        assert E.extent(cell) == (m.width, m.height) and E.fill_of(b, cell) == m.face
+        assert all((m[s].kind, m[s].width) == (E.line_of(b, cell, s)["type"], E.line_of(b, cell, s)["width"]) for s in borders.SIDES if m[s])
+    before = {(E.address(c)[:2], s): E.line_of(book, c, s) for c in E.cells_of(E.tables(book.section(0))[0]) for s in borders.SIDES}
+    E.OPS["normalize-table-borders"](book, table=0)
+    for c in {id(c): c for c in E.grid_of(E.tables(book.section(0))[0]).values()}.values():
+        for s in borders.SIDES:
+            now, was = E.line_of(book, c, s), before[E.address(c)[:2], s]
+            assert (now["type"], now["width"]) == asked.get((*E.address(c)[:2], s), (was["type"], was["width"]))
+    assert len(asked) > 15 and asked[0, 2, "right"] == ("SOLID", "0.7 mm") == asked[2, 2, "top"]
+
+
 def test_controls_notes_references_objects():
     png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", 960, 480) + bytes(5) + struct.pack(">I", zlib.crc32(b"x"))
     b = run(
