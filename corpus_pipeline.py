@@ -20,6 +20,9 @@ from folioframe.llm.common import shared_dir, table
 
 #: Near-duplicate stages use five-word shingles.
 SHINGLE = 5
+#: Whole texts go to Python workers in batches of at most so many rows and bytes (one text may be larger):
+#: Spark's own 10,000 rows are held at once by the JVM's queue, its Arrow buffers and the worker.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written as Parquet to shared storage and read again by the next."""
+    """The stages in order, each written as Parquet to shared storage and read again by the next.
+
+    Sets the session's Arrow batch sizes and leaves them set: the last stage runs after the return.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     docs = table(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
