@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but space and the ASCII control blanks 09 to 0D. ``bytes.split()``
@@ -71,6 +72,18 @@ def drop_stage(df: DataFrame) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def placed(rows: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
+    """rows with ``i``, the place in its group from 0, and ``n``, the group's rows; no group is gathered in one task."""
+    keys = [group, *order]
+    sorted_rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    marked = stage(sorted_rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), label)
+    parts = marked.groupBy(group, "_part").agg(F.count("*").alias("_c"), F.min("_at").alias("_lo"))
+    w = W.partitionBy(group)
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(group, "_part", "_lo", before.alias("_before"), F.sum("_c").over(w).alias("n"))
+    return marked.join(parts, [group, "_part"]).withColumn("i", F.col("_at") - F.col("_lo") + F.col("_before")).drop("_part", "_at", "_lo", "_before")
+
+
 def crc_mod(n: int):
     """crc32 of doc_id as text, modulo n (a null doc_id counts as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
