@@ -16,9 +16,8 @@ to the cheapest state in the last WIDTH tokens stand, and what is behind it begi
 so memory does not grow with the partition or with a document.
 
 No row is shuffled: a sequence holds tokens of one partition, and its number is the partition's,
-then its own. A null text is empty and has the end token only; empty texts likewise; texts of more
-than PART characters are tokenised in parts that end where a word certainly ends; repeated rows are
-packed each; between equal costs the longer last window wins; an empty table gives no rows; other
+then its own. A null text is empty and has the end token only; empty texts likewise; long texts
+are packed whole, over as many windows as they need; repeated rows are packed each; between equal costs the longer last window wins; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -42,23 +41,28 @@ WIDTH, STRETCH = 2048, 1 << 20
 IN_DOCUMENT, IN_SENTENCE, PER_WINDOW = 16, 96, 4
 #: Sentences of more than GAP tokens may be cut every STEP tokens.
 GAP, STEP = 256, 64
-#: Characters of a text, and bytes of a batch, that are tokenised at once.
-PART, BATCH = 1 << 18, 1 << 20
+#: Characters of the texts that are tokenised at once (one text may be longer), and words that a task keeps.
+BATCH, WORDS_KEPT = 1 << 20, 300_000
 PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: After these a sentence may end; the token behind must begin with a blank, as words do.
 ENDS = re.compile(r"[.!?…。！？][\"')\]»”’]*$")
 
 
-def parts(text: str, size: int = PART) -> list[str]:
-    """text cut before single blanks between two words, where the tokenizer's word rule always cuts; at least size characters each."""
-    out, at = [], 0
-    while len(text) - at > size:
-        found = re.compile(r"(?<=[^\s]) (?=[^\W\d_])").search(text, at + size)
-        if not found:
-            break
-        out.append(text[at : found.start()])
-        at = found.start()
-    return [*out, text[at:]]
+#: A blank with neither a word character nor ASCII punctuation at its sides may be inside a run of blanks.
+UNSURE = re.compile(r"(?:^|[^\w!-/:-@\[-`{-~]) (?![\w!-/:-@\[-`{-~])")
+
+
+def cut_words(text: str) -> list[str] | None:
+    """text cut before its blanks, if the tokenizer's word rule cuts there too; else None.
+
+    The rule joins one blank to the word or marks behind it, and keeps a longer run of blanks
+    together but for its last one. So a cut is safe before a blank that begins its run, and before
+    one that something else follows.
+    """
+    if UNSURE.search(text):
+        return None
+    first, *rest = text.split(" ")
+    return [first, *[" " + w for w in rest]]
 
 
 class Tokens:
@@ -70,6 +74,10 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model = Tokenizer.from_str(json)
         self.model.encode_special_tokens = True  # their names in a text are text
+        self.words: dict[str, bytes] = {}
+        self.size = np.zeros(self.model.get_vocab_size(), np.int64)  # bytes of each token: a character of its name each
+        for name, i in self.model.get_vocab().items():
+            self.size[i] = len(name)
         said = [self.model.decode([i], skip_special_tokens=False) for i in range(self.model.get_vocab_size())]
         self.line = np.array([s.endswith("\n") for s in said])
         self.last = np.array([bool(ENDS.search(s)) for s in said])
@@ -77,10 +85,32 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end token."""
-        cut = [parts(t) for t in texts]
-        ids = self.model.encode_batch_fast([p for c in cut for p in c], add_special_tokens=False)
-        ids = iter([np.array(e.ids, np.uint32) for e in ids])
-        return [np.concatenate([*(next(ids) for _ in c), np.array([END], np.uint32)]) for c in cut]
+        cut = [cut_words(t) for t in texts]
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        new = set().union(*(c for c in cut if c))
+        new.difference_update(self.words)
+        self.learn(list(new))
+        get, end = self.words.__getitem__, END.to_bytes(4, "little")
+        raw = [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        return [np.frombuffer(r + end, "<u4") for r in raw]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of words; those that begin with a blank and go on with something else can be tokenised as one text."""
+        plain = [w for w in new if UNSURE.match("x" + w) is None and w[:1] == " " and w[1:2].strip()]
+        for w in set(new).difference(plain):
+            self.words[w] = self.whole(w)
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            raw = self.whole("".join(some))
+            ends = np.searchsorted(np.cumsum(self.size[np.frombuffer(raw, "<u4")]), np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in some])) + 1
+            begin = 0
+            for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.words[w] = raw[begin:end]
+                begin = end
 
     def cuts(self, ids: np.ndarray) -> np.ndarray:
         """Numbers of tokens of a document (its end token included) after which a sentence ends."""

@@ -71,13 +71,18 @@ def test_packing_edges(spark, model):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
-def test_parts_of_a_text_have_its_tokens(model):
-    rnd = random.Random(5)
-    for _ in range(200):
-        text = "".join(rnd.choice(("a", "B ", " ", "  ", "\n", "é", "語", "'s", "1", ".", " x", "_", "\t")) for _ in range(rnd.randrange(200)))
-        cut = packing.parts(text, rnd.randrange(1, 30))
-        assert "".join(cut) == text
-        assert [i for c in cut for i in model.encode(c, add_special_tokens=False).ids] == model.encode(text, add_special_tokens=False).ids
+def test_words_have_the_librarys_tokens(model, monkeypatch):
+    """Blanks of every kind, marks, contractions, other scripts, special names; a small memory of words."""
+    monkeypatch.setattr(packing, "WORDS_KEPT", 50)
+    with open(PATH, encoding="utf-8") as f:
+        tokens = packing.Tokens(f.read())
+    rnd, cut = random.Random(5), 0
+    bits = ("a", "B", "word", " ", " ", " ", "  ", "\n", "é", "語", "'s", "'", "1", "½", ".", "_", "\t", "\u00a0", "\u2003", "\u180e", "\u200b", "\u0085", "\x1c", "<|endoftext|>", "😀", "\u0301", "\x00")
+    for k in range(400):
+        texts = ["".join(rnd.choice(bits[: 10 if k % 2 else None]) for _ in range(rnd.randrange(60))) for _ in range(5)]
+        cut += sum(packing.cut_words(t) is not None for t in texts)
+        assert [x.tolist() for x in tokens.encode(texts)] == [[*e.ids, 1] for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert cut > 200
 
 
 def test_windows_cost_least():
