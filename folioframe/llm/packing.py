@@ -28,9 +28,11 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from json import loads
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,28 +43,30 @@ WIDTH, STRETCH = 2048, 1 << 20
 IN_DOCUMENT, IN_SENTENCE, PER_WINDOW = 16, 96, 4
 #: Sentences of more than GAP tokens may be cut every STEP tokens.
 GAP, STEP = 256, 64
-#: Characters of the texts that are tokenised at once (one text may be longer), and words that a task keeps.
-BATCH, WORDS_KEPT = 1 << 20, 300_000
+#: Characters of the texts that are tokenised at once; one text may be longer.
+BATCH = 1 << 20
 PIECES = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: After these a sentence may end; the token behind must begin with a blank, as words do.
 ENDS = re.compile(r"[.!?…。！？][\"')\]»”’]*$")
 
 
-#: A blank with neither a word character nor ASCII punctuation at its sides may be inside a run of blanks.
-UNSURE = re.compile(r"(?:^|[^\w!-/:-@\[-`{-~]) (?![\w!-/:-@\[-`{-~])")
+#: Fixed value: the word rule of byte-level BPE.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def cut_words(text: str) -> list[str] | None:
-    """text cut before its blanks, if the tokenizer's word rule cuts there too; else None.
-
-    The rule joins one blank to the word or marks behind it, and keeps a longer run of blanks
-    together but for its last one. So a cut is safe before a blank that begins its run, and before
-    one that something else follows.
-    """
-    if UNSURE.search(text):
+def ranks(file: dict) -> dict[bytes, int] | None:
+    """The tokens of a plain byte-level BPE as bytes -> id; None for any other file."""
+    kind, model = file.get("pre_tokenizer") or {}, file["model"]
+    if (kind.get("type"), kind.get("add_prefix_space"), kind.get("use_regex", True), file.get("normalizer"), model.get("type")) != ("ByteLevel", False, True, None, "BPE"):
+        return None
+    ids = model["vocab"]
+    made = [ids["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if made != sorted(made) or len(ids) != 256 + len(made) or model.get("ignore_merges") or model.get("dropout"):
         return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+    # bytes that print stand for themselves, the others for the characters from 256 on
+    shown = [b for b in range(256) if chr(b).isprintable() and b != 32]
+    byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)).difference(shown)))}
+    return {bytes(byte[c] for c in name): i for name, i in ids.items() if i not in {t["id"] for t in file.get("added_tokens") or ()}}
 
 
 class Tokens:
@@ -74,10 +78,8 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model = Tokenizer.from_str(json)
         self.model.encode_special_tokens = True  # their names in a text are text
-        self.words: dict[str, bytes] = {}
-        self.size = np.zeros(self.model.get_vocab_size(), np.int64)  # bytes of each token: a character of its name each
-        for name, i in self.model.get_vocab().items():
-            self.size[i] = len(name)
+        known = ranks(loads(json))
+        self.fast = known and tiktoken.Encoding("plain", pat_str=WORDS, mergeable_ranks=known, special_tokens={})
         said = [self.model.decode([i], skip_special_tokens=False) for i in range(self.model.get_vocab_size())]
         self.line = np.array([s.endswith("\n") for s in said])
         self.last = np.array([bool(ENDS.search(s)) for s in said])
@@ -85,32 +87,15 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end token."""
-        cut = [cut_words(t) for t in texts]
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        new = set().union(*(c for c in cut if c))
-        new.difference_update(self.words)
-        self.learn(list(new))
-        get, end = self.words.__getitem__, END.to_bytes(4, "little")
-        raw = [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
-        return [np.frombuffer(r + end, "<u4") for r in raw]
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def learn(self, new: list[str]) -> None:
-        """Ids of words; those that begin with a blank and go on with something else can be tokenised as one text."""
-        plain = [w for w in new if UNSURE.match("x" + w) is None and w[:1] == " " and w[1:2].strip()]
-        for w in set(new).difference(plain):
-            self.words[w] = self.whole(w)
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            raw = self.whole("".join(some))
-            ends = np.searchsorted(np.cumsum(self.size[np.frombuffer(raw, "<u4")]), np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in some])) + 1
-            begin = 0
-            for w, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.words[w] = raw[begin:end]
-                begin = end
+        return [np.append(self.ids(t), np.uint32(END)) for t in texts]
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # its word rule needs more stack than it has
+                pass
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def cuts(self, ids: np.ndarray) -> np.ndarray:
         """Numbers of tokens of a document (its end token included) after which a sentence ends."""

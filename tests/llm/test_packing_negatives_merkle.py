@@ -71,18 +71,26 @@ def test_packing_edges(spark, model):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
-def test_words_have_the_librarys_tokens(model, monkeypatch):
-    """Blanks of every kind, marks, contractions, other scripts, special names; a small memory of words."""
-    monkeypatch.setattr(packing, "WORDS_KEPT", 50)
+@pytest.fixture(scope="module")
+def tokens():
     with open(PATH, encoding="utf-8") as f:
-        tokens = packing.Tokens(f.read())
-    rnd, cut = random.Random(5), 0
-    bits = ("a", "B", "word", " ", " ", " ", "  ", "\n", "é", "語", "'s", "'", "1", "½", ".", "_", "\t", "\u00a0", "\u2003", "\u180e", "\u200b", "\u0085", "\x1c", "<|endoftext|>", "😀", "\u0301", "\x00")
-    for k in range(400):
-        texts = ["".join(rnd.choice(bits[: 10 if k % 2 else None]) for _ in range(rnd.randrange(60))) for _ in range(5)]
-        cut += sum(packing.cut_words(t) is not None for t in texts)
-        assert [x.tolist() for x in tokens.encode(texts)] == [[*e.ids, 1] for e in model.encode_batch(texts, add_special_tokens=False)]
-    assert cut > 200
+        return packing.Tokens(f.read())
+
+
+def test_ids_are_the_librarys_on_every_code_point(model, tokens):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    assert tokens.fast
+    for at in range(0, len(points), 4_000):
+        texts = ["".join(f"a{x}b {x}1 {x}{x}  {x} .{x}\n{x}'s" for x in points[i : i + 40]) for i in range(at, min(at + 4_000, len(points)), 40)]
+        assert [x.tolist() for x in tokens.encode(texts)] == [[*e.ids, 1] for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_ids_of_odd_texts(model, tokens):
+    rnd = random.Random(5)
+    bits = ("a", "B", "word", " ", "  ", "\n", "é", "語", "'s", "'", "1", "½", ".", "_", "\t", "\u00a0", "\u2003", "\u180e", "\u200b", "\u0085", "\x1c", "<|endoftext|>", "😀", "\u0301", "\x00")
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(80))) for _ in range(2_000)] + [" " * 1_000_000, "x" * 300_000, "", "<|endoftext|>"]
+    assert [x.tolist() for x in tokens.encode(texts)] == [[*e.ids, 1] for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    assert packing.ranks({"pre_tokenizer": {"type": "Metaspace"}, "model": {"type": "BPE"}}) is None
 
 
 def test_windows_cost_least():
