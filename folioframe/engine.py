@@ -1,8 +1,10 @@
 """Queries that run the package operators themselves over packages made of the driver's tables.
 
-Every conversation becomes a package of one section: a heading, a paragraph for each turn, a label
-and a table of turns and roles whose first row is merged. The packages are XML parts like any other;
-flattening, search, filling, comparing and exporting go through the library.
+Every conversation becomes a package of 1 to 12 sections. The first in the spine holds a heading, a
+paragraph for each turn, a label and a table of turns and roles whose first row is merged; each of
+the others a heading. The parts' names run against the spine, and a last part is in no spine. The
+packages are XML parts like any other; they are stored once a query (``store``), and search, filling,
+comparing and exporting go through the library.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from folioframe.operators import borders, diff, discovery, edit
 from folioframe.operators import document as D
 from folioframe.plans import contract, fill
 from folioframe.sources import package as P
+from folioframe.sources import store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,7 +25,7 @@ ORACLE_SQL: dict[str, str] = {}
 #: Border fills of the cells, by (row + column) mod 3: id -> line left and right, line above and below, face.
 FILLS = {3: (("SOLID", "0.12 mm"), ("SOLID", "0.12 mm"), "none"), 4: (("NONE", "0.1 mm"), ("NONE", "0.1 mm"), "none"), 5: (("DOUBLE_SLIM", "0.5 mm"), ("DASH", "0.4 mm"), "#ffee00")}
 HEADER = (
-    '<h:head xmlns:h="h" secCnt="1"><h:style id="0" name="Normal"/><h:style id="1" name="Heading 2"/><h:refList><h:borderFills>'
+    '<h:style id="0" name="Normal"/><h:style id="1" name="Heading 2"/><h:refList><h:borderFills>'
     + "".join(
         f'<h:borderFill id="{i}">' + "".join(f'<h:{s}Border type="{line[0]}" width="{line[1]}" color="#000000"/>' for s, line in (("left", beside), ("right", beside), ("top", over), ("bottom", over)))
         + f'<h:fillBrush><h:winBrush faceColor="{face}"/></h:fillBrush></h:borderFill>'
@@ -30,6 +33,8 @@ HEADER = (
     )
     + "</h:borderFills></h:refList></h:head>"
 )
+#: Names of the first section and of the part outside the spine; section j of the others is number 11 - j.
+FIRST, STRAY = "Contents/section11.xml", "Contents/section12.xml"
 
 
 def query(sql: str | None = None):
@@ -58,17 +63,32 @@ def packages(spark: SparkSession, sf_dir: str, change: bool = False) -> DataFram
     line = lambda x, i: F.concat(F.lit("<hp:tr>"), cell(i + 1, 0, x["turn"].cast("string")), cell(i + 1, 1, T.html_escape(x["role"])), F.lit("</hp:tr>"))
     table = F.concat(F.lit('<hp:p styleIDRef="0"><hp:run><hp:tbl colCnt="2" rowCnt="'), (F.size("s") + 1).cast("string"), F.lit('">'), top, F.array_join(F.transform("s", line), ""), F.lit("</hp:tbl></hp:run></hp:p>"))
     body = F.concat(para(F.concat(F.lit("conversation "), "doc_id"), "1"), F.array_join(F.transform("s", lambda x: para(T.html_escape(x["text"]))), ""), para(F.concat(F.lit("turns of "), "doc_id")), table)
-    section = F.concat(F.lit('<hs:sec xmlns:hp="p" xmlns:hs="s">'), body, F.lit("</hs:sec>"))
-    fixed = {p: c for _, p, c in P.blank()} | {"Contents/header.xml": HEADER.encode()}
-    parts = [F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in fixed.items() if "section" not in p]
-    return told.select("doc_id", F.explode(F.array(*parts, F.struct(F.lit("Contents/section0.xml").alias("path"), section.cast("binary").alias("content")))).alias("e")).select("doc_id", "e.*")
+    part = lambda said: F.concat(F.lit('<hs:sec xmlns:hp="p" xmlns:hs="s">'), said, F.lit("</hs:sec>")).cast("binary")
+    entry = lambda path, content: F.struct(path.alias("path"), content.alias("content"))
+    k = F.expr("cast(doc_id as long) % 12")
+    more = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    named = lambda j: F.concat(F.lit("section"), (11 - j).cast("string"))
+    extra = lambda j: F.concat(F.when(F.lit(change) & (j % 3 == 0), "now ").otherwise(""), F.lit("part "), j.cast("string"), F.lit(" of "), F.col("doc_id"))
+    item = lambda name: F.concat(F.lit('<o:item id="'), name, F.lit('" href="Contents/'), name, F.lit('.xml"/>'))
+    ref = lambda name: F.concat(F.lit('<o:itemref idref="'), name, F.lit('"/>'))
+    every = F.array_sort(F.concat(F.transform(more, named), F.array(F.lit("header"), F.lit("section11"), F.lit("section12"))))
+    package = F.concat(
+        F.lit('<p:package xmlns:p="p" xmlns:o="o"><o:manifest>'), F.array_join(F.transform(every, item), ""), F.lit("</o:manifest><o:spine>"),
+        ref(F.lit("section11")), F.array_join(F.transform(more, lambda j: ref(named(j))), ""), F.lit("</o:spine></p:package>"),
+    )
+    header = F.concat(F.lit('<h:head xmlns:h="h" secCnt="'), (k + 1).cast("string"), F.lit('">' + HEADER))
+    fixed = [F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for _, p, c in P.blank() if not p.startswith("Contents/")]
+    made = [entry(F.lit("Contents/content.hpf"), package.cast("binary")), entry(F.lit("Contents/header.xml"), header.cast("binary")), entry(F.lit(FIRST), part(body)), entry(F.lit(STRAY), part(para(F.lit("stray"))))]
+    others = F.transform(more, lambda j: entry(F.concat(F.lit("Contents/"), named(j), F.lit(".xml")), part(para(extra(j), "1"))))
+    return told.select("doc_id", F.explode(F.concat(F.array(*fixed, *made), others)).alias("e")).select("doc_id", "e.*")
 
 
 def read(spark: SparkSession, sf_dir: str, change: bool = False) -> tuple:
-    entries = packages(spark, sf_dir, change)
-    elements = P.flatten(entries)
+    """The packages as a stored corpus, and what every query starts from."""
+    corpus = store.stored(packages(spark, sf_dir, change))
+    elements = corpus.elements
     paragraphs, cells = D.paragraph_texts(elements), D.cells(elements)
-    return entries, elements, paragraphs, cells, D.tables(elements, paragraphs, cells)
+    return corpus, elements, paragraphs, cells, D.tables(elements, paragraphs, cells)
 
 
 #: Turns in order: k counts from 1, n of them.
@@ -76,9 +96,14 @@ TURNS = """t as (select conv_id::varchar as doc_id, turn, coalesce(role, '') as
  row_number() over (partition by conv_id order by turn, role, text) as k, count(*) over (partition by conv_id) as n from conversations)"""
 CELLS = """c as (select doc_id, 0 as row, 0 as col, 2 as col_span, 'turn and role' as text, n from t where k = 1 union all select doc_id, 0, 1, 1, '', n from t where k = 1
  union all select doc_id, k::int, 0, 1, turn::varchar, n from t union all select doc_id, k::int, 1, 1, role, n from t)"""
-#: All paragraphs by their place: heading, turns, label, the table's own, those of its cells.
-PARAGRAPHS = """p as (select doc_id, 0 as i, 'conversation ' || doc_id as text, n from t where k = 1 union all select doc_id, k, text, n from t
- union all select doc_id, n + 1, 'turns of ' || doc_id, n from t where k = 1 union all select doc_id, n + 3 + 2 * row + col, text, n from c)"""
+#: The sections after the first, each of one heading.
+EXTRA = "x as (select doc_id, n, unnest(range(1, doc_id::bigint % 12 + 1)) as j from t where k = 1)"
+#: All paragraphs by their place: heading, turns, label, the table's own, those of its cells, those of the other sections.
+PARAGRAPHS = f"""{EXTRA}, p as (select doc_id, 0 as i, 'conversation ' || doc_id as text, n from t where k = 1 union all select doc_id, k, text, n from t
+ union all select doc_id, n + 1, 'turns of ' || doc_id, n from t where k = 1 union all select doc_id, n + 3 + 2 * row + col, text, n from c
+ union all select doc_id, 1000000 + j, 'part ' || j || ' of ' || doc_id, n from x)"""
+_TAIL = "array_to_string([{} || 'part ' || j || ' of ' || doc_id || {} for j in range(1, doc_id::bigint % 12 + 1)], '')"
+
 
 
 @query(f"with {TURNS}, {CELLS}, {PARAGRAPHS} select doc_id, string_agg(text, chr(10) order by i) as text from p where text <> '' group by doc_id")
@@ -90,7 +115,7 @@ _LINES = "trim(regexp_replace(regexp_replace(text, '[ \\t]*\\n[ \\t]*', chr(10),
 
 
 @query(f"""with {TURNS} select doc_id, '## conversation ' || doc_id || chr(10) || chr(10) || coalesce(string_agg(case when trim(text) <> '' then {_LINES} end, chr(10) || chr(10) order by k) || chr(10) || chr(10), '')
- || 'turns of ' || doc_id || chr(10) || chr(10) || '| turn and role |  |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || turn || ' | ' || replace(role, '|', '\\|') || ' |', chr(10) order by k) as out from t group by doc_id""")
+ || 'turns of ' || doc_id || chr(10) || chr(10) || '| turn and role |  |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || turn || ' | ' || replace(role, '|', '\\|') || ' |', chr(10) order by k) || {_TAIL.format("chr(10) || chr(10) || '## '", "''")} as out from t group by doc_id""")
 def snk_7_markdown(spark, sf_dir):
     _, elements, paragraphs, cells, tables = (entries := read(spark, sf_dir))
     out = D.export(D.blocks(paragraphs, tables, cells, P.styles(entries[0]), elements), "markdown")
@@ -101,7 +126,7 @@ _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt
 
 
 @query(f"""with {TURNS} select doc_id, '<h2>conversation ' || doc_id || '</h2>' || chr(10) || coalesce(string_agg(case when trim(text) <> '' then '<p>' || replace({_ESCAPED.format(_LINES)}, chr(10), '<br />') || '</p>' end, chr(10) order by k) || chr(10), '')
- || '<p>turns of ' || doc_id || '</p>' || chr(10) || '<table><tr><th>turn and role</th><th></th></tr>' || string_agg('<tr><td>' || turn || '</td><td>' || {_ESCAPED.format("role")} || '</td></tr>', '' order by k) || '</table>' as out from t group by doc_id""")
+ || '<p>turns of ' || doc_id || '</p>' || chr(10) || '<table><tr><th>turn and role</th><th></th></tr>' || string_agg('<tr><td>' || turn || '</td><td>' || {_ESCAPED.format("role")} || '</td></tr>', '' order by k) || '</table>' || {_TAIL.format("chr(10) || '<h2>'", "'</h2>'")} as out from t group by doc_id""")
 def snk_8_html(spark, sf_dir):
     _, elements, paragraphs, cells, tables = (entries := read(spark, sf_dir))
     return D.export(D.blocks(paragraphs, tables, cells, P.styles(entries[0]), elements), "html")
@@ -122,11 +147,17 @@ def agg_1_tables(spark, sf_dir):
     return read(spark, sf_dir)[4].select("doc_id", "table_idx", "rows", "cols", F.col("merged_cells").cast("int").alias("merged_cells"), "paragraph_count", "label", "role")
 
 
-@query(f"""with {TURNS} select doc_id, n + 3 as paragraph_count, 1::bigint as table_count, 1::bigint as merged_cell_count, count(*) filter (where contains(text, '{{{{') and contains(text, '}}}}') or regexp_matches(text, '_{{3,}}|□|▢')) as placeholder_count,
- 'conversation ' || doc_id as text_preview from t group by doc_id, n""")
+_MARKED = "count(*) filter (where contains(text, '{{{{') and contains(text, '}}}}') or regexp_matches(text, '_{{3,}}|□|▢'))"
+
+
+@query(f"""with {TURNS}, {EXTRA}, s as (select doc_id, 0 as section_idx, n + 3 as paragraph_count, 1::bigint as table_count, 1::bigint as merged_cell_count, {_MARKED} as placeholder_count, 'conversation ' || doc_id as text_preview from t group by doc_id, n
+ union all select doc_id, j::int, 1, 0, 0, 0, 'part ' || j || ' of ' || doc_id from x)
+ select *, role || case when placeholder_count > 0 then ',contains-placeholders' else '' end || case when table_count > 0 then ',contains-tables' else '' end as role_hints
+ from (select *, case when placeholder_count > 0 then 'template-form' when table_count > 0 and paragraph_count <= 3 then 'table-sheet' else 'mixed' end as role from s)""")
 def agg_1_sections(spark, sf_dir):
     _, elements, paragraphs, _, tables = read(spark, sf_dir)
-    return D.sections(elements, paragraphs, tables).select("doc_id", "paragraph_count", "table_count", "merged_cell_count", "placeholder_count", "text_preview")
+    found = D.sections(elements, paragraphs, tables)
+    return found.select("doc_id", "section_idx", "paragraph_count", "table_count", "merged_cell_count", "placeholder_count", "text_preview", "role", F.array_join("role_hints", ",").alias("role_hints"))
 
 
 @query(f"with {TURNS} select doc_id, (n + 1) + 2 * (2 * n + 2) as matches from t where k = 1")
@@ -137,9 +168,9 @@ def prj_1_descendants(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("matches"))
 
 
-@query(f"with {TURNS} select doc_id, 'sec/p[0]' as path, '1' as value from t where k = 1")
+@query(f"with {TURNS}, {EXTRA} select doc_id, 0 as section_idx, 'sec/p[0]' as path, '1' as value from t where k = 1 union all select doc_id, j::int, 'sec/p[0]', '1' from x")
 def flt_11_by_attr(spark, sf_dir):
-    return D.find_by_attr(read(spark, sf_dir)[1], "styleIDRef", "1", "hp:p").select("doc_id", "path", "value")
+    return D.find_by_attr(read(spark, sf_dir)[1], "styleIDRef", "1", "hp:p").select("doc_id", "section_idx", "path", "value")
 
 
 @query(f"with {TURNS} select doc_id, 'sec/p[' || (n + 2) || ']/run[0]/tbl[0]/tr[' || k || ']/tc[1]/subList[0]/p[0]' as path, k - 1 as match_index from t")
@@ -150,6 +181,31 @@ def flt_12_by_path(spark, sf_dir):
     return found.where("match_index > 0").select("doc_id", "path", (F.col("match_index") - 1).cast("long").alias("match_index"))
 
 
+@query(f"""with {TURNS}, {CELLS}, {PARAGRAPHS} select doc_id, (i - 1000000)::int as section_idx, 'sec/p[0]' as path, row_number() over (partition by doc_id order by i) - 1 + (n + 3) + 2 * (n + 1) as match_index from p where i > 1000000
+ union all select doc_id, 0, 'sec/p[' || i || ']', i from (select doc_id, unnest(range(n + 3)) as i from t where k = 1)""")
+def flt_12_in_spine_order(spark, sf_dir):
+    """Paragraphs at any depth of all sections, numbered in the order of the spine; those of the bodies."""
+    found = D.find_by_path(read(spark, sf_dir)[1], "//p")
+    return found.where("depth = 1").select("doc_id", "section_idx", "path", F.col("match_index").cast("long").alias("match_index"))
+
+
+@query(f"with {TURNS}, {EXTRA} select doc_id, 0 as section_idx, 0::bigint as nth, 2 as level, 'conversation ' || doc_id as text from t where k = 1 union all select doc_id, j::int, j, 2, 'part ' || j || ' of ' || doc_id from x")
+def win_11_headings(spark, sf_dir):
+    corpus, _, paragraphs, *_ = read(spark, sf_dir)
+    return D.headings(paragraphs, P.styles(corpus)).select("doc_id", "section_idx", F.col("nth").cast("long").alias("nth"), "level", "text")
+
+
+@query(f"""with {TURNS}, {EXTRA}, b as (select doc_id, 0 as i, 'conversation ' || doc_id as text from t where k = 1 union all select doc_id, k, text from t union all select doc_id, n + 1, 'turns of ' || doc_id from t where k = 1
+  union all select doc_id, 1000000 + j, 'part ' || j || ' of ' || doc_id from x),
+ m as (select *, row_number() over (partition by doc_id order by i) as nth from b where contains(lower(text), 'part '))
+ select doc_id, greatest(i - 1000000, 0)::int as section_idx, case when i > 1000000 then 0 else i end::int as all_p_idx, 'met' as new_text from m where nth = 2""")
+def win_4_occurrence(spark, sf_dir):
+    """The second paragraph that says it, counted over the sections in the order of the spine."""
+    _, _, paragraphs, cells, tables = read(spark, sf_dir)
+    asked = fill.statements(spark, [{"nearText": "part ", "value": "met", "mode": "paragraph-replace", "occurrence": 2}])
+    return fill.planned(paragraphs, tables, cells, D.grid(cells), asked).select("doc_id", "section_idx", "all_p_idx", "new_text")
+
+
 _SAYS = "contains(lower(trim(text)), 'assist')"
 
 
@@ -190,16 +246,16 @@ def fil_1_to_22_plan(spark, sf_dir):
 def fil_27_applied(spark, sf_dir):
     """Forty values below an anchor, rows added where there are too few; what the filled packages then hold."""
     done, _ = fill.fill(packages(spark, sf_dir), [{"anchor": "turn and role", "values": [f"x{i}" for i in range(40)], "mode": "table-down-repeat", "expand": True}])
-    return D.cells(P.flatten(done.where("error is null").drop("error"))).select("doc_id", "row", "col", "text")
+    return D.cells(store.stored(done.where("error is null").drop("error")).elements).select("doc_id", "row", "col", "text")
 
 
 #: The paragraph that holds the table says what its cells say; cells have addresses.
 _STATE = """select doc_id, style, cell, trim(said, ' ' || chr(9) || chr(10) || chr(13)) as said, row_number() over (partition by doc_id order by i) - 1 as position from
- (select p.doc_id, i, case when i = 0 then '1' else '0' end as style, case when i >= p.n + 3 then i - p.n end as cell, {} as said
+ (select p.doc_id, i, case when i = 0 or i > 1000000 then '1' else '0' end as style, case when i > 1000000 then -(i - 1000000) when i >= p.n + 3 then i - p.n end as cell, {} as said
   from (select * from p union all select doc_id, n + 2, string_agg(text, '' order by row, col), n from c group by doc_id, n) p left join t on t.doc_id = p.doc_id and t.k = p.i) where trim(said, ' ' || chr(9) || chr(10) || chr(13)) <> ''"""
 
 
-@query(f"""with {TURNS}, {CELLS}, {PARAGRAPHS}, a as ({_STATE.format("p.text")}), b as ({_STATE.format("case when turn % 3 = 0 then 'now ' || p.text else p.text end")}),
+@query(f"""with {TURNS}, {CELLS}, {PARAGRAPHS}, a as ({_STATE.format("p.text")}), b as ({_STATE.format("case when turn % 3 = 0 or (i > 1000000 and (i - 1000000) % 3 = 0) then 'now ' || p.text else p.text end")}),
  counts as (select doc_id, coalesce(a.n, 0) as x, coalesce(b.n, 0) as y from (select doc_id, count(*) as n from a group by doc_id) a full join (select doc_id, count(*) as n from b group by doc_id) b using (doc_id))
  select doc_id, case when a.said is null then 'paragraph-added' when b.said is null then 'paragraph-removed' else 'paragraph-changed' end as code, position::int as position
  from a full join b using (doc_id, position) where (a.said, a.style, a.cell) is distinct from (b.said, b.style, b.cell) union all select doc_id, 'paragraph-count-changed', null from counts where x <> y""")
@@ -209,9 +265,13 @@ def jon_9_paragraph_diff(spark, sf_dir):
     return diff.compare(diff.ordered_paragraphs(a), diff.ordered_paragraphs(b), "paragraph").select("doc_id", "code", "position")
 
 
-@query(f"""with {TURNS}, l as (select doc_id, ['turns of ' || doc_id] as table_labels, ['Contents/section0.xml'] as section_paths, 1 as section_count from t where k = 1) select * from l""")
+@query(f"""with {TURNS}, m as (select distinct doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text from t where contains(text, '{{{{{{{{') and contains(text, '}}}}}}}}') or regexp_matches(text, '_{{{{3,}}}}|□|▢')),
+ g as (select doc_id, string_agg(text, '|' order by text) as texts, string_agg(text, chr(10) order by text) as told from m group by doc_id)
+ select t.doc_id, 'turns of ' || t.doc_id as table_labels, 'Contents/section11.xml' || array_to_string(['|Contents/section' || (11 - j) || '.xml' for j in range(1, t.doc_id::bigint % 12 + 1)], '') as section_paths,
+  (t.doc_id::bigint % 12 + 1)::int as section_count, coalesce(texts, '') as placeholder_texts, sha256(coalesce(told, '')) as placeholder_digest from t left join g on g.doc_id = t.doc_id where k = 1""".replace("{{", "{").replace("}}", "}"))
 def agg_6_fingerprint(spark, sf_dir):
-    return contract.fingerprints(read(spark, sf_dir)[1]).select("doc_id", "table_labels", "section_paths", "section_count")
+    found = contract.fingerprints(read(spark, sf_dir)[1])
+    return found.select("doc_id", F.array_join("table_labels", "|").alias("table_labels"), F.array_join("section_paths", "|").alias("section_paths"), "section_count", F.array_join("placeholder_texts", "|").alias("placeholder_texts"), "placeholder_digest")
 
 
 @query(f"""with {TURNS}, {CELLS}, {PARAGRAPHS} select doc_id, true as valid, 1::bigint as table_count, count(*) filter (where trim(text) <> '') + 1 as paragraph_count from p group by doc_id""")
@@ -229,7 +289,7 @@ def mut_1_to_9_edits(spark, sf_dir):
     count = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.count("*").alias("n"))
     drop = count.select("doc_id", F.lit(2).alias("seq"), F.lit("delete-paragraph").alias("op"), F.to_json(F.struct((F.col("n") + 4).alias("index"))).alias("args"))
     done = edit.apply(entries, asked.unionByName(drop))
-    body = D.paragraph_texts(P.flatten(done.where("error is null").drop("error"))).where("depth = 1")
+    body = D.paragraph_texts(store.stored(done.where("error is null").drop("error")).elements).where("depth = 1 and section_idx = 0")
     return body.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_paragraphs"), F.max_by("text_t", "all_p_idx").alias("last"))
 
 
@@ -240,7 +300,7 @@ def mut_20_merge(spark, sf_dir):
     count = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.count("*").alias("n"))
     args = F.to_json(F.struct(F.lit(0).alias("table"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("n").alias("row_to"), F.lit(1).alias("col_to")))
     done = edit.apply(entries, count.select("doc_id", F.lit(0).alias("seq"), F.lit("merge-table-cells").alias("op"), args.alias("args")))
-    return D.cells(P.flatten(done.where("error is null").drop("error"))).where("width > 0").select("doc_id", "row", "col", "row_span", "col_span")
+    return D.cells(store.stored(done.where("error is null").drop("error")).elements).where("width > 0").select("doc_id", "row", "col", "row_span", "col_span")
 
 
 #: Places of the grid with the cell that covers them, and the lines of its border fill.
@@ -270,7 +330,7 @@ def jon_13_shared_lines(spark, sf_dir):
 def agg_12_to_14_merged(spark, sf_dir):
     """Outline, fill and size of the cell that a merge of each whole table makes."""
     entries, elements, _, cells, tables = read(spark, sf_dir)
-    areas = tables.select("doc_id", "section_path", "table_idx", F.lit(0).alias("row_from"), F.lit(0).alias("col_from"), (F.col("rows") - 1).alias("row_to"), (F.col("cols") - 1).alias("col_to"))
+    areas = tables.select(*D.SECTION, "table_idx", F.lit(0).alias("row_from"), F.lit(0).alias("col_from"), (F.col("rows") - 1).alias("row_to"), (F.col("cols") - 1).alias("col_to"))
     return borders.merged(borders.lined(elements, entries, D.grid(cells)), areas).select("doc_id", *[F.col(f"{s}.kind").alias(s) for s in ("top", "bottom", "left", "right")], "face", "width", "height", "whole")
 
 

@@ -54,7 +54,8 @@ def heading_level(style: Column, cap: int | None = 6, title: bool = True) -> Col
     """title is 1 (if asked for); ``heading N`` and ``개요 N`` are N, at most cap."""
     low = F.lower(F.trim(style))
     n = F.regexp_extract(low, r"^(?:heading|개요)\s*(\d+)", 1)
-    level = F.when(n != "", F.least(n.cast("int"), F.lit(cap)) if cap else n.cast("int"))
+    level = F.coalesce(n.try_cast("int"), F.lit(2**31 - 1))  # more digits than an int has
+    level = F.when(n != "", F.least(level, F.lit(cap)) if cap else level)
     return F.when(low == "title", F.lit(1)).otherwise(level) if title else level
 
 
@@ -179,11 +180,16 @@ def matrix(c: Column) -> Column:
     return F.transform(F.split(c, ";"), lambda r: F.transform(F.split(r, ","), F.trim))
 
 
-def image_units(pixels_wide: Column, pixels_high: Column, most: int = 42520) -> Column:
-    """struct(width, height) in units at 96 dots an inch, at most as wide as a page's text."""
-    wide, high = (F.floor(p * 7200.0 / 96 + 0.5) for p in (pixels_wide, pixels_high))
-    width = F.least(wide, F.lit(most))
-    return F.struct(width.cast("int").alias("width"), F.floor(high * width / wide + 0.5).cast("int").alias("height"))
+#: Units of a picture of no asked width, and of the text of a page.
+IMAGE_WIDTH, PAGE_WIDTH = 22677, 42520
+
+
+def image_units(pixels_wide: Column, pixels_high: Column, width_mm: Column | None = None) -> Column:
+    """struct(width, height) in units: the asked width, else the usual one, at most a page's text; the shape is that of the pixels, square where these are none."""
+    asked = F.lit(0) if width_mm is None else F.coalesce(mm_to_unit(width_mm), F.lit(0))
+    width = F.least(F.when(asked > 0, asked).otherwise(F.lit(IMAGE_WIDTH)), F.lit(PAGE_WIDTH))
+    height = F.when((pixels_wide > 0) & (pixels_high > 0), F.floor(width * pixels_high / pixels_wide + 0.5))
+    return F.struct(width.cast("int").alias("width"), F.when(height > 0, height).otherwise(width).cast("int").alias("height"))
 
 
 def border_strength(kind: Column, width_mm: Column) -> Column:

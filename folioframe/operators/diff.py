@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
 from folioframe.operators import document as D
+from folioframe.operators.document import section_paths
 from folioframe.sources import package as P
+from folioframe.sources.store import Corpus, stored
 
 #: Tags of the signatures, in order, and the counts that are compared.
 OBJECTS = ("tbl", "pic", "equation", "rect", "line", "ellipse")
@@ -22,17 +24,17 @@ ISSUE = ["doc_id", "code", "position", "before", "after"]
 def ordered_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, position, said): non-empty paragraphs with their place and style, numbered over all sections."""
     rows = paragraphs.where(T.trim_unicode(F.col("text_t")) != "")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "all_p_idx")) - 1
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "all_p_idx")) - 1
     return rows.select("doc_id", place.alias("position"), T.signature(F.col("section_path"), F.col("table_idx"), F.col("cell_row"), F.col("cell_col"), F.col("style_id"), T.trim_unicode(F.col("text_t"))).alias("said"))
 
 
 def ordered_cells(cell_rows: DataFrame) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "table_idx", "pre")) - 1
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "table_idx", "pre")) - 1
     return cell_rows.select("doc_id", place.alias("position"), T.signature(*[F.col(c) for c in ("section_path", "table_idx", "row", "col", "row_span", "col_span", "paragraph_count", "text")]).alias("said"))
 
 
 def ordered_tables(table_rows: DataFrame) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "table_idx")) - 1
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "table_idx")) - 1
     return table_rows.select("doc_id", place.alias("position"), T.signature(*[F.col(c) for c in ("section_path", "table_idx", "parent_table_idx", "rows", "cols", "merged_cells", "label")]).alias("said"))
 
 
@@ -57,22 +59,39 @@ def signatures(elements: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     """(doc_id, position, said, kind): elements of the tags as kind, section and text; by section, then tag, then document order."""
     rank = reduce(lambda c, x: c.when(F.col("tag") == x[1], x[0]), enumerate(tags), F)
     text = T.truncate_bytes(T.trim_unicode(F.coalesce("text_t", F.lit(""))), 120)
-    rows = elements.where(F.col("tag").isin(*tags)).select("doc_id", "section_path", rank.alias("rank"), "pre", F.col("tag").alias("kind"), T.signature(F.col("tag"), F.col("section_path"), text).alias("said"))
-    return rows.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "rank", "pre")) - 1).alias("position"), "said", "kind")
+    rows = elements.where(F.col("tag").isin(*tags)).select("doc_id", "section_idx", rank.alias("rank"), "pre", F.col("tag").alias("kind"), T.signature(F.col("tag"), F.col("section_path"), text).alias("said"))
+    return rows.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "rank", "pre")) - 1).alias("position"), "said", "kind")
 
 
-def snapshots(entries: DataFrame) -> DataFrame:
-    """One row a document: validity, render safety, section paths, risk hints, all counts and the digest of the text."""
-    elements = P.flatten(entries)
+def lists(elements: DataFrame) -> dict[str, DataFrame]:
+    """The ordered rows that two states are compared by: paragraphs, tables, cells, objects, headers and footers, controls."""
+    paragraphs, cell_rows = D.paragraph_texts(elements), D.cells(elements)
+    return {
+        "paragraph": ordered_paragraphs(paragraphs), "table": ordered_tables(D.tables(elements, paragraphs, cell_rows)), "cell": ordered_cells(cell_rows),
+        "object": signatures(elements, OBJECTS), "header-footer": signatures(elements, HEADER_FOOTER), "control": signatures(elements, CONTROLS),
+    }
+
+
+#: The digests of a snapshot, by the list they are over.
+DIGESTS = {"paragraph": "paragraph_digest", "table": "table_digest", "object": "object_digest", "header-footer": "header_footer_digest", "control": "control_digest"}
+
+
+def snapshots(entries: DataFrame, corpus: Corpus | None = None) -> DataFrame:
+    """One row a document: validity, render safety, section paths, risk hints, all counts and six digests: of the text and of the lists in DIGESTS."""
+    corpus = corpus or stored(entries)
+    elements = corpus.elements
     paragraphs = D.paragraph_texts(elements)
     n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
     count = lambda name, *tags: F.count_if(F.col("tag").isin(*tags)).alias(name)
     out = elements.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("section_path")).alias("section_paths"), count("table_count", "tbl"), count("object_count", *OBJECTS), count("control_count", *CONTROLS), count("header_count", "header"), count("footer_count", "footer")
+        section_paths(), count("table_count", "tbl"), count("object_count", *OBJECTS), count("control_count", *CONTROLS), count("header_count", "header"), count("footer_count", "footer")
     )
+    rows, empty = lists(elements), F.sha2(F.lit("").cast("binary"), 256)
+    for kind, name in DIGESTS.items():
+        out = out.join(digests(rows[kind]).select("doc_id", F.col("digest").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, empty))
     texts = D.plain_text(paragraphs).select("doc_id", "text")
     out = out.join(n(paragraphs.where(T.trim_unicode(F.col("text_t")) != ""), "paragraph_count"), "doc_id", "left").join(n(D.placeholders(paragraphs), "placeholder_count"), "doc_id", "left").join(n(D.guides(paragraphs), "guide_count"), "doc_id", "left").join(texts, "doc_id", "left")
-    out = out.join(D.report(entries).select("doc_id", "valid"), "doc_id", "left").join(D.risk_signals(entries).select("doc_id", F.col("hints").alias("risk_hints")), "doc_id", "left")
+    out = out.join(D.report(corpus).select("doc_id", "valid"), "doc_id", "left").join(D.risk_signals(entries).select("doc_id", F.col("hints").alias("risk_hints")), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     return out.fillna(0).withColumns({
         "section_count": F.size("section_paths").cast("long"), "text_length": F.octet_length(text).cast("long"), "line_count": F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long"),
@@ -81,8 +100,9 @@ def snapshots(entries: DataFrame) -> DataFrame:
 
 
 def round_trip(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Coded issues (doc_id, code, position, before, after) between two states of the entries of a corpus."""
-    a, b = snapshots(before), snapshots(after)
+    """Coded issues (doc_id, code, position, before, after) between two states of the entries of a corpus; each is parsed once."""
+    ca, cb = stored(before), stored(after)
+    a, b = snapshots(before, ca), snapshots(after, cb)
     name = lambda code: code.replace("-", "_")
     told = [name(c) for c in COUNTS] + ["valid", "render_safe", "text_digest", "section_paths", "risk_hints"]
     pair = a.select("doc_id", *[F.col(c).alias(f"a_{c}") for c in told]).join(b.select("doc_id", *[F.col(c).alias(f"b_{c}") for c in told]), "doc_id", "full_outer")
@@ -96,15 +116,14 @@ def round_trip(before: DataFrame, after: DataFrame) -> DataFrame:
     removed = F.transform(F.array_except("a_risk_hints", "b_risk_hints"), lambda x: issue("risk-removed", x, nothing))
     parts = [F.coalesce(x, F.array().cast("array<struct<code:string,position:int,before:string,after:string>>")) for x in (plain, paths, added, removed)]
     out = [pair.select("doc_id", F.explode(F.concat(*parts)).alias("x")).select("doc_id", "x.*").select(*ISSUE)]
-    ea, eb = P.flatten(before), P.flatten(after)
-    pa, pb = D.paragraph_texts(ea), D.paragraph_texts(eb)
-    ca, cb = D.cells(ea), D.cells(eb)
-    lists = [("paragraph", ordered_paragraphs(pa), ordered_paragraphs(pb)), ("table", ordered_tables(D.tables(ea, pa, ca)), ordered_tables(D.tables(eb, pb, cb))), ("cell", ordered_cells(ca), ordered_cells(cb))]
-    for kind, x, y in lists:
-        out.append(compare(x, y, kind).where(~F.col("code").endswith("-count-changed") | (F.lit(kind) == "cell")))
-    for code, tags in (("object-changed", OBJECTS), ("header-footer-changed", HEADER_FOOTER), ("control-changed", CONTROLS)):
-        items = compare(signatures(ea, tags), signatures(eb, tags), "item").where(~F.col("code").endswith("-count-changed"))
-        out.append(items.withColumn("code", F.lit(code)).select(*ISSUE))
+    codes = {"object": "object-changed", "header-footer": "header-footer-changed", "control": "control-changed"}
+    others = lists(cb.elements)
+    for kind, x in lists(ca.elements).items():
+        found = compare(x, others[kind], kind)
+        if kind in codes:
+            out.append(found.where(~F.col("code").endswith("-count-changed")).withColumn("code", F.lit(codes[kind])).select(*ISSUE))
+        else:
+            out.append(found.where(~F.col("code").endswith("-count-changed") | (F.lit(kind) == "cell")))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as T
 from folioframe.sources import package as P
 
-SECTION = ["doc_id", "section_path"]
+#: A section: its document, its place in the spine (the order of reading) and its part.
+SECTION = ["doc_id", "section_idx", "section_path"]
+
+
+def section_paths() -> Column:
+    """An aggregate: the parts of a document's sections in the order of the spine."""
+    return F.transform(F.array_sort(F.collect_set(F.struct("section_idx", "section_path"))), lambda x: x["section_path"]).alias("section_paths")
 
 
 def paragraph_texts(elements: DataFrame) -> DataFrame:
@@ -21,12 +27,16 @@ def paragraph_texts(elements: DataFrame) -> DataFrame:
     return elements.where("tag = 'p'").select(*SECTION, "pre", "last", "depth", "all_p_idx", "body_p_idx", "table_idx", "in_tables", "cell_row", "cell_col", style, "has_secpr", *texts, F.col("text_direct").alias("text_own"))
 
 
-def table_labels(paragraphs: DataFrame, column: str = "text_own") -> DataFrame:
-    """(section, all_p_idx, label): a paragraph's own text, else the last one before it in the section; section properties say nothing."""
+def table_labels(paragraphs: DataFrame) -> DataFrame:
+    """(section, all_p_idx, label, fill_label): a paragraph's own text, else the last one before it in the section; section properties say nothing.
+
+    label is for reports (blanks evened out), fill_label for the planner (text boxes left out, as written).
+    """
     w = W.partitionBy(*SECTION).orderBy("all_p_idx").rowsBetween(W.unboundedPreceding, 0)
-    said = T.trim_unicode(T.normalize_inline(F.col(column)) if column == "text_own" else F.col(column))
-    own = F.when((said != "") & ~F.coalesce("has_secpr", F.lit(False)), said)
-    return paragraphs.select(*SECTION, "all_p_idx", F.last(own, ignorenulls=True).over(w).alias("label"))
+    shown = ~F.coalesce("has_secpr", F.lit(False))
+    carried = lambda said: F.last(F.when((said != "") & shown, said), ignorenulls=True).over(w)
+    label, fill_label = carried(T.trim_unicode(T.normalize_inline(F.col("text_own")))), carried(T.trim_unicode(F.col("text_fill")))
+    return paragraphs.select(*SECTION, "all_p_idx", label.alias("label"), F.when(shown, fill_label).alias("fill_label"))
 
 
 def cells(elements: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
@@ -37,18 +47,26 @@ def cells(elements: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame
     )
 
 
-def grid(cell_rows: DataFrame) -> DataFrame:
-    """Logical (row, col) -> the cell that covers it; covered cells of no size and no text give way, others conflict."""
+def _covered(cell_rows: DataFrame) -> DataFrame:
+    """Logical places with the cell that covers them and the number of cells that do; cells of no size and no text give way."""
     dead = (F.col("row_span") == 1) & (F.col("col_span") == 1) & (F.col("width") == 0) & (F.col("height") == 0) & (F.trim("text") == "")
     spread = cell_rows.withColumn("dead", dead).select(
         *SECTION, "table_idx", F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"), "row_span", "col_span", "dead", F.explode(F.expr("sequence(row, row + row_span - 1)")).alias("r")
     )
     spread = spread.select("*", F.explode(F.expr("sequence(anchor_col, anchor_col + col_span - 1)")).alias("c"))
-    one = spread.groupBy(*SECTION, "table_idx", "r", "c").agg(
+    return spread.groupBy(*SECTION, "table_idx", F.col("r").cast("int").alias("row"), F.col("c").alias("col")).agg(
         F.min_by(F.struct("anchor_row", "anchor_col", "row_span", "col_span"), F.struct("dead", "anchor_row", "anchor_col")).alias("a"), F.count_if(~F.col("dead")).alias("live")
     )
-    checked = F.when(F.col("live") > 1, F.raise_error(F.lit("cells overlap"))).otherwise(F.col("r"))
-    return one.select(*SECTION, "table_idx", checked.cast("int").alias("row"), F.col("c").alias("col"), "a.*")
+
+
+def grid(cell_rows: DataFrame) -> DataFrame:
+    """Logical (row, col) -> the cell that covers it. Where cells overlap the first in row order stands; ``overlaps`` has these places."""
+    return _covered(cell_rows).select(*SECTION, "table_idx", "row", "col", "a.*")
+
+
+def overlaps(cell_rows: DataFrame) -> DataFrame:
+    """(section, table_idx, row, col, cells): places that several cells claim; a document with one is not to be edited by its grid."""
+    return _covered(cell_rows).where("live > 1").select(*SECTION, "table_idx", "row", "col", F.col("live").alias("cells"))
 
 
 def tables(elements: DataFrame, paragraphs: DataFrame, cell_rows: DataFrame) -> DataFrame:
@@ -68,10 +86,10 @@ def tables(elements: DataFrame, paragraphs: DataFrame, cell_rows: DataFrame) ->
         out = out.join(found, [*SECTION, "table_idx"], "left")
     out = out.withColumn("rows", F.coalesce("declared_rows", "tr", F.lit(0))).fillna(0, ["merged_cells", "paragraph_count", "placeholder_count", "guide_count"])
     c = F.col
-    out = out.withColumns({"label": T.truncate_bytes(F.coalesce("label", F.lit("")), 120), "anchor_hints": F.coalesce("anchor_hints", F.array().cast("array<string>"))})
+    out = out.withColumns({"label": T.truncate_bytes(F.coalesce("label", F.lit("")), 120), "fill_label": F.coalesce("fill_label", F.lit("")), "anchor_hints": F.coalesce("anchor_hints", F.array().cast("array<string>"))})
     out = out.withColumn("role", T.table_role(c("nested_depth"), c("rows"), c("cols")))
     hints = T.role_hints(c("role"), labeled_table=c("label") != "", contains_placeholders=c("placeholder_count") > 0, contains_guides=c("guide_count") > 0, nested_table=c("nested_depth") > 0, anchor_rich=F.size("anchor_hints") > 0)
-    return out.select(*SECTION, "table_idx", "parent_table_idx", "nested_depth", "rows", "cols", "merged_cells", "paragraph_count", "placeholder_count", "guide_count", "label", "text_preview", "anchor_hints", F.size("anchor_hints").alias("anchor_count"), "role", hints.alias("role_hints"))
+    return out.select(*SECTION, "table_idx", "parent_table_idx", "nested_depth", "rows", "cols", "merged_cells", "paragraph_count", "placeholder_count", "guide_count", "label", "fill_label", "text_preview", "anchor_hints", F.size("anchor_hints").alias("anchor_count"), "role", hints.alias("role_hints"))
 
 
 def anchor_hints(cell_rows: DataFrame) -> DataFrame:
@@ -149,20 +167,21 @@ def headings(paragraphs: DataFrame, style_rows: DataFrame, most: int = 3) -> Dat
     """(section, all_p_idx, level, text, nth) of body paragraphs in a heading style up to a level, in order."""
     level = T.heading_level(F.col("style_name"), cap=None, title=False)
     rows = style_names(paragraphs.where("depth = 1 and body_p_idx is not null"), style_rows).withColumn("level", level).where((F.col("level") <= most) & (T.trim_unicode(F.col("text_tbt")) != ""))
-    return rows.select(*SECTION, "all_p_idx", "level", T.trim_unicode(F.col("text_tbt")).alias("text"), (F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "all_p_idx")) - 1).alias("nth"))
+    return rows.select(*SECTION, "all_p_idx", "level", T.trim_unicode(F.col("text_tbt")).alias("text"), (F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "all_p_idx")) - 1).alias("nth"))
 
 
-def find_guides(paragraphs: DataFrame, reason: str | None = None) -> DataFrame:
-    """Guide candidates, of one reason in any case if given."""
-    found = guides(paragraphs)
+def find_guides(paragraphs: DataFrame, reason: str | None = None, section: int | None = None) -> DataFrame:
+    """Guide candidates, of one reason in any case if given, of one section by its place if given."""
+    found = guides(paragraphs if section is None else paragraphs.where(F.col("section_idx") == section))
     return found.where(F.col("reason") == reason.strip().lower()) if reason else found
 
 
 def find_by_path(elements: DataFrame, path: str) -> DataFrame:
     """Elements by a path: steps of names or ``*`` after ``/`` or ``//``, each with ``[n]`` (from 1), ``[@a]``, ``[@a='v']`` or ``[tag]``.
 
-    A subset of XPath, over the flattened form: every step is a join of parents and children, or of
-    intervals of the same part. A path that starts with one ``/`` starts at the root.
+    A subset of XPath, over the flattened form: every step is an equi-join with the parent's number,
+    or, for ``//``, with the numbers of all ancestors, which every element carries. A path that
+    starts with one ``/`` starts at the root. Matches are numbered in the order of the spine.
     """
     steps = re.findall(r"(//?|^)\s*([\w.:*-]+)((?:\[[^\]]*\])*)", path.strip())
     if not steps or "".join("".join(x) for x in steps).replace(" ", "") != path.strip().replace(" ", ""):
@@ -173,8 +192,9 @@ def find_by_path(elements: DataFrame, path: str) -> DataFrame:
         if now is None:
             found = named.where("depth = 0") if axis == "/" else named
         elif axis == "//":
-            up = now.select(*SECTION, F.col("pre").alias("a0"), F.col("last").alias("a1"))
-            found = named.join(up, SECTION).where("pre > a0 and pre <= a1").drop("a0", "a1").dropDuplicates([*SECTION, "pre"])
+            below = named.select(*SECTION, "pre", F.explode("above").alias("up"))
+            hits = below.join(now.select(*SECTION, F.col("pre").alias("up")), [*SECTION, "up"], "left_semi").select(*SECTION, "pre").distinct()
+            found = named.join(hits, [*SECTION, "pre"], "left_semi")
         else:
             found = named.join(now.select(*SECTION, F.col("pre").alias("parent_pre")), [*SECTION, "parent_pre"], "left_semi")
         for test in re.findall(r"\[([^\]]*)\]", tests):
@@ -192,7 +212,7 @@ def find_by_path(elements: DataFrame, path: str) -> DataFrame:
             else:
                 raise ValueError(f"unknown test: [{test}]")
         now = found
-    return now.withColumn("match_index", F.row_number().over(W.partitionBy("doc_id").orderBy("section_path", "pre")) - 1)
+    return now.withColumn("match_index", F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "pre")) - 1)
 
 
 def find_by_tag(elements: DataFrame, tag: str) -> DataFrame:
@@ -243,7 +263,7 @@ def find_runs_by_style(run_rows: DataFrame, *, bold=None, italic=None, underline
 
 def report(entries: DataFrame) -> DataFrame:
     """(doc_id, errors, warnings, valid): required entries, spine references, manifest presence, section count."""
-    docs = entries.groupBy("doc_id").agg(F.collect_set("path").alias("paths"))
+    docs = P.paths(entries).groupBy("doc_id").agg(F.collect_set("path").alias("paths"))
     missing = docs.select("doc_id", F.explode(F.array_except(F.array(*[F.lit(x) for x in P.REQUIRED]), "paths")).alias("x")).select("doc_id", F.lit("error").alias("level"), F.concat(F.lit("missing required entry: "), "x").alias("message"))
     items, order = P.resolved(P.manifest(entries), entries), P.spine(entries)
     lost = items.where(~F.col("exists")).select("doc_id", F.lit("warning").alias("level"), F.concat(F.lit("manifest item not found: "), "href").alias("message"))
@@ -278,7 +298,7 @@ def risk_signals(entries: DataFrame, exact: bool = False) -> DataFrame:
 def plain_text(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, text): the own lines of every paragraph that has some, in section and document order; a nested one comes after the one it is in."""
     rows = paragraphs.where("text_lines <> ''")
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_path", "pre", "text_lines"))), lambda x: x["text_lines"]), "\n").alias("text"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "pre", "text_lines"))), lambda x: x["text_lines"]), "\n").alias("text"))
 
 
 def blocks(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, style_rows: DataFrame, elements: DataFrame) -> DataFrame:
@@ -327,4 +347,4 @@ def export(block_rows: DataFrame, kind: str) -> DataFrame:
         text = F.concat(F.lit("<"), tag, F.lit(">"), F.replace(T.html_escape(F.col("text")), F.lit("\n"), F.lit("<br />")), F.lit("</"), tag, F.lit(">"))
         glue = "\n"
     made_rows = block_rows.withColumn("b", F.when(F.col("rows").isNotNull(), table).otherwise(text))
-    return made_rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_path", "pre", "b"))), lambda x: x["b"]), glue).alias("out"))
+    return made_rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "pre", "b"))), lambda x: x["b"]), glue).alias("out"))

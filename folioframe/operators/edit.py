@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 PARAGRAPH = "http://www.hancom.co.kr/hwpml/2011/paragraph"
 HEAD = "http://www.hancom.co.kr/hwpml/2011/head"
 CORE = "http://www.hancom.co.kr/hwpml/2011/core"
-TABLE_WIDTH, ROW_HEIGHT, PAGE_WIDTH = 42520, 2400, 42520
+TABLE_WIDTH, ROW_HEIGHT, PAGE_WIDTH, IMAGE_WIDTH = 42520, 2400, 42520, 22677
 GUIDE_MARK = "※"
 OUTLINE = re.compile(r"^(?:heading|개요)\s*(\d+)")
 PAGE_MARKS = re.compile(r"(\{\{PAGE\}\}|\{\{TOTAL_PAGE\}\})")
@@ -1126,10 +1126,10 @@ def image_size(raw: bytes) -> tuple[str, int, int]:
 
 
 def shown_size(pixels: tuple[int, int], width_mm: float | None = None) -> tuple[int, int]:
-    """Units of a picture at 96 dots an inch, at most as wide as the page's text, its shape kept."""
-    width, height = (int(x * 7200 / 96 + 0.5) for x in pixels)
-    wanted = min(units(width_mm) if width_mm else width, PAGE_WIDTH)
-    return wanted, int(height * wanted / width + 0.5)
+    """Units of a picture: the asked width, else the usual one, at most the page's text; its shape is kept."""
+    need(min(pixels) > 0, "an image of no size")
+    width = min((units(width_mm) if width_mm else 0) or IMAGE_WIDTH, PAGE_WIDTH)
+    return width, int(width * pixels[1] / pixels[0] + 0.5) or width
 
 
 @op("embed-image")
@@ -1209,9 +1209,15 @@ def edited(entries: dict[str, bytes], asked: list[tuple[str, str]]) -> tuple[dic
         try:
             need(name in OPS, f"unknown statement {name}")
             OPS[name](book, **json.loads(args or "{}"))
-        except (EditError, TypeError, KeyError, ValueError, ET.ParseError) as e:
-            return entries, f"statement {n} ({name}): {e}"
-    return book.saved(), None
+        except Exception as e:  # whatever a statement trips over is its document's error, not the job's
+            return entries, f"statement {n} ({name}): {type(e).__name__}: {e}"
+    try:
+        done = book.saved()
+        for path in book.roots.keys() & done.keys():
+            ET.fromstring(done[path])
+    except Exception as e:
+        return entries, f"not well formed afterwards: {e}"
+    return done, None
 
 
 def apply(entries: DataFrame, asked: DataFrame) -> DataFrame:
@@ -1237,9 +1243,9 @@ def fail(book: Book, message: str) -> None:
     raise EditError(message)
 
 
-def fill_statements(final: DataFrame, grown: DataFrame | None = None, refused: DataFrame | None = None) -> DataFrame:
+def fill_statements(final: DataFrame, grown: DataFrame | None = None, refused: DataFrame | None = None, unfit: DataFrame | None = None) -> DataFrame:
     """Planned changes (one a place, as ``fill.last_wins`` gives them) as statements; before them rows to add
-    (section_path, table_idx, rows), and documents to leave alone (doc_id, rid, matched).
+    (section_path, table_idx, rows), and documents to leave alone: (doc_id, rid, matched), (doc_id, issues).
 
     Paragraphs come first: rows and cells that follow change how many paragraphs there are."""
     args = F.to_json(F.struct("section_path", "new_text", "all_p_idx", "table_idx", "row", "col"))
@@ -1250,4 +1256,7 @@ def fill_statements(final: DataFrame, grown: DataFrame | None = None, refused: D
     if refused is not None:
         why = F.to_json(F.struct(F.format_string("entry %d has %d targets", "rid", "matched").alias("message")))
         out = refused.select("doc_id", F.lit(0).alias("seq"), F.lit("fail").alias("op"), why.alias("args")).unionByName(out)
+    if unfit is not None:
+        why = F.to_json(F.struct(F.concat(F.lit("fingerprint: "), F.array_join("issues", "; ")).alias("message")))
+        out = unfit.select("doc_id", F.lit(0).alias("seq"), F.lit("fail").alias("op"), why.alias("args")).unionByName(out)
     return out

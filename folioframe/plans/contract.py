@@ -240,7 +240,7 @@ def fingerprints(elements: DataFrame) -> DataFrame:
     tables = D.tables(elements, paragraphs, D.cells(elements))
     labels = tables.withColumn("x", T.trim_unicode(F.col("label"))).where("x <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_set("x")).alias("table_labels"))
     marks = D.placeholders(paragraphs).groupBy("doc_id").agg(F.array_sort(F.collect_set(T.trim_unicode(F.col("text")))).alias("placeholder_texts"))
-    docs = elements.groupBy("doc_id").agg(F.array_sort(F.collect_set("section_path")).alias("section_paths"))
+    docs = elements.groupBy("doc_id").agg(D.section_paths())
     none = F.array().cast("array<string>")
     out = docs.join(labels, "doc_id", "left").join(marks, "doc_id", "left").withColumns({c: F.coalesce(c, none) for c in ("table_labels", "placeholder_texts")})
     return out.withColumns({"section_count": F.size("section_paths"), "placeholder_digest": F.sha2(F.array_join("placeholder_texts", "\n").cast("binary"), 256)})
@@ -268,7 +268,7 @@ def scaffold_fields(paragraphs: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     marks = D.placeholders(paragraphs).withColumn("selector", T.trim_unicode(F.col("text")))
-    once = marks.groupBy("doc_id", "selector").agg(F.min(F.struct("section_path", "all_p_idx")).alias("at"))
+    once = marks.groupBy("doc_id", "selector").agg(F.min(F.struct("section_idx", "all_p_idx")).alias("at"))
     once = once.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("at")))
     once = once.withColumn("base", T.field_key(T.key_source(F.col("selector")), F.col("nth")))
     again = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("nth"))

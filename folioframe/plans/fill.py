@@ -1,7 +1,9 @@
 """Template filling as a relational plan: statements ("select a target, write a value") against flattened packages.
 
-A mapping is a list that the driver parsed, so its rows are few by construction (MAX_STATEMENTS);
-paragraphs and cells are the large side and are never gathered.
+A mapping is a list that the driver parsed, so its rows are few by construction (MAX_STATEMENTS,
+MAX_BYTES); paragraphs and cells are the large side and are never gathered. Selectors are found by
+one automaton (``matching``), so no text is joined with all of them; labels are those of the planner
+(of runs without objects and text boxes, uncut).
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
+from folioframe.operators.document import SECTION
+from folioframe.operators.matching import MAX_BYTES, folded, matched
 
-SECTION = ["doc_id", "section_path"]
 PLACE = [*SECTION, "all_p_idx", "table_idx", "row", "col"]
 MAX_STATEMENTS = 10_000
 #: The modes of each selector, with the step from the anchor.
@@ -62,14 +65,15 @@ def statement(rid: int, s: dict) -> tuple:
 
 
 def statements(spark: SparkSession, mapping: list[dict]) -> DataFrame:
-    if len(mapping) > MAX_STATEMENTS:
-        raise ValueError(f"a mapping holds at most {MAX_STATEMENTS} entries")
-    return spark.createDataFrame([statement(i, s) for i, s in enumerate(mapping)], STATEMENT)
+    rows = [statement(i, s) for i, s in enumerate(mapping)]
+    if len(rows) > MAX_STATEMENTS or sum(len((r[3] + r[5]).encode()) for r in rows) > MAX_BYTES:
+        raise ValueError(f"a mapping holds at most {MAX_STATEMENTS} entries, and {MAX_BYTES} bytes of selectors and labels")
+    return spark.createDataFrame(rows, STATEMENT)
 
 
 def selectors(asked: DataFrame) -> DataFrame:
-    """Statements without their values: as many short rows as the mapping has entries, so they may be sent to every task."""
-    return F.broadcast(asked.withColumn("n", F.size("vals")).drop("vals"))
+    """Statements without their values: at most MAX_STATEMENTS rows and MAX_BYTES of texts, so they may be sent to every task."""
+    return asked.withColumn("n", F.size("vals")).drop("vals")
 
 
 def values_of(asked: DataFrame) -> DataFrame:
@@ -78,20 +82,20 @@ def values_of(asked: DataFrame) -> DataFrame:
 
 def says(text: Column, selector: Column, exact: Column) -> Column:
     """Case and outer blanks aside: equal, or contains; an empty side never matches."""
-    a, b = F.lower(T.trim_unicode(text)), F.lower(T.trim_unicode(selector))
+    a, b = folded(text), folded(selector)
     return (a != "") & (b != "") & F.when(exact, a == b).otherwise(a.contains(b))
 
 
 def _nth(matches: DataFrame, *order: str) -> DataFrame:
     """Matches of the wanted occurrence, counted from 1 over all sections of a document."""
-    w = W.partitionBy("rid", "doc_id").orderBy("section_path", *order)
+    w = W.partitionBy("rid", "doc_id").orderBy("section_idx", *order)
     return matches.withColumn("nth", F.row_number().over(w)).where("occurrence is null or nth = occurrence")
 
 
 def placeholder_changes(paragraphs: DataFrame, asked: DataFrame) -> DataFrame:
     """Every paragraph that says the placeholder; the text is replaced as it is written, so a match in another case changes nothing but counts."""
     rows = paragraphs.select(*SECTION, "all_p_idx", F.col("table_idx"), F.col("cell_row").alias("row"), F.col("cell_col").alias("col"), "text_tbt")
-    met = rows.join(selectors(asked.where("kind = 'placeholder'")), says(F.col("text_tbt"), F.col("selector"), F.col("exact")))
+    met = matched(rows, "text_tbt", selectors(asked.where("kind = 'placeholder'")))
     met = _nth(met, "all_p_idx").join(values_of(asked).where("k = 0").select("rid", "value"), "rid")
     new = F.replace(F.col("text_tbt"), F.col("selector"), F.col("value"))
     return met.withColumn("new_text", new).where("new_text <> text_tbt").select("rid", *PLACE, F.lit(0).alias("k"), F.col("text_tbt").alias("old_text"), "new_text")
@@ -101,7 +105,7 @@ def paragraph_changes(paragraphs: DataFrame, asked: DataFrame) -> DataFrame:
     """Body paragraphs near a text: the k-th value goes to the k-th fillable paragraph from the match, or from the one after it."""
     order = W.partitionBy(*SECTION).orderBy("all_p_idx")
     body = paragraphs.where("depth = 1 and body_p_idx is not null").select(*SECTION, "all_p_idx", "text_tbt").withColumn("f", F.row_number().over(order))
-    met = _nth(body.join(selectors(asked.where("kind = 'near-text'")), says(F.col("text_tbt"), F.col("selector"), F.col("exact"))), "all_p_idx")
+    met = _nth(matched(body, "text_tbt", selectors(asked.where("kind = 'near-text'"))), "all_p_idx")
     start = met.select("rid", *SECTION, (F.col("f") + F.when(F.col("mode").startswith("paragraph-next"), 1).otherwise(0)).alias("f0"))
     to = start.join(values_of(asked).select("rid", "k", F.col("value").alias("new_text")), "rid").select("rid", *SECTION, (F.col("f0") + F.col("k")).alias("f"), "k", "new_text")
     none = [F.lit(None).cast("int").alias(c) for c in ("table_idx", "row", "col")]
@@ -110,9 +114,9 @@ def paragraph_changes(paragraphs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def met_anchors(table_rows: DataFrame, cell_rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Cells that say an anchor, with the place (r0, c0) where writing starts; several values start at a table's first match only."""
-    kin = table_rows.select(*SECTION, "table_idx", "parent_table_idx", "label")
+    kin = table_rows.select(*SECTION, "table_idx", "parent_table_idx", F.col("fill_label").alias("label"))
     texts = cell_rows.select(*SECTION, "table_idx", "row", "col", "row_span", "col_span", "pre", "text")
-    met = texts.join(kin, [*SECTION, "table_idx"]).join(selectors(asked.where("kind = 'anchor'")), says(F.col("text"), F.col("selector"), F.col("exact")))
+    met = matched(texts, "text", selectors(asked.where("kind = 'anchor'"))).join(kin, [*SECTION, "table_idx"])
     met = met.where("table_idx = table_idx_wanted or (table_idx_wanted is null and parent_table_idx is null)")
     met = _nth(met.where((F.col("table_label") == "") | says(F.col("label"), F.col("table_label"), F.col("exact"))), "pre")
     first = F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx").orderBy("pre"))
@@ -178,10 +182,15 @@ def last_wins(changes: DataFrame) -> DataFrame:
 
 def misses(docs: DataFrame, table_rows: DataFrame, changes: DataFrame, asked: DataFrame) -> DataFrame:
     """(doc_id, rid, kind, mode, selector, reason, requested, matched) where a document has fewer targets than values."""
-    done = changes.groupBy("doc_id", "rid").agg(F.count("*").alias("matched"))
-    held = table_rows.groupBy("doc_id").agg(F.collect_set("table_idx").alias("indexes"), F.collect_set("label").alias("labels"))
-    # the statements are the stated query set, sent without their values
-    rows = docs.select("doc_id").distinct().crossJoin(selectors(asked)).join(done, ["doc_id", "rid"], "left").join(held, "doc_id", "left").fillna(0, ["matched"]).withColumn("requested", F.col("n"))
+    told = selectors(asked)
+    rids = F.split(F.lit(",".join(str(r["rid"]) for r in asked.select("rid").collect())), ",").cast("array<int>")  # as many as the mapping has
+    done = changes.groupBy("doc_id", "rid").agg(F.count("*").alias("matched")).join(F.broadcast(told.select("rid", "n")), "rid")
+    met = done.groupBy("doc_id").agg(F.collect_list(F.when(F.col("matched") >= F.col("n"), F.col("rid"))).alias("full"), F.collect_list(F.struct("rid", "matched")).alias("some"))
+    held = table_rows.groupBy("doc_id").agg(F.collect_set("table_idx").alias("indexes"), F.collect_set("fill_label").alias("labels"))
+    lost = F.array_except(rids, F.coalesce("full", F.array().cast("array<int>")))  # a row only for what a document misses
+    rows = docs.select("doc_id").distinct().join(met, "doc_id", "left").join(held, "doc_id", "left").withColumn("rid", F.explode(lost))
+    rows = rows.withColumn("matched", F.coalesce(F.get(F.transform(F.filter("some", lambda x: x["rid"] == F.col("rid")), lambda x: x["matched"]), F.lit(0)), F.lit(0))).drop("full", "some")
+    rows = rows.join(F.broadcast(told), "rid").withColumn("requested", F.col("n"))
     named = F.exists(F.coalesce("labels", F.array().cast("array<string>")), lambda x: says(x, F.col("table_label"), F.col("exact")))
     has = F.coalesce(F.array_contains("indexes", F.col("table_idx_wanted")), F.lit(False))
     anchor = F.col("kind") == "anchor"
@@ -190,7 +199,7 @@ def misses(docs: DataFrame, table_rows: DataFrame, changes: DataFrame, asked: Da
         .when(anchor & F.col("table_idx_wanted").isNotNull() & ~has, "table-index-not-found").when(anchor & (F.col("table_label") != "") & ~named, "table-label-not-found")
         .otherwise(F.concat("kind", F.lit("-not-found")))
     )
-    return rows.where("matched < requested").select("doc_id", "rid", "kind", "mode", "selector", reason.alias("reason"), "requested", "matched")
+    return rows.select("doc_id", "rid", "kind", "mode", "selector", reason.alias("reason"), "requested", "matched")
 
 
 def ambiguous(changes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -203,7 +212,7 @@ def summary(changes: DataFrame, table_rows: DataFrame, missed: DataFrame) -> Dat
     """(doc_id, what, name, table_idx, label, changes): by section, by kind of target, by table, and misses by reason."""
     kind = F.when(F.col("table_idx").isNotNull() & F.col("all_p_idx").isNull(), "table-cell").otherwise("paragraph")
     told = changes.withColumn("kind", kind).join(table_rows.select(*SECTION, "table_idx", "label"), [*SECTION, "table_idx"], "left")
-    sets = told.groupingSets([["doc_id", "section_path"], ["doc_id", "kind"], ["doc_id", "section_path", "table_idx", "label"]], "doc_id", "section_path", "kind", "table_idx", "label")
+    sets = told.groupingSets([[*SECTION], ["doc_id", "kind"], [*SECTION, "table_idx", "label"]], *SECTION, "kind", "table_idx", "label")
     rows = sets.agg(F.count("*").alias("changes"), F.grouping("kind").alias("gk"), F.grouping("table_idx").alias("gt")).where("gt = 1 or table_idx is not null")
     what = F.when(F.col("gk") == 0, "kind").when(F.col("gt") == 0, "table").otherwise("section")
     out = rows.select("doc_id", what.alias("what"), F.coalesce("kind", "section_path").alias("name"), "table_idx", "label", "changes")
@@ -211,16 +220,30 @@ def summary(changes: DataFrame, table_rows: DataFrame, missed: DataFrame) -> Dat
     return out.unionByName(reasons.select("doc_id", F.lit("miss").alias("what"), F.col("reason").alias("name"), F.lit(None).cast("int").alias("table_idx"), F.lit(None).cast("string").alias("label"), "changes"))
 
 
-def fill(entries: DataFrame, mapping: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """Plan and apply a mapping to packages: (entries with ``error``, the changes). A ``unique`` statement with several targets leaves its document as it was."""
+def gated(elements: DataFrame, expected: dict | None) -> tuple[DataFrame, DataFrame | None]:
+    """(elements of the documents that a contract's fingerprint fits, (doc_id, issues) of the others)."""
+    from folioframe.plans import contract
+
+    if not expected:
+        return elements, None
+    refused = contract.fingerprint_issues(contract.fingerprints(elements), expected)
+    return elements.join(refused.select("doc_id"), "doc_id", "left_anti"), refused
+
+
+def fill(entries: DataFrame, mapping: list[dict], fingerprint: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Plan and apply a mapping to packages: (entries with ``error``, the changes).
+
+    A ``unique`` statement with several targets leaves its document as it was, and so does a
+    fingerprint (of the contract that the mapping was compiled from) that does not fit it.
+    """
     from folioframe.operators import document as D
     from folioframe.operators import edit
-    from folioframe.sources import package as P
+    from folioframe.sources import store
 
-    elements = P.flatten(entries).persist()  # parsed once, not once for each list of rows
+    elements, refused = gated(store.stored(entries).elements, fingerprint)  # parsed once, not once for each list of rows
     paragraphs, cell_rows = D.paragraph_texts(elements), D.cells(elements)
-    table_rows = D.tables(elements, paragraphs, cell_rows).persist()
+    table_rows = D.tables(elements, paragraphs, cell_rows)
     asked = statements(entries.sparkSession, mapping)
     more, grid_rows = grown(table_rows, cell_rows, D.grid(cell_rows), asked)
     changes = planned(paragraphs, table_rows, cell_rows, grid_rows, asked)
-    return edit.apply(entries, edit.fill_statements(last_wins(changes), more, ambiguous(changes, asked))), changes
+    return edit.apply(entries, edit.fill_statements(last_wins(changes), more, ambiguous(changes, asked), refused)), changes

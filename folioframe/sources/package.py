@@ -6,6 +6,7 @@ namespace prefix.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import struct
@@ -18,7 +19,6 @@ from pathlib import PurePosixPath
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed values of the format.
@@ -26,7 +26,7 @@ MIMETYPE = "application/hwp+zip"
 REQUIRED = ("mimetype", "version.xml", "Contents/content.hpf", "Contents/header.xml")
 ENTRIES = "doc_id string, path string, content binary"
 ELEMENTS = (
-    "doc_id string, section_path string, pre int, parent_pre int, last int, depth int, tag string, path string, attrs map<string,string>, text string, tail string, "
+    "doc_id string, section_path string, section_idx int, pre int, parent_pre int, above array<int>, last int, depth int, tag string, path string, attrs map<string,string>, text string, tail string, "
     "all_p_idx int, body_p_idx int, run_idx int, table_idx int, parent_table_idx int, cell_row int, cell_col int, in_tables array<int>, has_secpr boolean, "
     "text_t string, text_tbt string, text_lines string, text_direct string, text_fill string, text_all string, "
     "paragraph_count int, row_span int, col_span int, width int, height int"
@@ -36,6 +36,12 @@ TEXTED = {"p", "tc", "tbl", "pic", "equation", "rect", "line", "ellipse", "ctrl"
 OBJECTS = {"tbl", "pic", "equation", "rect", "line", "ellipse"}
 #: The one entry of an archive that can't be read; its content is the reason.
 BROKEN = "#error"
+#: The kinds of pictures that are read.
+PICTURES = ("png", "jpg", "gif")
+#: Parts that are sections, and all parts that are parsed; the tag of a row that only names an entry.
+SECTIONS = r"(^|/)section[^/]*\.xml$"
+PARSED = SECTIONS + r"|^Contents/(content\.hpf|header\.xml)$|^version\.xml$"
+ENTRY = "#entry"
 INTERNAL = r"(^|/)(\.[^/]*\.lock|\.[^/]*\.tmp)$"
 
 
@@ -44,33 +50,28 @@ def read_archives(spark: SparkSession, glob: str) -> DataFrame:
     return entries_of(spark.read.format("binaryFile").load(glob))
 
 
-def entries_of(files: DataFrame) -> DataFrame:
+def _inflated(doc_id: str, content: bytes | None) -> list[tuple[str, str, bytes]]:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+            return [(doc_id, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
+    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError, struct.error, zlib.error) as e:
+        return [(doc_id, BROKEN, str(e).encode())]
+
+
+def entries_of(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """files(path, content) -> the entries of the archives; of a file that is none, one entry BROKEN with the reason."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows = [(path, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-                except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, zlib.error) as e:
-                    rows = [(path, BROKEN, str(e).encode())]
-                yield pd.DataFrame(rows, columns=["doc_id", "path", "content"])
+            for doc_id, archive in zip(batch["doc_id"], batch["archive"], strict=True):
+                yield pd.DataFrame(_inflated(doc_id, archive), columns=["doc_id", "path", "content"])
 
-    return files.select("path", "content").mapInPandas(unzip, ENTRIES)
+    return files.select(F.col(name).alias("doc_id"), F.col(content).alias("archive")).mapInPandas(unzip, ENTRIES)
 
 
 def unzipped(archives: DataFrame) -> DataFrame:
-    """(doc_id, archive) -> entries."""
-
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, content in zip(batch["doc_id"], batch["archive"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    rows = [(doc_id, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-                yield pd.DataFrame(rows, columns=["doc_id", "path", "content"])
-
-    return archives.select("doc_id", "archive").mapInPandas(unzip, ENTRIES)
+    """(doc_id, archive) -> entries; a broken or null archive has one entry BROKEN."""
+    return entries_of(archives, "doc_id", "archive")
 
 
 def images(entries: DataFrame) -> DataFrame:
@@ -82,7 +83,8 @@ def images(entries: DataFrame) -> DataFrame:
             rows = []
             for doc_id, path, content in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
                 try:
-                    rows.append((doc_id, path, *image_size(bytes(content))))
+                    kind, *size = image_size(bytes(content))
+                    rows.append((doc_id, path, *((kind, *size) if kind in PICTURES else (None, None, None))))
                 except (EditError, ValueError, IndexError, struct.error):
                     rows.append((doc_id, path, None, None, None))
             out = pd.DataFrame(rows, columns=["doc_id", "path", "format", "width", "height"])
@@ -92,7 +94,7 @@ def images(entries: DataFrame) -> DataFrame:
 
 
 def entry_names(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("doc_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return paths(entries).groupBy("doc_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def next_ids(elements: DataFrame, tag: str | None = None, start: int = 1) -> DataFrame:
@@ -123,27 +125,28 @@ def safe_path(path: str) -> bool:
 
 
 def pack(entries: DataFrame) -> DataFrame:
-    """(doc_id, archive binary): ``mimetype`` first and stored, the rest deflated in path order."""
+    """(doc_id, archive binary, reason): ``mimetype`` first and stored, the rest deflated in path order; a document with an unsafe entry name has a reason instead of an archive."""
 
     def zipped(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
         parts = {p: bytes(c) for p, c in zip(rows["path"], rows["content"], strict=True)}
-        if bad := [p for p in parts if not safe_path(p)]:
-            raise ValueError(f"unsafe entry names: {bad[:3]}")
+        if bad := sorted(p for p in parts if not safe_path(p)):
+            return pd.DataFrame([(key[0], None, f"unsafe entry names: {bad[:3]}")], columns=["doc_id", "archive", "reason"])
         with zipfile.ZipFile(out, "w") as z:
             for p in sorted(parts, key=lambda p: (p != "mimetype", p)):
                 info = zipfile.ZipInfo(p, (1980, 1, 1, 0, 0, 0))
                 info.compress_type = zipfile.ZIP_STORED if p == "mimetype" else zipfile.ZIP_DEFLATED
                 z.writestr(info, parts[p])
-        return pd.DataFrame([(key[0], out.getvalue())], columns=["doc_id", "archive"])
+        return pd.DataFrame([(key[0], out.getvalue(), None)], columns=["doc_id", "archive", "reason"])
 
-    return entries.groupBy("doc_id").applyInPandas(zipped, "doc_id string, archive binary")
+    return entries.groupBy("doc_id").applyInPandas(zipped, "doc_id string, archive binary, reason string")
 
 
 def unpack(entries: DataFrame, root: str) -> DataFrame:
-    """Write every entry to root/(name of the document)/path; (doc_id, path, written, reason) of what was and was not.
+    """Write every entry to root/(folder of the document)/path; (doc_id, path, folder, written, reason) of what was and was not.
 
-    Names that leave the document's folder are refused. root must be a folder that all executors
+    The folder is the document's base name and a digest of its whole name, so documents of one base
+    name keep apart. Names that leave it are refused. root must be a folder that all executors
     share; a file appears under its name once it is whole, so a task that is run again does no harm.
     """
 
@@ -151,9 +154,10 @@ def unpack(entries: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, path, content in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
-                folder = os.path.splitext(os.path.basename(doc_id))[0] or "document"
+                stem = os.path.splitext(os.path.basename(doc_id))[0] or "document"
+                folder = f"{stem}-{hashlib.sha256(doc_id.encode()).hexdigest()[:12]}"
                 if not safe_path(path) or not safe_path(folder):
-                    out.append((doc_id, path, False, "unsafe name"))
+                    out.append((doc_id, path, folder, False, "unsafe name"))
                     continue
                 to = os.path.join(root, folder, path)
                 os.makedirs(os.path.dirname(to), exist_ok=True)
@@ -161,10 +165,10 @@ def unpack(entries: DataFrame, root: str) -> DataFrame:
                 with open(part, "wb") as f:
                     f.write(bytes(content))
                 os.replace(part, to)
-                out.append((doc_id, path, True, None))
-            yield pd.DataFrame(out, columns=["doc_id", "path", "written", "reason"])
+                out.append((doc_id, path, folder, True, None))
+            yield pd.DataFrame(out, columns=["doc_id", "path", "folder", "written", "reason"])
 
-    return entries.select("doc_id", "path", "content").mapInPandas(write, "doc_id string, path string, written boolean, reason string")
+    return entries.select("doc_id", "path", "content").mapInPandas(write, "doc_id string, path string, folder string, written boolean, reason string")
 
 
 def packable(entries: DataFrame) -> DataFrame:
@@ -194,34 +198,90 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def flatten(entries: DataFrame, only: str = r"(^|/)section[^/]*\.xml$") -> DataFrame:
-    """One row an element, in document order, with the coordinates and texts that every later operator uses.
+def walked(entries: DataFrame, only: str = SECTIONS, listed: bool = False) -> DataFrame:
+    """One row an element of the parts that ``only`` names, in document order, with the coordinates and texts that every later operator uses.
 
     all_p_idx counts paragraphs at any depth; body_p_idx counts direct children of the root without
-    a section property in a direct run; table_idx counts tables at any depth; cells by address.
-    Texts of a paragraph, cell or object: of ``t`` only, with line breaks and tabs, of its own lines
-    (not of paragraphs in it, scripts included), of its own runs without objects (and without text
-    boxes), and all. A part that is no XML is one row of tag ``#error`` with the reason as text.
+    a section property in a direct run; table_idx counts tables at any depth; cells by address;
+    ``above`` holds the numbers of all ancestors, the root's first. Texts of a paragraph, cell or
+    object: of ``t`` only, with line breaks and tabs, of its own lines (not of paragraphs in it,
+    scripts included), of its own runs without objects (and without text boxes), and all. A part
+    that is no XML is one row of tag ``#error`` with the reason as text. section_idx is the number
+    in the part's name, 0 without one; ``flatten`` puts the place in the spine there. listed: a row
+    of tag ENTRY besides, for every entry of any kind.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([list(r[c].items()) if c == "attrs" else r.get(c) for r in rows], _ARROW[t]) for c, t in _COLUMNS], [c for c, _ in _COLUMNS])
 
+        def bare(doc_id: str, section: str, pre: int, tag: str, text: str) -> dict:
+            return {"doc_id": doc_id, "section_path": section, "pre": pre, "parent_pre": -1, "above": [], "last": 0, "depth": 0, "tag": tag, "path": "", "attrs": {}, "text": text, "tail": ""}
+
         rows: list[dict] = []
         for batch in batches:
             for doc_id, section, content in zip(*(batch.column(c) for c in ("doc_id", "path", "content")), strict=True):
                 doc_id, section = doc_id.as_py(), section.as_py()
-                try:
-                    _walk_part(doc_id, section, ET.fromstring(content.as_py() or b""), rows)
-                except (ET.ParseError, ValueError, LookupError) as e:
-                    rows.append({"doc_id": doc_id, "section_path": section, "pre": 0, "parent_pre": -1, "last": 0, "depth": 0, "tag": "#error", "path": "", "attrs": {}, "text": str(e), "tail": ""})
+                if listed:
+                    rows.append(bare(doc_id, section, -1, ENTRY, ""))
+                if content.is_valid:
+                    try:
+                        _walk_part(doc_id, section, ET.fromstring(content.as_py()), rows)
+                    except (ET.ParseError, ValueError, LookupError) as e:
+                        rows.append(bare(doc_id, section, 0, "#error", str(e)))
                 if len(rows) > 20_000:
                     yield told()
                     rows.clear()
         yield told()
 
-    return entries.where(F.col("path").rlike(only)).select("doc_id", "path", "content").mapInArrow(walk, ELEMENTS)
+    parsed = F.col("path").rlike(only)
+    content = F.when(parsed, F.coalesce("content", F.lit(b"")))
+    told = (entries if listed else entries.where(parsed)).select("doc_id", "path", content.alias("content")).mapInArrow(walk, ELEMENTS)
+    number = F.coalesce(F.expr("try_cast(regexp_extract(section_path, '([0-9]+)[.]xml$', 1) as int)"), F.lit(0))
+    return told.withColumn("section_idx", number)
+
+
+def section_order(rows: DataFrame) -> DataFrame:
+    """(doc_id, sections): the section parts in the order of the spine; rows are those of the package part, with entries listed.
+
+    An item of the spine names an item of the manifest (of several with its id the last), whose part
+    must exist; parts that the spine does not name have no place. One that it names twice has the first.
+    """
+    a = F.col("attrs")
+    at = lambda tag, *more: F.array_sort(F.collect_list(F.when((F.col("tag") == tag) & (F.col("section_path") == "Contents/content.hpf"), F.struct("pre", *more))))
+    items = at("item", a["id"].alias("id"), F.regexp_replace(F.coalesce(a["href"], F.lit("")), "^/", "").alias("href"))
+    kept = rows.where(F.col("tag").isin("item", "itemref", ENTRY)).groupBy("doc_id").agg(
+        items.alias("items"), at("itemref", a["idref"].alias("id")).alias("refs"), F.collect_set(F.when(F.col("tag") == ENTRY, F.col("section_path"))).alias("paths")
+    )
+    href = F.transform("refs", lambda r: F.get(F.transform(F.reverse(F.filter("items", lambda i: i["id"] == r["id"])), lambda i: i["href"]), F.lit(0)))
+    path = lambda h: F.when(F.array_contains("paths", h), h).when(F.array_contains("paths", F.concat(F.lit("Contents/"), h)), F.concat(F.lit("Contents/"), h))
+    found = F.filter(F.transform(href, path), lambda x: x.isNotNull() & x.rlike(SECTIONS))
+    return kept.select("doc_id", F.array_distinct(found).alias("sections"))
+
+
+def spined(elements: DataFrame, order: DataFrame) -> DataFrame:
+    """Elements of sections with their place in the spine; those of parts outside it leave."""
+    place = F.array_position("sections", F.col("section_path"))
+    met = elements.join(order, "doc_id").withColumn("section_idx", (place - 1).cast("int")).where("section_idx >= 0")
+    return met.select(*elements.columns)
+
+
+def flatten(source, only: str = SECTIONS) -> DataFrame:
+    """Elements (see ``walked``) of entries or of a stored corpus: the sections in the order of the spine, or the parts that ``only`` names."""
+    if hasattr(source, "parts"):
+        return source.parts(only)
+    rows = walked(source, only)
+    return spined(rows, section_order(walked(source, r"^Contents/content\.hpf$", listed=True))) if only == SECTIONS else rows
+
+
+def paths(source) -> DataFrame:
+    """(doc_id, path) of all entries."""
+    return source.paths() if hasattr(source, "paths") else source.select("doc_id", "path")
+
+
+def documents(source) -> DataFrame:
+    """(doc_id), once each."""
+    return paths(source).select("doc_id").distinct()
 
 
 _COLUMNS = [tuple(c.split()) for c in ELEMENTS.split(", ")]
@@ -229,15 +289,10 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "map<
 
 
 def sections_only(elements: DataFrame, index: int | None = None, every: bool = False) -> DataFrame:
-    """Elements of one section by its place in path order, of all, or of the first one; one index or all, not both."""
+    """Elements of one section by its place in the spine, of all, or of the first one; one index or all, not both."""
     if index is not None and every:
         raise ValueError("one section or all sections, not both")
-    if every:
-        return elements
-    order = elements.select("doc_id", "section_path").distinct()
-    digits = F.expr("try_cast(regexp_extract(section_path, '([0-9]+)[.]xml$', 1) as int)")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(digits, "section_path")) - 1
-    return elements.join(order.withColumn("nth", nth).where(F.col("nth") == (index or 0)).drop("nth"), ["doc_id", "section_path"], "left_semi")
+    return elements if every else elements.where(F.col("section_idx") == (index or 0))
 
 
 def _int(value: str | None, default: int) -> int:
@@ -318,7 +373,7 @@ def _texts(e: ET.Element, tag: str) -> dict:
 def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[dict]) -> None:
     n = {"pre": 0, "p": 0, "body": 0, "tbl": 0}
     # (element, parent's number, depth, path, coordinates), or the place of a row whose subtree has ended
-    todo: list = [(root, -1, 0, _local(root.tag), {"in_tables": []})]
+    todo: list = [(root, -1, 0, _local(root.tag), {"in_tables": [], "above": []})]
     while todo:
         item = todo.pop()
         if isinstance(item, int):
@@ -346,6 +401,7 @@ def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[dict]) ->
         place = len(rows)
         rows.append(row | {"attrs": {_local(k): v for k, v in e.attrib.items()}, "text": e.text or "", "tail": e.tail or ""} | at | told)
         todo.append(place)
+        at = at | {"above": [*at["above"], pre]}
         seen: dict[str, int] = {}
         below, runs = [], 0
         for child in e:
@@ -373,7 +429,7 @@ def spine(entries: DataFrame) -> DataFrame:
 
 def resolved(items: DataFrame, entries: DataFrame) -> DataFrame:
     """items with ``path``: the href as it is, else under Contents/; the first that exists, else the href itself."""
-    there = entries.select("doc_id", F.col("path"))
+    there = paths(entries)
     bare = there.select("doc_id", F.col("path").alias("href"), F.col("path").alias("_bare"))
     under = there.where("path like 'Contents/%'").select("doc_id", F.expr("substring(path, 10)").alias("href"), F.col("path").alias("_under")).where("href not like 'Contents/%' and href not like 'BinData/%'")
     return items.join(bare, ["doc_id", "href"], "left").join(under, ["doc_id", "href"], "left").withColumn("path", F.coalesce("_bare", "_under", "href")).withColumn("exists", F.col("_bare").isNotNull() | F.col("_under").isNotNull()).drop("_bare", "_under")
@@ -381,9 +437,7 @@ def resolved(items: DataFrame, entries: DataFrame) -> DataFrame:
 
 def metadata(entries: DataFrame) -> DataFrame:
     """(doc_id, name, value) of the metadata, the title among it."""
-    parts = flatten(entries, r"^Contents/content\.hpf$")
-    block = parts.where("tag = 'metadata'").select("doc_id", F.col("pre").alias("m0"), F.col("last").alias("m1"))
-    rows = parts.join(block, "doc_id").where("pre > m0 and pre <= m1 and trim(text) <> ''")
+    rows = flatten(entries, r"^Contents/content\.hpf$").where(F.col("path").rlike(r"/metadata\[\d+\]/") & (F.trim("text") != ""))
     return rows.select("doc_id", F.coalesce(F.col("attrs")["name"], F.col("tag")).alias("name"), F.trim("text").alias("value"))
 
 
@@ -419,5 +473,5 @@ def char_props(entries: DataFrame) -> DataFrame:
     fonts = e.where("tag = 'font'").join(hangul, ["doc_id", "parent_pre"]).groupBy("doc_id", F.col("attrs")["id"].alias("font_id")).agg(F.max_by(F.col("attrs")["face"], "pre").alias("font"))
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     found = pr.join(flags, ["doc_id", "pre"], "left").join(fonts, ["doc_id", "font_id"], "left").select("doc_id", "id", no("bold"), no("italic"), no("underline"), "color", F.coalesce("font", F.lit("")).alias("font"), "size_pt")
-    rest = entries.select("doc_id").distinct().join(found.where("id = '0'").select("doc_id"), "doc_id", "left_anti")
+    rest = documents(entries).join(found.where("id = '0'").select("doc_id"), "doc_id", "left_anti")
     return found.unionByName(rest.select("doc_id", F.lit("0").alias("id"), *[F.lit(False).alias(c) for c in ("bold", "italic", "underline")], F.lit("#000000").alias("color"), F.lit("").alias("font"), F.lit(10.0).alias("size_pt")))

@@ -16,5 +16,5 @@ def arriving(spark: SparkSession, folder: str, per_trigger: int = 1000, glob: st
 
 
 def flattened(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """A stream of elements; every operator that needs one document or one row at a time applies to it."""
-    return P.flatten(arriving(spark, folder, **options))
+    """A stream of elements, sections numbered by their names; every operator that needs one row at a time applies to it."""
+    return P.walked(arriving(spark, folder, **options))

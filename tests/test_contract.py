@@ -135,8 +135,11 @@ def test_round_trip_and_gate(spark, entries):
 
 def test_unpack_images_paths(spark, entries, tmp_path):
     told = P.unpack(entries.where("doc_id = 'two'").union(spark.createDataFrame([("two", "../out", b"x")], P.ENTRIES)), str(tmp_path)).collect()
-    assert {r.path for r in told if not r.written} == {"../out"} and (tmp_path / "two" / "Contents" / "header.xml").exists() and not (tmp_path / "out").exists()
-    back = P.read(spark, str(tmp_path / "two"))
+    folder = tmp_path / told[0].folder
+    assert {r.path for r in told if not r.written} == {"../out"} and told[0].folder.startswith("two-") and (folder / "Contents" / "header.xml").exists() and not (tmp_path / "out").exists()
+    apart = P.unpack(spark.createDataFrame([("/a/x.zip", "p", b"1"), ("/b/x.zip", "p", b"2")], P.ENTRIES), str(tmp_path)).collect()
+    assert len({r.folder for r in apart}) == 2 and {(tmp_path / r.folder / "p").read_bytes() for r in apart} == {b"1", b"2"}
+    back = P.read(spark, str(folder))
     assert {r.path for r in back.collect()} == {r.path for r in entries.where("doc_id = 'two'").collect()}
     assert P.next_ids(P.flatten(entries)).count() == 2 and P.entry_names(entries).where("doc_id = 'two'").first().paths == sorted(parts())
 
@@ -145,7 +148,7 @@ def test_reader_survives_broken_parts(spark):
     deep = b"<sec>" + b"<a>" * 3000 + b"</a>" * 3000 + b"</sec>"
     odd = b'<sec><p><run><tbl rowCnt="x"><tr><tc><cellAddr rowAddr="a" colAddr=""/></tc></tr></tbl></run></p></sec>'
     rows = [("broken", "section0.xml", b"<sec><p>"), ("deep", "section0.xml", deep), ("odd", "section0.xml", odd), ("none", "section0.xml", b"")]
-    elements = P.flatten(spark.createDataFrame(rows, P.ENTRIES)).cache()
+    elements = P.walked(spark.createDataFrame(rows, P.ENTRIES)).cache()
     counts = {r.doc_id: r.n for r in elements.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert counts == {"broken": 1, "deep": 3001, "odd": 7, "none": 1} and {r.doc_id for r in elements.where("tag = '#error'").collect()} == {"broken", "none"}
     cell = D.cells(elements).first()
@@ -159,7 +162,7 @@ def test_nested_paragraphs_scripts_and_objects(spark):
         "<hp:equation><hp:script>a over b</hp:script></hp:equation><hp:pic binaryItemIDRef='img1'/><hp:line/><hp:ellipse/><hp:rect/><hp:rect><hp:drawText><hp:subList><hp:p><hp:run><hp:t>boxed</hp:t></hp:run></hp:p></hp:subList></hp:drawText></hp:rect></hp:run></hp:p></sec>"
     )
     entries = spark.createDataFrame([("d", "section0.xml", section.encode()), ("d", "Contents/header.xml", b"<head/>")], P.ENTRIES)
-    elements = P.flatten(entries)
+    elements = P.walked(entries)
     paragraphs, cells = D.paragraph_texts(elements), D.cells(elements)
     assert D.plain_text(paragraphs).first().text == "outera over b\nin\nside\ntwo\nboxed"
     b = D.blocks(paragraphs, D.tables(elements, paragraphs, cells), cells, P.styles(entries), elements)

@@ -96,7 +96,7 @@ def test_lines_of_tables(spark):
     elements = P.flatten(entries)
     places = borders.lined(elements, entries, D.grid(D.cells(elements))).cache()
     asked = {(r.row, r.col, r.side): (r.line.kind, r.line.width) for r in borders.normalized(places).collect()}
-    areas = spark.createDataFrame([("d", "Contents/section0.xml", 0, *a) for a in ((0, 0, 2, 2), (1, 1, 2, 2), (2, 0, 2, 1), (2, 2, 3, 3))], "doc_id string, section_path string, table_idx int, row_from int, col_from int, row_to int, col_to int")
+    areas = spark.createDataFrame([("d", 0, "Contents/section0.xml", 0, *a) for a in ((0, 0, 2, 2), (1, 1, 2, 2), (2, 0, 2, 1), (2, 2, 3, 3))], "doc_id string, section_idx int, section_path string, table_idx int, row_from int, col_from int, row_to int, col_to int")
     merged = {(r.row_from, r.col_from): r for r in borders.merged(places, areas).collect()}
     assert merged[0, 0].whole and not merged[1, 1].whole and merged[2, 0].whole and not merged[2, 2].whole
     for at, to in (((0, 0), (2, 2)), ((2, 0), (2, 1))):

@@ -11,13 +11,13 @@ from tests.test_document import entries, parts  # noqa: F401
 def test_modes_and_misses(spark, parts, entries):  # noqa: F811
     _, paragraphs, cells, tables = parts
     asked = fill.statements(spark, [
-        {"placeholder": "{{PROJECT_TITLE}}", "value": "제목"},
-        {"anchor": "주관기관", "value": "새 기관", "tableLabel": "총괄표"},
-        {"nearText": "사업 개요", "values": ["가", "나"]},
-        {"anchor": "과제명", "grid": [["1", "2"], ["3", "4"]], "mode": "table_down_grid"},
+        {"placeholder": "{{ORDER_TITLE}}", "value": "제목"},
+        {"anchor": "담당 부서", "value": "새 기관", "tableLabel": "모음"},
+        {"nearText": "차례 설명", "values": ["가", "나"]},
+        {"anchor": "품목 이름", "grid": [["1", "2"], ["3", "4"]], "mode": "table_down_grid"},
         {"anchor": "없음", "value": "x"},
-        {"anchor": "과제명", "value": "x", "tableIndex": 7},
-        {"anchor": "주관기관", "values": ["p", "q"], "mode": "table-right-repeat"},
+        {"anchor": "품목 이름", "value": "x", "tableIndex": 7},
+        {"anchor": "담당 부서", "values": ["p", "q"], "mode": "table-right-repeat"},
         {"placeholder": "{{NO}}", "value": "x", "required": True},
     ])
     changes = fill.planned(paragraphs, tables, cells, D.grid(cells), asked).cache()
