@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
+from folioframe.operators import matching
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,7 +43,15 @@ LINES = "(select doc_id, unnest(range(len(string_split(text, chr(10))))) as line
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return win_label_counts(spark, sf_dir)
+    return win_carried_label(spark, sf_dir)
+
+
+@query(f"""select doc_id, line_no, last_value(case when length(line) <= 24 and length(line) > 0 then line end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as carried from {LINES}""")
+def win_carried_label(spark, sf_dir):
+    """Every line with the last label up to it."""
+    label = F.when((F.length("line") <= 24) & (F.length("line") > 0), F.col("line"))
+    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    return lines(spark, sf_dir).select("doc_id", "line_no", F.last(label, ignorenulls=True).over(w).alias("carried"))
 
 
 @query(f"""with l as {LINES}, m as (select *, case when length(line) <= 24 and length(line) > 0 then line end as label from l),
@@ -260,9 +269,9 @@ SELECTORS = ("apache license", "idiot", "worthless", "the the", "| er")
 
 @query(f"select doc_id, line_no, selector from {LINES} join (select unnest({list(SELECTORS)}) as selector) on contains(lower(line), selector)")
 def join_theta_contains(spark, sf_dir):
-    """A mapping has few selectors, so they are tested inside each row: no join at all."""
-    hits = F.filter(F.array(*[F.lit(x) for x in SELECTORS]), lambda x: F.lower("line").contains(x))
-    return lines(spark, sf_dir).select("doc_id", "line_no", F.explode(hits).alias("selector"))
+    """Lines joined with the selectors that they hold: one pass of an automaton, then an equi-join."""
+    asked = spark.createDataFrame([(i, x, False) for i, x in enumerate(SELECTORS)], "rid int, selector string, exact boolean")
+    return matching.matched(lines(spark, sf_dir), "line", asked).select("doc_id", "line_no", "selector")
 
 
 @query("""select o_orderkey, r, c from (select o_orderkey, (o_custkey % 3 + 1)::integer as rs, (o_orderkey % 4 + 1)::integer as cs from orders), lateral (select unnest(range(rs)) as r), lateral (select unnest(range(cs)) as c)""")

@@ -47,8 +47,9 @@ def query(sql: str | None = None):
     return add
 
 
-def packages(spark: SparkSession, sf_dir: str, change: bool = False) -> DataFrame:
-    """entries of a package for each conversation; with change, every third turn says something else."""
+def packages(spark: SparkSession, sf_dir: str, change: bool = False, tables_change: bool = False) -> DataFrame:
+    """entries of a package for each conversation; with change, every third turn says something else; with tables_change, the role of
+    every third turn and, in documents of even numbers, the label of the table."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("string").alias("doc_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     if change:
         turns = turns.withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("now "), "text")).otherwise(F.col("text")))
@@ -60,9 +61,9 @@ def packages(spark: SparkSession, sf_dir: str, change: bool = False) -> DataFram
         return F.concat(F.lit('<hp:tc borderFillIDRef="'), ((row + col) % 3 + 3).cast("string"), F.lit('"><hp:subList>'), para(text), at)
 
     top = F.concat(F.lit("<hp:tr>"), cell(F.lit(0), 0, F.lit("turn and role"), 2), cell(F.lit(0), 1, F.lit(""), 1, 0), F.lit("</hp:tr>"))
-    line = lambda x, i: F.concat(F.lit("<hp:tr>"), cell(i + 1, 0, x["turn"].cast("string")), cell(i + 1, 1, T.html_escape(x["role"])), F.lit("</hp:tr>"))
+    line = lambda x, i: F.concat(F.lit("<hp:tr>"), cell(i + 1, 0, x["turn"].cast("string")), cell(i + 1, 1, F.concat(F.when(F.lit(tables_change) & (x["turn"] % 3 == 0), "was ").otherwise(""), T.html_escape(x["role"]))), F.lit("</hp:tr>"))
     table = F.concat(F.lit('<hp:p styleIDRef="0"><hp:run><hp:tbl colCnt="2" rowCnt="'), (F.size("s") + 1).cast("string"), F.lit('">'), top, F.array_join(F.transform("s", line), ""), F.lit("</hp:tbl></hp:run></hp:p>"))
-    body = F.concat(para(F.concat(F.lit("conversation "), "doc_id"), "1"), F.array_join(F.transform("s", lambda x: para(T.html_escape(x["text"]))), ""), para(F.concat(F.lit("turns of "), "doc_id")), table)
+    body = F.concat(para(F.concat(F.lit("conversation "), "doc_id"), "1"), F.array_join(F.transform("s", lambda x: para(T.html_escape(x["text"]))), ""), para(F.concat(F.when(F.lit(tables_change) & (F.expr("cast(doc_id as long) % 2") == 0), "rows of ").otherwise("turns of "), "doc_id")), table)
     part = lambda said: F.concat(F.lit('<hs:sec xmlns:hp="p" xmlns:hs="s">'), said, F.lit("</hs:sec>")).cast("binary")
     entry = lambda path, content: F.struct(path.alias("path"), content.alias("content"))
     k = F.expr("cast(doc_id as long) % 12")
@@ -274,9 +275,10 @@ def agg_6_fingerprint(spark, sf_dir):
     return found.select("doc_id", F.array_join("table_labels", "|").alias("table_labels"), F.array_join("section_paths", "|").alias("section_paths"), "section_count", F.array_join("placeholder_texts", "|").alias("placeholder_texts"), "placeholder_digest")
 
 
-@query(f"""with {TURNS}, {CELLS}, {PARAGRAPHS} select doc_id, true as valid, 1::bigint as table_count, count(*) filter (where trim(text) <> '') + 1 as paragraph_count from p group by doc_id""")
+@query(f"""with {TURNS}, {CELLS}, {PARAGRAPHS} select doc_id, true as valid, 1::bigint as table_count, count(*) filter (where trim(text) <> '') + 1 as paragraph_count,
+  sha256(coalesce(string_agg(text, chr(10) order by i) filter (where text <> ''), '')) as text_digest, sha256('') as control_digest, sha256('') as header_footer_digest, doc_id::bigint % 12 + 1 as section_count from p group by doc_id""")
 def agg_8_snapshot(spark, sf_dir):
-    return diff.snapshots(packages(spark, sf_dir)).select("doc_id", "valid", "table_count", "paragraph_count")
+    return diff.snapshots(packages(spark, sf_dir)).select("doc_id", "valid", "table_count", "paragraph_count", "text_digest", "control_digest", "header_footer_digest", "section_count")
 
 
 @query(f"with {TURNS} select doc_id, n::int + 4 as n_paragraphs, 'appended to ' || doc_id as last from t where k = 1")
@@ -334,6 +336,88 @@ def agg_12_to_14_merged(spark, sf_dir):
     return borders.merged(borders.lined(elements, entries, D.grid(cells)), areas).select("doc_id", *[F.col(f"{s}.kind").alias(s) for s in ("top", "bottom", "left", "right")], "face", "width", "height", "whole")
 
 
+@query(f"""with {TURNS} select doc_id, 'cell-changed' as code, (2 * k + 1)::int as position from t where turn % 3 = 0
+ union all select doc_id, 'table-changed', 0 from t where k = 1 and doc_id::bigint % 2 = 0""")
+def jon_10_and_11_codes(spark, sf_dir):
+    """Tables and cells of two states that differ in some."""
+    found = diff.round_trip(packages(spark, sf_dir), packages(spark, sf_dir, tables_change=True))
+    return found.where("code in ('table-changed', 'cell-changed', 'table-added', 'cell-added', 'table-removed', 'cell-removed', 'cell-count-changed')").select("doc_id", "code", "position")
+
+
+@query(f"""with {TURNS}, d as (select distinct doc_id, doc_id::bigint as i from t), e as (select doc_id, 'missing required entry: version.xml' as m from d where i % 3 = 0 union all select doc_id, 'missing spine entry: Contents/section10.xml' from d where i % 5 = 0 and i % 12 > 0),
+ w as (select doc_id, unnest(['manifest item not found: Contents/section10.xml', 'section count mismatch']) as m from d where i % 5 = 0 and i % 12 > 0)
+ select doc_id, coalesce((select string_agg(m, '|' order by m) from e where e.doc_id = d.doc_id), '') as errors, coalesce((select string_agg(m, '|' order by m) from w where w.doc_id = d.doc_id), '') as warnings, not exists (select * from e where e.doc_id = d.doc_id) as valid from d""")
+def flt_21_report(spark, sf_dir):
+    """Packages that lack their version or the second section of their spine."""
+    i = F.expr("cast(doc_id as long)")
+    entries = packages(spark, sf_dir).where(~((F.col("path") == "version.xml") & (i % 3 == 0)) & ~((F.col("path") == "Contents/section10.xml") & (i % 5 == 0)))
+    return D.report(store.stored(entries)).select("doc_id", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"), "valid")
+
+
+@query(f"""with {TURNS} select doc_id, doc_id::bigint % 12 + 1 as section_count, 1::bigint as table_count, 1::bigint as merged_cell_count, 0::bigint as nested_table_count, case when doc_id::bigint % 12 > 0 then 'section-risk,' else '' end || 'table-risk' as hints from t where k = 1""")
+def agg_4_risks(spark, sf_dir):
+    entries = packages(spark, sf_dir)
+    found = D.risk_signals(entries, corpus=store.stored(entries))
+    return found.select("doc_id", "section_count", "table_count", "merged_cell_count", "nested_table_count", F.array_join("hints", ",").alias("hints"))
+
+
+@query(f"""with {TURNS}, s as (select doc_id, n, {_MARKED} as marks from t group by doc_id, n)
+ select doc_id, 'table' as kind, 'turns of ' || doc_id as label, n::int + 1 as rows, 2 as cols, case when n = 1 then 'key-value' else 'matrix' end as role, 2 * n + 2 as held, n + 3 as paragraph_count, 1::bigint as table_count,
+  case when marks > 0 then 'template-form' when n = 0 then 'table-sheet' else 'mixed' end as section_role from s""")
+def flt_3_context(spark, sf_dir):
+    """Tables by their label, with what is known of the table and of its section."""
+    corpus, elements, *_ = read(spark, sf_dir)
+    found = discovery.find_targets(elements, P.styles(corpus), table_label="Turns of")
+    return found.select("doc_id", "kind", "label", "table.rows", "table.cols", "table.role", F.col("table.paragraph_count").alias("held"), "section.paragraph_count", "section.table_count", F.col("section.role").alias("section_role"))
+
+
+@query(f"""with {TURNS}, u as (select doc_id, n, min(k) as k from t where contains(lower(role), 'user') group by doc_id, n),
+ b as (select doc_id, n, 0 as i, 'conversation ' || doc_id as text from t where k = 1 union all select doc_id, n, k, text from t union all select doc_id, n, n + 1, 'turns of ' || doc_id from t where k = 1)
+ select doc_id, 0 as rid, null::int as all_p_idx, k::int as row, 1 as col, 'R' as new_text from t where turn = 0
+ union all select doc_id, 1, null, min(k)::int, 1, 'a' from t where turn = 0 group by doc_id
+ union all select doc_id, 2, null, k::int, 0, 'l1' from u
+ union all select doc_id, 3, null, (k - i)::int, case when k = i then 0 else 1 end, 'u' || i from (select doc_id, k, unnest([1, 2, 3]) as i from u) where i <= k
+ union all select doc_id, 4, null, min(k)::int, 1, 'x' from t where turn = 0 group by doc_id
+ union all select doc_id, 5, null, r, c, v from (select doc_id, n, unnest([1, 1, 2, 2]) as r, unnest([0, 1, 0, 1]) as c, unnest(['1', '2', '3', '-']) as v from t where k = 1) where r <= n
+ union all select doc_id, 6, i::int, null, null, 'P' from b where contains(lower(text), 'turns of ')
+ union all select doc_id, 7, (i + j)::int, null, null, 'n' || j from (select doc_id, n, i, unnest([1, 2]) as j from b where contains(lower(text), 'conversation ')) where i + j <= n + 2""")
+def fil_2_to_15_plan(spark, sf_dir):
+    """The modes that the other plan leaves out."""
+    _, _, paragraphs, cells, tables = read(spark, sf_dir)
+    asked = fill.statements(spark, [
+        {"anchor": "0", "value": "R", "matchMode": "exact"}, {"anchor": "0", "values": ["a", "b"], "mode": "table-right-repeat", "matchMode": "exact"}, {"anchor": "USER", "values": ["l1", "l2"], "mode": "table-left-repeat"},
+        {"anchor": "user", "values": ["u1", "u2", "u3"], "mode": "table-up-repeat"}, {"anchor": "0", "grid": [["x", "y"], ["z", "w"]], "mode": "table-right-grid", "matchMode": "exact"},
+        {"anchor": "turn and role", "fields": ["a", "b"], "records": [{"a": "1", "b": "2"}, {"a": "3"}], "fallbackValue": "-"},
+        {"nearText": "turns of ", "value": "P", "mode": "paragraph-replace"}, {"nearText": "conversation ", "values": ["n1", "n2"], "mode": "paragraph-next-repeat"},
+    ])
+    return fill.planned(paragraphs, tables, cells, D.grid(cells), asked).select("doc_id", "rid", "all_p_idx", "row", "col", "new_text")
+
+
+@query(f"""with {TURNS} select doc_id, case when doc_id::bigint % 12 <> 2 then 'sectionCount mismatch: expected 3 got ' || (doc_id::bigint % 12 + 1) end as issue, doc_id::bigint % 12 = 2 as filled from t where k = 1""")
+def fil_33_gate(spark, sf_dir):
+    """Filling under a contract's fingerprint: documents of other than three sections leave, with the reason."""
+    elements = store.stored(packages(spark, sf_dir)).elements
+    fit, refused = fill.gated(elements, {"sectionCount": 3})
+    paragraphs, cells = D.paragraph_texts(fit), D.cells(fit)
+    asked = fill.statements(spark, [{"anchor": "turn and role", "value": "v", "mode": "table-down", "tableLabel": "turns of"}])
+    changes = fill.planned(paragraphs, D.tables(fit, paragraphs, cells), cells, D.grid(cells), asked).select("doc_id", F.lit(True).alias("filled"))
+    return elements.select("doc_id").distinct().join(changes, "doc_id", "left").join(refused, "doc_id", "left").select("doc_id", F.array_join("issues", "; ").alias("issue"), F.coalesce("filled", F.lit(False)).alias("filled"))
+
+
+@query(f"""with {TURNS} select doc_id, r as rid, case r when 1 then 'required-target-not-found' when 2 then 'table-label-not-found' when 3 then 'insufficient-target-capacity' else 'near-text-not-found' end as reason,
+  case r when 3 then 60 else 1 end as requested, case r when 3 then n else 0 end as matched from (select doc_id, n, unnest([1, 2, 3, 4]) as r from t where k = 1) where r <> 3 or n < 60""")
+def agg_16_misses(spark, sf_dir):
+    """What each document lacks of a mapping of five entries."""
+    corpus, _, paragraphs, cells, tables = read(spark, sf_dir)
+    asked = fill.statements(spark, [
+        {"anchor": "turn and role", "value": "v", "mode": "table-down"}, {"placeholder": "<<none>>", "value": "v", "required": True}, {"anchor": "turn and role", "value": "v", "tableLabel": "no such label"},
+        {"anchor": "turn and role", "values": [str(i) for i in range(60)], "mode": "table-down-repeat"}, {"nearText": "<<none>>", "value": "v"},
+    ])
+    tables = store.kept(tables, "tables")
+    changes = fill.planned(paragraphs, tables, cells, D.grid(cells), asked)
+    return fill.misses(corpus.paths(), tables, changes, asked).select("doc_id", "rid", "reason", F.col("requested").cast("int").alias("requested"), "matched")
+
+
 @query(f"with {TURNS} select doc_id, 0 as errors from t where k = 1")
 def snk_2_pack_round_trip(spark, sf_dir):
     """Packed, read again and compared: the issues of every document."""

@@ -1,4 +1,4 @@
-"""Differences of two snapshots of a corpus by position: digests first, rows only of the documents that differ."""
+"""Differences of two snapshots of a corpus by position: digests of documents, then of blocks of positions, then rows where these differ."""
 
 from __future__ import annotations
 
@@ -12,13 +12,15 @@ from folioframe.functions import text as T
 from folioframe.operators import document as D
 from folioframe.operators.document import section_paths
 from folioframe.sources import package as P
-from folioframe.sources.store import Corpus, stored
+from folioframe.sources.store import Corpus, kept, stored
 
 #: Tags of the signatures, in order, and the counts that are compared.
 OBJECTS = ("tbl", "pic", "equation", "rect", "line", "ellipse")
 CONTROLS, HEADER_FOOTER = ("ctrl",), ("header", "footer")
 COUNTS = ("section-count", "table-count", "paragraph-count", "placeholder-count", "guide-count", "object-count", "control-count", "header-count", "footer-count", "text-length", "line-count")
 ISSUE = ["doc_id", "code", "position", "before", "after"]
+#: Positions of a list under one digest.
+BLOCK = 64
 
 
 def ordered_paragraphs(paragraphs: DataFrame) -> DataFrame:
@@ -44,17 +46,35 @@ def digests(ordered: DataFrame) -> DataFrame:
     return ordered.groupBy("doc_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 
 
+def blocks(ordered: DataFrame) -> DataFrame:
+    """(doc_id, block, n, digest): the level below a document, BLOCK positions each; no document's rows are gathered whole."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("position", "said"))), lambda x: x["said"])
+    return ordered.groupBy("doc_id", F.expr(f"position div {BLOCK}").alias("block")).agg(F.count("*").alias("n"), F.sha2(F.to_json(lines), 256).alias("digest"))
+
+
 def compare(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
-    """Issues ``kind-count-changed``, ``kind-added``, ``kind-removed`` and ``kind-changed`` between two ordered lists."""
-    a, b = digests(before).toDF("doc_id", "n1", "d1"), digests(after).toDF("doc_id", "n2", "d2")
-    differ = a.join(b, "doc_id", "full_outer").where("not (d1 <=> d2)")
-    count = differ.where("not (n1 <=> n2)").select("doc_id", F.lit(f"{kind}-count-changed").alias("code"), F.lit(None).cast("int").alias("position"), F.coalesce("n1", F.lit(0)).cast("string").alias("before"), F.coalesce("n2", F.lit(0)).cast("string").alias("after"))
-    only = lambda rows, name: rows.join(differ.select("doc_id"), "doc_id", "left_semi").select("doc_id", "position", F.col("said").alias(name))
+    """Issues ``kind-count-changed``, ``kind-added``, ``kind-removed`` and ``kind-changed`` between two ordered lists.
+
+    Digests of blocks of positions are joined first, rows only in the blocks that differ.
+    """
+    a, b = blocks(before).toDF("doc_id", "block", "n1", "d1"), blocks(after).toDF("doc_id", "block", "n2", "d2")
+    differ = a.join(b, ["doc_id", "block"], "full_outer").where("not (d1 <=> d2)")
+    totals = differ.groupBy("doc_id").agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("m1"), F.coalesce(F.sum("n2"), F.lit(0)).alias("m2")).where("m1 <> m2").select("doc_id")
+    whole = lambda rows, name: rows.join(totals, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias(name))
+    counts = totals.join(whole(before, "n1"), "doc_id", "left").join(whole(after, "n2"), "doc_id", "left")  # equal blocks count as well
+    count = counts.select("doc_id", F.lit(f"{kind}-count-changed").alias("code"), F.lit(None).cast("int").alias("position"), F.coalesce("n1", F.lit(0)).cast("string").alias("before"), F.coalesce("n2", F.lit(0)).cast("string").alias("after"))
+    only = lambda rows, name: rows.withColumn("block", F.expr(f"position div {BLOCK}")).join(differ.select("doc_id", "block"), ["doc_id", "block"], "left_semi").select("doc_id", "position", F.col("said").alias(name))
     rows = only(before, "before").join(only(after, "after"), ["doc_id", "position"], "full_outer").where("not (before <=> after)")
     code = F.when(F.col("before").isNull(), f"{kind}-added").when(F.col("after").isNull(), f"{kind}-removed").otherwise(f"{kind}-changed")
     return count.select(*ISSUE).unionByName(rows.withColumn("code", code).select(*ISSUE))
 
 
+def touched(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id): documents whose entries are not the same bytes under the same names; no others can have issues."""
+    digest = lambda entries, name: entries.select("doc_id", F.struct("path", F.sha2("content", 256).alias("d")).alias("e")).groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list("e"))).alias(name))
+    return digest(before, "a").join(digest(after, "b"), "doc_id", "full_outer").where("not (a <=> b)").select("doc_id")
+
+
 def signatures(elements: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     """(doc_id, position, said, kind): elements of the tags as kind, section and text; by section, then tag, then document order."""
     rank = reduce(lambda c, x: c.when(F.col("tag") == x[1], x[0]), enumerate(tags), F)
@@ -91,7 +111,7 @@ def snapshots(entries: DataFrame, corpus: Corpus | None = None) -> DataFrame:
         out = out.join(digests(rows[kind]).select("doc_id", F.col("digest").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, empty))
     texts = D.plain_text(paragraphs).select("doc_id", "text")
     out = out.join(n(paragraphs.where(T.trim_unicode(F.col("text_t")) != ""), "paragraph_count"), "doc_id", "left").join(n(D.placeholders(paragraphs), "placeholder_count"), "doc_id", "left").join(n(D.guides(paragraphs), "guide_count"), "doc_id", "left").join(texts, "doc_id", "left")
-    out = out.join(D.report(corpus).select("doc_id", "valid"), "doc_id", "left").join(D.risk_signals(entries).select("doc_id", F.col("hints").alias("risk_hints")), "doc_id", "left")
+    out = out.join(D.report(corpus).select("doc_id", "valid"), "doc_id", "left").join(D.risk_signals(entries, corpus=corpus).select("doc_id", F.col("hints").alias("risk_hints")), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     return out.fillna(0).withColumns({
         "section_count": F.size("section_paths").cast("long"), "text_length": F.octet_length(text).cast("long"), "line_count": F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long"),
@@ -100,7 +120,12 @@ def snapshots(entries: DataFrame, corpus: Corpus | None = None) -> DataFrame:
 
 
 def round_trip(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Coded issues (doc_id, code, position, before, after) between two states of the entries of a corpus; each is parsed once."""
+    """Coded issues (doc_id, code, position, before, after) between two states of the entries of a corpus.
+
+    Only documents whose bytes differ are parsed, once each.
+    """
+    changed = kept(touched(before, after), "touched")
+    before, after = (x.join(changed, "doc_id", "left_semi") for x in (before, after))
     ca, cb = stored(before), stored(after)
     a, b = snapshots(before, ca), snapshots(after, cb)
     name = lambda code: code.replace("-", "_")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as T
 from folioframe.operators import document as D
 from folioframe.operators.document import SECTION
+from folioframe.sources.store import kept
 
 PLACE = ["kind", "all_p_idx", "table_idx", "row", "col"]
 
@@ -36,7 +37,7 @@ def find_targets(elements: DataFrame, style_rows: DataFrame, *, anchor: str = ""
     paragraphs = D.style_names(D.paragraph_texts(elements), style_rows).withColumn("said", T.trim_unicode(F.col("text_t"))).where("said <> ''")
     cell_rows = D.cells(elements).withColumn("said", T.truncate_bytes(T.trim_unicode(F.col("text")), 120))
     every = D.paragraph_texts(elements)
-    table_rows = D.tables(elements, every, D.cells(elements))
+    table_rows = kept(D.tables(elements, every, D.cells(elements)), "tables")
     section_rows = D.sections(elements, every, table_rows)
     c, out = F.col, []
     of_table = {"table_idx": c("table_idx"), "label": c("label"), "text": c("text_preview"), "at": c("table_idx")}
@@ -60,7 +61,7 @@ def find_targets(elements: DataFrame, style_rows: DataFrame, *, anchor: str = ""
         raise ValueError("at least one query is needed")
     found = reduce(DataFrame.unionByName, out)
     first = W.partitionBy(*SECTION, "query_type", *PLACE).orderBy("o", "at", "text")
-    found = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "o", "at")
+    found = kept(found.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "o", "at"), "targets")
     return with_context(found, section_rows, table_rows, paragraphs)
 
 

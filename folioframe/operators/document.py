@@ -77,12 +77,14 @@ def tables(elements: DataFrame, paragraphs: DataFrame, cell_rows: DataFrame) ->
         T.truncate_bytes(T.trim_unicode(F.col("text_t")), 120).alias("text_preview"),
     )
     rows = elements.where("tag = 'tr'").groupBy(*SECTION, F.col("parent_pre").alias("pre")).agg(F.count("*").cast("int").alias("tr"))
-    inside = lambda df, count, name: df.select(*SECTION, F.explode("in_tables").alias("_t"), count.alias("x")).groupBy(*SECTION, F.col("_t").alias("table_idx")).agg(F.sum("x").alias(name))
-    merged = inside(cell_rows, F.expr("cast(row_span > 1 or col_span > 1 as long)"), "merged_cells")
-    within = inside(paragraphs, F.lit(1).cast("long"), "paragraph_count")
-    marks = lambda df, name: df.where("table_idx is not null").groupBy(*SECTION, "table_idx").agg(F.count("*").alias(name))
+    # what each table holds, from its cells and paragraphs at once; marks count where they stand, the rest in every table around
+    text, none = T.trim_unicode(F.col("text_t")), F.lit(0)
+    here = lambda mark: F.when((F.col("_t") == F.col("table_idx")) & (text != "") & mark.isNotNull(), 1).otherwise(0)
+    of_cells = cell_rows.select(*SECTION, F.explode("in_tables").alias("table_idx"), F.expr("cast(row_span > 1 or col_span > 1 as int)").alias("m"), none.alias("p"), none.alias("h"), none.alias("g"))
+    of_paragraphs = paragraphs.select(*SECTION, "table_idx", "text_t", F.explode("in_tables").alias("_t")).select(*SECTION, F.col("_t").alias("table_idx"), none.alias("m"), F.lit(1).alias("p"), here(T.is_placeholder(text)).alias("h"), here(T.is_guide(F.lower(text))).alias("g"))
+    held = of_cells.unionByName(of_paragraphs).groupBy(*SECTION, "table_idx").agg(F.sum("m").alias("merged_cells"), F.sum("p").alias("paragraph_count"), F.sum("h").alias("placeholder_count"), F.sum("g").alias("guide_count"))
     out = own.join(rows, [*SECTION, "pre"], "left").join(table_labels(paragraphs), [*SECTION, "all_p_idx"], "left")
-    for found in (merged, within, marks(placeholders(paragraphs), "placeholder_count"), marks(guides(paragraphs), "guide_count"), anchor_hints(cell_rows)):
+    for found in (held, anchor_hints(cell_rows)):
         out = out.join(found, [*SECTION, "table_idx"], "left")
     out = out.withColumn("rows", F.coalesce("declared_rows", "tr", F.lit(0))).fillna(0, ["merged_cells", "paragraph_count", "placeholder_count", "guide_count"])
     c = F.col
@@ -268,19 +270,25 @@ def report(entries: DataFrame) -> DataFrame:
     items, order = P.resolved(P.manifest(entries), entries), P.spine(entries)
     lost = items.where(~F.col("exists")).select("doc_id", F.lit("warning").alias("level"), F.concat(F.lit("manifest item not found: "), "href").alias("message"))
     dangling = order.join(items.select("doc_id", F.col("id").alias("idref")), ["doc_id", "idref"], "left_anti").select("doc_id", F.lit("error").alias("level"), F.concat(F.lit("unknown spine reference: "), "idref").alias("message"))
-    count = order.join(items.select("doc_id", F.col("id").alias("idref"), "path"), ["doc_id", "idref"]).where(F.col("path").rlike(r"(^|/)section[^/]*\.xml$")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    named = order.join(items.select("doc_id", F.col("id").alias("idref"), "path", "exists"), ["doc_id", "idref"])
+    absent = named.where(~F.col("exists")).select("doc_id", F.lit("error").alias("level"), F.concat(F.lit("missing spine entry: "), "path").alias("message"))
+    count = named.where(F.col("exists") & F.col("path").rlike(P.SECTIONS)).groupBy("doc_id").agg(F.count("*").alias("n"))
     odd = P.declared_sections(entries).join(count, "doc_id", "left").where("declared is not null and declared <> coalesce(n, 0)").select("doc_id", F.lit("warning").alias("level"), F.lit("section count mismatch").alias("message"))
-    told = missing.unionByName(lost).unionByName(dangling).unionByName(odd).groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("level") == k, F.col("message")))).alias(f"{k}s") for k in ("error", "warning")])
+    told = missing.unionByName(lost).unionByName(dangling).unionByName(absent).unionByName(odd).groupBy("doc_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("level") == k, F.col("message")))).alias(f"{k}s") for k in ("error", "warning")])
     none = F.array().cast("array<string>")
     return docs.select("doc_id").join(told, "doc_id", "left").select("doc_id", F.coalesce("errors", none).alias("errors"), F.coalesce("warnings", none).alias("warnings")).withColumn("valid", F.size("errors") == 0)
 
 
-def risk_signals(entries: DataFrame, exact: bool = False) -> DataFrame:
-    """Counts of markup that a round trip may damage: by tag prefix as it has always been, or by exact tag."""
-    parts = entries.where(F.col("path").rlike(r"(^|/)section[^/]*\.xml$")).select("doc_id", F.col("content").cast("string").alias("x"))
+def risk_signals(entries: DataFrame, exact: bool = False, corpus=None) -> DataFrame:
+    """Counts of markup that a round trip may damage, in the sections of the spine: by tag prefix as it has always been, or by exact tag.
+
+    corpus: the same entries as stored, so that the spine need not be parsed again.
+    """
+    parts = entries.where(F.col("path").rlike(P.SECTIONS)).select("doc_id", "path", F.col("content").cast("string").alias("x"))
     n = lambda *tags: sum((F.regexp_count("x", F.lit(f"<hp:{tag}" + (r"[\s/>]" if exact else ""))) for tag in tags), F.lit(0))
     spans = F.regexp_count("x", F.lit('(?:rowSpan|colSpan)="(?!1")[^"]+"'))
-    rows = parts.select("doc_id", n("tbl").alias("t"), spans.alias("merged"), n("pic", "rect", "ellipse", "line", "equation", "container", "drawText").alias("objects"), n("header", "footer").alias("hf"), n("pageNum").alias("pages"), F.regexp_count("x", F.lit("목차")).alias("toc"))
+    rows = parts.select("doc_id", "path", n("tbl").alias("t"), spans.alias("merged"), n("pic", "rect", "ellipse", "line", "equation", "container", "drawText").alias("objects"), n("header", "footer").alias("hf"), n("pageNum").alias("pages"), F.regexp_count("x", F.lit("목차")).alias("toc"))
+    rows = rows.join(P.sections_of(entries if corpus is None else corpus).select("doc_id", "path"), ["doc_id", "path"], "left_semi")
     low = F.lower(F.col("content").cast("string"))
     marks = entries.where("path = 'Contents/header.xml'").select("doc_id", (F.regexp_count(low, F.lit("toc heading")) + F.regexp_count(low, F.lit("toc "))).alias("in_header"))
     out = rows.groupBy("doc_id").agg(

@@ -8,6 +8,8 @@ one automaton (``matching``), so no text is joined with all of them; labels are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as T
 from folioframe.operators.document import SECTION
 from folioframe.operators.matching import MAX_BYTES, folded, matched
+from folioframe.sources.store import kept, stored
 
 PLACE = [*SECTION, "all_p_idx", "table_idx", "row", "col"]
 MAX_STATEMENTS = 10_000
@@ -147,7 +150,7 @@ def grown(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFrame, ask
 
 def table_changes(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Cells beside an anchor: one, the k-th distinct cell along a direction, or a rectangle up to its first cell out of range."""
-    met = met_anchors(table_rows, cell_rows, asked)
+    met = kept(met_anchors(table_rows, cell_rows, asked), "anchors")  # read by both kinds of modes
     at = grid_rows.select(*SECTION, "table_idx", F.col("row").alias("r"), F.col("col").alias("c"), F.col("anchor_row").alias("row"), F.col("anchor_col").alias("col"))
 
     boxed = met.where("not mode like '%-repeat'").join(values_of(asked), "rid")
@@ -171,7 +174,9 @@ def table_changes(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFr
 
 def planned(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFrame, asked: DataFrame) -> DataFrame:
     """All changes of all statements, one row for each statement and target."""
-    return placeholder_changes(paragraphs, asked).unionByName(paragraph_changes(paragraphs, asked)).unionByName(table_changes(table_rows, cell_rows, grid_rows, asked))
+    of = {"placeholder": lambda: placeholder_changes(paragraphs, asked), "near-text": lambda: paragraph_changes(paragraphs, asked), "anchor": lambda: table_changes(table_rows, cell_rows, grid_rows, asked)}
+    kinds = {r["kind"] for r in asked.select("kind").distinct().collect()} or set(of)  # three at most
+    return reduce(DataFrame.unionByName, [of[k]() for k in of if k in kinds])
 
 
 def last_wins(changes: DataFrame) -> DataFrame:
@@ -226,7 +231,7 @@ def gated(elements: DataFrame, expected: dict | None) -> tuple[DataFrame, DataFr
 
     if not expected:
         return elements, None
-    refused = contract.fingerprint_issues(contract.fingerprints(elements), expected)
+    refused = kept(contract.fingerprint_issues(contract.fingerprints(elements), expected), "refused")
     return elements.join(refused.select("doc_id"), "doc_id", "left_anti"), refused
 
 
@@ -238,12 +243,12 @@ def fill(entries: DataFrame, mapping: list[dict], fingerprint: dict | None = Non
     """
     from folioframe.operators import document as D
     from folioframe.operators import edit
-    from folioframe.sources import store
 
-    elements, refused = gated(store.stored(entries).elements, fingerprint)  # parsed once, not once for each list of rows
+    elements, refused = gated(stored(entries).elements, fingerprint)  # parsed once, not once for each list of rows
     paragraphs, cell_rows = D.paragraph_texts(elements), D.cells(elements)
-    table_rows = D.tables(elements, paragraphs, cell_rows)
+    table_rows = kept(D.tables(elements, paragraphs, cell_rows), "tables")
     asked = statements(entries.sparkSession, mapping)
     more, grid_rows = grown(table_rows, cell_rows, D.grid(cell_rows), asked)
-    changes = planned(paragraphs, table_rows, cell_rows, grid_rows, asked)
+    more = kept(more, "grown")
+    changes = kept(planned(paragraphs, table_rows, cell_rows, grid_rows, asked), "changes")
     return edit.apply(entries, edit.fill_statements(last_wins(changes), more, ambiguous(changes, asked), refused)), changes

@@ -279,6 +279,14 @@ def paths(source) -> DataFrame:
     return source.paths() if hasattr(source, "paths") else source.select("doc_id", "path")
 
 
+def sections_of(source) -> DataFrame:
+    """(doc_id, section_idx, path) of the sections in the spine."""
+    if hasattr(source, "parts"):
+        return source.elements.select("doc_id", "section_idx", F.col("section_path").alias("path")).distinct()
+    order = section_order(walked(source, r"^Contents/content\.hpf$", listed=True))
+    return order.select("doc_id", F.posexplode("sections").alias("section_idx", "path"))
+
+
 def documents(source) -> DataFrame:
     """(doc_id), once each."""
     return paths(source).select("doc_id").distinct()

@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: what is read several times is worked out once, and a lost executor costs only its part."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Corpus:
     """A stored corpus; the functions of ``package`` and ``document`` take it in place of entries."""
