@@ -40,33 +40,33 @@ def ordered_tables(table_rows: DataFrame) -> DataFrame:
     return table_rows.select("doc_id", place.alias("position"), T.signature(*[F.col(c) for c in ("section_path", "table_idx", "parent_table_idx", "rows", "cols", "merged_cells", "label")]).alias("said"))
 
 
-def digests(ordered: DataFrame) -> DataFrame:
-    """(doc_id, n, digest) of a document's ordered rows."""
+def blocks(listed: DataFrame) -> DataFrame:
+    """(doc_id, kind, block, n, digest): the level below a list, BLOCK positions each; no document's rows are gathered whole."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("position", "said"))), lambda x: x["said"])
-    return ordered.groupBy("doc_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+    return listed.groupBy("doc_id", "kind", F.expr(f"position div {BLOCK}").alias("block")).agg(F.count("*").alias("n"), F.sha2(F.to_json(lines), 256).alias("digest"))
 
 
-def blocks(ordered: DataFrame) -> DataFrame:
-    """(doc_id, block, n, digest): the level below a document, BLOCK positions each; no document's rows are gathered whole."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("position", "said"))), lambda x: x["said"])
-    return ordered.groupBy("doc_id", F.expr(f"position div {BLOCK}").alias("block")).agg(F.count("*").alias("n"), F.sha2(F.to_json(lines), 256).alias("digest"))
-
-
-def compare(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
-    """Issues ``kind-count-changed``, ``kind-added``, ``kind-removed`` and ``kind-changed`` between two ordered lists.
+def compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Issues ``count-changed``, ``added``, ``removed`` and ``changed``, each after its kind, between two states of lists (doc_id, kind, position, said).
 
     Digests of blocks of positions are joined first, rows only in the blocks that differ.
     """
-    a, b = blocks(before).toDF("doc_id", "block", "n1", "d1"), blocks(after).toDF("doc_id", "block", "n2", "d2")
-    differ = a.join(b, ["doc_id", "block"], "full_outer").where("not (d1 <=> d2)")
-    totals = differ.groupBy("doc_id").agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("m1"), F.coalesce(F.sum("n2"), F.lit(0)).alias("m2")).where("m1 <> m2").select("doc_id")
-    whole = lambda rows, name: rows.join(totals, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias(name))
-    counts = totals.join(whole(before, "n1"), "doc_id", "left").join(whole(after, "n2"), "doc_id", "left")  # equal blocks count as well
-    count = counts.select("doc_id", F.lit(f"{kind}-count-changed").alias("code"), F.lit(None).cast("int").alias("position"), F.coalesce("n1", F.lit(0)).cast("string").alias("before"), F.coalesce("n2", F.lit(0)).cast("string").alias("after"))
-    only = lambda rows, name: rows.withColumn("block", F.expr(f"position div {BLOCK}")).join(differ.select("doc_id", "block"), ["doc_id", "block"], "left_semi").select("doc_id", "position", F.col("said").alias(name))
-    rows = only(before, "before").join(only(after, "after"), ["doc_id", "position"], "full_outer").where("not (before <=> after)")
-    code = F.when(F.col("before").isNull(), f"{kind}-added").when(F.col("after").isNull(), f"{kind}-removed").otherwise(f"{kind}-changed")
-    return count.select(*ISSUE).unionByName(rows.withColumn("code", code).select(*ISSUE))
+    key = ["doc_id", "kind"]
+    a, b = blocks(before).withColumnsRenamed({"n": "n1", "digest": "d1"}), blocks(after).withColumnsRenamed({"n": "n2", "digest": "d2"})
+    pair = a.join(b, [*key, "block"], "full_outer")
+    sums = pair.groupBy(*key).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("string").alias(m) for n, m in (("n1", "before"), ("n2", "after"))]).where("before <> after")
+    count = sums.select("doc_id", F.concat("kind", F.lit("-count-changed")).alias("code"), F.lit(None).cast("int").alias("position"), "before", "after")
+    differ = pair.where("not (d1 <=> d2)").select(*key, "block")
+    only = lambda rows, name: rows.withColumn("block", F.expr(f"position div {BLOCK}")).join(differ, [*key, "block"], "left_semi").select(*key, "position", F.col("said").alias(name))
+    rows = only(before, "before").join(only(after, "after"), [*key, "position"], "full_outer").where("not (before <=> after)")
+    end = F.when(F.col("before").isNull(), "-added").when(F.col("after").isNull(), "-removed").otherwise("-changed")
+    return count.select(*ISSUE).unionByName(rows.withColumn("code", F.concat("kind", end)).select(*ISSUE))
+
+
+def compare(before: DataFrame, after: DataFrame, kind: str) -> DataFrame:
+    """``compared`` for one list (doc_id, position, said) in two states."""
+    named = lambda rows: rows.select("doc_id", F.lit(kind).alias("kind"), "position", "said")
+    return compared(named(before), named(after))
 
 
 def touched(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -83,20 +83,21 @@ def signatures(elements: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "rank", "pre")) - 1).alias("position"), "said", "kind")
 
 
-def lists(elements: DataFrame) -> dict[str, DataFrame]:
-    """The ordered rows that two states are compared by: paragraphs, tables, cells, objects, headers and footers, controls."""
+def lists(elements: DataFrame) -> DataFrame:
+    """(doc_id, kind, position, said): the ordered rows that two states are compared by: paragraphs, tables, cells, objects, headers and footers, controls."""
     paragraphs, cell_rows = D.paragraph_texts(elements), D.cells(elements)
-    return {
+    of = {
         "paragraph": ordered_paragraphs(paragraphs), "table": ordered_tables(D.tables(elements, paragraphs, cell_rows)), "cell": ordered_cells(cell_rows),
         "object": signatures(elements, OBJECTS), "header-footer": signatures(elements, HEADER_FOOTER), "control": signatures(elements, CONTROLS),
     }
+    return reduce(DataFrame.unionByName, [rows.select("doc_id", F.lit(kind).alias("kind"), "position", "said") for kind, rows in of.items()])
 
 
 #: The digests of a snapshot, by the list they are over.
 DIGESTS = {"paragraph": "paragraph_digest", "table": "table_digest", "object": "object_digest", "header-footer": "header_footer_digest", "control": "control_digest"}
 
 
-def snapshots(entries: DataFrame, corpus: Corpus | None = None) -> DataFrame:
+def snapshots(entries: DataFrame, corpus: Corpus | None = None, listed: DataFrame | None = None) -> DataFrame:
     """One row a document: validity, render safety, section paths, risk hints, all counts and six digests: of the text and of the lists in DIGESTS."""
     corpus = corpus or stored(entries)
     elements = corpus.elements
@@ -106,9 +107,11 @@ def snapshots(entries: DataFrame, corpus: Corpus | None = None) -> DataFrame:
     out = elements.groupBy("doc_id").agg(
         section_paths(), count("table_count", "tbl"), count("object_count", *OBJECTS), count("control_count", *CONTROLS), count("header_count", "header"), count("footer_count", "footer")
     )
-    rows, empty = lists(elements), F.sha2(F.lit("").cast("binary"), 256)
-    for kind, name in DIGESTS.items():
-        out = out.join(digests(rows[kind]).select("doc_id", F.col("digest").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, empty))
+    rows = lists(elements) if listed is None else listed
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "said"))), lambda x: x["said"]), "\n")
+    every = rows.where(F.col("kind").isin(*DIGESTS)).groupBy("doc_id", "kind").agg(F.sha2(lines, 256).alias("d"))
+    out = out.join(every.groupBy("doc_id").agg(*[F.max(F.when(F.col("kind") == kind, F.col("d"))).alias(name) for kind, name in DIGESTS.items()]), "doc_id", "left")
+    out = out.withColumns({name: F.coalesce(name, F.sha2(F.lit("").cast("binary"), 256)) for name in DIGESTS.values()})
     texts = D.plain_text(paragraphs).select("doc_id", "text")
     out = out.join(n(paragraphs.where(T.trim_unicode(F.col("text_t")) != ""), "paragraph_count"), "doc_id", "left").join(n(D.placeholders(paragraphs), "placeholder_count"), "doc_id", "left").join(n(D.guides(paragraphs), "guide_count"), "doc_id", "left").join(texts, "doc_id", "left")
     out = out.join(D.report(corpus).select("doc_id", "valid"), "doc_id", "left").join(D.risk_signals(entries, corpus=corpus).select("doc_id", F.col("hints").alias("risk_hints")), "doc_id", "left")
@@ -127,28 +130,25 @@ def round_trip(before: DataFrame, after: DataFrame) -> DataFrame:
     changed = kept(touched(before, after), "touched")
     before, after = (x.join(changed, "doc_id", "left_semi") for x in (before, after))
     ca, cb = stored(before), stored(after)
-    a, b = snapshots(before, ca), snapshots(after, cb)
+    la, lb = kept(lists(ca.elements), "lists"), kept(lists(cb.elements), "lists")
+    a, b = snapshots(before, ca, la), snapshots(after, cb, lb)
     name = lambda code: code.replace("-", "_")
     told = [name(c) for c in COUNTS] + ["valid", "render_safe", "text_digest", "section_paths", "risk_hints"]
     pair = a.select("doc_id", *[F.col(c).alias(f"a_{c}") for c in told]).join(b.select("doc_id", *[F.col(c).alias(f"b_{c}") for c in told]), "doc_id", "full_outer")
-    compared = [(f"{c}-changed", name(c)) for c in COUNTS] + [("validity-changed", "valid"), ("render-safe-changed", "render_safe"), ("text-digest-changed", "text_digest")]
+    checks = [(f"{c}-changed", name(c)) for c in COUNTS] + [("validity-changed", "valid"), ("render-safe-changed", "render_safe"), ("text-digest-changed", "text_digest")]
     none = F.lit(None).cast("int")
     issue = lambda code, x, y, at=none: F.struct(F.lit(code).alias("code"), at.alias("position"), x.cast("string").alias("before"), y.cast("string").alias("after"))
-    plain = F.array_compact(F.array(*[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), issue(code, F.col(f"a_{c}"), F.col(f"b_{c}"))) for code, c in compared]))
+    plain = F.array_compact(F.array(*[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), issue(code, F.col(f"a_{c}"), F.col(f"b_{c}"))) for code, c in checks]))
     nothing = F.lit(None).cast("string")
     paths = F.filter(F.transform(F.col("a_section_paths"), lambda x, i: F.when(i >= F.size("b_section_paths"), issue("section-path-removed", x, nothing, i.cast("int"))).when(x != F.get("b_section_paths", i), issue("section-path-changed", x, F.get("b_section_paths", i), i.cast("int")))), lambda x: x.isNotNull())
     added = F.transform(F.array_except("b_risk_hints", "a_risk_hints"), lambda x: issue("risk-added", nothing, x))
     removed = F.transform(F.array_except("a_risk_hints", "b_risk_hints"), lambda x: issue("risk-removed", x, nothing))
     parts = [F.coalesce(x, F.array().cast("array<struct<code:string,position:int,before:string,after:string>>")) for x in (plain, paths, added, removed)]
     out = [pair.select("doc_id", F.explode(F.concat(*parts)).alias("x")).select("doc_id", "x.*").select(*ISSUE)]
-    codes = {"object": "object-changed", "header-footer": "header-footer-changed", "control": "control-changed"}
-    others = lists(cb.elements)
-    for kind, x in lists(ca.elements).items():
-        found = compare(x, others[kind], kind)
-        if kind in codes:
-            out.append(found.where(~F.col("code").endswith("-count-changed")).withColumn("code", F.lit(codes[kind])).select(*ISSUE))
-        else:
-            out.append(found.where(~F.col("code").endswith("-count-changed") | (F.lit(kind) == "cell")))
+    code = F.col("code")  # of structures any difference has one code; counts are in the snapshots but for cells
+    found = compared(la, lb).where(~code.endswith("-count-changed") | (code == "cell-count-changed"))
+    structures = [F.when(code.startswith(kind), F.lit(f"{kind}-changed")) for kind in ("object", "header-footer", "control")]
+    out.append(found.withColumn("code", F.coalesce(*structures, code)).select(*ISSUE))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -1210,7 +1210,8 @@ def edited(entries: dict[str, bytes], asked: list[tuple[str, str]]) -> tuple[dic
             need(name in OPS, f"unknown statement {name}")
             OPS[name](book, **json.loads(args or "{}"))
         except Exception as e:  # whatever a statement trips over is its document's error, not the job's
-            return entries, f"statement {n} ({name}): {type(e).__name__}: {e}"
+            why = f"{e}" if isinstance(e, EditError) else f"{type(e).__name__}: {e}"
+            return entries, f"statement {n} ({name}): {why}"
     try:
         done = book.saved()
         for path in book.roots.keys() & done.keys():

@@ -203,7 +203,7 @@ def test_fingerprint_gate(spark, labelled):
     expected = {"sectionCount": 2, "placeholderTexts": ["{{X}}"]}
     done, changes = fill.fill(entries, [{"anchor": "Name", "value": "v"}], expected)
     errors = {r.doc_id: r.error for r in done.select("doc_id", "error").distinct().collect()}
-    assert errors["b"] is None and errors["a"].startswith("statement 0 (fail): EditError: fingerprint: ")
+    assert errors["b"] is None and errors["a"].startswith("statement 0 (fail): fingerprint: ")
     assert {r.doc_id for r in changes.collect()} == {"b"}
 
 
