@@ -394,7 +394,7 @@ def fil_2_to_15_plan(spark, sf_dir):
     return fill.planned(paragraphs, tables, cells, D.grid(cells), asked).select("doc_id", "rid", "all_p_idx", "row", "col", "new_text")
 
 
-@query(f"""with {TURNS} select doc_id, case when doc_id::bigint % 12 <> 2 then 'sectionCount mismatch: expected 3 got ' || (doc_id::bigint % 12 + 1) end as issue, doc_id::bigint % 12 = 2 as filled from t where k = 1""")
+@query(f"""with {TURNS} select doc_id, case when doc_id::bigint % 12 <> 2 then 'section_count: {{"is":' || (doc_id::bigint % 12 + 1) || '}}' end as issue, doc_id::bigint % 12 = 2 as filled from t where k = 1""")
 def fil_33_gate(spark, sf_dir):
     """Filling under a contract's fingerprint: documents of other than three sections leave, with the reason."""
     elements = store.stored(packages(spark, sf_dir)).elements

@@ -58,7 +58,7 @@ def load_contract(path: str) -> dict:
         raise ValueError("contract: an object is expected")
     contract = _camel(found)
     if issues := contract_issues(contract):
-        raise ValueError("invalid contract: " + "; ".join(issues))
+        raise ValueError("invalid contract: " + "; ".join(f"{path} {code}" for path, code in issues))
     return contract
 
 
@@ -91,37 +91,43 @@ def mode_of(value: str | None) -> str:
     return (value or "").strip().lower().replace("_", "-")
 
 
-def contract_issues(contract: dict) -> list[str]:
-    """Everything that is wrong with a contract."""
-    blank = lambda x: not str(x or "").strip()
-    issues = [f"{k} is required" for k in ("templateId", "templateVersion") if blank(contract.get(k))]
-    if not (contract.get("fingerprint") or {}).get("sectionCount", 0) > 0:
-        issues.append("fingerprint.sectionCount must be greater than zero")
-    if not (contract.get("fields") or contract.get("tables")):
-        issues.append("at least one field or table binding is required")
-    for kind, modes in (("fields", FIELD_MODES), ("tables", TABLE_MODES)):
-        seen: set[str] = set()
-        for i, b in enumerate(contract.get(kind) or []):
-            at, selector = f"{kind}[{i}]", b.get("selector") or {}
-            if blank(b.get("key")):
-                issues.append(f"{at}.key is required")
-            elif b["key"] in seen:
-                issues.append(f"{at}.key must be unique")
-            seen.add(b.get("key"))
-            chosen = mode_of(selector.get("type"))
-            if chosen not in SELECTORS:
-                issues.append(f"{at}.selector.type is not supported")
-            elif kind == "tables" and chosen != "anchor":
-                issues.append(f"{at}.selector.type must be anchor")
-            if blank(selector.get("value")):
-                issues.append(f"{at}.selector.value is required")
-            if mode_of(selector.get("matchMode")) not in ("", "exact", "contains"):
-                issues.append(f"{at}.selector.matchMode is not supported")
-            if mode_of(b.get("mode")) and mode_of(b["mode"]) not in modes:
-                issues.append(f"{at}.mode is not supported")
-            for j, column in enumerate(b.get("columns") or []):
-                issues += [f"{at}.columns[{j}].{k} is required" for k in ("key", "source") if blank(column.get(k))]
-    return issues
+def _places(contract: dict) -> dict[str, tuple[object, str]]:
+    """Every place of a contract that a rule speaks of: path -> (its value, the rule)."""
+    size = (contract.get("fingerprint") or {}).get("sectionCount")
+    out: dict[str, tuple[object, str]] = {"templateId": (contract.get("templateId"), "text"), "templateVersion": (contract.get("templateVersion"), "text"), "fingerprint.sectionCount": (size, "positive")}
+    for kind in ("fields", "tables"):
+        for i, binding in enumerate(contract.get(kind) or []):
+            at, selector = f"{kind}[{i}]", binding.get("selector") or {}
+            out |= {
+                f"{at}.key": (binding.get("key"), f"own {kind}"), f"{at}.mode": (binding.get("mode"), f"mode {kind}"), f"{at}.selector.type": (selector.get("type"), f"selector {kind}"),
+                f"{at}.selector.value": (selector.get("value"), "text"), f"{at}.selector.matchMode": (selector.get("matchMode"), "match"),
+            }
+            out |= {f"{at}.columns[{j}].{k}": (c.get(k), "text") for j, c in enumerate(binding.get("columns") or []) for k in ("key", "source")}
+    return out
+
+
+#: What a value may be where only some are known; "" stands for none.
+KNOWN = {
+    "mode fields": ("", *FIELD_MODES), "mode tables": ("", *TABLE_MODES), "selector fields": tuple(SELECTORS), "selector tables": ("anchor",), "match": ("", "exact", "contains"),
+}
+
+
+def contract_issues(contract: dict) -> list[tuple[str, str]]:
+    """(path, code) of everything that is wrong with a contract: ``missing``, ``unknown``, ``repeated``."""
+    found, keys = [] if contract.get("fields") or contract.get("tables") else [("fields", "missing")], set()
+    for path, (value, rule) in _places(contract).items():
+        said = str(value or "").strip()
+        if rule in KNOWN:
+            code = "" if mode_of(said) in KNOWN[rule] else "unknown"
+        elif rule == "positive":
+            code = "" if (value or 0) > 0 else "missing"
+        else:
+            code = "missing" if not said else "repeated" if (rule, value) in keys else ""
+            if rule.startswith("own"):
+                keys.add((rule, value))
+        if code:
+            found.append((path, code))
+    return found
 
 
 def payload_value(value, path: str):
@@ -171,7 +177,7 @@ def resolution(source: str, entry: dict, **more) -> dict:
 def compiled(contract: dict, payload: dict) -> tuple[list[dict], list[dict]]:
     """Mapping entries, and one report for every binding in order; a missing required value is an error."""
     if issues := contract_issues(contract):
-        raise ValueError("invalid contract: " + "; ".join(issues))
+        raise ValueError("invalid contract: " + "; ".join(f"{path} {code}" for path, code in issues))
     entries, told = [], []
     for kind, bindings in (("field", contract.get("fields") or []), ("table", contract.get("tables") or [])):
         for b in bindings:
@@ -247,19 +253,15 @@ def fingerprints(elements: DataFrame) -> DataFrame:
 
 
 def fingerprint_issues(prints: DataFrame, expected: dict) -> DataFrame:
-    """(doc_id, issues) of documents that a contract's fingerprint does not fit; what a document has beyond it is no issue."""
-    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    issues = []
-    if expected.get("sectionCount"):
-        issues.append(F.when(F.col("section_count") != expected["sectionCount"], F.array(F.concat(F.lit(f"sectionCount mismatch: expected {expected['sectionCount']} got "), F.col("section_count").cast("string")))))
-    if expected.get("sectionPaths"):
-        issues.append(F.when(F.col("section_paths") != texts(expected["sectionPaths"]), F.array(F.lit("sectionPaths mismatch"))))
-    if expected.get("placeholderDigest"):
-        issues.append(F.when(F.col("placeholder_digest") != expected["placeholderDigest"], F.array(F.lit("placeholderDigest mismatch"))))
-    for key, column in (("tableLabels", "table_labels"), ("placeholderTexts", "placeholder_texts")):
-        said = F.lit(f"{key} missing ")
-        issues.append(F.transform(F.array_except(texts(expected.get(key) or []), F.col(column)), lambda x: F.concat(said, x)))  # noqa: B023
-    every = F.flatten(F.array_compact(F.array(*issues)))
+    """(doc_id, issues) of documents that a contract's fingerprint does not fit, ``part: what``; what a document has beyond it is no issue."""
+    same = {"section_count": expected.get("sectionCount"), "section_paths": expected.get("sectionPaths"), "placeholder_digest": expected.get("placeholderDigest")}
+    within = {"table_labels": expected.get("tableLabels"), "placeholder_texts": expected.get("placeholderTexts")}
+    wanted = lambda x: F.array(*map(F.lit, x)).cast("array<string>") if isinstance(x, list) else F.lit(x)
+    told = lambda c: F.to_json(F.struct(F.col(c).alias("is")))
+    differs = [F.when(F.col(c) != wanted(x), F.array(F.concat(F.lit(f"{c}: "), told(c)))) for c, x in same.items() if x]
+    told_absent = lambda c: lambda v: F.concat(F.lit(f"{c}: lacks "), v)
+    lacks = [F.transform(F.array_except(wanted(list(x)), F.col(c)), told_absent(c)) for c, x in within.items() if x]
+    every = F.flatten(F.array_compact(F.array(*differs, *lacks, F.array().cast("array<string>"))))
     return prints.select("doc_id", every.alias("issues")).where("size(issues) > 0")
 
 

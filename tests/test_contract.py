@@ -46,7 +46,10 @@ def test_contract_issues_and_compiling():
         with pytest.raises(ValueError):
             C.compiled(good, broken)
     bad = C.contract_issues({"fields": [{"key": "a", "selector": {"type": "x"}}, {"key": "a", "mode": "table_down_grid", "selector": {"type": "anchor", "value": "v"}}], "tables": [{"selector": {"type": "placeholder", "value": "v"}, "columns": [{}]}]})
-    assert len(bad) == 11
+    assert dict(bad) == {
+        "templateId": "missing", "templateVersion": "missing", "fingerprint.sectionCount": "missing", "fields[0].selector.type": "unknown", "fields[0].selector.value": "missing", "fields[1].key": "repeated", "fields[1].mode": "unknown",
+        "tables[0].key": "missing", "tables[0].selector.type": "unknown", "tables[0].columns[0].key": "missing", "tables[0].columns[0].source": "missing",
+    } and len(bad) == 11 and C.contract_issues({})[0] == ("fields", "missing")
     assert C.payload_skeleton(good) == {"order": {"name": "", "by": "nobody", "no": ""}, "people": [{"who": {"name": ""}, "role": ""}], "plain": [""]}
     with pytest.raises(ValueError):
         C.assign({"a": "x"}, "a.b", "y")
@@ -72,7 +75,7 @@ def test_scaffold_and_fingerprint(entries):
     assert made["templateId"] == "one_form" and [f["key"] for f in made["fields"]] == ["order.name", "order.date", "order.name_2"] and made["fingerprint"]["tableLabels"] == ["People of it"]
     prints = C.fingerprints(elements)
     issues = {r.doc_id: r.issues for r in C.fingerprint_issues(prints, made["fingerprint"]).collect()}
-    assert list(issues) == ["two"] and "placeholderDigest mismatch" in issues["two"] and "tableLabels missing People of it" in issues["two"]
+    assert list(issues) == ["two"] and any(x.startswith("placeholder_digest: {") for x in issues["two"]) and "table_labels: lacks People of it" in issues["two"]
 
 
 def test_find_targets(entries):
