@@ -9,6 +9,8 @@ comparing and exporting go through the library.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from folioframe.functions import text as T
 from folioframe.operators import borders, diff, discovery, edit
 from folioframe.operators import document as D
 from folioframe.plans import contract, fill
+from folioframe.sources import archives, store
 from folioframe.sources import package as P
-from folioframe.sources import store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -425,3 +427,18 @@ def snk_2_pack_round_trip(spark, sf_dir):
     entries = packages(spark, sf_dir)
     issues = diff.round_trip(entries, P.unzipped(P.pack(entries))).groupBy("doc_id").agg(F.count("*").alias("n"))
     return entries.select("doc_id").distinct().join(issues, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("int").alias("errors"))
+
+
+@query(f"""with {TURNS} select doc_id, 1 + doc_id::bigint % 12 as sections, 'Contents/section11.xml' as first, 'conversation ' || doc_id as heading, 7 + doc_id::bigint % 12 as entries from t where k = 1""")
+def src_1_archives(spark, sf_dir):
+    """Every package saved as an archive, with a picture that no task inflates, and its sections read from there; entries are counted by the directories."""
+    entries = packages(spark, sf_dir)
+    pictures = entries.where("path = 'mimetype'").select("doc_id", F.lit("BinData/a.png").alias("path"), F.repeat(F.lit("x"), 10_000).cast("binary").alias("content"))
+    root = f"{store.shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    saved = store.kept(archives.save(P.pack(entries.unionByName(pictures)), root), "saved").select("doc_id", F.regexp_extract("file", "[^/]+$", 0).alias("file"))
+    own = lambda df: df.withColumn("file", F.regexp_extract("doc_id", "[^/]+$", 0)).drop("doc_id").join(saved, "file")
+    elements = store.kept(P.flatten(P.read_archives(spark, f"{root}/*.zip", names=P.PARSED)), "sections")
+    first = own(elements.where("section_idx = 0 and all_p_idx = 0 and tag = 'p'")).select("doc_id", F.col("section_path").alias("first"), F.col("text_t").alias("heading"))
+    count = own(elements).groupBy("doc_id").agg(F.countDistinct("section_path").alias("sections"))
+    names = own(archives.load(spark, f"{root}/*.zip", "doc_id string, path string")).groupBy("doc_id").agg(F.count("*").alias("entries"))
+    return count.join(first, "doc_id").join(names, "doc_id").select("doc_id", "sections", "first", "heading", "entries")

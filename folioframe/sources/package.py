@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.sources import archives
+
 #: Fixed values of the format.
 MIMETYPE = "application/hwp+zip"
 REQUIRED = ("mimetype", "version.xml", "Contents/content.hpf", "Contents/header.xml")
@@ -35,7 +37,7 @@ ELEMENTS = (
 TEXTED = {"p", "tc", "tbl", "pic", "equation", "rect", "line", "ellipse", "ctrl", "header", "footer", "drawText"}
 OBJECTS = {"tbl", "pic", "equation", "rect", "line", "ellipse"}
 #: The one entry of an archive that can't be read; its content is the reason.
-BROKEN = "#error"
+BROKEN = archives.BROKEN
 #: The kinds of pictures that are read.
 PICTURES = ("png", "jpg", "gif")
 #: Parts that are sections, and all parts that are parsed; the tag of a row that only names an entry.
@@ -45,9 +47,17 @@ ENTRY = "#entry"
 INTERNAL = r"(^|/)(\.[^/]*\.lock|\.[^/]*\.tmp)$"
 
 
-def read_archives(spark: SparkSession, glob: str) -> DataFrame:
-    """entries of every archive; doc_id is the archive's path. Folder entries are skipped."""
-    return entries_of(spark.read.format("binaryFile").load(glob))
+def read_archives(spark: SparkSession, glob: str, names: str | None = None, **options) -> DataFrame:
+    """entries of every archive, or those whose names match; doc_id is the archive's path. Folder entries are skipped.
+
+    By the ``archives`` source where tasks can seek in the files, else whole archives as rows of at
+    most 2 GB each. Of an archive without a readable directory one entry BROKEN holds the reason; an
+    entry that can't be inflated has a null content, which is an error where it is parsed.
+    """
+    if archives.known(glob):
+        return archives.load(spark, glob, **options, **({"names": names} if names else {})).select("doc_id", "path", "content")
+    found = entries_of(spark.read.format("binaryFile").load(glob))
+    return found.where(F.col("path").rlike(names) | (F.col("path") == BROKEN)) if names else found
 
 
 def _inflated(doc_id: str, content: bytes | None) -> list[tuple[str, str, bytes]]:
