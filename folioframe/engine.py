@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
-from folioframe.operators import borders, diff, discovery, edit
+from folioframe.operators import borders, diff, discovery, edit, rectangles
 from folioframe.operators import document as D
 from folioframe.plans import contract, fill
 from folioframe.sources import archives, store
@@ -207,7 +207,7 @@ def win_4_occurrence(spark, sf_dir):
     """The second paragraph that says it, counted over the sections in the order of the spine."""
     _, _, paragraphs, cells, tables = read(spark, sf_dir)
     asked = fill.statements(spark, [{"nearText": "part ", "value": "met", "mode": "paragraph-replace", "occurrence": 2}])
-    return fill.planned(paragraphs, tables, cells, D.grid(cells), asked).select("doc_id", "section_idx", "all_p_idx", "new_text")
+    return fill.planned(paragraphs, tables, cells, D.spans(cells), asked).select("doc_id", "section_idx", "all_p_idx", "new_text")
 
 
 _SAYS = "contains(lower(trim(text)), 'assist')"
@@ -241,7 +241,7 @@ def fil_1_to_22_plan(spark, sf_dir):
         {"placeholder": "turns of", "value": "TURNS OF"}, {"anchor": "user", "value": "second", "mode": "table-left", "occurrence": 2}, {"nearText": "conversation ", "values": ["p0", "p1"], "mode": "paragraph-replace-repeat", "occurrence": 1},
         {"anchor": "user", "value": "up", "mode": "table-up", "tableLabel": "turns of", "tableIndex": 0},
     ])
-    return fill.planned(paragraphs, tables, cells, D.grid(cells), asked).select("doc_id", "rid", "all_p_idx", "row", "col", "new_text")
+    return fill.planned(paragraphs, tables, cells, D.spans(cells), asked).select("doc_id", "rid", "all_p_idx", "row", "col", "new_text")
 
 
 @query(f"""with {TURNS} select doc_id, 0 as row, 0 as col, 'turn and role' as text from t where k = 1 union all select doc_id, 0, 1, '' from t where k = 1
@@ -393,7 +393,7 @@ def fil_2_to_15_plan(spark, sf_dir):
         {"anchor": "turn and role", "fields": ["a", "b"], "records": [{"a": "1", "b": "2"}, {"a": "3"}], "fallbackValue": "-"},
         {"nearText": "turns of ", "value": "P", "mode": "paragraph-replace"}, {"nearText": "conversation ", "values": ["n1", "n2"], "mode": "paragraph-next-repeat"},
     ])
-    return fill.planned(paragraphs, tables, cells, D.grid(cells), asked).select("doc_id", "rid", "all_p_idx", "row", "col", "new_text")
+    return fill.planned(paragraphs, tables, cells, D.spans(cells), asked).select("doc_id", "rid", "all_p_idx", "row", "col", "new_text")
 
 
 @query(f"""with {TURNS} select doc_id, case when doc_id::bigint % 12 <> 2 then 'section_count: {{"is":' || (doc_id::bigint % 12 + 1) || '}}' end as issue, doc_id::bigint % 12 = 2 as filled from t where k = 1""")
@@ -403,7 +403,7 @@ def fil_33_gate(spark, sf_dir):
     fit, refused = fill.gated(elements, {"sectionCount": 3})
     paragraphs, cells = D.paragraph_texts(fit), D.cells(fit)
     asked = fill.statements(spark, [{"anchor": "turn and role", "value": "v", "mode": "table-down", "tableLabel": "turns of"}])
-    changes = fill.planned(paragraphs, D.tables(fit, paragraphs, cells), cells, D.grid(cells), asked).select("doc_id", F.lit(True).alias("filled"))
+    changes = fill.planned(paragraphs, D.tables(fit, paragraphs, cells), cells, D.spans(cells), asked).select("doc_id", F.lit(True).alias("filled"))
     return elements.select("doc_id").distinct().join(changes, "doc_id", "left").join(refused, "doc_id", "left").select("doc_id", F.array_join("issues", "; ").alias("issue"), F.coalesce("filled", F.lit(False)).alias("filled"))
 
 
@@ -417,7 +417,7 @@ def agg_16_misses(spark, sf_dir):
         {"anchor": "turn and role", "values": [str(i) for i in range(60)], "mode": "table-down-repeat"}, {"nearText": "<<none>>", "value": "v"},
     ])
     tables = store.kept(tables, "tables")
-    changes = fill.planned(paragraphs, tables, cells, D.grid(cells), asked)
+    changes = fill.planned(paragraphs, tables, cells, D.spans(cells), asked)
     return fill.misses(corpus.paths(), tables, changes, asked).select("doc_id", "rid", "reason", F.col("requested").cast("int").alias("requested"), "matched")
 
 
@@ -442,3 +442,21 @@ def src_1_archives(spark, sf_dir):
     count = own(elements).groupBy("doc_id").agg(F.countDistinct("section_path").alias("sections"))
     names = own(archives.load(spark, f"{root}/*.zip", "doc_id string, path string")).groupBy("doc_id").agg(F.count("*").alias("entries"))
     return count.join(first, "doc_id").join(names, "doc_id").select("doc_id", "sections", "first", "heading", "entries")
+
+
+@query(f"""with {TURNS}, s as (select doc_id, n, unnest(range(n + 2)) as r from t where k = 1), q as (select doc_id, n, r, unnest([0, 1, 2]) as c from s)
+ select doc_id, r, c, case when r <= n and c < 2 then r end::int as row, case when r <= n and c < 2 then case when r = 0 then 0 else c end end::int as col from q""")
+def jon_14_lookup(spark, sf_dir):
+    """The cell that covers each place of every table, of a row below it and of a column beside it."""
+    _, _, _, cells, tables = read(spark, sf_dir)
+    places = tables.select(*D.SECTION, "table_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows").cast("long"))).alias("r"), F.lit([0, 1, 2]).alias("c")).withColumn("c", F.explode("c"))
+    return rectangles.covering(places, D.spans(cells)).select("doc_id", "r", "c", "row", "col")
+
+
+@query(f"""with {TURNS}, {CELLS} select doc_id, row, col, 2 as cells from c where doc_id::bigint % 2 = 0 and row >= 1 and (row, col) <> (1, 0)""")
+def prj_10_overlaps(spark, sf_dir):
+    """Places that several cells claim where the first cell of the second row of every other document reaches over 60,000 rows and columns."""
+    cells = read(spark, sf_dir)[3]
+    far = F.expr("row = 1 and col = 0 and cast(doc_id as long) % 2 = 0")
+    wide = cells.withColumns({c: F.when(far, 60_000).otherwise(F.col(c)) for c in ("row_span", "col_span")})
+    return D.overlaps(wide).select("doc_id", "row", "col", "cells")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as T
+from folioframe.operators.rectangles import overlaps, spans  # noqa: F401
 from folioframe.sources import package as P
 
 #: A section: its document, its place in the spine (the order of reading) and its part.
@@ -47,26 +48,15 @@ def cells(elements: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame
     )
 
 
-def _covered(cell_rows: DataFrame) -> DataFrame:
-    """Logical places with the cell that covers them and the number of cells that do; cells of no size and no text give way."""
-    dead = (F.col("row_span") == 1) & (F.col("col_span") == 1) & (F.col("width") == 0) & (F.col("height") == 0) & (F.trim("text") == "")
-    spread = cell_rows.withColumn("dead", dead).select(
-        *SECTION, "table_idx", F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"), "row_span", "col_span", "dead", F.explode(F.expr("sequence(row, row + row_span - 1)")).alias("r")
-    )
-    spread = spread.select("*", F.explode(F.expr("sequence(anchor_col, anchor_col + col_span - 1)")).alias("c"))
-    return spread.groupBy(*SECTION, "table_idx", F.col("r").cast("int").alias("row"), F.col("c").alias("col")).agg(
-        F.min_by(F.struct("anchor_row", "anchor_col", "row_span", "col_span"), F.struct("dead", "anchor_row", "anchor_col")).alias("a"), F.count_if(~F.col("dead")).alias("live")
-    )
-
-
 def grid(cell_rows: DataFrame) -> DataFrame:
-    """Logical (row, col) -> the cell that covers it. Where cells overlap the first in row order stands; ``overlaps`` has these places."""
-    return _covered(cell_rows).select(*SECTION, "table_idx", "row", "col", "a.*")
+    """Every logical (row, col) with the cell that covers it. Where cells overlap the first in row order stands; ``overlaps`` has these places.
 
-
-def overlaps(cell_rows: DataFrame) -> DataFrame:
-    """(section, table_idx, row, col, cells): places that several cells claim; a document with one is not to be edited by its grid."""
-    return _covered(cell_rows).where("live > 1").select(*SECTION, "table_idx", "row", "col", F.col("live").alias("cells"))
+    A row a place: for what needs all of them. ``spans`` has a row a cell and serves the planner as well.
+    """
+    at = lambda c: F.explode(F.expr(f"sequence({c}, {c}_to)"))
+    spread = spans(cell_rows).select(*SECTION, "table_idx", "anchor_row", "anchor_col", "row_span", "col_span", "dead", "col", "col_to", at("row").alias("r"))
+    spread = spread.select("*", at("col").alias("c")).groupBy(*SECTION, "table_idx", "r", "c").agg(F.min_by(F.struct("anchor_row", "anchor_col", "row_span", "col_span"), F.struct("dead", "anchor_row", "anchor_col")).alias("a"))
+    return spread.select(*SECTION, "table_idx", F.col("r").cast("int").alias("row"), F.col("c").cast("int").alias("col"), "a.*")
 
 
 def tables(elements: DataFrame, paragraphs: DataFrame, cell_rows: DataFrame) -> DataFrame:

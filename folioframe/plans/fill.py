@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as T
 from folioframe.operators.document import SECTION
 from folioframe.operators.matching import MAX_BYTES, folded, matched
+from folioframe.operators.rectangles import covering
 from folioframe.sources.store import kept, stored
 
 PLACE = [*SECTION, "all_p_idx", "table_idx", "row", "col"]
@@ -130,40 +131,42 @@ def met_anchors(table_rows: DataFrame, cell_rows: DataFrame, asked: DataFrame) -
     return met.select("rid", *SECTION, "table_idx", "mode", "direction", "expands", "n", "r0", "c0", "first")
 
 
-def grown(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(section, table_idx, rows) of tables that statements with ``expand`` need more rows of, and grid_rows with these rows.
+def grown(table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(section, table_idx, rows) of tables that statements with ``expand`` need more rows of, and spans with the cells of these rows.
 
-    New rows are copies of the last one; that it has no merged cells and no table in it is checked when the rows are added.
+    New rows are copies of the last one, which must have no merged cells and no table in it; that is checked when the rows are added.
     """
     met = met_anchors(table_rows, cell_rows, asked).where("expands")
-    have = grid_rows.groupBy(*SECTION, "table_idx").agg((F.max("row") + 1).alias("have"))
-    below = grid_rows.select(*SECTION, "table_idx", F.col("col").alias("c0"), F.col("row").alias("r"), F.struct("anchor_row", "anchor_col").alias("a"))
-    ahead = met.join(below, [*SECTION, "table_idx", "c0"]).where("r >= r0").groupBy("rid", *SECTION, "table_idx", "first").agg(F.countDistinct("a").alias("free"))
+    have = spans.groupBy(*SECTION, "table_idx").agg((F.max("row_to") + 1).alias("have"))
+    below = spans.select(*SECTION, "table_idx", "col", "col_to", "row_to", F.struct("anchor_row", "anchor_col").alias("a"))
+    ahead = met.join(below, [*SECTION, "table_idx"]).where("c0 between col and col_to and row_to >= r0").groupBy("rid", *SECTION, "table_idx", "first").agg(F.countDistinct("a").alias("free"))
     high = values_of(asked).groupBy("rid").agg((F.max("i") + 1).alias("high"))
     need = met.join(have, [*SECTION, "table_idx"]).join(ahead, ["rid", *SECTION, "table_idx", "first"], "left").join(high, "rid")
     rows = F.when(F.col("mode").endswith("-repeat"), F.col("have") + F.greatest(F.col("n") - F.coalesce("free", F.lit(0)), F.lit(0))).otherwise(F.greatest("have", F.col("r0") + F.col("high")))
     more = need.groupBy(*SECTION, "table_idx", "have").agg(F.max(rows).cast("int").alias("rows")).where("rows > have")
-    last = grid_rows.join(more, [*SECTION, "table_idx"]).where("row = have - 1")
-    new = last.select(*SECTION, "table_idx", F.explode(F.expr("sequence(have, rows - 1)")).alias("row"), "col").select("*", F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"))
-    return more.drop("have"), grid_rows.select(*new.columns).unionByName(new)
+    last = spans.join(more, [*SECTION, "table_idx"]).where("row_to = have - 1 and row = row_to and col = col_to")
+    new = last.select(*SECTION, "table_idx", F.explode(F.expr("sequence(have, cast(rows as bigint) - 1)")).alias("row"), "col", "col_to", "dead")
+    new = new.select("*", F.col("row").alias("row_to"), F.col("row").cast("int").alias("anchor_row"), F.col("col").cast("int").alias("anchor_col"))
+    return more.drop("have"), spans.select(*new.columns).unionByName(new)
 
 
-def table_changes(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFrame, asked: DataFrame) -> DataFrame:
+def table_changes(table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
     """Cells beside an anchor: one, the k-th distinct cell along a direction, or a rectangle up to its first cell out of range."""
     met = kept(met_anchors(table_rows, cell_rows, asked), "anchors")  # read by both kinds of modes
-    at = grid_rows.select(*SECTION, "table_idx", F.col("row").alias("r"), F.col("col").alias("c"), F.col("anchor_row").alias("row"), F.col("anchor_col").alias("col"))
-
     boxed = met.where("not mode like '%-repeat'").join(values_of(asked), "rid")
     boxed = boxed.select("rid", *SECTION, "table_idx", "first", (F.col("r0") + F.col("i")).alias("r"), (F.col("c0") + F.col("j")).alias("c"), "k", F.col("value").alias("new_text"))
-    boxed = boxed.join(at, [*SECTION, "table_idx", "r", "c"], "left")
+    boxed = covering(boxed, spans)
     out = F.min(F.when(F.col("row").isNull(), F.col("k"))).over(W.partitionBy("rid", *SECTION, "table_idx", "first"))
     boxed = boxed.withColumn("out", out).where("row is not null and (out is null or k < out)")
 
-    along = F.when(F.col("direction").isin("right", "left"), F.col("r") == F.col("r0")).otherwise(F.col("c") == F.col("c0"))
-    ahead = F.when(F.col("direction") == "right", F.col("c") - F.col("c0")).when(F.col("direction") == "left", F.col("c0") - F.col("c")).when(F.col("direction") == "down", F.col("r") - F.col("r0")).otherwise(F.col("r0") - F.col("r"))
-    line = met.where("mode like '%-repeat'").join(at, [*SECTION, "table_idx"]).where(along & (ahead >= 0)).withColumn("ahead", ahead)
+    d = F.col("direction")
+    along = F.when(d.isin("right", "left"), F.expr("r0 between row and row_to")).otherwise(F.expr("c0 between col and col_to"))
+    ahead = F.when(d == "right", F.expr("if(col_to >= c0, greatest(col, c0) - c0, -1)")).when(d == "left", F.expr("if(col <= c0, c0 - least(col_to, c0), -1)"))
+    ahead = ahead.when(d == "down", F.expr("if(row_to >= r0, greatest(row, r0) - r0, -1)")).otherwise(F.expr("if(row <= r0, r0 - least(row_to, r0), -1)"))
+    line = met.where("mode like '%-repeat'").join(spans, [*SECTION, "table_idx"]).where(along & (ahead >= 0)).withColumn("ahead", ahead)
+    line = line.select("rid", *SECTION, "table_idx", "first", F.col("anchor_row").alias("row"), F.col("anchor_col").alias("col"), "ahead")
     line = line.groupBy("rid", *SECTION, "table_idx", "first", "row", "col").agg(F.min("ahead").alias("ahead"))
-    line = line.withColumn("k", F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx", "first").orderBy("ahead")) - 1)
+    line = line.withColumn("k", F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx", "first").orderBy("ahead", "row", "col")) - 1)
     line = line.join(values_of(asked).select("rid", "k", F.col("value").alias("new_text")), ["rid", "k"]).select("rid", *SECTION, "table_idx", "first", "row", "col", "k", "new_text")
 
     once = F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx", "first", "row", "col").orderBy("k"))
@@ -172,9 +175,11 @@ def table_changes(table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFr
     return both.join(old, [*SECTION, "table_idx", "row", "col"], "left").select("rid", *SECTION, F.lit(None).cast("int").alias("all_p_idx"), "table_idx", "row", "col", "k", "old_text", "new_text")
 
 
-def planned(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, grid_rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """All changes of all statements, one row for each statement and target."""
-    of = {"placeholder": lambda: placeholder_changes(paragraphs, asked), "near-text": lambda: paragraph_changes(paragraphs, asked), "anchor": lambda: table_changes(table_rows, cell_rows, grid_rows, asked)}
+def planned(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """All changes of all statements, one row for each statement and target; spans are those of the cells (or their grid, a row a place)."""
+    if "row_to" not in spans.columns:
+        spans = spans.withColumns({"row_to": F.col("row").cast("bigint"), "col_to": F.col("col").cast("bigint"), "dead": F.lit(False)})
+    of = {"placeholder": lambda: placeholder_changes(paragraphs, asked), "near-text": lambda: paragraph_changes(paragraphs, asked), "anchor": lambda: table_changes(table_rows, cell_rows, spans, asked)}
     kinds = {r["kind"] for r in asked.select("kind").distinct().collect()} or set(of)  # three at most
     return reduce(DataFrame.unionByName, [of[k]() for k in of if k in kinds])
 
@@ -248,7 +253,7 @@ def fill(entries: DataFrame, mapping: list[dict], fingerprint: dict | None = Non
     paragraphs, cell_rows = D.paragraph_texts(elements), D.cells(elements)
     table_rows = kept(D.tables(elements, paragraphs, cell_rows), "tables")
     asked = statements(entries.sparkSession, mapping)
-    more, grid_rows = grown(table_rows, cell_rows, D.grid(cell_rows), asked)
+    more, spans = grown(table_rows, cell_rows, D.spans(cell_rows), asked)
     more = kept(more, "grown")
-    changes = kept(planned(paragraphs, table_rows, cell_rows, grid_rows, asked), "changes")
+    changes = kept(planned(paragraphs, table_rows, cell_rows, spans, asked), "changes")
     return edit.apply(entries, edit.fill_statements(last_wins(changes), more, ambiguous(changes, asked), refused)), changes

@@ -315,7 +315,7 @@ def sections_only(elements: DataFrame, index: int | None = None, every: bool = F
 
 def _int(value: str | None, default: int) -> int:
     try:
-        return int(value)
+        return n if abs(n := int(value)) < 1 << 31 else default
     except (TypeError, ValueError):
         return default
 
