@@ -460,3 +460,63 @@ def prj_10_overlaps(spark, sf_dir):
     far = F.expr("row = 1 and col = 0 and cast(doc_id as long) % 2 = 0")
     wide = cells.withColumns({c: F.when(far, 60_000).otherwise(F.col(c)) for c in ("row_span", "col_span")})
     return D.overlaps(wide).select("doc_id", "row", "col", "cells")
+
+
+def drawn(entries: DataFrame) -> DataFrame:
+    """The packages with a bold run and drawings at the end of their first section, by the document's number."""
+    i = F.expr("cast(doc_id as long)")
+    run = lambda inner, props="0": F.concat(F.lit(f'<hp:run charPrIDRef="{props}">'), inner, F.lit("</hp:run>"))
+    said = lambda text: F.concat(F.lit("<hp:t>"), text, F.lit("</hp:t>"))
+    named = lambda tag, inner: F.concat(F.lit(f'<hp:{tag} id="{tag}-'), "doc_id", F.lit('" binItemIDRef="img'), "doc_id", F.lit('">'), inner, F.lit(f"</hp:{tag}>"))
+    box = F.concat(F.lit("<hp:drawText><hp:subList><hp:p>"), run(said(F.concat(F.lit("box of "), "doc_id"))), F.lit("</hp:p></hp:subList></hp:drawText>"))
+    shapes = F.concat(
+        F.when(i % 2 == 0, run(named("equation", F.concat(F.lit("<hp:script>x + "), "doc_id", F.lit("</hp:script>"))))).otherwise(""), F.when(i % 3 == 0, run(named("pic", F.lit("")))).otherwise(""),
+        F.when(i % 5 == 0, run(named("rect", box))).otherwise(run(named("ellipse", F.lit("")))),
+    )
+    more = F.concat(F.lit("<hp:p>"), run(said(F.concat(F.lit("bold of "), "doc_id")), "7"), run(said(F.lit(" plain"))), shapes, F.lit("</hp:p></hs:sec>"))
+    props = '<h:charPr id="7" height="1200" textColor="#ff0000"><h:bold/></h:charPr></h:head>'
+    text = F.col("content").cast("string")
+    put = F.when(F.col("path") == FIRST, F.replace(text, F.lit("</hs:sec>"), more)).when(F.col("path") == "Contents/header.xml", F.replace(text, F.lit("</h:head>"), F.lit(props)))
+    return entries.withColumn("content", F.coalesce(put.cast("binary"), F.col("content")))
+
+
+_DOCS = "d as (select distinct conv_id::varchar as doc_id, conv_id::bigint as i from conversations)"
+
+
+@query(f"""with {_DOCS} select doc_id, 'run' as kind, 'bold of ' || doc_id as said from d union all select doc_id, 'equation', 'equation-' || doc_id from d where i % 2 = 0 union all select doc_id, 'image', 'pic-' || doc_id from d where i % 3 = 0
+ union all select doc_id, 'textbox', 'rect-' || doc_id from d where i % 5 = 0 union all select doc_id, 'ellipse', 'ellipse-' || doc_id from d where i % 5 <> 0""")
+def flt_7_to_9_found(spark, sf_dir):
+    """Runs by their looks and objects by their kinds."""
+    corpus = store.stored(drawn(packages(spark, sf_dir)))
+    bold = D.find_runs_by_style(D.runs(corpus.elements, P.char_props(corpus)), bold=True, color="#Ff0000", size_pt=12.0)
+    kinds = D.objects(corpus.elements, ["image", "equation", "textbox", "ellipse"])
+    return bold.select("doc_id", F.lit("run").alias("kind"), F.col("text").alias("said")).unionByName(kinds.select("doc_id", "kind", F.col("object_id").alias("said")))
+
+
+@query(f"""with {_DOCS} select doc_id, 'bold of ' || doc_id || ' plain' || case when i % 2 = 0 then '|[Equation: x + ' || i || ']' else '' end || case when i % 3 = 0 then '|[Image: img' || i || ']' else '' end
+ || case when i % 5 = 0 then '|box of ' || i else '|[Ellipse]' end as blocks from d""")
+def prj_14_object_blocks(spark, sf_dir):
+    """The blocks behind the table of the first section: a paragraph, then its objects as text."""
+    corpus = store.stored(drawn(packages(spark, sf_dir)))
+    elements = corpus.elements
+    paragraphs, cells = D.paragraph_texts(elements), D.cells(elements)
+    made = store.kept(D.blocks(paragraphs, D.tables(elements, paragraphs, cells), cells, P.styles(corpus), elements).where("section_idx = 0"), "blocks")
+    table = made.where("rows is not null").select("doc_id", F.col("pre").alias("of_table"))
+    behind = made.join(table, "doc_id").where("pre > of_table").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pre", "text"))).alias("b"))
+    return behind.select("doc_id", F.array_join(F.transform("b", lambda x: x["text"]), "|").alias("blocks"))
+
+
+@query(f"""with {TURNS}, {CELLS} select doc_id, row, col, trim(text) as text, trim(text) as near, 'Normal (0)' as style, 2 as cols, 1::bigint as table_count from c where {_SAYS}""")
+def jon_5_context(spark, sf_dir):
+    """Cells by what they say, each with its own paragraph, its table and its section."""
+    corpus, elements, *_ = read(spark, sf_dir)
+    found = discovery.find_targets(elements, P.styles(corpus), anchor="assist").where("kind = 'cell'")
+    return found.select("doc_id", "row", "col", "text", F.col("paragraph.text_preview").alias("near"), F.col("paragraph.style_summary").alias("style"), "table.cols", "section.table_count")
+
+
+@query(f"""with {_DOCS} select doc_id, 'object-changed' as code, unnest(range(1, 2 + (case when i % 2 = 0 then 1 else 0 end) + (case when i % 3 = 0 then 1 else 0 end)))::int as position from d
+ union all select doc_id, 'object-count-changed', null from d""")
+def prj_19_object_codes(spark, sf_dir):
+    """Objects that one of two states has more of."""
+    before = packages(spark, sf_dir)
+    return diff.round_trip(before, drawn(before)).where("code like 'object%'").select("doc_id", "code", "position")
