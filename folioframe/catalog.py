@@ -198,7 +198,7 @@ def agg_fingerprint(spark, sf_dir):
 
 @query(f"select doc_id, sha256(string_agg(trim(line, ' '), chr(10) order by line_no)) as text_digest, count(*) as paragraphs from {LINES} group by doc_id")
 def agg_snapshot_digest(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), F.trim).alias("lines"))
+    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("lines"))  # F.trim itself would take the line's number as what to trim
     return d.select("doc_id", F.sha2(F.array_join("lines", "\n").cast("binary"), 256).alias("text_digest"), F.size("lines").cast("long").alias("paragraphs"))
 
 

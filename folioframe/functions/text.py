@@ -177,7 +177,7 @@ def template_id(path: Column) -> Column:
 
 def matrix(c: Column) -> Column:
     """``a,b;c,d`` as an array of rows."""
-    return F.transform(F.split(c, ";"), lambda r: F.transform(F.split(r, ","), F.trim))
+    return F.transform(F.split(c, ";"), lambda r: F.transform(F.split(r, ","), lambda x: F.trim(x)))
 
 
 #: Units of a picture of no asked width, and of the text of a page.

@@ -1,11 +1,14 @@
 """Every query over the driver's tables against its SQL."""
 
+import hashlib
 import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from folioframe import catalog, engine
+from folioframe.functions import text
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +48,17 @@ def test_truncation_of_every_text(spark, tmp_path):
     got = {r.doc_id: r.preview for r in catalog.QUERIES["sca_truncate_bytes"](spark, str(tmp_path)).collect()}
     cut = lambda x: x if x is None or len(x.encode()) <= 120 else x.encode()[:120].decode("utf-8", "replace").strip() + "..."
     assert got == {i: cut(x) for i, x in enumerate(texts)}
+
+
+def test_digest_of_lines_that_end_in_their_number(spark, tmp_path):
+    """Only blanks are trimmed, not the digits of a line's place."""
+    texts = ["call 555-8630", "a\n1 b 1\n 2c2 ", " 0 ", "", None, "\n1\n\t2"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text_digest, r.paragraphs) for r in catalog.QUERIES["agg_snapshot_digest"](spark, str(tmp_path)).collect()}
+    lines = {i: [x.strip(" ") for x in t.split("\n")] for i, t in enumerate(texts) if t is not None}
+    assert got == {i: (hashlib.sha256("\n".join(x).encode()).hexdigest(), len(x)) for i, x in lines.items()}
+
+
+def test_matrix_keeps_the_digits_of_its_cells(spark):
+    row = spark.createDataFrame([("10,1 , 20;0 , 11,22",)], "c string").select(text.matrix(F.col("c")).alias("m")).first()
+    assert [list(r) for r in row.m] == [["10", "1", "20"], ["0", "11", "22"]]
