@@ -1,6 +1,7 @@
 """Edits, read back through the flattened form."""
 
 import base64
+import json
 import struct
 import zlib
 
@@ -156,3 +157,18 @@ def test_statements_over_a_corpus(spark):
     errors = {r.doc_id: r.error for r in done.select("doc_id", "error").distinct().collect()}
     assert errors["a"] is None and errors["c"] is None and "no paragraph 7" in errors["b"]
     assert done.count() == len(rows)
+
+
+def test_filling_looks_at_a_table_once(monkeypatch):
+    """Rows added and cells filled take time in the table's size, not in its square."""
+    seen, plain_address = [], E.address
+    monkeypatch.setattr(E, "address", lambda c: seen.append(1) or plain_address(c))
+    section, n = "Contents/section0.xml", 200
+    cell = lambda r, c: f'<tc><subList><p id="{10 * r + c}"><run><t>a</t></run></p></subList><cellAddr rowAddr="{r}" colAddr="{c}"/><cellSpan rowSpan="1" colSpan="1"/><cellSz width="5" height="5"/></tc>'
+    book = f'<sec><p id="90"><run><tbl rowCnt="2" colCnt="2">{"".join(f"<tr>{cell(r, 0)}{cell(r, 1)}</tr>" for r in range(2))}</tbl></run></p></sec>'
+    asked = [("expand-table", {"section": section, "table": 0, "rows": n})] + [("fill", {"section_path": section, "new_text": f"v{r}", "table_idx": 0, "row": r, "col": 1}) for r in range(n)]
+    parts, error = E.edited({section: book.encode()}, [(o, json.dumps(a)) for o, a in asked])
+    assert error is None and len(seen) < 20 * n
+    table = E.tables(E.ET.fromstring(parts[section]))[0]
+    assert [[E.plain(c) for c in E.kids(r, "tc")] for r in E.rows_of(table)] == [["a" if r < 2 else "", f"v{r}"] for r in range(n)]
+    assert [p.get("id") for p in E.within(table, "p")] == ["0", "1", "10", "11"] + [str(91 + i) for i in range(2 * n - 4)]
