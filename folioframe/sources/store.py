@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from folioframe.sources import package as P
 
 _LOCAL: list[str] = []
+#: Rows of a bucket, in bytes: three sorts of so many stay far below the memory of a task.
+BUCKET_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,21 +74,33 @@ class Corpus:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _bytes(rows: DataFrame) -> int:
+    """About how many bytes the rows take in memory: texts, arrays and a fixed part each."""
+    kinds = dict(rows.dtypes)
+    size = [F.coalesce(F.octet_length(c), F.lit(0)) for c in kinds if kinds[c] == "string"] + [F.greatest(8 * F.size(c), F.lit(0)) for c in kinds if kinds[c].startswith(("array", "map"))]
+    return rows.agg(F.sum(sum(size, F.lit(400)).cast("long")).alias("n")).first()["n"] or 0
+
+
 def stored(entries: DataFrame, buckets: int | None = None) -> Corpus:
-    """Parse entries once and write the elements, ``buckets`` files (spark.sql.shuffle.partitions) of whole documents.
+    """Parse entries once and write the elements, ``buckets`` files of whole documents.
+
+    As many as spark.sql.shuffle.partitions unless told, more if one would hold over BUCKET_BYTES: a
+    task sorts a bucket, and so do the operators that read it, so what a task holds does not grow
+    with the corpus.
 
     A document whose package part names no section keeps its entries and other parts, and has no
     elements of sections.
     """
     spark = entries.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = P.walked(entries, P.PARSED, listed=True).persist(StorageLevel.DISK_ONLY)  # read twice: for the order, and to be written
+    rows = P.walked(entries, P.PARSED, listed=True).persist(StorageLevel.DISK_ONLY)  # read again for the order, and to be written
     try:
+        n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes(rows) // BUCKET_BYTES))
         place = F.coalesce(F.array_position("sections", F.col("section_path")), F.lit(0)) - 1
         inner = (F.col("tag") != P.ENTRY) & F.col("section_path").rlike(P.SECTIONS)
-        told = rows.join(P.section_order(rows), "doc_id", "left").withColumn("section_idx", F.when(inner & (place >= 0), place).cast("int"))
+        order = P.section_order(rows.repartition(n, "doc_id"))
+        told = rows.repartition(n, "doc_id").join(order, "doc_id", "left").withColumn("section_idx", F.when(inner & (place >= 0), place).cast("int"))
         name = f"corpus_{uuid.uuid4().hex}"
-        told = told.select(*rows.columns).repartition(n, "doc_id").sortWithinPartitions("doc_id", "section_idx", "pre")
+        told = told.select(*rows.columns).sortWithinPartitions("doc_id", "section_idx", "pre")
         told.write.bucketBy(n, "doc_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     finally:
         rows.unpersist()

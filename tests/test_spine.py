@@ -229,3 +229,17 @@ def test_no_text_fails_a_job(spark):
     assert [r.n for r in df.select(T.heading_level(F.col("s")).alias("n")).collect()] == [6, 3, 1, None, None]
     sizes = spark.createDataFrame([(96, 48, None), (96, 48, 100.0), (96, 48, 1000.0), (0, 5, None), (10, 0, 0.0)], "w int, h int, mm double")
     assert [(r.s.width, r.s.height) for r in sizes.select(T.image_units(F.col("w"), F.col("h"), F.col("mm")).alias("s")).collect()] == [(22677, 11339), (28346, 14173), (42520, 21260), (22677, 22677), (22677, 22677)]
+
+
+def test_buckets_grow_with_the_corpus(spark, monkeypatch):
+    """A larger corpus has more buckets, not larger ones; the rows are the same."""
+    entries = spark.createDataFrame([(str(i), p, c) for i in range(40) for _, p, c in P.blank()], P.ENTRIES)
+    few = store.stored(entries)
+    monkeypatch.setattr(store, "BUCKET_BYTES", 20_000)
+    many = store.stored(entries)
+    count = lambda c: int(spark.sql(f"describe formatted {c.name}").where("col_name = 'Num Buckets'").first()["data_type"])
+    assert count(few) == int(spark.conf.get("spark.sql.shuffle.partitions")) and count(many) > 2 * count(few)
+    told = lambda c: sorted(map(repr, c.rows.select("doc_id", "section_idx", "section_path", "pre", "tag", "text_all").collect()))
+    assert told(few) == told(many)
+    largest = many.elements.groupBy(F.spark_partition_id()).agg(F.countDistinct("doc_id").alias("n")).agg(F.max("n")).first()[0]
+    assert largest < 20
