@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +72,13 @@ def spans(cell_rows: DataFrame) -> DataFrame:
     return best.select(*TABLE, "anchor_row", "anchor_col", "x.*").select(*found.columns)
 
 
-def _swept(rows: pd.DataFrame) -> list[tuple[int, int]]:
+def _swept(rows: Iterable[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
     """The first shared place of every rectangle that meets one taken before it, by rows and columns of their beginnings."""
     starts: list[int] = []  # of the rectangles that reach the current row: first columns, and (last column, last row) beside them
     ends: list[tuple[int, int]] = []
     leaving: list[tuple[int, int]] = []
     found = []
-    for row, col, row_to, col_to in sorted(rows[["row", "col", "row_to", "col_to"]].itertuples(index=False, name=None)):
+    for row, col, row_to, col_to in sorted(rows):
         while leaving and leaving[0][0] < row:
             i = bisect_left(starts, heapq.heappop(leaving)[1])
             del starts[i], ends[i]
@@ -101,11 +103,11 @@ def overlaps(cell_rows: DataFrame) -> DataFrame:
     found = standing(cell_rows)
     busy = found.groupBy(*TABLE).agg(F.max(F.expr("row_span > 1 or col_span > 1")).alias("wide"), F.count("*").alias("n"), F.countDistinct("row", "col").alias("m")).where("wide or n > m").select(*TABLE)
 
-    def sweep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_swept(rows), columns=["row", "col"], dtype="int64").groupby(["row", "col"]).size().add(1).reset_index(name="cells")
-        for name, value in zip(reversed(TABLE), reversed(key), strict=True):
-            out.insert(0, name, value)
-        return out
+    def sweep(key: tuple, rows: pa.Table) -> pa.Table:
+        places = Counter(_swept(zip(*(rows[c].to_pylist() for c in ("row", "col", "row_to", "col_to")), strict=True)))
+        at = {c: pa.array([k.as_py()] * len(places), k.type) for c, k in zip(TABLE, key, strict=True)}
+        told = {"row": [r for r, _ in places], "col": [c for _, c in places], "cells": [n + 1 for n in places.values()]}
+        return pa.table(at | {c: pa.array(v, pa.int64()) for c, v in told.items()})
 
     kinds = dict(found.select(*TABLE).dtypes)
-    return found.join(busy, TABLE, "left_semi").groupBy(*TABLE).applyInPandas(sweep, ", ".join(f"{c} {kinds[c]}" for c in TABLE) + ", row bigint, col bigint, cells bigint")
+    return found.select(*TABLE, "row", "col", "row_to", "col_to").join(busy, TABLE, "left_semi").groupBy(*TABLE).applyInArrow(sweep, ", ".join(f"{c} {kinds[c]}" for c in TABLE) + ", row bigint, col bigint, cells bigint")

@@ -14,6 +14,7 @@ import zipfile
 import zlib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -204,6 +205,7 @@ def blank(doc_id: str = "new", title: str = "") -> list[tuple[str, str, bytes]]:
     return [(doc_id, p, c.encode()) for p, c in parts.items()]
 
 
+@lru_cache(4096)
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 

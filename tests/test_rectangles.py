@@ -86,3 +86,10 @@ def test_fill_beside_a_far_span(spark):
     asked = fill.statements(spark, [{"anchor": "label", "values": ["1", "2", "3"], "mode": "table-right-repeat"}, {"anchor": "low", "grid": [["p", "q"]], "mode": "table-right-grid"}, {"anchor": "x", "values": ["u"], "mode": "table-left-repeat"}])
     got = fill.planned(paragraphs, D.tables(elements, paragraphs, found), found, D.spans(found), asked)
     assert sorted((r.rid, r.row, r.col, r.new_text) for r in got.collect()) == [(0, 0, 1, "1"), (0, 0, 2, "2"), (1, 0, 1, "p"), (1, 1, 2, "q"), (2, 0, 1, "u")]
+
+
+def test_sweep_takes_plain_rows():
+    """Rows and columns of a table, no frame: two cells reach over a third, which has two shared places counted once each."""
+    from folioframe.operators import rectangles
+
+    assert rectangles._swept([(1, 0, 3, 3), (0, 0, 0, 0), (2, 2, 2, 2), (2, 2, 2, 2), (4, 0, 4, 0)]) == [(2, 2), (2, 2)]
