@@ -15,6 +15,7 @@ import zlib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -37,6 +38,10 @@ ELEMENTS = (
 #: Elements whose texts are gathered, and those that are objects of a run.
 TEXTED = {"p", "tc", "tbl", "pic", "equation", "rect", "line", "ellipse", "ctrl", "header", "footer", "drawText"}
 OBJECTS = {"tbl", "pic", "equation", "rect", "line", "ellipse"}
+#: Elements that are one character, and those whose texts are not just those of what is in them.
+_SIGNS = {"lineBreak": "\n", "tab": "\t"}
+_OWN = {"t", "script", *_SIGNS}
+_UNTOLD = (None,) * 7
 #: The one entry of an archive that can't be read; its content is the reason.
 BROKEN = archives.BROKEN
 #: The kinds of pictures that are read.
@@ -210,7 +215,7 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def walked(entries: DataFrame, only: str = SECTIONS, listed: bool = False) -> DataFrame:
+def walked(entries: DataFrame, only: str = SECTIONS, listed: bool = False, tags: set[str] | None = None) -> DataFrame:
     """One row an element of the parts that ``only`` names, in document order, with the coordinates and texts that every later operator uses.
 
     all_p_idx counts paragraphs at any depth; body_p_idx counts direct children of the root without
@@ -220,17 +225,25 @@ def walked(entries: DataFrame, only: str = SECTIONS, listed: bool = False) -> Da
     scripts included), of its own runs without objects (and without text boxes), and all. A part
     that is no XML is one row of tag ``#error`` with the reason as text. section_idx is the number
     in the part's name, 0 without one; ``flatten`` puts the place in the spine there. listed: a row
-    of tag ENTRY besides, for every entry of any kind.
+    of tag ENTRY besides, for every entry of any kind. tags: rows of these tags only (and errors),
+    where nothing else is asked for; what they hold is the same.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([list(r[c].items()) if c == "attrs" else r.get(c) for r in rows], _ARROW[t]) for c, t in _COLUMNS], [c for c, _ in _COLUMNS])
-
-        def bare(doc_id: str, section: str, pre: int, tag: str, text: str) -> dict:
-            return {"doc_id": doc_id, "section_path": section, "pre": pre, "parent_pre": -1, "above": [], "last": 0, "depth": 0, "tag": tag, "path": "", "attrs": {}, "text": text, "tail": ""}
-
-        rows: list[dict] = []
+            columns = dict(zip([c for c, _ in _COLUMNS], zip(*rows, strict=True) if rows else ((),) * len(_COLUMNS), strict=True))
+            ends = lambda c: pa.array([0, *accumulate(map(len, columns[c]))], pa.int32())
+            flat = lambda values: pa.array(list(chain.from_iterable(values)))
+            made = {
+                "above": lambda x: pa.ListArray.from_arrays(ends("above"), flat(x).cast(pa.int32())),
+                "attrs": lambda x: pa.MapArray.from_arrays(ends("attrs"), flat(x).cast(pa.string()), flat(d.values() for d in x).cast(pa.string())),
+            }
+            return pa.RecordBatch.from_arrays([made[c](columns[c]) if c in made else pa.array(columns[c], _ARROW[t]) for c, t in _COLUMNS], [c for c, _ in _COLUMNS])
+
+        def bare(doc_id: str, section: str, pre: int, tag: str, text: str) -> tuple:
+            return (doc_id, section, None, pre, -1, (), 0, 0, tag, "", {}, text, "", *[None] * (len(_COLUMNS) - 13))
+
+        rows: list[tuple] = []
         for batch in batches:
             for doc_id, section, content in zip(*(batch.column(c) for c in ("doc_id", "path", "content")), strict=True):
                 doc_id, section = doc_id.as_py(), section.as_py()
@@ -238,7 +251,7 @@ def walked(entries: DataFrame, only: str = SECTIONS, listed: bool = False) -> Da
                     rows.append(bare(doc_id, section, -1, ENTRY, ""))
                 if content.is_valid:
                     try:
-                        _walk_part(doc_id, section, ET.fromstring(content.as_py()), rows)
+                        _walk_part(doc_id, section, ET.fromstring(content.as_py()), rows, tags)
                     except (ET.ParseError, ValueError, LookupError) as e:
                         rows.append(bare(doc_id, section, 0, "#error", str(e)))
                 if len(rows) > 20_000:
@@ -278,11 +291,15 @@ def spined(elements: DataFrame, order: DataFrame) -> DataFrame:
     return met.select(*elements.columns)
 
 
-def flatten(source, only: str = SECTIONS) -> DataFrame:
-    """Elements (see ``walked``) of entries or of a stored corpus: the sections in the order of the spine, or the parts that ``only`` names."""
+def flatten(source, only: str = SECTIONS, tags: set[str] | None = None) -> DataFrame:
+    """Elements (see ``walked``) of entries or of a stored corpus: the sections in the order of the spine, or the parts that ``only`` names; of some tags only, if given.
+
+    What reads one kind of element once needs no stored corpus: rows of other tags never leave the parser then.
+    """
     if hasattr(source, "parts"):
-        return source.parts(only)
-    rows = walked(source, only)
+        found = source.parts(only)
+        return found.where(F.col("tag").isin(*tags, "#error")) if tags else found
+    rows = walked(source, only, tags=tags)
     return spined(rows, section_order(walked(source, r"^Contents/content\.hpf$", listed=True))) if only == SECTIONS else rows
 
 
@@ -322,118 +339,132 @@ def _int(value: str | None, default: int) -> int:
         return default
 
 
-def _said(e: ET.Element, skip: set[str], inner: bool = False) -> str:
-    """All character data below e, breaks and tabs as characters, without the subtrees of skip."""
-    out, todo = [], [(e, inner)]
-    while todo:
-        x, closing = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-            continue
-        tag = _local(x.tag)
-        if tag == "lineBreak":
-            out.append("\n")
-        elif tag == "tab":
-            out.append("\t")
-        elif not (tag in skip and x is not e):
-            out.append(x.text or "")
-            for child in reversed(x):
-                todo.append((child.tail or "", False))
-                todo.append((child, False))
-    return "".join(out)
-
-
-def _own_lines(p: ET.Element) -> str:
-    """Text, scripts, breaks and tabs of a paragraph, not of the paragraphs in it."""
-    out, todo = [], [(p, False)]
-    while todo:
-        x, told = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-            continue
-        tag = _local(x.tag)
-        if tag == "p" and x is not p:
-            continue
-        if tag == "lineBreak":
-            out.append("\n")
-        elif tag == "tab":
-            out.append("\t")
-        told = told or tag in ("t", "script")
-        if told and x.text:
-            out.append(x.text)
-        for child in reversed(x):
-            if told and child.tail:
-                todo.append((child.tail, told))
-            todo.append((child, told))
-    return "".join(out)
-
-
-def _texts(e: ET.Element, tag: str) -> dict:
-    found = [x for x in e.iter() if _local(x.tag) in ("t", "lineBreak", "tab")]
-    out = {
-        "text_t": "".join(x.text or "" for x in found if _local(x.tag) == "t"),
-        "text_tbt": "".join({"lineBreak": "\n", "tab": "\t"}.get(_local(x.tag), x.text or "") for x in found),
-        "text_all": _said(e, set()),
-    }
-    if tag == "p":
-        runs = [r for r in e if _local(r.tag) == "run"]
-        out["text_lines"] = _own_lines(e)
-        out["text_direct"] = "".join(_said(r, OBJECTS) for r in runs)
-        out["text_fill"] = "".join(_said(r, OBJECTS | {"drawText"}) for r in runs)
-        out["has_secpr"] = any(_local(x.tag) == "secPr" for r in runs for x in r)
-    elif tag == "tc":
-        part = lambda name: next((x for x in e if _local(x.tag) == name), {})
-        out["paragraph_count"] = sum(_local(x.tag) == "p" for x in e.iter())
-        span, size = part("cellSpan"), part("cellSz")
-        out["row_span"], out["col_span"] = max(1, _int(span.get("rowSpan"), 1)), max(1, _int(span.get("colSpan"), 1))
-        out["width"], out["height"] = _int(size.get("width"), 0), _int(size.get("height"), 0)
+#: The texts of an element without any, as ``_gathered`` has them.
+_SILENT = ("",) * 7
+
+
+def _heard(e: ET.Element, tag: str, kids: list[tuple]) -> tuple:
+    """The seven texts of an element from its children's, as they are inside it.
+
+    Of ``t``; of ``t`` with breaks and tabs; all; all without objects; without objects and text boxes;
+    own lines outside of ``t`` and ``script``; own lines inside of these.
+    """
+    text, sign = e.text or "", _SIGNS.get(tag)
+    if not kids:
+        t = both = lines = ""
+        told = whole = bare = fill = text
+    else:
+        t, both, lines = ("".join([k[c] for k in kids]) for c in (0, 1, 5))
+        if any(c.tail for c in e):
+            tails = [c.tail or "" for c in e]
+            whole, bare, fill, told = (text + "".join([x for k, tail in zip(kids, tails, strict=True) for x in (k[c], tail)]) for c in (2, 3, 4, 6))
+        else:
+            whole, bare, fill, told = (text + "".join([k[c] for k in kids]) for c in (2, 3, 4, 6))
+    if sign is not None:
+        return (t, sign + both, sign, sign, sign, sign + lines, sign + told)
+    if tag == "t":
+        return (text + t, text + both, whole, bare, fill, told, told)
+    if tag == "script":
+        return (t, both, whole, bare, fill, told, told)
+    return (t, both, whole, bare, fill, lines, told)
+
+
+def _gathered(order: list[ET.Element], names: list[str], size: list[int], wanted: set[str]) -> dict[int, tuple]:
+    """Number -> (text_t, text_tbt, text_lines, text_direct, text_fill, text_all, has_secpr) of the elements of the wanted tags, each text put together once from those below.
+
+    size is filled with how many elements each one is, itself included.
+    """
+    said, out = [_SILENT] * len(order), {}
+    for i in range(len(order) - 1, -1, -1):
+        e, tag = order[i], names[i]
+        below, j = [], i + 1
+        for _ in e:
+            below.append(j)
+            j += size[j]
+        size[i] = j - i
+        kept = tag in wanted
+        if not i and not kept:
+            break  # nothing asks for the texts of a whole part
+        loud = [said[k] for k in below if said[k] is not _SILENT]
+        if len(loud) < 2 and not e.text and tag not in _OWN and not any(c.tail for c in e):
+            heard = loud[0] if loud else _SILENT
+        elif tag == "t" and not below:
+            heard = (e.text or "",) * 7
+        else:
+            heard = _heard(e, tag, [said[k] for k in below])
+        if kept:
+            lines = direct = fill = secpr = None
+            if tag == "p":
+                runs = [k for k in below if names[k] == "run"]
+                lines, direct, fill = heard[5], "".join([said[k][3] for k in runs]), "".join([said[k][4] for k in runs])
+                secpr = any(_local(x.tag) == "secPr" for k in runs for x in order[k])
+            out[i] = (heard[0], heard[1], lines, direct, fill, heard[2], secpr)
+        if tag in OBJECTS:
+            heard = (*heard[:3], "", "", *heard[5:])
+        elif tag == "drawText":
+            heard = (*heard[:4], "", *heard[5:])
+        elif tag == "p":
+            heard = (*heard[:5], "", "")
+        for k in below:
+            said[k] = _SILENT
+        said[i] = heard
     return out
 
 
-def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[dict]) -> None:
-    n = {"pre": 0, "p": 0, "body": 0, "tbl": 0}
-    # (element, parent's number, depth, path, coordinates), or the place of a row whose subtree has ended
-    todo: list = [(root, -1, 0, _local(root.tag), {"in_tables": [], "above": []})]
-    while todo:
-        item = todo.pop()
-        if isinstance(item, int):
-            rows[item]["last"] = n["pre"] - 1
-            continue
-        e, parent, depth, path, at = item
-        if not isinstance(e.tag, str):
-            continue
-        tag, pre = _local(e.tag), n["pre"]
-        n["pre"] += 1
-        row = {"doc_id": doc_id, "section_path": section, "pre": pre, "parent_pre": parent, "depth": depth, "tag": tag, "path": path}
-        told = _texts(e, tag) if tag in TEXTED else {}
+def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], tags: set[str] | None = None) -> None:
+    """Append the rows of a part, values in the order of ELEMENTS; of the given tags only, if any are given."""
+    order = list(root.iter())
+    names = [_local(e.tag) for e in order]
+    size = [1] * len(order)
+    texts = _gathered(order, names, size, TEXTED if tags is None else TEXTED & tags)
+    before = [0, *accumulate(tag == "p" for tag in names)]  # paragraphs before each element
+    n_p = n_body = n_tbl = 0
+    # of each element: parent's number, depth, path, numbers of ancestors, coordinates
+    todo: list = [None] * len(order)
+    todo[0] = (-1, 0, names[0], (), (None, None, None, None, None, None, None, ()))
+    for pre, (e, tag) in enumerate(zip(order, names, strict=True)):
+        (parent, depth, path, above, at), todo[pre] = todo[pre], None
+        text_t, text_tbt, text_lines, text_direct, text_fill, text_all, has_secpr = texts.get(pre, _UNTOLD)
+        paragraph_count = row_span = col_span = width = height = None
         if tag == "p":
-            at = at | {"all_p_idx": n["p"]}
-            n["p"] += 1
+            body = at[1]
             if depth == 1:
-                at["body_p_idx"] = None if told["has_secpr"] else n["body"]
-                n["body"] += not told["has_secpr"]
+                secpr = any(_local(x.tag) == "secPr" for r in e if _local(r.tag) == "run" for x in r) if has_secpr is None else has_secpr
+                body = None if secpr else n_body
+                n_body += not secpr
+            at = (n_p, body, *at[2:])
+            n_p += 1
         elif tag == "tbl":
-            at = at | {"parent_table_idx": at.get("table_idx"), "table_idx": n["tbl"], "cell_row": None, "cell_col": None, "in_tables": [*at["in_tables"], n["tbl"]]}
-            n["tbl"] += 1
+            at = (*at[:3], n_tbl, at[3], None, None, (*at[7], n_tbl))
+            n_tbl += 1
         elif tag == "tc":
-            address = next((x for x in e if _local(x.tag) == "cellAddr"), None)
-            at = at | {f"cell_{k}": _int(address.get(f"{k}Addr"), 0) if address is not None else 0 for k in ("row", "col")}
-        place = len(rows)
-        rows.append(row | {"attrs": {_local(k): v for k, v in e.attrib.items()}, "text": e.text or "", "tail": e.tail or ""} | at | told)
-        todo.append(place)
-        at = at | {"above": [*at["above"], pre]}
-        seen: dict[str, int] = {}
-        below, runs = [], 0
-        for child in e:
-            name = _local(child.tag) if isinstance(child.tag, str) else ""
-            k = seen.get(name, 0)
-            seen[name] = k + 1
-            inner = at
-            if name == "run" and tag == "p" and depth == 1:
-                inner = at | {"run_idx": runs}
-                runs += 1
-            below.append((child, pre, depth + 1, f"{path}/{name}[{k}]", inner))
-        todo.extend(reversed(below))
+            part = {}
+            for x in e:
+                part.setdefault(_local(x.tag), x)
+            address, span, cell_size = (part.get(name, {}) for name in ("cellAddr", "cellSpan", "cellSz"))
+            at = (*at[:5], _int(address.get("rowAddr"), 0), _int(address.get("colAddr"), 0), at[7])
+            paragraph_count = before[pre + size[pre]] - before[pre]
+            row_span, col_span = max(1, _int(span.get("rowSpan"), 1)), max(1, _int(span.get("colSpan"), 1))
+            width, height = _int(cell_size.get("width"), 0), _int(cell_size.get("height"), 0)
+        if tags is None or tag in tags:
+            rows.append((
+                doc_id, section, None, pre, parent, above, pre + size[pre] - 1, depth, tag, path, {_local(k): v for k, v in e.attrib.items()} if e.attrib else {}, e.text or "", e.tail or "", *at, has_secpr,
+                text_t, text_tbt, text_lines, text_direct, text_fill, text_all, paragraph_count, row_span, col_span, width, height,
+            ))
+        if size[pre] > 1:
+            over, seen, runs, j = (*above, pre), {}, 0, pre + 1
+            body_p = tag == "p" and depth == 1
+            for _ in e:
+                name = names[j]
+                k = seen.get(name, 0)
+                seen[name] = k + 1
+                if body_p and name == "run":
+                    inner = (*at[:2], runs, *at[3:])
+                    runs += 1
+                else:
+                    inner = at
+                todo[j] = (pre, depth + 1, f"{path}/{name}[{k}]", over, inner)
+                j += size[j]
 
 
 def manifest(entries: DataFrame) -> DataFrame:

@@ -243,3 +243,37 @@ def test_buckets_grow_with_the_corpus(spark, monkeypatch):
     assert told(few) == told(many)
     largest = many.elements.groupBy(F.spark_partition_id()).agg(F.countDistinct("doc_id").alias("n")).agg(F.max("n")).first()[0]
     assert largest < 20
+
+
+def test_rows_of_some_tags(spark):
+    """Rows of some tags are those of all tags that are left after a filter, in order of the spine."""
+    from folioframe import engine
+
+    entries = engine.packages(spark, "/root/testdata/sf0.001").where("cast(doc_id as long) < 30").cache()
+    told = lambda rows: sorted(map(repr, rows.select("doc_id", "section_idx", "section_path", "pre", "last", "above", "tag", "attrs", "all_p_idx", "table_idx", "cell_row", "text_t", "text_all", "text_direct").collect()))
+    some = told(P.flatten(entries, tags={"p", "tc"}))
+    assert some and some == told(P.flatten(entries).where("tag in ('p', 'tc')")) == told(P.flatten(store.stored(entries), tags={"p", "tc"}))
+
+
+def test_paragraph_diff_stores_no_corpus(spark, monkeypatch):
+    """Two states are compared by their paragraphs; the other elements are never stored."""
+    from folioframe import engine
+
+    def refused(*_):
+        raise AssertionError("a whole corpus was stored")
+
+    monkeypatch.setattr(store, "stored", refused)
+    assert engine.jon_9_paragraph_diff(spark, "/root/testdata/sf0.001").where("code = 'paragraph-changed'").count() > 0
+
+
+def test_nested_tables_are_walked_in_time_of_their_size():
+    """Texts of an element are put together from those below it, not read anew at every level."""
+    import time
+
+    inner = "<p><run><t>a</t></run></p>"
+    for _ in range(600):
+        inner = f"<p><run><tbl><tr><tc>{inner}<cellAddr rowAddr='1' colAddr='0'/></tc></tr></tbl></run></p>"
+    root, rows, began = ET.fromstring(f"<sec>{inner}</sec>"), [], time.process_time()
+    P._walk_part("d", "s", root, rows)
+    assert time.process_time() - began < 2
+    assert len(rows) == 600 * 6 + 4
