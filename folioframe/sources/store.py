@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from folioframe.sources import package as P
 _LOCAL: list[str] = []
 #: Rows of a bucket, in bytes: three sorts of so many stay far below the memory of a task.
 BUCKET_BYTES = 32 << 20
+#: Rows that a task deals out to the buckets, in bytes: of over 200 buckets Spark holds them all while it sorts them.
+DEALT_BYTES = 512 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,11 +77,21 @@ class Corpus:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _bytes(rows: DataFrame) -> int:
-    """About how many bytes the rows take in memory: texts, arrays and a fixed part each."""
+def _bytes(rows: DataFrame) -> tuple[int, int]:
+    """About how many bytes the rows take in memory, all of them and those of the largest partition: texts, arrays and a fixed part each."""
     kinds = dict(rows.dtypes)
     size = [F.coalesce(F.octet_length(c), F.lit(0)) for c in kinds if kinds[c] == "string"] + [F.greatest(8 * F.size(c), F.lit(0)) for c in kinds if kinds[c].startswith(("array", "map"))]
-    return rows.agg(F.sum(sum(size, F.lit(400)).cast("long")).alias("n")).first()["n"] or 0
+    found = rows.groupBy(F.spark_partition_id()).agg(F.sum(sum(size, F.lit(400)).cast("long")).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("largest")).first()
+    return found["all"] or 0, found["largest"] or 0
+
+
+def _dealt(rows: DataFrame, n: int, largest: int) -> DataFrame:
+    """rows in n partitions by document; where a partition is larger than DEALT_BYTES, several tasks deal out a share of it each."""
+    shares = -(-largest // DEALT_BYTES)
+    if shares < 2:
+        return rows.repartition(n, "doc_id")
+    share = F.expr(f"pmod(xxhash64(doc_id, section_path, pre), {shares})")
+    return reduce(DataFrame.unionAll, [rows.where(share == i) for i in range(shares)]).repartition(n, "doc_id")
 
 
 def stored(entries: DataFrame, buckets: int | None = None) -> Corpus:
@@ -86,7 +99,7 @@ def stored(entries: DataFrame, buckets: int | None = None) -> Corpus:
 
     As many as spark.sql.shuffle.partitions unless told, more if one would hold over BUCKET_BYTES: a
     task sorts a bucket, and so do the operators that read it, so what a task holds does not grow
-    with the corpus.
+    with the corpus; nor does what a task holds that deals rows out to the buckets (``_dealt``).
 
     A document whose package part names no section keeps its entries and other parts, and has no
     elements of sections.
@@ -94,11 +107,12 @@ def stored(entries: DataFrame, buckets: int | None = None) -> Corpus:
     spark = entries.sparkSession
     rows = P.walked(entries, P.PARSED, listed=True).persist(StorageLevel.DISK_ONLY)  # read again for the order, and to be written
     try:
-        n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes(rows) // BUCKET_BYTES))
+        whole, largest = _bytes(rows)
+        n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // BUCKET_BYTES))
         place = F.coalesce(F.array_position("sections", F.col("section_path")), F.lit(0)) - 1
         inner = (F.col("tag") != P.ENTRY) & F.col("section_path").rlike(P.SECTIONS)
         order = P.section_order(rows.repartition(n, "doc_id"))
-        told = rows.repartition(n, "doc_id").join(order, "doc_id", "left").withColumn("section_idx", F.when(inner & (place >= 0), place).cast("int"))
+        told = _dealt(rows, n, largest).join(order, "doc_id", "left").withColumn("section_idx", F.when(inner & (place >= 0), place).cast("int"))
         name = f"corpus_{uuid.uuid4().hex}"
         told = told.select(*rows.columns).sortWithinPartitions("doc_id", "section_idx", "pre")
         told.write.bucketBy(n, "doc_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)

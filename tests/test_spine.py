@@ -277,3 +277,27 @@ def test_nested_tables_are_walked_in_time_of_their_size():
     P._walk_part("d", "s", root, rows)
     assert time.process_time() - began < 2
     assert len(rows) == 600 * 6 + 4
+
+
+def test_large_partitions_are_dealt_out_in_shares(spark, monkeypatch):
+    """However large the partitions of the parsed rows, a task deals out a bounded share; the stored rows are the same."""
+    entries = spark.createDataFrame([(str(i), p, c) for i in range(40) for _, p, c in P.blank()], P.ENTRIES).coalesce(1)
+    rows = P.walked(entries, P.PARSED, listed=True).cache()
+    whole, largest = store._bytes(rows)
+    assert whole == largest > 0 and rows.rdd.getNumPartitions() == 1
+    told = lambda x: sorted(map(repr, x.select("doc_id", "section_idx", "section_path", "pre", "tag", "text_all").collect()))
+    before = told(store.stored(entries).rows)
+    monkeypatch.setattr(store, "DEALT_BYTES", largest // 5 + 1)
+    assert told(store._dealt(rows, 6, largest)) == told(rows)
+    assert store._dealt(rows, 6, largest)._jdf.queryExecution().optimizedPlan().toString().count("Filter") == 5
+    assert told(store.stored(entries).rows) == before
+
+
+def test_packages_are_parsed_in_partitions_by_size(spark, monkeypatch):
+    from folioframe import engine
+
+    docs = lambda: {(r.doc_id, r.path, bytes(r.content)) for r in engine.packages(spark, "/root/testdata/sf0.001").collect()}
+    before = docs()
+    monkeypatch.setattr(engine, "TURNS_BYTES", 10_000)
+    assert engine.packages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert docs() == before
