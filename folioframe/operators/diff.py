@@ -19,6 +19,8 @@ OBJECTS = ("tbl", "pic", "equation", "rect", "line", "ellipse")
 CONTROLS, HEADER_FOOTER = ("ctrl",), ("header", "footer")
 COUNTS = ("section-count", "table-count", "paragraph-count", "placeholder-count", "guide-count", "object-count", "control-count", "header-count", "footer-count", "text-length", "line-count")
 ISSUE = ["doc_id", "code", "position", "before", "after"]
+#: All elements that a snapshot is made of, besides the roots of parts.
+SNAPSHOT = {"p", "tc", "tr", "tbl", *OBJECTS, *CONTROLS, *HEADER_FOOTER}
 #: Positions of a list under one digest.
 BLOCK = 64
 
@@ -99,10 +101,9 @@ DIGESTS = {"paragraph": "paragraph_digest", "table": "table_digest", "object": "
 
 def snapshots(entries: DataFrame, corpus: Corpus | None = None, listed: DataFrame | None = None) -> DataFrame:
     """One row a document: validity, render safety, section paths, risk hints, all counts and six digests: of the text and of the lists in DIGESTS."""
-    corpus = corpus or stored(entries)
+    corpus = corpus or stored(entries, tags=SNAPSHOT)
     elements = corpus.elements
     paragraphs = D.paragraph_texts(elements)
-    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
     count = lambda name, *tags: F.count_if(F.col("tag").isin(*tags)).alias(name)
     out = elements.groupBy("doc_id").agg(
         section_paths(), count("table_count", "tbl"), count("object_count", *OBJECTS), count("control_count", *CONTROLS), count("header_count", "header"), count("footer_count", "footer")
@@ -112,8 +113,10 @@ def snapshots(entries: DataFrame, corpus: Corpus | None = None, listed: DataFram
     every = rows.where(F.col("kind").isin(*DIGESTS)).groupBy("doc_id", "kind").agg(F.sha2(lines, 256).alias("d"))
     out = out.join(every.groupBy("doc_id").agg(*[F.max(F.when(F.col("kind") == kind, F.col("d"))).alias(name) for kind, name in DIGESTS.items()]), "doc_id", "left")
     out = out.withColumns({name: F.coalesce(name, F.sha2(F.lit("").cast("binary"), 256)) for name in DIGESTS.values()})
-    texts = D.plain_text(paragraphs).select("doc_id", "text")
-    out = out.join(n(paragraphs.where(T.trim_unicode(F.col("text_t")) != ""), "paragraph_count"), "doc_id", "left").join(n(D.placeholders(paragraphs), "placeholder_count"), "doc_id", "left").join(n(D.guides(paragraphs), "guide_count"), "doc_id", "left").join(texts, "doc_id", "left")
+    said = T.trim_unicode(F.col("text_t"))
+    met = lambda name, mark: F.count_if((said != "") & mark.isNotNull()).alias(name)
+    counts = [F.count_if(said != "").alias("paragraph_count"), met("placeholder_count", T.is_placeholder(said)), met("guide_count", T.is_guide(F.lower(said)))]
+    out = out.join(paragraphs.groupBy("doc_id").agg(*counts, D.lines_of("text")), "doc_id", "left")
     out = out.join(D.report(corpus).select("doc_id", "valid"), "doc_id", "left").join(D.risk_signals(entries, corpus=corpus).select("doc_id", F.col("hints").alias("risk_hints")), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     return out.fillna(0).withColumns({
@@ -129,7 +132,7 @@ def round_trip(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     changed = kept(touched(before, after), "touched")
     before, after = (x.join(changed, "doc_id", "left_semi") for x in (before, after))
-    ca, cb = stored(before), stored(after)
+    ca, cb = stored(before, tags=SNAPSHOT), stored(after, tags=SNAPSHOT)
     la, lb = kept(lists(ca.elements), "lists"), kept(lists(cb.elements), "lists")
     a, b = snapshots(before, ca, la), snapshots(after, cb, lb)
     name = lambda code: code.replace("-", "_")

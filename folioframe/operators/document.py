@@ -295,8 +295,13 @@ def risk_signals(entries: DataFrame, exact: bool = False, corpus=None) -> DataFr
 
 def plain_text(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, text): the own lines of every paragraph that has some, in section and document order; a nested one comes after the one it is in."""
-    rows = paragraphs.where("text_lines <> ''")
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "pre", "text_lines"))), lambda x: x["text_lines"]), "\n").alias("text"))
+    return paragraphs.where("text_lines <> ''").groupBy("doc_id").agg(lines_of("text"))
+
+
+def lines_of(name: str) -> Column:
+    """An aggregate over paragraphs of a document: the text of ``plain_text``, empty where no paragraph has lines."""
+    told = F.when(F.col("text_lines") != "", F.struct("section_idx", "pre", "text_lines"))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda x: x["text_lines"]), "\n").alias(name)
 
 
 def blocks(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, style_rows: DataFrame, elements: DataFrame) -> DataFrame:

@@ -50,6 +50,8 @@ PICTURES = ("png", "jpg", "gif")
 SECTIONS = r"(^|/)section[^/]*\.xml$"
 PARSED = SECTIONS + r"|^Contents/(content\.hpf|header\.xml)$|^version\.xml$"
 ENTRY = "#entry"
+#: Elements that the order of the sections and the manifest are read from.
+ORDERING = {"item", "itemref"}
 INTERNAL = r"(^|/)(\.[^/]*\.lock|\.[^/]*\.tmp)$"
 
 
@@ -225,8 +227,9 @@ def walked(entries: DataFrame, only: str = SECTIONS, listed: bool = False, tags:
     scripts included), of its own runs without objects (and without text boxes), and all. A part
     that is no XML is one row of tag ``#error`` with the reason as text. section_idx is the number
     in the part's name, 0 without one; ``flatten`` puts the place in the spine there. listed: a row
-    of tag ENTRY besides, for every entry of any kind. tags: rows of these tags only (and errors),
-    where nothing else is asked for; what they hold is the same.
+    of tag ENTRY besides, for every entry of any kind. tags: rows of these tags only (and errors,
+    and, where entries are listed, the roots of the parts), where nothing else is asked for; what
+    they hold is the same.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +254,7 @@ def walked(entries: DataFrame, only: str = SECTIONS, listed: bool = False, tags:
                     rows.append(bare(doc_id, section, -1, ENTRY, ""))
                 if content.is_valid:
                     try:
-                        _walk_part(doc_id, section, ET.fromstring(content.as_py()), rows, tags)
+                        _walk_part(doc_id, section, ET.fromstring(content.as_py()), rows, tags, listed)
                     except (ET.ParseError, ValueError, LookupError) as e:
                         rows.append(bare(doc_id, section, 0, "#error", str(e)))
                 if len(rows) > 20_000:
@@ -411,8 +414,8 @@ def _gathered(order: list[ET.Element], names: list[str], size: list[int], wanted
     return out
 
 
-def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], tags: set[str] | None = None) -> None:
-    """Append the rows of a part, values in the order of ELEMENTS; of the given tags only, if any are given."""
+def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], tags: set[str] | None = None, rooted: bool = False) -> None:
+    """Append the rows of a part, values in the order of ELEMENTS; of the given tags only (and of the root, if rooted), if any are given."""
     order = list(root.iter())
     names = [_local(e.tag) for e in order]
     size = [1] * len(order)
@@ -446,7 +449,7 @@ def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], t
             paragraph_count = before[pre + size[pre]] - before[pre]
             row_span, col_span = max(1, _int(span.get("rowSpan"), 1)), max(1, _int(span.get("colSpan"), 1))
             width, height = _int(cell_size.get("width"), 0), _int(cell_size.get("height"), 0)
-        if tags is None or tag in tags:
+        if tags is None or tag in tags or rooted and not pre:
             rows.append((
                 doc_id, section, None, pre, parent, above, pre + size[pre] - 1, depth, tag, path, {_local(k): v for k, v in e.attrib.items()} if e.attrib else {}, e.text or "", e.tail or "", *at, has_secpr,
                 text_t, text_tbt, text_lines, text_direct, text_fill, text_all, paragraph_count, row_span, col_span, width, height,

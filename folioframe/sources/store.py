@@ -94,7 +94,7 @@ def _dealt(rows: DataFrame, n: int, largest: int) -> DataFrame:
     return reduce(DataFrame.unionAll, [rows.where(share == i) for i in range(shares)]).repartition(n, "doc_id")
 
 
-def stored(entries: DataFrame, buckets: int | None = None) -> Corpus:
+def stored(entries: DataFrame, buckets: int | None = None, tags: set[str] | None = None) -> Corpus:
     """Parse entries once and write the elements, ``buckets`` files of whole documents.
 
     As many as spark.sql.shuffle.partitions unless told, more if one would hold over BUCKET_BYTES: a
@@ -102,10 +102,11 @@ def stored(entries: DataFrame, buckets: int | None = None) -> Corpus:
     with the corpus; nor does what a task holds that deals rows out to the buckets (``_dealt``).
 
     A document whose package part names no section keeps its entries and other parts, and has no
-    elements of sections.
+    elements of sections. tags: elements of these tags only leave the parser, besides the roots of
+    all parts, errors and what the order of reading needs; for what reads nothing else.
     """
     spark = entries.sparkSession
-    rows = P.walked(entries, P.PARSED, listed=True).persist(StorageLevel.DISK_ONLY)  # read again for the order, and to be written
+    rows = P.walked(entries, P.PARSED, listed=True, tags=None if tags is None else tags | P.ORDERING).persist(StorageLevel.DISK_ONLY)  # read again for the order, and to be written
     try:
         whole, largest = _bytes(rows)
         n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole // BUCKET_BYTES))

@@ -301,3 +301,20 @@ def test_packages_are_parsed_in_partitions_by_size(spark, monkeypatch):
     monkeypatch.setattr(engine, "TURNS_BYTES", 10_000)
     assert engine.packages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert docs() == before
+
+
+def test_snapshots_store_only_what_they_read(spark, monkeypatch):
+    """A snapshot's corpus holds the tags it is made of and the roots; the snapshot is that of a whole corpus, also of documents without text, with errors or without a spine."""
+    from folioframe import engine
+
+    mark = para("{{name}}") + para("※ write here") + para("")
+    odd = package("no spine", [], {"section0": para("x")}) + package("empty", ["section0", "section1"], {"section0": "", "section1": para("")}) + package("bad", ["section0", "section1"], {"section0": "<bad", "section1": mark})
+    entries = engine.drawn(engine.packages(spark, "/root/testdata/sf0.001").where("cast(doc_id as long) < 15")).unionByName(spark.createDataFrame(odd, P.ENTRIES)).cache()
+    made, real = [], X.stored
+    monkeypatch.setattr(X, "stored", lambda *a, **b: made.append(real(*a, **b)) or made[-1])
+    few = X.snapshots(entries)
+    whole = store.stored(entries)
+    told = lambda rows: sorted(map(repr, rows.collect()))
+    assert told(few) == told(X.snapshots(entries, whole).select(*few.columns)) and few.count() > 10
+    kept = {r.tag for r in made[0].elements.where("depth > 0").select("tag").distinct().collect()}
+    assert {"p", "tc"} <= kept <= X.SNAPSHOT and 2 * made[0].rows.count() < whole.rows.count()
