@@ -377,9 +377,22 @@ def _gathered(order: list[ET.Element], names: list[str], size: list[int], wanted
 
     size is filled with how many elements each one is, itself included.
     """
+    if wanted.isdisjoint(names):  # only the sizes
+        for i in range(len(order) - 1, -1, -1):
+            j = i + 1
+            for _ in order[i]:
+                j += size[j]
+            size[i] = j - i
+        return {}
     said, out = [_SILENT] * len(order), {}
     for i in range(len(order) - 1, -1, -1):
         e, tag = order[i], names[i]
+        if not len(e) and tag not in wanted:  # a leaf, as most elements are
+            if tag == "t":
+                said[i] = (e.text,) * 7 if e.text else _SILENT
+                continue
+            if not e.text and tag not in _OWN:
+                continue
         below, j = [], i + 1
         for _ in e:
             below.append(j)
@@ -421,11 +434,15 @@ def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], t
     size = [1] * len(order)
     texts = _gathered(order, names, size, TEXTED if tags is None else TEXTED & tags)
     before = [0, *accumulate(tag == "p" for tag in names)]  # paragraphs before each element
+    # elements before each one that are asked for or counted: what holds none is not walked
+    met = None if tags is None else [0, *accumulate(tag in tags or tag == "p" or tag == "tbl" for tag in names)]
     n_p = n_body = n_tbl = 0
     # of each element: parent's number, depth, path, numbers of ancestors, coordinates
     todo: list = [None] * len(order)
     todo[0] = (-1, 0, names[0], (), (None, None, None, None, None, None, None, ()))
     for pre, (e, tag) in enumerate(zip(order, names, strict=True)):
+        if todo[pre] is None:
+            continue
         (parent, depth, path, above, at), todo[pre] = todo[pre], None
         text_t, text_tbt, text_lines, text_direct, text_fill, text_all, has_secpr = texts.get(pre, _UNTOLD)
         paragraph_count = row_span = col_span = width = height = None
@@ -461,12 +478,12 @@ def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], t
                 name = names[j]
                 k = seen.get(name, 0)
                 seen[name] = k + 1
+                inner = at
                 if body_p and name == "run":
                     inner = (*at[:2], runs, *at[3:])
                     runs += 1
-                else:
-                    inner = at
-                todo[j] = (pre, depth + 1, f"{path}/{name}[{k}]", over, inner)
+                if met is None or met[j + size[j]] > met[j]:
+                    todo[j] = (pre, depth + 1, f"{path}/{name}[{k}]", over, inner)
                 j += size[j]
 
 
