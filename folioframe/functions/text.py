@@ -19,6 +19,11 @@ def trim_unicode(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def says(c: Column) -> Column:
+    """Whether ``trim_unicode`` leaves anything, found at the first character that is no blank."""
+    return c.rlike(r"(?U)\S")
+
+
 def truncate_bytes(c: Column, n: int, mark: str = "...") -> Column:
     """Texts over n bytes are cut to n bytes (a cut character becomes U+FFFD), trimmed and marked."""
     head = F.make_valid_utf8(F.substring(c.cast("binary"), 1, n).cast("string"))

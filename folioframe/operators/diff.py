@@ -27,7 +27,7 @@ BLOCK = 64
 
 def ordered_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, position, said): non-empty paragraphs with their place and style, numbered over all sections."""
-    rows = paragraphs.where(T.trim_unicode(F.col("text_t")) != "")
+    rows = paragraphs.where(T.says(F.col("text_t")))
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("section_idx", "all_p_idx")) - 1
     return rows.select("doc_id", place.alias("position"), T.signature(F.col("section_path"), F.col("table_idx"), F.col("cell_row"), F.col("cell_col"), F.col("style_id"), T.trim_unicode(F.col("text_t"))).alias("said"))
 
@@ -115,7 +115,7 @@ def snapshots(entries: DataFrame, corpus: Corpus | None = None, listed: DataFram
     out = out.withColumns({name: F.coalesce(name, F.sha2(F.lit("").cast("binary"), 256)) for name in DIGESTS.values()})
     said = T.trim_unicode(F.col("text_t"))
     met = lambda name, mark: F.count_if((said != "") & mark.isNotNull()).alias(name)
-    counts = [F.count_if(said != "").alias("paragraph_count"), met("placeholder_count", T.is_placeholder(said)), met("guide_count", T.is_guide(F.lower(said)))]
+    counts = [F.count_if(T.says(F.col("text_t"))).alias("paragraph_count"), met("placeholder_count", T.is_placeholder(said)), met("guide_count", T.is_guide(F.lower(said)))]
     out = out.join(paragraphs.groupBy("doc_id").agg(*counts, D.lines_of("text")), "doc_id", "left")
     out = out.join(D.report(corpus).select("doc_id", "valid"), "doc_id", "left").join(D.risk_signals(entries, corpus=corpus).select("doc_id", F.col("hints").alias("risk_hints")), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))

@@ -31,13 +31,12 @@ def paragraph_texts(elements: DataFrame) -> DataFrame:
 def table_labels(paragraphs: DataFrame) -> DataFrame:
     """(section, all_p_idx, label, fill_label): a paragraph's own text, else the last one before it in the section; section properties say nothing.
 
-    label is for reports (blanks evened out), fill_label for the planner (text boxes left out, as written).
+    label is for reports, fill_label for the planner (text boxes left out). Both as they stand: ``tables`` trims those of tables only.
     """
     w = W.partitionBy(*SECTION).orderBy("all_p_idx").rowsBetween(W.unboundedPreceding, 0)
     shown = ~F.coalesce("has_secpr", F.lit(False))
-    carried = lambda said: F.last(F.when((said != "") & shown, said), ignorenulls=True).over(w)
-    label, fill_label = carried(T.trim_unicode(T.normalize_inline(F.col("text_own")))), carried(T.trim_unicode(F.col("text_fill")))
-    return paragraphs.select(*SECTION, "all_p_idx", label.alias("label"), F.when(shown, fill_label).alias("fill_label"))
+    carried = lambda said: F.last(F.when(T.says(said) & shown, said), ignorenulls=True).over(w)
+    return paragraphs.select(*SECTION, "all_p_idx", carried(F.col("text_own")).alias("label"), F.when(shown, carried(F.col("text_fill"))).alias("fill_label"))
 
 
 def cells(elements: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
@@ -74,6 +73,7 @@ def tables(elements: DataFrame, paragraphs: DataFrame, cell_rows: DataFrame) ->
     of_paragraphs = paragraphs.select(*SECTION, "table_idx", "text_t", F.explode("in_tables").alias("_t")).select(*SECTION, F.col("_t").alias("table_idx"), none.alias("m"), F.lit(1).alias("p"), here(T.is_placeholder(text)).alias("h"), here(T.is_guide(F.lower(text))).alias("g"))
     held = of_cells.unionByName(of_paragraphs).groupBy(*SECTION, "table_idx").agg(F.sum("m").alias("merged_cells"), F.sum("p").alias("paragraph_count"), F.sum("h").alias("placeholder_count"), F.sum("g").alias("guide_count"))
     out = own.join(rows, [*SECTION, "pre"], "left").join(table_labels(paragraphs), [*SECTION, "all_p_idx"], "left")
+    out = out.withColumns({"label": T.trim_unicode(T.normalize_inline(F.col("label"))), "fill_label": T.trim_unicode(F.col("fill_label"))})
     for found in (held, anchor_hints(cell_rows)):
         out = out.join(found, [*SECTION, "table_idx"], "left")
     out = out.withColumn("rows", F.coalesce("declared_rows", "tr", F.lit(0))).fillna(0, ["merged_cells", "paragraph_count", "placeholder_count", "guide_count"])

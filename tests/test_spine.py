@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe.functions import text as T
 from folioframe.operators import diff as X
 from folioframe.operators import document as D
 from folioframe.operators import edit as E
@@ -318,3 +319,18 @@ def test_snapshots_store_only_what_they_read(spark, monkeypatch):
     assert told(few) == told(X.snapshots(entries, whole).select(*few.columns)) and few.count() > 10
     kept = {r.tag for r in made[0].elements.where("depth > 0").select("tag").distinct().collect()}
     assert {"p", "tc"} <= kept <= X.SNAPSHOT and 2 * made[0].rows.count() < whole.rows.count()
+
+
+def test_labels_are_trimmed_of_tables_only(spark):
+    """What says something is what trimming leaves something of; labels pass over blank paragraphs, and only tables' labels are evened out."""
+    texts = ["", " ", "\u3000\u00a0\r\n\t", "a", " \n a \r\n\r\n\r\n\r\n b\u3000 ", "\u200b", "\x1c", "\x85\u2028"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", T.says(F.col("t")).alias("x"), (T.trim_unicode(F.col("t")) != "").alias("y"), (T.trim_unicode(T.normalize_inline(F.col("t"))) != "").alias("z")).collect()
+    assert all(r.x == r.y == r.z for r in rows) and {r.x for r in rows} == {True, False, None}
+    table = "<hp:p><hp:run><hp:tbl rowCnt='1' colCnt='1'><hp:tr>" + cell(0, 0, "c") + "</hp:tr></hp:tbl></hp:run></hp:p>"
+    entries = spark.createDataFrame(package("d", ["section0"], {"section0": para("&#160; a &#13;&#10; b &#160;") + para("&#12288; ") + table}), P.ENTRIES)
+    elements = P.flatten(entries)
+    paragraphs = D.paragraph_texts(elements)
+    found = D.tables(elements, paragraphs, D.cells(elements)).first()
+    assert (found.label, found.fill_label) == ("a\nb", "a \r\n b")
+    plan = D.table_labels(D.paragraph_texts(store.stored(entries).elements))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "regexp_replace" not in plan
