@@ -131,12 +131,13 @@ def met_anchors(table_rows: DataFrame, cell_rows: DataFrame, asked: DataFrame) -
     return met.select("rid", *SECTION, "table_idx", "mode", "direction", "expands", "n", "r0", "c0", "first")
 
 
-def grown(table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grown(table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked: DataFrame, met: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(section, table_idx, rows) of tables that statements with ``expand`` need more rows of, and spans with the cells of these rows.
 
     New rows are copies of the last one, which must have no merged cells and no table in it; that is checked when the rows are added.
+    met: ``met_anchors`` of these, if they are at hand.
     """
-    met = met_anchors(table_rows, cell_rows, asked).where("expands")
+    met = (met_anchors(table_rows, cell_rows, asked) if met is None else met).where("expands")
     have = spans.groupBy(*SECTION, "table_idx").agg((F.max("row_to") + 1).alias("have"))
     below = spans.select(*SECTION, "table_idx", "col", "col_to", "row_to", F.struct("anchor_row", "anchor_col").alias("a"))
     ahead = met.join(below, [*SECTION, "table_idx"]).where("c0 between col and col_to and row_to >= r0").groupBy("rid", *SECTION, "table_idx", "first").agg(F.countDistinct("a").alias("free"))
@@ -150,15 +151,17 @@ def grown(table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked:
     return more.drop("have"), spans.select(*new.columns).unionByName(new)
 
 
-def table_changes(table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
-    """Cells beside an anchor: one, the k-th distinct cell along a direction, or a rectangle up to its first cell out of range."""
-    met = kept(met_anchors(table_rows, cell_rows, asked), "anchors")  # read by both kinds of modes
+def boxed_cells(met: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """Targets of one value, a grid or records: a rectangle up to its first cell out of range."""
     boxed = met.where("not mode like '%-repeat'").join(values_of(asked), "rid")
     boxed = boxed.select("rid", *SECTION, "table_idx", "first", (F.col("r0") + F.col("i")).alias("r"), (F.col("c0") + F.col("j")).alias("c"), "k", F.col("value").alias("new_text"))
     boxed = covering(boxed, spans)
     out = F.min(F.when(F.col("row").isNull(), F.col("k"))).over(W.partitionBy("rid", *SECTION, "table_idx", "first"))
-    boxed = boxed.withColumn("out", out).where("row is not null and (out is null or k < out)")
+    return boxed.withColumn("out", out).where("row is not null and (out is null or k < out)").select("rid", *SECTION, "table_idx", "first", "row", "col", "k", "new_text")
 
+
+def line_cells(met: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """Targets of several values: the k-th distinct cell along a direction."""
     d = F.col("direction")
     along = F.when(d.isin("right", "left"), F.expr("r0 between row and row_to")).otherwise(F.expr("c0 between col and col_to"))
     ahead = F.when(d == "right", F.expr("if(col_to >= c0, greatest(col, c0) - c0, -1)")).when(d == "left", F.expr("if(col <= c0, c0 - least(col_to, c0), -1)"))
@@ -167,19 +170,27 @@ def table_changes(table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame,
     line = line.select("rid", *SECTION, "table_idx", "first", F.col("anchor_row").alias("row"), F.col("anchor_col").alias("col"), "ahead")
     line = line.groupBy("rid", *SECTION, "table_idx", "first", "row", "col").agg(F.min("ahead").alias("ahead"))
     line = line.withColumn("k", F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx", "first").orderBy("ahead", "row", "col")) - 1)
-    line = line.join(values_of(asked).select("rid", "k", F.col("value").alias("new_text")), ["rid", "k"]).select("rid", *SECTION, "table_idx", "first", "row", "col", "k", "new_text")
+    return line.join(values_of(asked).select("rid", "k", F.col("value").alias("new_text")), ["rid", "k"]).select("rid", *SECTION, "table_idx", "first", "row", "col", "k", "new_text")
+
 
+def table_changes(table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """Cells beside an anchor: one, the k-th distinct cell along a direction, or a rectangle up to its first cell out of range. met: as ``grown`` takes it."""
+    repeats = {r["x"] for r in asked.where("kind = 'anchor'").select(F.col("mode").like("%-repeat").alias("x")).distinct().collect()} or {True, False}  # two at most
+    if met is None:
+        met = met_anchors(table_rows, cell_rows, asked)
+        met = kept(met, "anchors") if len(repeats) > 1 else met  # read by both kinds of modes
+    both = reduce(DataFrame.unionByName, [(line_cells if x else boxed_cells)(met, spans, asked) for x in sorted(repeats)])
     once = F.row_number().over(W.partitionBy("rid", *SECTION, "table_idx", "first", "row", "col").orderBy("k"))
-    both = boxed.select(*line.columns).unionByName(line).withColumn("once", once).where("once = 1")
+    both = both.withColumn("once", once).where("once = 1")
     old = cell_rows.select(*SECTION, "table_idx", "row", "col", F.col("text").alias("old_text"))
     return both.join(old, [*SECTION, "table_idx", "row", "col"], "left").select("rid", *SECTION, F.lit(None).cast("int").alias("all_p_idx"), "table_idx", "row", "col", "k", "old_text", "new_text")
 
 
-def planned(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
-    """All changes of all statements, one row for each statement and target; spans are those of the cells (or their grid, a row a place)."""
+def planned(paragraphs: DataFrame, table_rows: DataFrame, cell_rows: DataFrame, spans: DataFrame, asked: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """All changes of all statements, one row for each statement and target; spans are those of the cells (or their grid, a row a place). met: as ``grown`` takes it."""
     if "row_to" not in spans.columns:
         spans = spans.withColumns({"row_to": F.col("row").cast("bigint"), "col_to": F.col("col").cast("bigint"), "dead": F.lit(False)})
-    of = {"placeholder": lambda: placeholder_changes(paragraphs, asked), "near-text": lambda: paragraph_changes(paragraphs, asked), "anchor": lambda: table_changes(table_rows, cell_rows, spans, asked)}
+    of = {"placeholder": lambda: placeholder_changes(paragraphs, asked), "near-text": lambda: paragraph_changes(paragraphs, asked), "anchor": lambda: table_changes(table_rows, cell_rows, spans, asked, met)}
     kinds = {r["kind"] for r in asked.select("kind").distinct().collect()} or set(of)  # three at most
     return reduce(DataFrame.unionByName, [of[k]() for k in of if k in kinds])
 
@@ -249,11 +260,18 @@ def fill(entries: DataFrame, mapping: list[dict], fingerprint: dict | None = Non
     from folioframe.operators import document as D
     from folioframe.operators import edit
 
-    elements, refused = gated(stored(entries).elements, fingerprint)  # parsed once, not once for each list of rows
-    paragraphs, cell_rows = D.paragraph_texts(elements), D.cells(elements)
-    table_rows = kept(D.tables(elements, paragraphs, cell_rows), "tables")
     asked = statements(entries.sparkSession, mapping)
-    more, spans = grown(table_rows, cell_rows, D.spans(cell_rows), asked)
-    more = kept(more, "grown")
-    changes = kept(planned(paragraphs, table_rows, cell_rows, spans, asked), "changes")
-    return edit.apply(entries, edit.fill_statements(last_wins(changes), more, ambiguous(changes, asked), refused)), changes
+    told = [dict(zip(asked.columns, statement(i, s), strict=True)) for i, s in enumerate(mapping)]
+    labelled = any(s["table_label"] for s in told)
+    tags = {"tc", "tbl"} | ({"p"} if labelled or fingerprint or any(s["kind"] != "anchor" for s in told) else set()) | ({"tr"} if fingerprint else set())  # what the plan reads
+    elements, refused = gated(stored(entries, tags=tags).elements, fingerprint)  # parsed once, not once for each list of rows
+    paragraphs, cell_rows = D.paragraph_texts(elements), D.cells(elements)
+    table_rows = D.table_kin(elements, paragraphs if labelled else None)
+    spans, more = D.spans(cell_rows), None
+    met = kept(met_anchors(table_rows, cell_rows, asked), "anchors")
+    if any(s["expands"] for s in told):
+        more, spans = grown(table_rows, cell_rows, kept(spans, "spans"), asked, met)
+        more = kept(more, "grown")
+    changes = kept(planned(paragraphs, table_rows, cell_rows, spans, asked, met), "changes")
+    final = kept(edit.fill_statements(last_wins(changes), more, ambiguous(changes, asked) if any(s["single"] for s in told) else None, refused), "statements")  # read three times
+    return edit.apply(entries, final), changes

@@ -372,6 +372,15 @@ def _heard(e: ET.Element, tag: str, kids: list[tuple]) -> tuple:
     return (t, both, whole, bare, fill, lines, told)
 
 
+def _passed(tag: str, heard: tuple) -> tuple:
+    """What an element's texts are to the one around it."""
+    if tag in OBJECTS:
+        return (*heard[:3], "", "", *heard[5:])
+    if tag == "drawText":
+        return (*heard[:4], "", *heard[5:])
+    return (*heard[:5], "", "") if tag == "p" else heard
+
+
 def _gathered(order: list[ET.Element], names: list[str], size: list[int], wanted: set[str]) -> dict[int, tuple]:
     """Number -> (text_t, text_tbt, text_lines, text_direct, text_fill, text_all, has_secpr) of the elements of the wanted tags, each text put together once from those below.
 
@@ -393,6 +402,11 @@ def _gathered(order: list[ET.Element], names: list[str], size: list[int], wanted
                 continue
             if not e.text and tag not in _OWN:
                 continue
+        if len(e) == 1 and i and tag not in wanted and not e.text and tag not in _OWN and not e[0].tail:  # says what its only child does
+            size[i], heard, said[i + 1] = size[i + 1] + 1, said[i + 1], _SILENT
+            if heard is not _SILENT:
+                said[i] = _passed(tag, heard)
+            continue
         below, j = [], i + 1
         for _ in e:
             below.append(j)
@@ -415,15 +429,9 @@ def _gathered(order: list[ET.Element], names: list[str], size: list[int], wanted
                 lines, direct, fill = heard[5], "".join([said[k][3] for k in runs]), "".join([said[k][4] for k in runs])
                 secpr = any(_local(x.tag) == "secPr" for k in runs for x in order[k])
             out[i] = (heard[0], heard[1], lines, direct, fill, heard[2], secpr)
-        if tag in OBJECTS:
-            heard = (*heard[:3], "", "", *heard[5:])
-        elif tag == "drawText":
-            heard = (*heard[:4], "", *heard[5:])
-        elif tag == "p":
-            heard = (*heard[:5], "", "")
         for k in below:
             said[k] = _SILENT
-        said[i] = heard
+        said[i] = _passed(tag, heard)
     return out
 
 
@@ -433,10 +441,10 @@ def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], t
     names = [_local(e.tag) for e in order]
     size = [1] * len(order)
     texts = _gathered(order, names, size, TEXTED if tags is None else TEXTED & tags)
-    before = [0, *accumulate(tag == "p" for tag in names)]  # paragraphs before each element
-    # elements before each one that are asked for or counted: what holds none is not walked
-    met = None if tags is None else [0, *accumulate(tag in tags or tag == "p" or tag == "tbl" for tag in names)]
-    n_p = n_body = n_tbl = 0
+    before = list(accumulate((tag == "p" for tag in names), initial=0))  # paragraphs before each element
+    # elements before each one that are asked for or counted: what holds none is not walked (paragraphs are counted beforehand, but those of the body)
+    met = None if tags is None else [0, *accumulate(tag in tags or tag == "tbl" for tag in names)]
+    n_body = n_tbl = 0
     # of each element: parent's number, depth, path, numbers of ancestors, coordinates
     todo: list = [None] * len(order)
     todo[0] = (-1, 0, names[0], (), (None, None, None, None, None, None, None, ()))
@@ -452,8 +460,7 @@ def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], t
                 secpr = any(_local(x.tag) == "secPr" for r in e if _local(r.tag) == "run" for x in r) if has_secpr is None else has_secpr
                 body = None if secpr else n_body
                 n_body += not secpr
-            at = (n_p, body, *at[2:])
-            n_p += 1
+            at = (before[pre], body, *at[2:])
         elif tag == "tbl":
             at = (*at[:3], n_tbl, at[3], None, None, (*at[7], n_tbl))
             n_tbl += 1
@@ -471,7 +478,7 @@ def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], t
                 doc_id, section, None, pre, parent, above, pre + size[pre] - 1, depth, tag, path, {_local(k): v for k, v in e.attrib.items()} if e.attrib else {}, e.text or "", e.tail or "", *at, has_secpr,
                 text_t, text_tbt, text_lines, text_direct, text_fill, text_all, paragraph_count, row_span, col_span, width, height,
             ))
-        if size[pre] > 1:
+        if size[pre] > 1 and (met is None or not pre or met[pre + size[pre]] > met[pre + 1]):
             over, seen, runs, j = (*above, pre), {}, 0, pre + 1
             body_p = tag == "p" and depth == 1
             for _ in e:
@@ -482,7 +489,7 @@ def _walk_part(doc_id: str, section: str, root: ET.Element, rows: list[tuple], t
                 if body_p and name == "run":
                     inner = (*at[:2], runs, *at[3:])
                     runs += 1
-                if met is None or met[j + size[j]] > met[j]:
+                if met is None or met[j + size[j]] > met[j] or not pre and name == "p":
                     todo[j] = (pre, depth + 1, f"{path}/{name}[{k}]", over, inner)
                 j += size[j]
 

@@ -173,3 +173,19 @@ def test_nested_paragraphs_scripts_and_objects(spark):
     assert D.find_by_path(elements, "//tc//p[2]/run").count() == 1 and D.find_by_path(elements, "/sec/p[@styleIDRef='0']").count() == 1 and D.find_by_path(elements, "//rect[drawText]").count() == 1
     with pytest.raises(ValueError):
         D.find_by_path(elements, "p[position()=1]")
+
+
+def test_fill_stores_what_its_statements_read(entries, monkeypatch):
+    """Anchors without labels read tables and cells; with a label, or beside other selectors, paragraphs too. The changes are the planner's own."""
+    asked = []
+    stored = fill.stored
+    monkeypatch.setattr(fill, "stored", lambda e, **more: (asked.append(more.get("tags")), stored(e, **more))[1])
+    one = entries.where("doc_id like '/x/%'")
+    elements = P.flatten(one)
+    paragraphs, cells = D.paragraph_texts(elements), D.cells(elements)
+    plain = {"anchor": "Role", "value": "y", "mode": "table-down"}
+    for mapping in ([plain], [plain | {"tableLabel": "People"}], [plain | {"tableLabel": "nowhere"}], [plain, {"nearText": "Body text", "value": "b", "mode": "paragraph-replace"}]):
+        _, changes = fill.fill(one, mapping)
+        want = fill.planned(paragraphs, D.tables(elements, paragraphs, cells), cells, D.spans(cells), fill.statements(one.sparkSession, mapping))
+        assert sorted(map(tuple, changes.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert asked == [{"tc", "tbl"}, *[{"tc", "tbl", "p"}] * 3]

@@ -3,6 +3,7 @@
 import base64
 import json
 import struct
+import xml.etree.ElementTree as ET
 import zlib
 
 import pytest
@@ -172,3 +173,26 @@ def test_filling_looks_at_a_table_once(monkeypatch):
     table = E.tables(E.ET.fromstring(parts[section]))[0]
     assert [[E.plain(c) for c in E.kids(r, "tc")] for r in E.rows_of(table)] == [["a" if r < 2 else "", f"v{r}"] for r in range(n)]
     assert [p.get("id") for p in E.within(table, "p")] == ["0", "1", "10", "11"] + [str(91 + i) for i in range(2 * n - 4)]
+
+
+def test_new_rows_cost_no_second_look(monkeypatch):
+    """Rows after the second new one are copies of it: they are not emptied again, and hold what it holds."""
+    calls = []
+    fill_cell = E.fill_cell
+    monkeypatch.setattr(E, "fill_cell", lambda *a: (calls.append(1), fill_cell(*a)))
+    cell = '<hp:tc><hp:subList><hp:p id="7"><hp:run><hp:t>said</hp:t></hp:run></hp:p></hp:subList><hp:cellAddr rowAddr="0" colAddr="0"/><hp:cellSpan rowSpan="1" colSpan="1"/><hp:cellSz width="5" height="5"/></hp:tc>'
+    section = f'<hs:sec xmlns:hp="p" xmlns:hs="s"><hp:p><hp:run><hp:tbl rowCnt="1"><hp:tr>{cell}</hp:tr></hp:tbl></hp:run></hp:p></hs:sec>'
+    done, error = E.edited({"Contents/section0.xml": section.encode()}, [("expand-table", json.dumps({"section": "Contents/section0.xml", "table": 0, "rows": 30}))])
+    root = ET.fromstring(done["Contents/section0.xml"])
+    cells = E.cells_of(E.tables(root)[0])
+    assert error is None and [E.address(c) for c in cells] == [(r, 0, 1, 1) for r in range(30)]
+    assert [E.plain(c) for c in cells] == ["said"] + [""] * 29
+    assert [p.get("id") for c in cells for p in E.within(c, "p")] == [str(i) for i in range(7, 37)]
+    assert len(calls) <= 2
+
+
+def test_parts_are_written_as_elementtree_does():
+    odd = '<a:r xmlns:a="u&amp;1" xmlns:b="q"><x k="1&#10;&quot;&lt;" b:k="&#9;" xml:space="preserve">t&amp;&gt;<a:y/>tail &lt;</x><b:z b:k="é">\U0001f600</b:z><w></w></a:r>'
+    for text in (odd, "<r/>", "<r>a<!-- c --><s/></r>"):
+        root = ET.fromstring(text, ET.XMLParser(target=ET.TreeBuilder(insert_comments=True)))
+        assert E.written(root) == ET.tostring(root, "utf-8", xml_declaration=True)
